@@ -12,18 +12,69 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.warc import archived
+
+    return archived(spark, _table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sampletide.llm.packing import packed_documents
 
     return packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.language_id import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.tool_calls import linked
+
+    return linked(_table(spark, sf_dir, "conversations"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sampletide.llm.token_binary import token_files
 
     return token_files(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op9_token_binary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op8_tool_calls, op9_token_binary)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < original THEN original END AS refers_to
+        FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 1000""",
+    "op8_tool_calls": """
+        WITH RECURSIVE users AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
+        results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+        edges AS (SELECT u.conv_id, u.turn, p.turn AS needs FROM users u LEFT JOIN users p
+            ON u.conv_id = p.conv_id AND u.turn >= 2 AND p.turn = (u.turn // 4) * 2 + u.turn % 2),
+        levels AS (SELECT conv_id, turn, 0 AS level FROM edges WHERE needs IS NULL
+            UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM levels l JOIN edges e ON e.conv_id = l.conv_id AND e.needs = l.turn),
+        calls AS (SELECT u.*, level, 'call-' || u.conv_id || '-' || u.turn AS call_id, contains(text, chr(10)) AS lines,
+            len(string_split(text, ' ')) AS words FROM users u JOIN levels l ON u.conv_id = l.conv_id AND u.turn = l.turn),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position FROM calls)
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, 'call-' || r.conv_id || '-' || r.turn) AS call_id,
+            c.turn AS turn, r.turn + 1 AS result_turn, CASE WHEN lines THEN 'rewrite' WHEN NOT lines THEN 'ask' END AS tool,
+            level, position, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.n IS NULL THEN 'pending' ELSE 'ok' END AS status,
+            '' AS errors, coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
+            '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{' || CASE WHEN lines THEN '"keep":' || (c.turn % 2 = 0) || ',' ELSE '' END
+                || '"text":' || to_json(c.text) || ',"words":' || words || '}' END
+            || ',"id":"call-' || coalesce(c.conv_id, r.conv_id) || '-' || coalesce(c.turn, r.turn) || '","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null')
+            || ',"tool":' || CASE WHEN lines THEN '"rewrite"' WHEN NOT lines THEN '"ask"' ELSE 'null' END || '}' AS message
+        FROM placed c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn""",
+}

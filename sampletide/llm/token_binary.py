@@ -1,9 +1,9 @@
 """Token ids as binary files, coded by a static range asymmetric numeral system.
 
-One frequency table, counted over every id of the corpus, serves all files. Documents are laid out in
-ascending ``doc_id`` order (nulls first, repeated ids by their tokens) in segments of whole documents; a segment
-holds blocks that decode independently, each of interleaved lanes with its start states as checkpoint
-and a CRC-32. A manifest row names each finished segment, so files of lost attempts are never read.
+Documents are laid out in ascending ``doc_id`` order (nulls first, repeated ids by their text) in segments of whole
+documents. A segment has one frequency table, counted over all its ids, that its blocks share; blocks decode
+independently, each of interleaved lanes with its start states as checkpoint and a CRC-32. A manifest row
+names each finished segment, so files of lost attempts are never read. Texts are shuffled once, before they become ids.
 
 Null and empty texts have the end id alone; an empty table gives an empty manifest; other columns are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sampletide.llm.common import batch_of, partitions, removed, shared_dir, slices, written
+from sampletide.llm.common import batch_of, partitions, shared_dir, slices, written
 from sampletide.llm.tokenizing import encoder
 
 #: Frequencies sum to 2 ** PRECISION; states lie in [2 ** 31, 2 ** 63) and shed 32 bits at a time.
@@ -30,7 +30,7 @@ MAGIC = b"RANSEG1\n"
 BLOCK_IDS = 1 << 18
 SEGMENT_IDS = 1 << 21
 LANES = 1024
-_HEAD, _BLOCK = struct.Struct("<8sQQ"), struct.Struct("<QIIII")
+_HEAD, _BLOCK = struct.Struct("<8sQQQI"), struct.Struct("<QIIII")
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -92,95 +92,66 @@ def decode_block(data: bytes, n: int, lanes: int, freq: np.ndarray, first: np.nd
     return ids
 
 
-def segment_bytes(doc_ids: list[int | None], parts: list[np.ndarray], freq: np.ndarray, first: np.ndarray) -> bytes:
+def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = freq.astype(np.uint64)
+    return wide, np.cumsum(wide) - wide
+
+
+def segment_bytes(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     ids = np.concatenate(parts)
-    blocks, table = [], []
+    freq = frequencies(np.bincount(ids))
+    tables = _tables(freq)
+    blocks, rows = [], []
     for begin in range(0, len(ids), BLOCK_IDS):
-        lanes, data = encode_block(ids[begin : begin + BLOCK_IDS], freq, first)
-        table.append((len(data), lanes, min(BLOCK_IDS, len(ids) - begin), zlib.crc32(data)))
+        lanes, data = encode_block(ids[begin : begin + BLOCK_IDS], *tables)
+        rows.append((len(data), lanes, min(BLOCK_IDS, len(ids) - begin), zlib.crc32(data)))
         blocks.append(data)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     index = known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([len(x) for x in parts], "<u8").tobytes()
-    index += b"".join(_BLOCK.pack(*row, 0) for row in table)
-    return b"".join([_HEAD.pack(MAGIC, len(parts), len(table)), struct.pack("<I", zlib.crc32(index)), index, *blocks])
+    index += b"".join(_BLOCK.pack(*row, 0) for row in rows) + freq.astype("<u4").tobytes()
+    packed = zlib.compress(index, 6)
+    return b"".join([_HEAD.pack(MAGIC, len(parts), len(rows), len(packed), zlib.crc32(packed)), packed, *blocks])
 
 
-def segment_documents(data: bytes, freq: np.ndarray, first: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+def segment_documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     """Each document's id and token ids; checksums are verified."""
-    magic, n, n_blocks = _HEAD.unpack_from(data)
-    at = _HEAD.size + 4
-    index = data[at : at + n * 17 + n_blocks * _BLOCK.size]
-    if magic != MAGIC or zlib.crc32(index) != struct.unpack_from("<I", data, _HEAD.size)[0]:
+    magic, n, n_blocks, size, crc = _HEAD.unpack_from(data)
+    at = _HEAD.size + size
+    if magic != MAGIC or zlib.crc32(data[_HEAD.size : at]) != crc:
         raise ValueError("not a segment, or its index is damaged")
+    index, ids = zlib.decompress(data[_HEAD.size : at]), []
     known, doc_ids, sizes = np.frombuffer(index, np.uint8, n), np.frombuffer(index, "<i8", n, n), np.frombuffer(index, "<u8", n, n * 9)
-    at, ids = at + len(index), []
+    freq = np.frombuffer(index, "<u4", offset=n * 17 + n_blocks * _BLOCK.size)
+    tables = *_tables(freq), np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
     for i in range(n_blocks):
         size, lanes, count, crc, _ = _BLOCK.unpack_from(index, n * 17 + i * _BLOCK.size)
         block, at = data[at : at + size], at + size
         if zlib.crc32(block) != crc:
             raise ValueError("a block is damaged")
-        ids.append(decode_block(block, count, lanes, freq, first, symbol))
+        ids.append(decode_block(block, count, lanes, *tables))
     ids = np.concatenate(ids)
     ends = np.cumsum(sizes.astype(np.int64)).tolist()
     for i, end in enumerate(ends):
         yield int(doc_ids[i]) if known[i] else None, ids[end - int(sizes[i]) : end]
 
 
-def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    wide = freq.astype(np.uint64)
-    return wide, np.cumsum(wide) - wide, np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
-
-
-def tokenized(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, with the end id) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(tokenizer, keeps_space), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
-            ids = enc.encode(batch.column("text").to_pylist())
-            yield batch_of(schema, {"doc_id": batch.column("doc_id"), "ids": [x.astype("<u4").tobytes() + last for x in ids]})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
-
-
-def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs; its length is bounded by the vocabulary."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in slices(batches, "ids"):
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
-            wide, narrow = (got, total) if len(got) > len(total) else (total, got)
-            total = wide.astype(np.int64)
-            total[: len(narrow)] += narrow
-        yield batch_of(schema, {"id": np.flatnonzero(total), "n": total[total > 0]})
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    ids, n = (rows.column(k).to_numpy() for k in ("id", "n"))
-    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
-    counts[ids] = n
-    return counts
-
-
-def write_ids(docs: DataFrame, tokenizer: str, directory: str, keeps_space: bool = True, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """Encode all rows into segment files under ``directory``; the manifest, and the frequency table.
+def write_ids(docs: DataFrame, tokenizer: str, directory: str, keeps_space: bool = True, end_id: int = 0) -> DataFrame:
+    """Encode all rows into segment files under ``directory``; the manifest.
 
     Manifest: path, bucket and seq (their order is doc_id order), start (ids in segments before), n_ids, n_docs.
-    The files' number follows the input; a task holds one segment and one text at a time.
+    The files' number follows the input; a task holds one segment and a slice of texts at a time.
     """
     spark = docs.sparkSession
-    tokens, at = written(tokenized(docs, tokenizer, keeps_space, end_id), "tokens")
-    freq = frequencies(id_counts(tokens))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = partitions(spark)
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
     schema = pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())])
-    bucket = F.coalesce(F.aggregate(F.array(*[F.lit(int(x)) for x in cuts]), F.lit(0), lambda a, x: a + F.when(x < F.col("doc_id"), 1).otherwise(0)), F.lit(0)) if len(cuts) else F.lit(0)
+    bucket = F.coalesce(F.size(F.filter(F.lit(cuts), lambda x: x < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, first, _ = _tables(freq)
+        enc = encoder(tokenizer, keeps_space)
         files, root = pyarrow.fs.FileSystem.from_uri(directory)
         files.create_dir(root, recursive=True)
         seqs: dict[int, int] = {}
@@ -191,46 +162,44 @@ def write_ids(docs: DataFrame, tokenizer: str, directory: str, keeps_space: bool
             if parts:
                 name = f"ids-{now:06d}-{uuid.uuid4().hex}.bin"
                 with files.open_output_stream(f"{root}/{name}") as out:
-                    out.write(segment_bytes(doc_ids, parts, wide, first))
+                    out.write(segment_bytes(doc_ids, parts))
                 yield batch_of(schema, {"path": [f"{directory}/{name}"], "bucket": [now], "seq": [seqs.setdefault(now, 0)], "n_ids": [held], "n_docs": [len(parts)]})
                 seqs[now] += 1
             doc_ids, parts, held = [], [], 0
 
-        for batch in slices(batches, "ids"):
-            for b, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in ("bucket", "doc_id", "ids")), strict=True):
+        for batch in slices(batches, "text"):
+            for b, doc_id, ids in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
                 if b != now or held >= SEGMENT_IDS:
                     yield from flush()
                     now = b
                 doc_ids.append(doc_id)
-                parts.append(np.frombuffer(ids, "<u4"))
+                parts.append(np.append(ids, end_id).astype("<u4"))
                 held += len(parts[-1])
         yield from flush()
 
-    placed = tokens.withColumn("bucket", bucket.cast("int")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
+    placed = docs.withColumn("bucket", bucket.cast("int")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
     manifest, _ = written(placed.mapInArrow(run, "path string, bucket int, seq int, n_ids long, n_docs long"), "manifest")
-    removed(spark, at)
     before = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("n"))  # one row a bucket
     before = before.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
     inside = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("seq")) - F.col("n_ids")
-    return manifest.withColumn("inside", inside).join(F.broadcast(before), "bucket").select("path", "bucket", "seq", (F.col("base") + F.col("inside")).alias("start"), "n_ids", "n_docs"), freq
+    return manifest.withColumn("inside", inside).join(F.broadcast(before), "bucket").select("path", "bucket", "seq", (F.col("base") + F.col("inside")).alias("start"), "n_ids", "n_docs")
 
 
-def read_ids(manifest: DataFrame, freq: np.ndarray) -> DataFrame:
+def read_ids(manifest: DataFrame) -> DataFrame:
     """doc_id, start and ids (little-endian unsigned 32-bit) of each document, segments decoded in parallel."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(freq)
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 files, name = pyarrow.fs.FileSystem.from_uri(path)
                 with files.open_input_stream(name) as stream:
                     data = stream.read()
                 got, held = [], 0
-                for doc_id, ids in segment_documents(data, *tables):
+                for doc_id, ids in segment_documents(data):
                     got.append((doc_id, start, ids.astype("<u4").tobytes()))
                     start, held = start + len(ids), held + len(ids)
-                    if held > 1 << 20:
+                    if held > 1 << 18:
                         yield batch_of(schema, dict(zip(schema.names, map(list, zip(*got, strict=True)), strict=True)))
                         got, held = [], 0
                 if got:
@@ -246,4 +215,4 @@ def digests(documents: DataFrame) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` to files in the shared folder, read them back, and digest what was read."""
-    return digests(read_ids(*write_ids(docs, tokenizer, shared_dir(spark, "id-files"))))
+    return digests(read_ids(write_ids(docs, tokenizer, shared_dir(spark, "id-files"))))

@@ -13,11 +13,20 @@ import re
 
 import numpy as np
 
-#: Python counts these as white space, the vocabularies' patterns don't: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Python counts these as white space or the vocabularies' patterns do, but not both: such texts are encoded whole. So are texts with NUL, a mark below.
+_ODD = "\0\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+#: Texts with other white space than single spaces and line feeds between words are cut by a pattern.
+_OTHER = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+def _cut(text: str) -> list[str]:
+    """Pieces of a text whose white space has ids: " word" as word, what has no space before it with NUL in front."""
+    if any(x in text for x in _OTHER) or text[0] in " \n" or text[-1] in " \n":
+        return [p[1:] if p[0] == " " and not p[1:2].isspace() and len(p) > 1 else "\0" + p for p in _PIECES.findall(text)]
+    return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+
+
 class _Numbers(dict):
     """Numbers words from 0 on as they are asked for; ``new`` lists those without ids so far."""
 
@@ -48,21 +57,32 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        """Drop the words that were met in one batch only; all of them if that leaves too many."""
+        words = [w for w, again in zip(self.numbers, self.again.tolist(), strict=False) if again] if hasattr(self, "numbers") else []
         self.numbers = _Numbers()
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
         self.ends, self.n_words = np.zeros(1 << 16, np.int64), 0
+        self.again = np.zeros(1 << 16, bool)
+        if 2 * len(words) <= self.most_words:
+            for w in words:
+                self.numbers[w]
 
     def learn(self) -> None:
         """Encode the words that have a number but no ids yet."""
         words, self.numbers.new = self.numbers.new, []
+        if self.keeps_space:
+            plain = [w[1:] if w[:1] == "\0" else " " + w for w in words]
+        else:
+            plain = words
         for begin in range(0, len(words), 4096):
-            part = words[begin : begin + 4096]
+            part = plain[begin : begin + 4096]
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             ends = self.n_ids + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(part)))
             while ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.n_words + len(part) >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.again = np.concatenate([self.again, np.zeros_like(self.again)])
             self.ids[self.n_ids : ends[-1]] = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(ends[-1]) - self.n_ids)
             self.ends[self.n_words + 1 : self.n_words + 1 + len(part)] = ends
             self.n_ids, self.n_words = int(ends[-1]), self.n_words + len(part)
@@ -71,21 +91,22 @@ class Encoder:
         """The ids of each text as int32; a null text has none."""
         if self.n_words > self.most_words:
             self.forget()
-        cut, look = _PIECES.findall if self.keeps_space else str.split, self.numbers.__getitem__
-        at: list[np.ndarray | None] = []
-        for text in texts:
-            words = [] if not text else None if _ODD.search(text) else cut(text)
-            at.append(None if words is None else np.fromiter(map(look, words), np.int64, len(words)))
+        cut, look, known = _cut if self.keeps_space else str.split, self.numbers.__getitem__, self.n_words
+        odd = {i: text for i, text in enumerate(texts) if text and any(x in text for x in _ODD)}
+        words = [cut(text) if text and i not in odd else [] for i, text in enumerate(texts)]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(look, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
         self.learn()
-        out = []
-        for text, numbers in zip(texts, at, strict=True):
-            if numbers is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-                continue
-            begin = self.ends[numbers]
-            sizes = self.ends[numbers + 1] - begin
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        self.again[numbers[numbers < known]] = True
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        ends = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        ids = self.ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, text in odd.items():
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         return out
 
 
