@@ -48,9 +48,29 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op8_tool_calls, op9_token_binary)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op8_tool_calls, op9_token_binary, op10_near_dedup)}
+
+_SHINGLES = """
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS s FROM w)"""
 
 ORACLES: dict[str, str] = {
+    "op10_near_dedup": "WITH RECURSIVE" + _SHINGLES.format(k=2) + """,
+        sets AS (SELECT doc_id, len(s) AS n, s FROM s),
+        items AS (SELECT doc_id, n, unnest(s) AS x FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+            AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id, coalesce(least(doc_id, m), doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
