@@ -36,6 +36,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.substring_dedup import removal
+
+    return removal(_table(spark, sf_dir, "documents"))
+
+
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sampletide.llm.tool_calls import linked
 
@@ -54,7 +60,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op8_tool_calls, op9_token_binary, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op7_substring_dedup, op8_tool_calls, op9_token_binary, op10_near_dedup)}
 
 _SHINGLES = """
         w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -78,6 +84,17 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN page_id < original THEN original END AS refers_to
         FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 1000""",
+    "op7_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+        windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+        again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        hits AS (SELECT doc_id, list(i) AS hits FROM windows SEMI JOIN again USING (h) GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM (SELECT doc_id, unnest(hits) AS i FROM hits)),
+        words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
     "op8_tool_calls": """
         WITH RECURSIVE users AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
         results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),

@@ -111,3 +111,10 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         else:
             out.append(runs(words.hash[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
+
+
+def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of hashes[begin : end], for each pair."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * powers(INVERSE, max(1, len(hashes)))[np.minimum(begin, max(0, len(hashes) - 1))] + (end - begin).astype(np.uint64))
