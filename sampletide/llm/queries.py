@@ -12,12 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.decontamination import contained_items
+
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sampletide.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sampletide.llm.top_k import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sampletide.llm.warc import archived
 
@@ -60,7 +72,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_warc, op5_packing, op6_language_id, op7_substring_dedup, op8_tool_calls, op9_token_binary, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_top_k, op4_warc, op5_packing, op6_language_id, op7_substring_dedup, op8_tool_calls, op9_token_binary, op10_near_dedup)}
 
 _SHINGLES = """
         w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -68,6 +80,20 @@ _SHINGLES = """
             ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS s FROM w)"""
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": "WITH" + _SHINGLES.format(k=5) + """,
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+        i AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5),
+        items AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM i),
+        grams AS (SELECT doc_id, unnest(s) AS x FROM s)
+        SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(*) AS n_matched, count(*) / n AS containment
+        FROM grams JOIN items USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+    "op3_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op10_near_dedup": "WITH RECURSIVE" + _SHINGLES.format(k=2) + """,
         sets AS (SELECT doc_id, len(s) AS n, s FROM s),
         items AS (SELECT doc_id, n, unnest(s) AS x FROM sets),

@@ -54,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.most_words = keeps_space, most_words
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1] if keeps_space else -1
         self.forget()
 
     def forget(self) -> None:
@@ -76,17 +77,28 @@ class Encoder:
             plain = words
         for begin in range(0, len(words), 4096):
             part = plain[begin : begin + 4096]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = self.n_ids + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(part)))
+            flat, sizes = self._ids(part)
+            ends = self.n_ids + np.cumsum(sizes)
             while ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.n_words + len(part) >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
                 self.again = np.concatenate([self.again, np.zeros_like(self.again)])
-            self.ids[self.n_ids : ends[-1]] = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(ends[-1]) - self.n_ids)
+            self.ids[self.n_ids : ends[-1]] = flat
             self.ends[self.n_words + 1 : self.n_words + 1 + len(part)] = ends
             self.n_ids, self.n_words = int(ends[-1]), self.n_words + len(part)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        if self.keeps_space:  # a line feed between words has an id of its own and leaves theirs alone: one text, not many
+            flat = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            feeds = np.flatnonzero(flat == self.feed)
+            if len(feeds) == len(words) - 1:
+                return np.delete(flat, feeds), np.diff(feeds, prepend=-1, append=len(flat)) - 1
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(words))
+        return np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(sizes.sum())), sizes
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as int32; a null text has none."""
         if self.n_words > self.most_words:
