@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task turns into arrays at once; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -42,6 +42,12 @@ def removed(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of few bytes unless the session asks for a size of its own: long texts come many to a batch."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64m", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,8 +30,9 @@ BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
 #: Candidates differ in at most so many of 64 further bits (0.9 of them agree at similarity 0.8).
 FAR_BITS = 22
-#: Members of a local bucket that go on to the shuffle; members of a cluster that one task decides; sets of a block; lots that share a large cluster.
-FORWARD, MOST, BLOCK, LOTS = 16, 1000, 250, 16
+#: Members of a local bucket that go on to the shuffle; weight of a cluster that one task decides, and of a block; lots that share
+#: a large cluster. The weight is the number of members, or of their shingles in units of UNIT if that is more.
+FORWARD, MOST, BLOCK, LOTS, UNIT = 16, 1000, 250, 16, 1000
 _SEEDS = mixed(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _WEIGHTS = mixed(np.arange(101, 101 + COORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -288,13 +289,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     seen, _ = written(profiles(docs, k), "profiles")
     some = F.any_value
-    classes = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), some("bands").alias("bands"), some("bits").alias("bits"))
+    classes = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), some("n_shingles").alias("n_shingles"), some("bands").alias("bands"), some("bits").alias("bits"))
     classes, at_classes = written(classes, "classes")
     edges, at_edges = written(candidate_edges(classes), "candidates")
     clusters, at_clusters = written(components(edges), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("cluster"), "n")
-    members = members.join(classes.select("cls", "doc_id"), "cls").where("doc_id is not null")
+    members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "doc_id", "n_shingles"), "cls").where("doc_id is not null")
+    sizes = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / UNIT)).alias("n"))
+    members = members.join(sizes, "cluster").select("cls", "doc_id", "cluster", "n")
     sets, at_sets = written(member_sets(docs, members, k), "sets")
     groups, at_groups = written(verified(sets, percent), "groups")
     owner = classes.select("cls", "doc_id").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
