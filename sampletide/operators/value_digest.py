@@ -60,7 +60,7 @@ def value_rollup(digests: DataFrame, by: list[str]) -> DataFrame:
 def cardinalities(digests: DataFrame) -> DataFrame:
     """Sketches as estimates: number_cardinality, string_cardinality, length_cardinality."""
     for c in _SKETCHES:
-        digests = digests.withColumn(c.replace("sketch", "cardinality"), F.hll_sketch_estimate(c)).drop(c)
+        digests = digests.withColumn(c.replace("sketch", "cardinality"), F.coalesce(F.hll_sketch_estimate(c), F.lit(0))).drop(c)
     return digests
 
 
