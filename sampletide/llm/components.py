@@ -18,7 +18,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a > b").distinct()
+    out = out.where("a > b")
+    return out.distinct() if small else out
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge and leads to a node that leads nowhere."""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    onward = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+    return several.unionByName(onward).isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,15 +36,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now, at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
+    rounds = 0
+    while not _settled(now):
+        if (rounds := rounds + 1) > most_rounds:
+            raise RuntimeError("components did not settle")
         now, later = written(_star(_star(now, False), True), "edges")
         removed(spark, at)
         at = later
-        fresh = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if tuple(fresh) == mark:
-            break
-        mark = tuple(fresh)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -33,6 +33,8 @@ FAR_BITS = 22
 #: Members of a local bucket that go on to the shuffle; weight of a cluster that one task decides, and of a block; lots that share
 #: a large cluster. The weight is the number of members, or of their shingles in units of UNIT if that is more.
 FORWARD, MOST, BLOCK, LOTS, UNIT = 16, 1000, 250, 16, 1000
+#: Large clusters, at most so many, whose lists of blocks are broadcast.
+FEW = 10_000
 _SEEDS = mixed(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _WEIGHTS = mixed(np.arange(101, 101 + COORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -187,7 +189,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             yield from _pairs(held, edge)
 
     rows = classes.select("cls", "bands", "bits").mapInArrow(spread, "key long, cls binary, bits long")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a binary, b binary")
 
 
 def _pairs(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -251,39 +253,53 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
         yield from close()
 
     small = sets.where(F.col("n") <= MOST).repartition(n, "cluster").sortWithinPartitions("cluster", "cls").mapInArrow(decide, "node binary, root binary")
-    large = sets.where(F.col("n") > MOST).dropDuplicates(["cls"])
+    large = sets.where(F.col("n") > MOST)
     if large.isEmpty():
         return small
     # the least member first: whoever is linked to it needs no other comparison
-    lot = F.pmod(F.xxhash64("cls"), F.lit(LOTS)).cast("int")
+    lot = F.pmod(F.xxhash64("cls"), F.lit(LOTS)).cast("int").alias("lot")
     lots = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot")
-    lead = large.groupBy("cluster").agg(F.min("cls").alias("cls")).join(large.select("cls", F.col("items").alias("others")), "cls")
-    lead = lead.select("cluster", F.col("cls").alias("first"), F.array("cls").alias("names"), F.array("others").alias("others"), lots)
-    rows = large.withColumn("lot", lot)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, index = None, None
-        for batch in batches:
-            names, others = batch.column("names").to_pylist(), batch.column("others").to_pylist()
-            out: dict[str, list] = {"node": [], "root": []}
-            for cls, data, own, sets_ in zip(batch.column("cls").to_pylist(), batch.column("items").to_pylist(), names, others, strict=True):
-                if own != kept:
-                    kept, index = own, Shared([_as_set(x) for x in sets_])
-                for i in np.flatnonzero(index.linked(_as_set(data), percent)).tolist():
-                    out["node"].append(cls)
-                    out["root"].append(own[i])
-            yield batch_of(schema, out)
-
-    star, _ = written(rows.join(lead, ["cluster", "lot"]).select("cls", "items", "names", "others").mapInArrow(compare, "node binary, root binary"), "links")
+    none = F.lit(0).cast("bigint").alias("block")
+    first = large.groupBy("cluster").agg(F.min(F.struct("cls", "items")).alias("x")).select("cluster", "x.*")
+    star, _ = written(_compared(first.select("cluster", "cls", "items", lots, none), large.select("cluster", "cls", "items", lot, none), percent), "links")
     rest = large.join(star.select(F.col("node").alias("cls")), "cls", "left_anti").withColumn("block", F.floor(F.rand(7) * F.ceil(F.col("n") / BLOCK)))
     rest, _ = written(rest, "unlinked")
-    blocks = rest.groupBy("cluster", "block").agg(F.collect_list(F.struct("cls", "items")).alias("x"))  # about BLOCK sets each
-    blocks = blocks.select("cluster", F.col("x.cls").alias("names"), F.col("x.items").alias("others"), lots)
-    links = rows.join(blocks, ["cluster", "lot"]).select("cls", "items", "names", "others").mapInArrow(compare, "node binary, root binary")
+    blocks = rest.select("cluster", "block").distinct().groupBy("cluster").agg(F.collect_list("block").alias("blocks"))
+    every = large.select("cluster", "cls", "items", lot).join(F.broadcast(blocks) if blocks.count() <= FEW else blocks, "cluster")
+    links = _compared(rest.select("cluster", "cls", "items", lots, "block"), every.select("cluster", "cls", "items", "lot", F.explode("blocks").alias("block")), percent)
     found = components(star.unionByName(links).select(F.col("node").alias("a"), F.col("root").alias("b")))
     return small.unionByName(found)
 
 
+def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
+    """node and root of linked pairs: each set of ``many`` against those of ``few`` in its cluster, lot and block.
+
+    Both sides meet by sorting, the few first, so that a task holds the few of one block and streams the many.
+    """
+    by = ["cluster", "lot", "block"]
+    schema = pa.schema([("node", pa.binary()), ("root", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, items, index = None, [], [], None
+        for batch in slices(batches, "items"):
+            out: dict[str, list] = {"node": [], "root": []}
+            for *key, side, cls, data in zip(*(batch.column(c).to_pylist() for c in (*by, "side", "cls", "items")), strict=True):
+                if key != now:
+                    now, names, items, index = key, [], [], None
+                if side == 0:
+                    names.append(cls)
+                    items.append(_as_set(data))
+                elif names:
+                    index = index or Shared(items)
+                    for i in np.flatnonzero(index.linked(_as_set(data), percent)).tolist():
+                        out["node"].append(cls)
+                        out["root"].append(names[i])
+            yield batch_of(schema, out)
+
+    both = few.withColumn("side", F.lit(0)).unionByName(many.withColumn("side", F.lit(1)))
+    return both.repartition(partitions(few.sparkSession), *by).sortWithinPartitions(*by, "side").mapInArrow(run, "node binary, root binary")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
