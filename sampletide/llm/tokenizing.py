@@ -90,7 +90,7 @@ class Encoder:
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
-        if self.keeps_space:  # a line feed between words has an id of its own and leaves theirs alone: one text, not many
+        if self.keeps_space and not any(map(str.isspace, words)):  # a line feed between words has an id of its own and leaves theirs alone: one text, not many
             flat = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
             feeds = np.flatnonzero(flat == self.feed)
             if len(feeds) == len(words) - 1:
