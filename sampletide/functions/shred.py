@@ -14,8 +14,7 @@ DEPTH = 6
 _NODE = "array<struct<path:array<string>,v:variant>>"
 
 
-def _kind(v: Column) -> Column:
-    name = F.schema_of_variant(v)
+def _kind(name: Column) -> Column:
     return (
         F.when(name.startswith("OBJECT"), "obj").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
         .when(name == "VOID", "null").when(name == "BIGINT", "int").when(name.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").otherwise("other")
@@ -35,20 +34,21 @@ def node_array(sample: str, depth: int = DEPTH) -> Column:
     return F.expr(f"concat({', '.join(levels)})")
 
 
-def _columns(keep: list[str]) -> list[Column]:
-    v = F.col("node.v")
-    kind = _kind(v)
+def _rows(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows with a column ``node`` as node rows. A node's type is found once, in a projection of its own."""
+    v, kind = F.col("_v"), F.col("kind")
     size = F.when(kind == "array", F.size(v.cast("array<variant>"))).when(kind == "obj", F.size(v.cast("map<string,variant>")))
-    return [
-        *map(F.col, keep), F.col("node.path").alias("path"), kind.alias("kind"),
-        F.when(kind.isin("int", "float"), F.try_variant_get(v, "$", "double")).alias("number"), F.when(kind == "string", F.try_variant_get(v, "$", "string")).alias("text"),
+    named = nodes.select(*keep, F.col("node.path").alias("path"), F.col("node.v").alias("_v"), F.schema_of_variant("node.v").alias("_name"))
+    classed = named.select(*keep, "path", "_v", _kind(F.col("_name")).alias("kind"))
+    return classed.select(
+        *keep, "path", "kind", F.when(kind.isin("int", "float"), F.try_variant_get(v, "$", "double")).alias("number"), F.when(kind == "string", F.try_variant_get(v, "$", "string")).alias("text"),
         F.when(kind == "boolean", F.try_variant_get(v, "$", "boolean")).alias("flag"), size.alias("size"),
-    ]
+    )
 
 
 def shred(df: DataFrame, keep: list[str], sample: str = "sample", depth: int = DEPTH) -> DataFrame:
     """A row per node: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes."""
-    return df.where(F.col(sample).isNotNull()).select(*keep, F.explode(node_array(sample, depth)).alias("node")).select(*_columns(keep))
+    return _rows(df.where(F.col(sample).isNotNull()).select(*keep, F.explode(node_array(sample, depth)).alias("node")), keep)
 
 
 def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sample", depth: int = DEPTH) -> DataFrame:
@@ -62,7 +62,7 @@ def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sam
     step = lambda s, n: F.when((s.spent >= 0) & (s.spent + cost(n) <= budget), F.struct((s.spent + cost(n)).alias("spent"), F.concat(s.nodes, F.array(n)).alias("nodes"))).otherwise(F.struct(F.lit(-1).alias("spent"), s.nodes.alias("nodes")))
     kept = df.where(F.col(sample).isNotNull()).withColumn("_walk", F.aggregate(nodes, start, step))
     rows = kept.select(*keep, (F.col("_walk.spent") < 0).alias("truncated"), F.explode("_walk.nodes").alias("node"))
-    return rows.select(*_columns([*keep, "truncated"]))
+    return _rows(rows, [*keep, "truncated"])
 
 
 def path_text(path: Column | str) -> Column:
