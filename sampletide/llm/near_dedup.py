@@ -69,6 +69,23 @@ def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return 100 * shared >= percent * (a + b - shared)
 
 
+class Joined:
+    """Which of some things are connected so far; a pair that tells nothing new needn't be sent."""
+
+    def __init__(self) -> None:
+        self.above: dict = {}
+
+    def root(self, x):
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def new(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.above[a] = b
+        return a != b
+
+
 class Shared:
     """Counts what one set shares with each of several."""
 
@@ -158,11 +175,11 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             keys, owner = keys[order], owner[order]
             cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(1 << 63) else keys[0] + 1))
             sizes = np.diff(cuts, append=len(keys))
-            keep, extra = np.ones(len(keys), bool), []
+            keep, extra, joined = np.ones(len(keys), bool), [], Joined()
             for at, size in zip(cuts[sizes > FORWARD].tolist(), sizes[sizes > FORWARD].tolist(), strict=True):
                 own = owner[at : at + size]
                 pairs = _forest(bits[own])
-                extra += [(own[i], own[j]) for i, j in pairs]
+                extra += [(i, j) for i, j in ((int(own[i]), int(own[j])) for i, j in pairs) if joined.new(i, j)]
                 keep[at : at + size] = False
                 lone = np.setdiff1d(np.arange(size), [j for _, j in pairs])  # one of each connected part, and others evenly
                 keep[at + np.union1d(lone, np.linspace(0, size - 1, FORWARD).astype(int))] = True
@@ -203,7 +220,8 @@ def _pairs(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if at:
         left, right = np.array(at).T
         names = table.column("cls").to_numpy()
-        pairs = {(min(x, y), max(x, y)) for x, y in zip(names[left].tolist(), names[right].tolist(), strict=True) if x != y}
+        joined = Joined()
+        pairs = {(min(x, y), max(x, y)) for x, y in zip(names[left].tolist(), names[right].tolist(), strict=True) if x != y and joined.new(x, y)}
         if pairs:
             yield batch_of(schema, dict(zip("ab", map(list, zip(*pairs, strict=True)), strict=True)))
 
@@ -261,12 +279,15 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     lots = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot")
     none = F.lit(0).cast("bigint").alias("block")
     first = large.groupBy("cluster").agg(F.min(F.struct("cls", "items")).alias("x")).select("cluster", "x.*")
-    star, _ = written(_compared(first.select("cluster", "cls", "items", lots, none), large.select("cluster", "cls", "items", lot, none), percent), "links")
+    none_yet = F.lit(False).alias("linked")
+    star, _ = written(_compared(first.select("cluster", "cls", "items", lots, none), large.select("cluster", "cls", "items", none_yet, lot, none), percent), "links")
     rest = large.join(star.select(F.col("node").alias("cls")), "cls", "left_anti").withColumn("block", F.floor(F.rand(7) * F.ceil(F.col("n") / BLOCK)))
     rest, _ = written(rest, "unlinked")
     blocks = rest.select("cluster", "block").distinct().groupBy("cluster").agg(F.collect_list("block").alias("blocks"))
+    stays = rest.select("cls", F.lit(False).alias("linked")).distinct()
     every = large.select("cluster", "cls", "items", lot).join(F.broadcast(blocks) if blocks.count() <= FEW else blocks, "cluster")
-    links = _compared(rest.select("cluster", "cls", "items", lots, "block"), every.select("cluster", "cls", "items", "lot", F.explode("blocks").alias("block")), percent)
+    every = every.join(stays, "cls", "left").withColumn("linked", F.col("linked").isNull())
+    links = _compared(rest.select("cluster", "cls", "items", lots, "block"), every.select("cluster", "cls", "items", "linked", "lot", F.explode("blocks").alias("block")), percent)
     found = components(star.unionByName(links).select(F.col("node").alias("a"), F.col("root").alias("b")))
     return small.unionByName(found)
 
@@ -274,29 +295,31 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
 def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
     """node and root of linked pairs: each set of ``many`` against those of ``few`` in its cluster, lot and block.
 
+    Of the pairs found those that connect nothing new are left out; all ``many`` that are ``linked`` are connected already.
     Both sides meet by sorting, the few first, so that a task holds the few of one block and streams the many.
     """
     by = ["cluster", "lot", "block"]
     schema = pa.schema([("node", pa.binary()), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, items, index = None, [], [], None
+        now, names, items, index, joined = None, [], [], None, Joined()
         for batch in slices(batches, "items"):
             out: dict[str, list] = {"node": [], "root": []}
-            for *key, side, cls, data in zip(*(batch.column(c).to_pylist() for c in (*by, "side", "cls", "items")), strict=True):
+            for *key, side, linked, cls, data in zip(*(batch.column(c).to_pylist() for c in (*by, "side", "linked", "cls", "items")), strict=True):
                 if key != now:
-                    now, names, items, index = key, [], [], None
+                    now, names, items, index, joined = key, [], [], None, Joined()
                 if side == 0:
                     names.append(cls)
                     items.append(_as_set(data))
                 elif names:
                     index = index or Shared(items)
                     for i in np.flatnonzero(index.linked(_as_set(data), percent)).tolist():
-                        out["node"].append(cls)
-                        out["root"].append(names[i])
+                        if names[i] == cls or joined.new("" if linked else cls, names[i]):
+                            out["node"].append(cls)
+                            out["root"].append(names[i])
             yield batch_of(schema, out)
 
-    both = few.withColumn("side", F.lit(0)).unionByName(many.withColumn("side", F.lit(1)))
+    both = few.withColumn("side", F.lit(0)).withColumn("linked", F.lit(False)).unionByName(many.withColumn("side", F.lit(1)))
     return both.repartition(partitions(few.sparkSession), *by).sortWithinPartitions(*by, "side").mapInArrow(run, "node binary, root binary")
 
 
