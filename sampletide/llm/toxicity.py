@@ -50,19 +50,23 @@ def lexicon(sample: DataFrame, positives: int, rows: int, size: int = LEXICON) -
     return [r.word for r in top.collect()]
 
 
-def votes(lexicon_words: list[str]) -> Column:
-    """An array of 0 and 1 (abstain, toxic): a voter a word, the patterns, and two counts of lexicon words."""
+def voted(df: DataFrame, lexicon_words: list[str]) -> DataFrame:
+    """With votes, an array of 0 and 1 (abstain, toxic): a voter a word, the patterns, and two counts of lexicon words.
+
+    The lexicon words of a text are found once, in a projection of their own, and the voters look at those few.
+    """
     hits = F.array_intersect("words", F.array(*map(F.lit, lexicon_words))) if lexicon_words else F.array().cast("array<string>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    styles = F.array(*(text.rlike(p).cast("int") for p in PATTERNS.values()))
-    return F.concat(F.transform(F.array(*map(F.lit, lexicon_words)), lambda w: F.array_contains(hits, w).cast("int")), styles, F.array((F.size(hits) >= 2).cast("int"), (F.size(hits) >= 4).cast("int")))
+    styles = [text.rlike(p).cast("int") for p in PATTERNS.values()]
+    said = [F.array_contains("hits", w).cast("int") for w in lexicon_words]
+    return df.withColumn("hits", hits).withColumn("votes", F.array(*said, *styles, (F.size("hits") >= 2).cast("int"), (F.size("hits") >= 4).cast("int"))).drop("hits")
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior P(toxic) of each vote pattern; per voter P(vote | toxic), P(vote | clean); and voters' correlations.
 
-    ``patterns``: distinct vote rows, ``counts``: how often each stands. EM with class balance ``prior``. The log
-    ratio of a voter is divided by 1 plus its correlations, within classes, with the other voters.
+    ``patterns``: distinct vote rows, ``counts``: how often each stands. EM with class balance ``prior``. A voter's
+    log ratio is divided by 1 plus its correlations, within classes, with the others that vote as it does on the row.
     """
     v, n = patterns.astype(float), counts.astype(float)
     m = v.shape[1]
@@ -72,9 +76,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds:
     shared = np.zeros((m, m))
     post = np.full(len(v), prior)
     for step in range(rounds):
-        weight = 1 / (1 + shared.sum(1))
-        on, off = weight * np.log(hot / cold), weight * np.log((1 - hot) / (1 - cold))
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + v @ on + (1 - v) @ off, -30, 30)))
+        on, off = np.log(hot / cold), np.log((1 - hot) / (1 - cold))
+        evidence = (v * on / (1 + v @ shared)).sum(1) + ((1 - v) * off / (1 + (1 - v) @ shared)).sum(1)
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
         a, b = n * post, n * (1 - post)
         hot, cold = (a @ v + 0.5) / (a.sum() + 1), (b @ v + 0.05) / (b.sum() + 1)
         hot, cold = np.clip(hot, 1e-4, 1 - 1e-4), np.clip(cold, 1e-6, 1 - 1e-4)
@@ -102,13 +106,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         value = F.lit(float(positives or 0) / rows if rows else 0.0)
         return out.select("doc_id", "held_out", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
     sample = sample.withColumn("words", words(F.col("text")))
-    voters = votes(lexicon(sample, positives, rows))
-    sample, _ = written(sample.select("words", voters.alias("votes")), "votes")
+    found = lexicon(sample, positives, rows)
+    sample, _ = written(voted(sample, found).select("words", "votes"), "votes")
     seen = sample.groupBy("votes").count().orderBy("votes").collect()  # FIT_ROWS rows at most
     patterns = np.array([r.votes for r in seen])
     posterior, _, _ = label_model(patterns, np.array([r["count"] for r in seen]), positives / rows)
-    found = sample.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(seen, posterior, strict=True)], "votes array<int>, posterior double")
-    soft = sample.join(F.broadcast(found), "votes")
+    soft = sample.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(seen, posterior, strict=True)], "votes array<int>, posterior double")
+    soft = sample.join(F.broadcast(soft), "votes")
     soft = soft.withColumn("class", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))))
     soft = soft.select("words", "votes", "class.*").where("weight > 1e-4")
 
@@ -117,7 +121,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = lambda df: joined.transform(counted.transform(df.withColumn("voted", array_to_vector(F.col("votes").cast("array<double>")))))
     fit = LogisticRegression(weightCol="weight", regParam=0.0005, elasticNetParam=1.0, maxIter=25, standardization=True, probabilityCol="p")
     model = fit.fit(features(soft).select("features", "label", "weight"))
-    scored = model.transform(features(out.withColumn("votes", voters)))
+    scored = model.transform(features(voted(out, found)))
     scored = scored.withColumn("score", vector_to_array("p")[1])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
