@@ -21,17 +21,19 @@ def _kind(name: Column) -> Column:
     )
 
 
-def node_array(sample: str, depth: int = DEPTH) -> Column:
-    """All nodes of a VARIANT column as an array of (path, v)."""
-    level = f"array(struct(cast(array() as array<string>) as path, {sample} as v))"
-    levels = [level]
+def _with_nodes(df: DataFrame, keep: list[str], sample: str, depth: int) -> DataFrame:
+    """``keep`` and _nodes: all nodes of a VARIANT column as an array of (path, v).
+
+    Each level is a column that the next one reads, so no level is computed twice.
+    """
+    out = df.where(F.col(sample).isNotNull()).select(*keep, F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col(sample).alias("v"))).alias("_l0"))
     for k in range(depth):
         n = f"n{k}"
         fields = f"transform(map_entries(cast({n}.v as map<string,variant>)), e -> struct(concat({n}.path, array('.' || e.key)) as path, e.value as v))"
         items = f"transform(cast({n}.v as array<variant>), x -> struct(concat({n}.path, array('*')) as path, x as v))"
-        level = f"flatten(transform({level}, {n} -> case when schema_of_variant({n}.v) like 'OBJECT%' then {fields} when schema_of_variant({n}.v) like 'ARRAY%' then {items} else cast(array() as {_NODE}) end))"
-        levels.append(level)
-    return F.expr(f"concat({', '.join(levels)})")
+        below = f"flatten(transform(_l{k}, {n} -> case when schema_of_variant({n}.v) like 'OBJECT%' then {fields} when schema_of_variant({n}.v) like 'ARRAY%' then {items} else cast(array() as {_NODE}) end))"
+        out = out.withColumn(f"_l{k + 1}", F.expr(below))
+    return out.select(*keep, F.concat(*[f"_l{k}" for k in range(depth + 1)]).alias("_nodes"))
 
 
 def _rows(nodes: DataFrame, keep: list[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def _rows(nodes: DataFrame, keep: list[str]) -> DataFrame:
 
 def shred(df: DataFrame, keep: list[str], sample: str = "sample", depth: int = DEPTH) -> DataFrame:
     """A row per node: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes."""
-    return _rows(df.where(F.col(sample).isNotNull()).select(*keep, F.explode(node_array(sample, depth)).alias("node")), keep)
+    return _rows(_with_nodes(df, keep, sample, depth).select(*keep, F.explode("_nodes").alias("node")), keep)
 
 
 def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sample", depth: int = DEPTH) -> DataFrame:
@@ -56,11 +58,11 @@ def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sam
 
     The first node beyond the budget ends the sample; truncated tells, on every node row, that nodes are missing.
     """
-    nodes = F.array_sort(node_array(sample, depth), lambda a, b: F.when(a.path < b.path, -1).when(a.path > b.path, 1).otherwise(0))
+    nodes = F.array_sort("_nodes", lambda a, b: F.when(a.path < b.path, -1).when(a.path > b.path, 1).otherwise(0))
     cost = lambda n: F.when((F.size(n.path) == 0) | (F.schema_of_variant(n.v) == "VOID"), 1).otherwise(2)
     start = F.struct(F.lit(0).alias("spent"), F.expr(f"cast(array() as {_NODE})").alias("nodes"))
     step = lambda s, n: F.when((s.spent >= 0) & (s.spent + cost(n) <= budget), F.struct((s.spent + cost(n)).alias("spent"), F.concat(s.nodes, F.array(n)).alias("nodes"))).otherwise(F.struct(F.lit(-1).alias("spent"), s.nodes.alias("nodes")))
-    kept = df.where(F.col(sample).isNotNull()).withColumn("_walk", F.aggregate(nodes, start, step))
+    kept = _with_nodes(df, keep, sample, depth).withColumn("_walk", F.aggregate(nodes, start, step))
     rows = kept.select(*keep, (F.col("_walk.spent") < 0).alias("truncated"), F.explode("_walk.nodes").alias("node"))
     return _rows(rows, [*keep, "truncated"])
 
