@@ -32,6 +32,8 @@ PATTERNS = {
     "masked": r"\p{L}[*@#$]{2,}\p{L}",
     "hateful": r"(?i)\b(?:hate|kill|destroy|get rid of) (?:you|them|all)\b",
 }
+#: A text without any of these words can't match the pattern, which is then not tried.
+NEEDED = {"aimed": ["idiot", "idiots", "loser", "losers", "trash", "trashs", "scum", "scums"], "hateful": ["hate", "kill", "destroy", "get"]}
 
 
 def words(text: Column) -> Column:
@@ -57,7 +59,8 @@ def voted(df: DataFrame, lexicon_words: list[str]) -> DataFrame:
     """
     hits = F.array_intersect("words", F.array(*map(F.lit, lexicon_words))) if lexicon_words else F.array().cast("array<string>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    styles = [text.rlike(p).cast("int") for p in PATTERNS.values()]
+    could = {k: F.arrays_overlap("words", F.array(*map(F.lit, w))) for k, w in NEEDED.items()}
+    styles = [F.when(could.get(k, F.lit(True)), text.rlike(p)).otherwise(False).cast("int") for k, p in PATTERNS.items()]
     said = [F.array_contains("hits", w).cast("int") for w in lexicon_words]
     return df.withColumn("hits", hits).withColumn("votes", F.array(*said, *styles, (F.size("hits") >= 2).cast("int"), (F.size("hits") >= 4).cast("int"))).drop("hits")
 
