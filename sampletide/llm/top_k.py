@@ -44,7 +44,8 @@ class CoverTree:
         self.nodes.append((centre, radius, begin, end, []))
         if end - begin > LEAF and radius > 0:
             centres, near, part = [centre], far, np.zeros(len(own), np.int64)
-            while len(centres) < CHILDREN and near.max() > radius / 2:  # the next centre is the point farthest from all
+            most = min(CHILDREN, -(-len(own) // LEAF))  # so that leaves stay about full
+            while len(centres) < most and near.max() > radius / 2:  # the next centre is the point farthest from all
                 centres.append(int(own[near.argmax()]))
                 other = np.sqrt(((self.x[own] - self.x[centres[-1]]) ** 2).sum(1))
                 part = np.where(other < near, len(centres) - 1, part)
