@@ -8,8 +8,9 @@ are gathered into clusters. Within a cluster every pair is decided on the full s
 are connected through it, all others are compared with every member.
 
 Equal sets are one class throughout, so copies are never paired. A bucket's large groups are thinned where they
-are made, and large clusters are compared in blocks, so neither gathers a group in one task. Rows of one
-doc_id and text share their fate; null ids take no part in choosing a component's id. Other columns are ignored.
+are made, and large clusters are compared in blocks, so neither gathers a group in one task. Null ids are linked as others,
+but take no part in choosing a component's id. ``near_duplicates`` tells by doc_id, so rows of one doc_id and text share
+their fate there; ``without_near_duplicates`` leaves one row of each component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,16 +121,16 @@ def groups_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (16 bytes that name the set), bands and bits of every row; empty sets have none of these."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.int64())])
+    """doc_id, key, tie (the text's hash), n_shingles, cls (16 bytes that name the set), bands and bits of every row; empty sets have no cls, bands and bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(words_of(batch.column("text"), lower=True), k)
             got = [bands_of(sketch(x)) if len(x) else (None, None) for x in sets]
-            yield batch_of(schema, {"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in sets], "cls": [name_of(x) for x in sets], "bands": [x for x, _ in got], "bits": [x for _, x in got]})
+            yield batch_of(schema, {**{c: batch.column(c) for c in ("doc_id", "key", "tie")}, "n_shingles": [len(x) for x in sets], "cls": [name_of(x) for x in sets], "bands": [x for x, _ in got], "bits": [x for _, x in got]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, bits long")
+    return docs.select("doc_id", "key", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, key long, tie long, n_shingles long, cls binary, bands array<long>, bits long")
 
 
 def name_of(items: np.ndarray) -> bytes | None:
@@ -231,19 +232,19 @@ def _as_set(data: bytes) -> np.ndarray:
 
 
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The columns of ``members`` (doc_id, cls, cluster, n) with the class's full set, from the document that stands for it."""
+    """The columns of ``members`` (key, cls, cluster, n) with the class's full set, from the row that stands for it."""
     schema = pa.schema([("cluster", pa.binary()), ("cls", pa.binary()), ("n", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(words_of(batch.column("text"), lower=True), k)
             names = batch.column("cls").to_pylist()
-            right = [i for i, x in enumerate(sets) if name_of(x) == names[i]]  # an id may stand for several texts
+            right = [i for i, x in enumerate(sets) if name_of(x) == names[i]]  # keys that are hashes may stand for several texts
             if right:
                 part = batch.take(pa.array(right))
                 yield batch_of(schema, {**{c: part.column(c) for c in ("cluster", "cls", "n")}, "items": [sets[i].tobytes() for i in right]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id")
+    rows = docs.select("key", "text").join(members, "key")
     return rows.select("text", "cluster", "cls", "n").mapInArrow(run, "cluster binary, cls binary, n long, items binary")
 
 
@@ -323,24 +324,48 @@ def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
     return both.repartition(partitions(few.sparkSession), *by).sortWithinPartitions(*by, "side").mapInArrow(run, "node binary, root binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row. Links: 100 * intersection >= percent * union."""
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of ``docs`` (doc_id, key, text), and cls, root (a class that names the component) and first of every class.
+
+    first is the component's first row: none (its id is null), doc_id, tie, key; in this order the least.
+    """
     spark = docs.sparkSession
     seen, _ = written(profiles(docs, k), "profiles")
     some = F.any_value
-    classes = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), some("n_shingles").alias("n_shingles"), some("bands").alias("bands"), some("bits").alias("bits"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "key")).alias("first")
+    classes = seen.where("n_shingles > 0").groupBy("cls").agg(first, some("n_shingles").alias("n_shingles"), some("bands").alias("bands"), some("bits").alias("bits"))
     classes, at_classes = written(classes, "classes")
     edges, at_edges = written(candidate_edges(classes), "candidates")
     clusters, at_clusters = written(components(edges), "clusters")
-    members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "doc_id", "n_shingles"), "cls").where("doc_id is not null")
+    members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "first.key", "n_shingles"), "cls")
     sizes = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / UNIT)).alias("n"))
-    members = members.join(sizes, "cluster").select("cls", "doc_id", "cluster", "n")
+    members = members.join(sizes, "cluster").select("cls", "key", "cluster", "n")
     sets, at_sets = written(member_sets(docs, members, k), "sets")
     groups, at_groups = written(verified(sets, percent), "groups")
-    owner = classes.select("cls", "doc_id").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = owner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named, _ = written(owner.join(least, "root").select("cls", "component_id"), "components")
+    owner = classes.select("cls", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = owner.groupBy("root").agg(F.min("first").alias("first"))
+    named, _ = written(owner.select("cls", "root").join(least, "root"), "components")
     removed(spark, at_classes, at_edges, at_clusters, at_sets, at_groups)
-    out = seen.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    return seen, named
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row. Links: 100 * intersection >= percent * union."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    seen, named = _components(rows, k, percent)
+    out = seen.select("doc_id", "n_shingles", "cls").join(named.select("cls", F.col("first.doc_id").alias("component_id")), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, whatever ids repeat or are null: that of least doc_id (nulls last), then of least text hash, then any.
+
+    Rows without words are linked with nothing and stay. Rows are told apart by keys of a written copy.
+    """
+    keyed, _ = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "keyed")
+    rows = keyed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "key", F.col("row.text").cast("string").alias("text"))
+    seen, named = _components(rows, k, percent)
+    stays = named.select("first.key").distinct()
+    gone, _ = written(seen.where("cls is not null").select("key").join(stays, "key", "left_anti"), "duplicates")
+    return keyed.join(gone, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -56,6 +57,24 @@ def test_large_clusters_are_compared_in_blocks(docs, monkeypatch):
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(docs, 2).collect()) == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda tag: " ".join(f"{tag}{w}" for w in words)
+    near = lambda tag: text(tag) + " more"
+    rows = [
+        (1, text("repeated"), "a"), (1, text("repeated"), "b"), (2, text("nullcopy"), "c"), (None, text("nullcopy"), "d"), (None, near("nullcopy"), "e"),
+        (None, text("onlynull"), "f"), (None, text("onlynull"), "g"), (None, near("onlynull"), "h"), (5, text("first"), "i"), (6, near("first"), "j"), (6, text("clean"), "k"), (7, "", "l"), (7, None, "m"),
+    ]
+    given = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    out = corpus_pipeline.near_dedup(spark, given, "")
+    assert out.columns == given.columns
+    want = Counter({(1, "repeated"): 1, (2, "nullcopy"): 1, (None, "onlynull"): 1, (5, "first"): 1, (6, "clean"): 1, (7, ""): 2})
+    name = lambda t: (t or "").split("w0")[0]
+    assert Counter((r.doc_id, name(r.text)) for r in out.collect()) == want
+    assert Counter((r.doc_id, name(r.text)) for r in corpus_pipeline.substring_dedup(spark, out, "").collect()) == want
+    assert corpus_pipeline.near_dedup(spark, given.where("false"), "").count() == 0
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 200, 5000):
