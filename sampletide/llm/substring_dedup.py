@@ -69,7 +69,12 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             multi = np.zeros(len(own), bool)
             multi[order[:-1]] = again[order[1:]]
             # the first of equal spans goes to the shuffle by anchor for all of them; the others are known to be sure
-            yield batch_of(schema, {"anchor": np.where(again, row_id, key), "span": span, "row_id": row_id, "place": place + np.where(again, SURE, np.where(multi, WITNESS, 0))})
+            # row_ids repeat where rows do: the first of equal rows speaks for the others of its slice
+            copy = np.ones(batch.num_rows, bool)
+            copy[np.unique(batch.column("row_id").to_numpy(), return_index=True)[1]] = False
+            sent = ~(again & copy[doc])
+            columns = {"anchor": np.where(again, row_id, key), "span": span, "row_id": row_id, "place": place + np.where(again, SURE, np.where(multi, WITNESS, 0))}
+            yield batch_of(schema, {c: x[sent] for c, x in columns.items()})
 
     rows = docs.select("row_id", "text").mapInArrow(run, "anchor long, span long, row_id long, place long")
     found = pa.schema([("row_id", pa.int64()), ("place", pa.int64())])
@@ -125,14 +130,18 @@ def _statuses(words: Words, places: list, window: int) -> tuple[np.ndarray, np.n
     for d, own in enumerate(places):
         if own is not None and len(own):
             own = np.asarray(own, np.int64)
-            status[words.first[d] + own // 4] = own % 4
+            np.maximum.at(status, words.first[d] + own // 4, (own % 4).astype(np.int8))  # a place may be sure for one of equal rows and a witness for another
     return np.where(whole, status[at], 0), whole
 
 
+def places(docs: DataFrame, window: int) -> DataFrame:
+    """row_id and places. Equal rows share a row_id, so places are gathered as a set: it has no more than three statuses of each of one text's spans."""
+    return anchor_rows(docs, window).groupBy("row_id").agg(F.collect_set("place").alias("places"))
+
+
 def marked(docs: DataFrame, keep: tuple[str, ...], window: int) -> DataFrame:
     """Every row of ``docs`` (``keep``, row_id, text) with starts: the statuses of its windows as a run-length list, null if all are 0."""
-    found = anchor_rows(docs, window).groupBy("row_id").agg(F.collect_list("place").alias("places"))  # one document's
-    given = docs.join(found, "row_id", "left").select("row_id", "text", *keep, "places")
+    given = docs.join(places(docs, window), "row_id", "left").select("row_id", "text", *keep, "places")
     schema = T.StructType([f for f in given.schema if f.name != "places"] + [T.StructField("starts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +166,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def unequal(rows: DataFrame, window: int) -> DataFrame:
-    """row_id and alone: the starts of open windows that occur nowhere else, from ``marked`` rows."""
+    """row_id and alone: the starts of open windows that occur nowhere else, from ``marked`` rows.
+
+    Windows of equal rows equal each other and are never alone, so a list holds one text's windows.
+    """
     schema = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("row_id", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

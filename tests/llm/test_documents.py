@@ -118,6 +118,19 @@ def test_substring_removal_keeps_the_other_columns(docs):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == texts
 
 
+def test_equal_rows_do_not_gather_their_spans(spark):
+    words = [f"w{i}" for i in range(200)]
+    part = " ".join(["other", *words[50:95], "end", *(f"x{i}" for i in range(40))])
+    rows = [(i, t) for i, t in [(1, " ".join(words)), (None, " ".join(words[100:]))] for _ in range(300)] + [(2, part), (3, " ".join(f"y{i}" for i in range(80)))]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = substring_dedup._rows(given, ("doc_id",))
+    assert substring_dedup.anchor_rows(ids, 35).count() < 4 * 300
+    assert substring_dedup.places(ids, 35).selectExpr("max(size(places))").first()[0] <= 2 * (200 - 34)
+    want = Counter((i, len(w), sum(cover)) for (i, _), (w, cover) in zip(rows, gone_words(rows, 35), strict=True))
+    assert Counter(tuple(r)[:3] for r in substring_dedup.removal(given).collect()) == want
+    assert want[2, 87, 45] == 1 and want[1, 200, 200] == 300
+
+
 def test_contained_items(spark, docs, texts, empty):
     items = [(1, " ".join(texts[64].split()[3000:3030])), (2, "nothing like it anywhere in here at all"), (3, None), (4, "word"), (5, " ".join(texts[64].split()[:9])), (6, texts[45])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
