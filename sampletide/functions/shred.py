@@ -2,14 +2,17 @@
 
 A path is an array of parts: "." and the key for a field, "*" for the elements of an array, [] for the sample
 itself. One projection unrolls ``depth`` levels with higher-order functions and one explode makes the rows; nothing is
-shuffled. Containers deeper than ``depth`` are counted but not entered.
+shuffled. Samples that are deeper are walked on, level by level, within the same projection until no container is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Levels that are unrolled; deeper ones are walked by a loop within the row.
 DEPTH = 6
 _NODE = "array<struct<path:array<string>,v:variant>>"
 
@@ -21,6 +24,23 @@ def _kind(name: Column) -> Column:
     )
 
 
+def walked(start: str, below: Callable[[str], str], most: str) -> str:
+    """SQL of the nodes ``start`` and all below them. ``below`` turns nodes into those one level down; there are at most ``most`` levels."""
+    step = f"case when size(s.last) = 0 then s else named_struct('seen', concat(s.seen, s.last), 'last', {below('s.last')}) end"
+    return f"aggregate(sequence(0, {most}), named_struct('seen', cast(array() as {_NODE}), 'last', {start}), (s, i) -> {step}, s -> concat(s.seen, s.last))"
+
+
+def brackets(text: str) -> str:
+    """SQL of the number of brackets that open in a JSON text, which its depth can't exceed."""
+    return rf"regexp_count({text}, '[\\[{{]')"
+
+
+def _below(nodes: str, n: str) -> str:
+    fields = f"transform(map_entries(cast({n}.v as map<string,variant>)), e -> struct(concat({n}.path, array('.' || e.key)) as path, e.value as v))"
+    items = f"transform(cast({n}.v as array<variant>), x -> struct(concat({n}.path, array('*')) as path, x as v))"
+    return f"flatten(transform({nodes}, {n} -> case when schema_of_variant({n}.v) like 'OBJECT%' then {fields} when schema_of_variant({n}.v) like 'ARRAY%' then {items} else cast(array() as {_NODE}) end))"
+
+
 def _with_nodes(df: DataFrame, keep: list[str], sample: str, depth: int) -> DataFrame:
     """``keep`` and _nodes: all nodes of a VARIANT column as an array of (path, v).
 
@@ -28,12 +48,11 @@ def _with_nodes(df: DataFrame, keep: list[str], sample: str, depth: int) -> Data
     """
     out = df.where(F.col(sample).isNotNull()).select(*keep, F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col(sample).alias("v"))).alias("_l0"))
     for k in range(depth):
-        n = f"n{k}"
-        fields = f"transform(map_entries(cast({n}.v as map<string,variant>)), e -> struct(concat({n}.path, array('.' || e.key)) as path, e.value as v))"
-        items = f"transform(cast({n}.v as array<variant>), x -> struct(concat({n}.path, array('*')) as path, x as v))"
-        below = f"flatten(transform(_l{k}, {n} -> case when schema_of_variant({n}.v) like 'OBJECT%' then {fields} when schema_of_variant({n}.v) like 'ARRAY%' then {items} else cast(array() as {_NODE}) end))"
-        out = out.withColumn(f"_l{k + 1}", F.expr(below))
-    return out.select(*keep, F.concat(*[f"_l{k}" for k in range(depth + 1)]).alias("_nodes"))
+        out = out.withColumn(f"_l{k + 1}", F.expr(_below(f"_l{k}", f"n{k}")))
+    last = f"_l{depth}"
+    deeper = walked(last, lambda nodes: _below(nodes, "n"), f"array_max(transform({last}, n -> {brackets('to_json(n.v)')}))")
+    rest = F.expr(f"case when exists({last}, n -> schema_of_variant(n.v) like 'OBJECT%' or schema_of_variant(n.v) like 'ARRAY%') then {deeper} else {last} end")
+    return out.select(*keep, F.concat(*[f"_l{k}" for k in range(depth)], rest).alias("_nodes"))
 
 
 def _rows(nodes: DataFrame, keep: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sampletide.functions.shred import brackets, walked
+
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Class, then (name, expression, sum or gauge). "any" stands for every class.
 METRICS = {
@@ -72,18 +74,14 @@ def validated(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0)
 
 
-def digests_from_body(records: DataFrame, keep: list[str], depth: int = 6) -> DataFrame:
+def digests_from_body(records: DataFrame, keep: list[str]) -> DataFrame:
     """``value_digest`` rows (without length or value sketches) read back from JSON bodies of value-digest records."""
     node = "array<struct<path:array<string>,v:variant>>"
-    level = "array(struct(cast(array() as array<string>) as path, parse_json(concat('{\"total\":\"0\",\"null\":\"0\",\"obj\":', body, '}')) as v))"
-    levels = [level]
-    for k in range(depth):
-        n = f"n{k}"
-        fields = f"transform(map_entries(coalesce(try_variant_get({n}.v, '$.obj.fields', 'map<string,variant>'), cast(map() as map<string,variant>))), e -> struct(concat({n}.path, array('.' || e.key)) as path, e.value as v))"
-        values = f"if(try_variant_get({n}.v, '$.array.values', 'variant') is null, cast(array() as {node}), array(struct(concat({n}.path, array('*')) as path, variant_get({n}.v, '$.array.values', 'variant') as v)))"
-        level = f"flatten(transform({level}, {n} -> concat({fields}, {values})))"
-        levels.append(level)
-    rows = records.where("sample_type = 'value-digest'").select(*keep, F.explode(F.expr(f"concat({', '.join(levels)})")).alias("n"))
+    root = "array(struct(cast(array() as array<string>) as path, parse_json(concat('{\"total\":\"0\",\"null\":\"0\",\"obj\":', body, '}')) as v))"
+    fields = "transform(map_entries(coalesce(try_variant_get(n.v, '$.obj.fields', 'map<string,variant>'), cast(map() as map<string,variant>))), e -> struct(concat(n.path, array('.' || e.key)) as path, e.value as v))"
+    values = f"if(try_variant_get(n.v, '$.array.values', 'variant') is null, cast(array() as {node}), array(struct(concat(n.path, array('*')) as path, variant_get(n.v, '$.array.values', 'variant') as v)))"
+    nodes = walked(root, lambda above: f"flatten(transform({above}, n -> concat({fields}, {values})))", f"coalesce({brackets('body')}, 0) + 1")
+    rows = records.where("sample_type = 'value-digest'").select(*keep, F.explode(F.expr(nodes)).alias("n"))
     get = lambda path, kind="bigint": F.try_variant_get(F.col("n.v"), f"$.{path}", kind)
     path = F.col("n.path")
     # the root's totals are those of its object

@@ -44,6 +44,31 @@ def test_struct_digest_arrays_mixed_and_null(spark):
     assert {r.p: r.n_classes for r in mixed.collect()} == {".a": 2, ".a*": 2}
 
 
+def test_samples_are_walked_to_the_end(spark):
+    deep, path = "leaf", []
+    for i in range(30):
+        deep = [deep, None] if i % 3 == 0 else {f"k{i}": deep, "n[{": i}
+        path.insert(0, "*" if i % 3 == 0 else f".k{i}")
+    df = samples(spark, {"a": deep}, {"a": {"b": [1]}}, {"a": {"x": {"x": {"x": {"x": {"x": {}}}}}}})
+    nodes = shred(df, ["g"]).collect()
+
+    def walk(v, at=()):
+        yield at
+        for part, x in ([("." + k, x) for k, x in v.items()] if isinstance(v, dict) else [("*", x) for x in v] if isinstance(v, list) else []):
+            yield from walk(x, (*at, part))
+
+    want = Counter(p for b in ({"a": deep}, {"a": {"b": [1]}}, {"a": {"x": {"x": {"x": {"x": {"x": {}}}}}}}) for p in walk(b))
+    assert Counter(tuple(r.path) for r in nodes) == want
+    assert {r.text for r in nodes if tuple(r.path) == (".a", *path)} == {"leaf", None} - ({None} if path[-1] != "*" else set())
+    assert len(shred_within(df, ["id"], 1000).collect()) == len(nodes)
+    digest = vd.value_digest(shred(df, ["g"]), ["g"], False)
+    bodies = vd.value_json(digest, ["g"]).withColumn("sample_type", F.lit("value-digest"))
+    columns = ["path", "total", "nulls", "strings", "objs", "arrays", "numbers"]
+    back = Counter((tuple(r.path), *r[1:]) for r in m.digests_from_body(bodies, []).select(columns).collect())
+    given = Counter((tuple(r.path), *r[1:]) for r in digest.select(columns).collect())
+    assert {x[0] for x in back} == {x[0] for x in given} and sum((back - given).values()) <= 1
+
+
 def test_typed_numbers_keep_their_class(spark):
     df = spark.createDataFrame([(1, 1.5)], "i int, f double").select(F.lit("g").alias("g"), F.to_variant_object(F.struct("i", "f")).alias("sample"))
     rows = {r.p: r for r in st.struct_digest(shred(df, ["g"]), ["g"]).withColumn("p", path_text("path")).collect()}
