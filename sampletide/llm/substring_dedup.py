@@ -7,8 +7,8 @@ A window is ``window`` consecutive words of one document; it is repeated if its
    whose anchor recurs with other words around it stay open; all others are settled as not repeated.
 2. Windows. The windows of open spans, and those of one span of each confirmed kind as witnesses, are shuffled
    by hash; those that meet no equal are not repeated.
-3. Automata. The confirmed passages of a shard of documents are compiled to an Aho-Corasick automaton over words,
-   and the shard's documents are streamed through it to find every occurrence.
+3. Cover. The shuffles have located every occurrence. An Aho-Corasick automaton of the flagged passages of a 1 MB slice, over
+   ids of word hashes, tells which of the slice's words they cover; it looks for no passage of other slices.
 
 Equal rows of one map slice are merged before each shuffle, so a passage in a third of all documents sends a row a
 slice. Hashes hold 64 bits, for windows 96. Null texts have no words; repeated rows repeat each other's windows.
