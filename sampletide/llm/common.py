@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Lots that the rows of a heavy key are dealt to.
+HEAVY = 64
 #: Bytes of text that a Python task turns into arrays at once; a longer text stands alone.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that driver and executors share (``spark.checkpoint.dir``).
+#: Intermediate tables of this driver that are still there.
+_tables: list[str] = []
+
 
-    Only where that setting is absent, as in tests on one machine, a local folder takes its place.
-    """
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that driver and executors share (``spark.checkpoint.dir``, which must be set)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sampletide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,6 +33,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -40,6 +43,14 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _tables:
+            _tables.remove(path)
+
+
+def only(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete every intermediate table but those that ``docs`` reads: for a caller that has written all earlier results."""
+    used = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()] if _tables else []
+    removed(spark, *[p for p in list(_tables) if not any(f.startswith(p.split(":", 1)[-1].lstrip("/")) for f in used)])
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -67,5 +78,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         yield batch.slice(begin)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of at least ``rows`` rows (the last one of what is left)."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def heavy_lots(keys: DataFrame) -> DataFrame:
+    """``keys`` (a row a heavy key) once for each of the ``HEAVY`` lots of that key's rows."""
+    return keys.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(HEAVY - 1))))
+
+
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in schema)], schema=schema)

@@ -3,14 +3,16 @@
 A document is the set of its distinct k-word shingles (fewer words: the whole sequence; none: empty, linked with
 nothing). Its sketch has ``COORDS`` coordinates: in round i each shingle falls into a hashed bin (from round COORDS on,
 into bin i - COORDS), a bin keeps its first round's least hash, and rounds go on until every bin is filled. Bands of
-``ROWS`` coordinates name buckets; documents of a bucket whose further bits agree are candidates, and candidates
-are gathered into clusters. Within a cluster every pair is decided on the full sets: those linked to the first member
-are connected through it, all others are compared with every member.
-
-Equal sets are one class throughout, so copies are never paired. A bucket's large groups are thinned where they
-are made, and large clusters are compared in blocks, so neither gathers a group in one task. Null ids are linked as others,
-but take no part in choosing a component's id. ``near_duplicates`` tells by doc_id, so rows of one doc_id and text share
-their fate there; ``without_near_duplicates`` leaves one row of each component. Other columns are ignored.
+``ROWS`` coordinates name buckets; documents of a bucket whose ``BITS`` further bits nearly agree are candidates, and
+candidates are gathered into clusters. Within a cluster every pair is decided on the full sets: those linked to the
+centres are connected through them, all others are compared with every member.
+
+Equal sets are one class throughout, so copies are never paired. Before the shuffle, a slice's larger buckets are reduced
+to leaders that carry the radius of those they stand for; leaders are joined wherever two they stand for might be near,
+so that no near pair of a bucket is lost: clusters may only grow, which costs comparisons but alters no result. A pair of
+similarity 0.8 is missed by all bands with probability 3e-6, and its bits are too far apart with 2e-10. Null ids are linked
+as others, but take no part in choosing a component's id. ``near_duplicates`` tells by doc_id, so rows of one doc_id and
+text share their fate there; ``without_near_duplicates`` leaves one row of each component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampletide.llm.common import batch_of, partitions, removed, slices, written
+from sampletide.llm.common import HEAVY, batch_of, gathered, heavy_lots, partitions, removed, slices, written
 from sampletide.llm.components import components
 from sampletide.llm.wordhash import mixed, shingle_sets, words_of
 
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
-#: Candidates differ in at most so many of 64 further bits (0.9 of them agree at similarity 0.8).
-FAR_BITS = 22
-#: Members of a local bucket that go on to the shuffle; weight of a cluster that one task decides, and of a block; lots that share
-#: a large cluster. The weight is the number of members, or of their shingles in units of UNIT if that is more.
-FORWARD, MOST, BLOCK, LOTS, UNIT = 16, 1000, 250, 16, 1000
+#: Further bits, and in how many of them candidates may differ (0.9 of them agree at similarity 0.8).
+BITS, FAR_BITS = 128, 40
+#: Local buckets of more members are reduced to leaders; how far a leader's own members may be from it; rows of a slice; sweeps of one
+#: bucket after which the rest of it is joined without a comparison.
+FEW, OWN_BITS, SLICE_ROWS, SWEEPS = 4, 20, 1 << 16, 4096
+#: Weight of a cluster that one task decides, of a block, and of a lot of a larger cluster; its centres. The weight is the number of members,
+#: or of their shingles in units of UNIT if that is more.
+MOST, BLOCK, LOT, CENTRES, UNIT = 1000, 250, 4000, 8, 1000
 #: Large clusters, at most so many, whose lists of blocks are broadcast.
-FEW = 10_000
+MANY = 10_000
 _SEEDS = mixed(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _WEIGHTS = mixed(np.arange(101, 101 + COORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -59,11 +64,11 @@ def sketch(items: np.ndarray, coords: int = COORDS) -> np.ndarray:
     return out
 
 
-def bands_of(coords: np.ndarray) -> tuple[np.ndarray, int]:
-    """The bucket of each band, and 64 bits of the coordinates."""
+def bands_of(coords: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The bucket of each band, and a bit of each of the first ``BITS`` coordinates."""
     keys = mixed((coords * _WEIGHTS).reshape(BANDS, ROWS).sum(1) + np.arange(BANDS, dtype=np.uint64))
-    bits = (mixed(coords[:64] ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
-    return keys.view(np.int64), int(np.bitwise_or.reduce(bits).view(np.int64))
+    bits = (mixed(coords[:BITS] ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(1)).astype(np.uint8)
+    return keys.view(np.int64), np.packbits(bits).tobytes()
 
 
 def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -122,7 +127,7 @@ def groups_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, key, tie (the text's hash), n_shingles, cls (16 bytes that name the set), bands and bits of every row; empty sets have no cls, bands and bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -130,99 +135,141 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             got = [bands_of(sketch(x)) if len(x) else (None, None) for x in sets]
             yield batch_of(schema, {**{c: batch.column(c) for c in ("doc_id", "key", "tie")}, "n_shingles": [len(x) for x in sets], "cls": [name_of(x) for x in sets], "bands": [x for x, _ in got], "bits": [x for _, x in got]})
 
-    return docs.select("doc_id", "key", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, key long, tie long, n_shingles long, cls binary, bands array<long>, bits long")
+    return docs.select("doc_id", "key", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, key long, tie long, n_shingles long, cls binary, bands array<long>, bits binary")
 
 
 def name_of(items: np.ndarray) -> bytes | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
-def _forest(bits: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that connect all members whose bits nearly agree; beyond 256 members each is compared with leaders only."""
-    n, pairs = len(bits), []
-    if n <= 256:
-        near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= FAR_BITS
-        root = list(range(n))
-        for i in range(1, n):
-            for j in np.flatnonzero(near[i, :i]).tolist():
-                a, b = root[i], root[j]
-                if a != b:
-                    pairs.append((j, i))
-                    root = [b if r == a else r for r in root]
-        return pairs
-    leaders = [0]
-    for i in range(1, n):
-        near = np.flatnonzero(np.bitwise_count(bits[leaders] ^ bits[i]) <= FAR_BITS).tolist()
-        pairs += [(leaders[j], i) for j in near]
-        if not near:
-            leaders.append(i)
+def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a binary column of ``BITS`` bits as words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _far(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(1, dtype=np.int64)
+
+
+def leaders(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member its leader (an earlier member within ``OWN_BITS``, or itself), and the radius of each leader's own."""
+    lead, radius, left = np.arange(len(bits)), np.zeros(len(bits), np.int64), np.arange(len(bits))
+    while len(left):
+        far = _far(bits[left[0]], bits[left])
+        own = far <= OWN_BITS
+        lead[left[own]] = left[0]
+        radius[left[0]] = far[own].max()
+        left = left[~own]
+    return lead, radius
+
+
+def joined_tree(bits: np.ndarray, radius: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect all entries that may hold a near pair: at most ``FAR_BITS`` apart but for their radii.
+
+    Each is linked to the entry that reached it first, beginning at the least. After ``SWEEPS`` sweeps whatever is left is linked to the
+    entry where the last sweeps began, so no near pair is lost in a bucket of any size.
+    """
+    pairs, left, sweeps = [], np.arange(1, len(bits)), 0
+    reached, start = [0], 0
+    while len(left):
+        if not reached:
+            start, reached = int(left[0]), [int(left[0])]
+            left = left[1:]
+        at = reached.pop(0)
+        if (sweeps := sweeps + 1) > SWEEPS:
+            return pairs + [(start, j) for j in left.tolist()]
+        near = _far(bits[at], bits[left]) <= FAR_BITS + radius[at] + radius[left]
+        pairs += [(at, j) for j in left[near].tolist()]
+        reached += left[near].tolist()
+        left = left[~near]
     return pairs
 
 
+def _local(keys: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Sorted bucket entries of a slice: which go on, with which radius, and the pairs (leader, member) that stand for the others."""
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(cuts, append=len(keys))
+    keep, radius, pairs, known = np.ones(len(keys), bool), np.zeros(len(keys), np.int32), [], Joined()
+    for at, size in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        own = owner[at : at + size]
+        lead, far = leaders(bits[own])
+        follows = lead != np.arange(size)
+        keep[at : at + size] = ~follows
+        radius[at : at + size] = far
+        pairs += [(i, j) for i, j in zip(own[lead[follows]].tolist(), own[follows].tolist(), strict=True) if known.new(i, j)]
+    return keep, radius, pairs
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b: class names) that connect the classes of each bucket, from cls, bands and bits."""
+    """Edges (a > b: class names) that connect the near classes of each bucket, from cls, bands and bits."""
     n = partitions(classes.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("bits", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("bits", pa.binary()), ("radius", pa.int32()), ("other", pa.binary())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("cls").to_numpy(zero_copy_only=False)
-            bits = batch.column("bits").to_numpy().view(np.uint64)
-            keys = batch.column("bands").flatten().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), BANDS)
+        for table in gathered(batches, SLICE_ROWS):
+            table = table.sort_by("cls").combine_chunks()  # the least of a bucket leads, so that bands agree
+            names, bits = table.column("cls").chunk(0), table.column("bits").chunk(0)
+            keys = table.column("bands").chunk(0).flatten().to_numpy()
+            owner = np.repeat(np.arange(table.num_rows), BANDS)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
-            cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(1 << 63) else keys[0] + 1))
-            sizes = np.diff(cuts, append=len(keys))
-            keep, extra, joined = np.ones(len(keys), bool), [], Joined()
-            for at, size in zip(cuts[sizes > FORWARD].tolist(), sizes[sizes > FORWARD].tolist(), strict=True):
-                own = owner[at : at + size]
-                pairs = _forest(bits[own])
-                extra += [(i, j) for i, j in ((int(own[i]), int(own[j])) for i, j in pairs) if joined.new(i, j)]
-                keep[at : at + size] = False
-                lone = np.setdiff1d(np.arange(size), [j for _, j in pairs])  # one of each connected part, and others evenly
-                keep[at + np.union1d(lone, np.linspace(0, size - 1, FORWARD).astype(int))] = True
-            yield batch_of(schema, {"key": keys[keep], "cls": names[owner[keep]], "bits": bits[owner[keep]].view(np.int64)})
-            if extra:  # a local edge travels as a bucket of two
-                a, b = np.array(extra).T
-                own = np.stack([a, b], 1).ravel()
-                pair = np.array([int.from_bytes(hashlib.blake2b(names[i] + names[j], digest_size=8).digest(), "little", signed=True) for i, j in extra])
-                yield batch_of(schema, {"key": np.repeat(pair, 2), "cls": names[own], "bits": np.repeat(bits[a].view(np.int64), 2)})
+            keep, radius, pairs = _local(keys, owner, _bits(bits))
+            for at in range(0, len(keys), SLICE_ROWS):
+                part = np.flatnonzero(keep[at : at + SLICE_ROWS]) + at
+                own = pa.array(owner[part])
+                yield batch_of(schema, {"key": keys[part], "cls": names.take(own), "bits": bits.take(own), "radius": radius[part], "other": pa.nulls(len(part), pa.binary())})
+            if pairs:  # an edge found here travels as a row of its own
+                a, b = (pa.array(x) for x in np.array(pairs).T)
+                key = mixed(np.array(b).astype(np.uint64)).view(np.int64)
+                yield batch_of(schema, {"key": key, "cls": names.take(a), "bits": pa.nulls(len(a), pa.binary()), "radius": np.zeros(len(a), np.int32), "other": names.take(b)})
 
     edge = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, known = None, Joined()
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            table = pa.Table.from_batches([batch])
+            ready = table.filter(pa.compute.is_valid(table.column("other")))
+            if ready.num_rows:
+                yield batch_of(edge, {"a": ready.column("other").combine_chunks(), "b": ready.column("cls").combine_chunks()})
+                table = table.filter(pa.compute.is_null(table.column("other")))
+            table = table if held is None else pa.concat_tables([held, table])
             keys = table.column("key").to_numpy()
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))
             held = table.slice(last)
-            yield from _pairs(table.slice(0, last), edge)
+            yield from _pairs(table.slice(0, last), edge, known)
         if held is not None:
-            yield from _pairs(held, edge)
+            yield from _pairs(held, edge, known)
 
-    rows = classes.select("cls", "bands", "bits").mapInArrow(spread, "key long, cls binary, bits long")
+    rows = classes.select("cls", "bands", "bits").mapInArrow(spread, "key long, cls binary, bits binary, radius int, other binary")
     return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a binary, b binary")
 
 
-def _pairs(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Edges within each run of one key."""
+def _pairs(table: pa.Table, schema: pa.Schema, known: Joined) -> Iterator[pa.RecordBatch]:
+    """Edges within each run of one key that tell the task something new."""
     if table.num_rows < 2:
         return
-    keys, bits = table.column("key").to_numpy(), table.column("bits").to_numpy().view(np.uint64)
+    keys = table.column("key").to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(cuts, append=len(keys))
-    at = [(c + i, c + j) for c, s in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True) for i, j in _forest(bits[c : c + s])]
+    some = np.repeat(sizes > 1, sizes)
+    if not some.any():
+        return
+    table = table.filter(pa.array(some))
+    bits, radius, sizes = _bits(table.column("bits")), table.column("radius").to_numpy(), sizes[sizes > 1]
+    cuts = np.cumsum(sizes) - sizes
+    two = cuts[sizes == 2]
+    two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= FAR_BITS + radius[two] + radius[two + 1]]
+    at = [(i, i + 1) for i in two.tolist()]
+    for c, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        at += [(c + i, c + j) for i, j in joined_tree(bits[c : c + n], radius[c : c + n])]
     if at:
-        left, right = np.array(at).T
-        names = table.column("cls").to_numpy()
-        joined = Joined()
-        pairs = {(min(x, y), max(x, y)) for x, y in zip(names[left].tolist(), names[right].tolist(), strict=True) if x != y and joined.new(x, y)}
+        names = table.column("cls").to_pylist()
+        if len(known.above) > 4 * SLICE_ROWS:
+            known.above.clear()
+        pairs = [(max(names[i], names[j]), min(names[i], names[j])) for i, j in at if known.new(names[i], names[j])]
         if pairs:
             yield batch_of(schema, dict(zip("ab", map(list, zip(*pairs, strict=True)), strict=True)))
 
@@ -275,24 +322,37 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     large = sets.where(F.col("n") > MOST)
     if large.isEmpty():
         return small
-    # the least member first: whoever is linked to it needs no other comparison
-    lot = F.pmod(F.xxhash64("cls"), F.lit(LOTS)).cast("int").alias("lot")
-    lots = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot")
+    # centres first: whoever is connected to the first of them needs no other comparison
+    lots = F.ceil(F.col("n") / LOT).cast("int")
+    lot = F.pmod(F.xxhash64("cls"), lots).cast("int").alias("lot")
+    every_lot = F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")
     none = F.lit(0).cast("bigint").alias("block")
-    first = large.groupBy("cluster").agg(F.min(F.struct("cls", "items")).alias("x")).select("cluster", "x.*")
+    centres = large.groupBy("cluster", F.pmod(F.xxhash64("cls"), F.lit(CENTRES)).alias("_part")).agg(F.min(F.struct("cls", "items", "n")).alias("x")).select("cluster", "x.*")
     none_yet = F.lit(False).alias("linked")
-    star, _ = written(_compared(first.select("cluster", "cls", "items", lots, none), large.select("cluster", "cls", "items", none_yet, lot, none), percent), "links")
-    rest = large.join(star.select(F.col("node").alias("cls")), "cls", "left_anti").withColumn("block", F.floor(F.rand(7) * F.ceil(F.col("n") / BLOCK)))
-    rest, _ = written(rest, "unlinked")
-    blocks = rest.select("cluster", "block").distinct().groupBy("cluster").agg(F.collect_list("block").alias("blocks"))
-    stays = rest.select("cls", F.lit(False).alias("linked")).distinct()
-    every = large.select("cluster", "cls", "items", lot).join(F.broadcast(blocks) if blocks.count() <= FEW else blocks, "cluster")
-    every = every.join(stays, "cls", "left").withColumn("linked", F.col("linked").isNull())
-    links = _compared(rest.select("cluster", "cls", "items", lots, "block"), every.select("cluster", "cls", "items", "linked", "lot", F.explode("blocks").alias("block")), percent)
-    found = components(star.unionByName(links).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    star, at_star = written(_compared(centres.select("cluster", "cls", "items", every_lot, none), large.select("cluster", "cls", "items", none_yet, lot, none), percent), "links")
+    near = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    parts = near.join(large.select(F.col("cls").alias("node"), "cluster"), "node").groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    home = parts.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("root")).select("root")  # the part that most are in
+    reached, at_reached = written(near.join(_bounded(home), "root", "left_semi").select(F.col("node").alias("cls")), "reached")
+    rest, at_rest = written(large.join(reached, "cls", "left_anti"), "unlinked")
+    weight = F.greatest(F.count("*"), F.floor(F.sum(F.octet_length("items")) / 8 / UNIT))
+    blocks = _bounded(rest.groupBy("cluster").agg(F.ceil(weight / BLOCK).alias("blocks")))
+    few = rest.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks"))
+    stays = rest.select("cls").distinct().withColumn("linked", F.lit(False))
+    every = large.select("cluster", "cls", "items", lot).join(blocks, "cluster").join(stays, "cls", "left").withColumn("linked", F.col("linked").isNull())
+    every = every.select("cluster", "cls", "items", "linked", "lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    links = _compared(few.select("cluster", "cls", "items", every_lot, "block"), every, percent)
+    found, _ = written(components(star.unionByName(links).select(F.col("node").alias("a"), F.col("root").alias("b"))), "found")
+    removed(sets.sparkSession, at_star, at_reached, at_rest)
     return small.unionByName(found)
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if there are at most ``MANY``; else Spark joins them as it sees fit."""
+    rows = rows.sparkSession.createDataFrame(got, rows.schema) if len(got := rows.take(MANY + 1)) <= MANY else rows
+    return F.broadcast(rows) if len(got) <= MANY else rows
+
+
 def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
     """node and root of linked pairs: each set of ``many`` against those of ``few`` in its cluster, lot and block.
 
@@ -315,7 +375,7 @@ def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
                 elif names:
                     index = index or Shared(items)
                     for i in np.flatnonzero(index.linked(_as_set(data), percent)).tolist():
-                        if names[i] == cls or joined.new("" if linked else cls, names[i]):
+                        if names[i] != cls and joined.new("" if linked else cls, names[i]):
                             out["node"].append(cls)
                             out["root"].append(names[i])
             yield batch_of(schema, out)
@@ -324,13 +384,13 @@ def _compared(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
     return both.repartition(partitions(few.sparkSession), *by).sortWithinPartitions(*by, "side").mapInArrow(run, "node binary, root binary")
 
 
-def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The profiles of ``docs`` (doc_id, key, text), and cls, root (a class that names the component) and first of every class.
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """The profiles of ``docs`` (doc_id, key, text); cls, root (a class that names the component) and first of every class; the paths of both.
 
     first is the component's first row: none (its id is null), doc_id, tie, key; in this order the least.
     """
     spark = docs.sparkSession
-    seen, _ = written(profiles(docs, k), "profiles")
+    seen, at_seen = written(profiles(docs, k), "profiles")
     some = F.any_value
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "key")).alias("first")
     classes = seen.where("n_shingles > 0").groupBy("cls").agg(first, some("n_shingles").alias("n_shingles"), some("bands").alias("bands"), some("bits").alias("bits"))
@@ -339,20 +399,23 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     clusters, at_clusters = written(components(edges), "clusters")
     members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "first.key", "n_shingles"), "cls")
     sizes = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / UNIT)).alias("n"))
-    members = members.join(sizes, "cluster").select("cls", "key", "cluster", "n")
+    # only large clusters need their size; their rows meet it in lots, so that no cluster's rows share a task
+    lots = heavy_lots(sizes.where(F.col("n") > MOST))
+    members = members.withColumn("lot", F.pmod(F.xxhash64("cls"), F.lit(HEAVY)).cast("int")).join(lots, ["cluster", "lot"], "left")
+    members = members.select("cls", "key", "cluster", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     sets, at_sets = written(member_sets(docs, members, k), "sets")
     groups, at_groups = written(verified(sets, percent), "groups")
     owner = classes.select("cls", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = owner.groupBy("root").agg(F.min("first").alias("first"))
-    named, _ = written(owner.select("cls", "root").join(least, "root"), "components")
+    named, at_named = written(owner.select("cls", "root").join(least, "root"), "components")
     removed(spark, at_classes, at_edges, at_clusters, at_sets, at_groups)
-    return seen, named
+    return seen, named, (at_seen, at_named)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Links: 100 * intersection >= percent * union."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    seen, named = _components(rows, k, percent)
+    seen, named, _ = _components(rows, k, percent)
     out = seen.select("doc_id", "n_shingles", "cls").join(named.select("cls", F.col("first.doc_id").alias("component_id")), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -365,7 +428,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     """
     keyed, _ = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "keyed")
     rows = keyed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "key", F.col("row.text").cast("string").alias("text"))
-    seen, named = _components(rows, k, percent)
+    seen, named, paths = _components(rows, k, percent)
     stays = named.select("first.key").distinct()
     gone, _ = written(seen.where("cls is not null").select("key").join(stays, "key", "left_anti"), "duplicates")
+    removed(docs.sparkSession, *paths)
     return keyed.join(gone, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

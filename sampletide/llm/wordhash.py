@@ -1,11 +1,14 @@
 """Words of many texts at once as 64-bit hashes, and hashes of runs of words.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text; with ``lower`` A-Z count as a-z. Hashes are sums of
-random byte values times powers of an odd base, so that any run's hash follows from two prefix sums.
+A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text; with ``lower`` A-Z count as a-z. A word's hash mixes its length and
+its bytes eight at a time, each step a bijection of the state that is not linear in the bytes; words of more than
+``LONG`` bytes are hashed by BLAKE2. A run's hash is the sum of its words' hashes times powers of an odd base, so that it
+follows from two prefix sums; runs are tens of words at most, too short for the known collisions of such sums.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +16,11 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C17 | 3)  # 3 modulo 4: base - 1 holds the factor 2 only once
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -42,6 +47,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The 64-bit hash of each data[start : end]; another ``seed`` gives an independent one."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    size = end - start
+    out = mixed(size.astype(np.uint64) * BASE + np.uint64((seed * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64)))
+    for at in range(0, LONG, 8):
+        own = np.flatnonzero(size > at) if at else slice(None)
+        if at and not len(own):
+            break
+        step = eight[start[own] + at] & _MASK[np.minimum(size[own] - at, 8)]
+        out[own] = mixed(out[own] * np.uint64(0x9FB21C651E98DF25) ^ mixed(step + np.uint64(seed)))
+    for i in np.flatnonzero(size > LONG).tolist():
+        word = data[start[i] : end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 @dataclass
 class Words:
     """Of the words of a slice of texts: hash, text, first and last byte + 1 in ``data``; ``first[d]`` to ``first[d + 1]`` are those of text d."""
@@ -53,6 +77,10 @@ class Words:
     first: np.ndarray
     data: np.ndarray
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hash``."""
+        return word_hashes(self.data, self.start, self.end, 1)
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b - 1 as they stand, joined by one space."""
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
@@ -84,11 +112,10 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     right[:-1] = ~inside[1:]
     start = np.flatnonzero(inside & (left | edge[:-1]))
     end = np.flatnonzero(inside & (right | edge[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * powers(BASE, n), out=sums[1:])
-    own = (sums[end] - sums[start]) * powers(INVERSE, n)[start]
+    if lower:
+        data = _LOWER[data]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(mixed(own), doc, start, end, np.searchsorted(start, offsets), data)
+    return Words(word_hashes(data, start, end), doc, start, end, np.searchsorted(start, offsets), data)
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
