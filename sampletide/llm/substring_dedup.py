@@ -17,19 +17,22 @@ slice. Hashes hold 64 bits, for windows 96. Null texts have no words; repeated r
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampletide.llm.common import batch_of, partitions, slices, written
-from sampletide.llm.wordhash import Words, mixed, runs, spans, words_of
+from sampletide.llm.wordhash import Words, runs, spans, words_of
 
 WINDOW, GRAM = 35, 8
+#: Bits of a place that hold four times the word and the status; those above check that it is a place of this text, as row_ids are hashes.
+PLACE = 43
 #: What the shuffle by anchor says of a span: its anchor recurs; it is confirmed; it is confirmed and stands for its kind.
 OPEN, SURE, WITNESS = 1, 2, 3
 
@@ -44,6 +47,12 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return words.doc[:n] == words.doc[window - 1 :], at
 
 
+def checks(words: Words) -> np.ndarray:
+    """20 bits of each text's words."""
+    ends = zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
+    return np.array([zlib.crc32(words.data[words.start[a] : words.end[b - 1]]) & 0xFFFFF if b > a else 0 for a, b in ends], np.int64)
+
+
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("row_id", pa.int64()), ("place", pa.int64())])
 
@@ -61,7 +70,8 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             span = spans(words.hash, start[first], start[last] + window).view(np.int64)
             doc = words.doc[own]
             row_id = batch.column("row_id").to_numpy()[doc]
-            place = (own - words.first[doc]) * 4
+            check = checks(words)
+            place = ((own - words.first[doc]) * 4) | (check[doc] << PLACE)
             key = runs(words.hash, GRAM)[own].view(np.int64)
             order = np.lexsort((span, key))
             again = np.zeros(len(own), bool)
@@ -71,7 +81,8 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             # the first of equal spans goes to the shuffle by anchor for all of them; the others are known to be sure
             # row_ids repeat where rows do: the first of equal rows speaks for the others of its slice
             copy = np.ones(batch.num_rows, bool)
-            copy[np.unique(batch.column("row_id").to_numpy(), return_index=True)[1]] = False
+            ids = np.stack([batch.column("row_id").to_numpy(), check], 1)
+            copy[np.unique(ids, axis=0, return_index=True)[1]] = False
             sent = ~(again & copy[doc])
             columns = {"anchor": np.where(again, row_id, key), "span": span, "row_id": row_id, "place": place + np.where(again, SURE, np.where(multi, WITNESS, 0))}
             yield batch_of(schema, {c: x[sent] for c, x in columns.items()})
@@ -126,10 +137,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, str], out: p
 def _statuses(words: Words, places: list, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word at which a window starts its span's status (0: not repeated), from the texts' lists of places."""
     whole, at = anchors(words, window)
-    status = np.zeros(len(words.hash) + 1, np.int8)
+    status, check = np.zeros(len(words.hash) + 1, np.int8), checks(words)
     for d, own in enumerate(places):
         if own is not None and len(own):
             own = np.asarray(own, np.int64)
+            own = own[own >> PLACE == check[d]] & ((1 << PLACE) - 1)
             np.maximum.at(status, words.first[d] + own // 4, (own % 4).astype(np.int8))  # a place may be sure for one of equal rows and a witness for another
     return np.where(whole, status[at], 0), whole
 
@@ -183,8 +195,8 @@ def unequal(rows: DataFrame, window: int) -> DataFrame:
             if not len(at):
                 continue
             value = spans(words.hash, at, at + window)
-            check = (spans(mixed(words.hash ^ np.uint64(0x6A09E667F3BCC909)), at, at + window) >> np.uint64(32)).astype(np.int64)
-            value, place = value.view(np.int64), np.where(status[at] == OPEN, (at - words.first[words.doc[at]]) * 4, WITNESS)
+            check = (spans(words.second(), at, at + window) >> np.uint64(32)).astype(np.int64)
+            value, place = value.view(np.int64), np.where(status[at] == OPEN, ((at - words.first[words.doc[at]]) * 4) | (checks(words)[words.doc[at]] << PLACE), WITNESS)
             order = np.lexsort((place == WITNESS, check, value))
             value, check, place, at = value[order], check[order], place[order], at[order]
             new = np.concatenate([[True], (value[1:] != value[:-1]) | (check[1:] != check[:-1])])
@@ -232,18 +244,22 @@ def automaton_cover(words: Words, repeated: np.ndarray, window: int) -> np.ndarr
 def covers(batch: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
     """The words of a slice of rows (text, starts, alone), and which of them go."""
     words = words_of(batch.column("text"))
-    repeated = np.zeros(len(words.hash), bool)
+    repeated, check = np.zeros(len(words.hash), bool), checks(words)
     for d, (data, alone) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("alone").to_pylist(), strict=True)):
         if data is not None:
             own = _unpacked(data) > 0
-            own[np.array(alone or [], np.int64)] = False
+            alone = np.array(alone or [], np.int64)
+            own[alone[alone >> (PLACE - 2) == check[d]] & ((1 << (PLACE - 2)) - 1)] = False
             repeated[words.first[d] : words.first[d] + len(own)] = own
     return words, automaton_cover(words, repeated, window)
 
 
+def _row_id() -> Column:
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
 def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.xxhash64("doc_id", text).alias("row_id"), text.alias("text"), *keep)
+    return docs.select(_row_id().alias("row_id"), F.col("text").cast("string").alias("text"), *keep)
 
 
 def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -275,9 +291,8 @@ def kept_text(words: Words, a: int, b: int, gone: np.ndarray) -> bytes:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated passages gone from text: documents that lose words are what they keep, joined by one space; others stay as they are."""
-    keep = tuple(docs.columns)
-    given = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("_row_id"), F.col("text").cast("string").alias("_text"), F.struct(*keep).alias("_row"))
-    given = given.select(F.col("_row_id").alias("row_id"), F.col("_text").alias("text"), F.col("_row").alias("row"))
+    others = [c for c in docs.columns if c != "text"]
+    given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias("_"), *others).alias("row"))
     rows, _ = written(marked(given, ("row",), window), "marked")
     alone, _ = written(unequal(rows, window), "alone")
     touched = rows.where("starts is not null").join(alone, "row_id", "left").select("row", "text", "starts", "alone")
@@ -294,4 +309,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     changed = touched.mapInArrow(run, schema)
     both = changed.unionByName(rows.where("starts is null").select("row", "text"))
-    return both.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in keep])
+    return both.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
