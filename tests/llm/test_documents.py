@@ -1,6 +1,7 @@
 """Document operators against brute force, on small fixtures with the odd cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -30,17 +31,31 @@ def rows_of(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
 
+def components_of(rows, k):
+    """For each row the first row of its component; empty sets stand alone."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def first_of_each(rows, k):
+    """Of each component of near copies one row: the least doc_id, nulls last; of equal ids the one that Spark's text hash puts first is not told apart here."""
+    best = {}
+    for i, r in enumerate(components_of(rows, k)):
+        if r not in best or (rows[i][0] is None, rows[i][0] or 0) < (rows[best[r]][0] is None, rows[best[r]][0] or 0):
+            best[r] = i
+    return [rows[i] for i in best.values()]
+
+
 def test_near_duplicates(docs, empty):
     for k in (2, 5):
         rows = rows_of(docs)
-        sets = [shingles(t, k) for _, t in rows]
-        root = list(range(len(rows)))
-        for i in range(len(rows)):
-            for j in range(i):
-                shared = len(sets[i] & sets[j])
-                if sets[i] and sets[j] and 100 * shared >= 80 * len(sets[i] | sets[j]):
-                    a, b = root[i], root[j]
-                    root = [b if r == a else r for r in root]
+        sets, root = [shingles(t, k) for _, t in rows], components_of(rows, k)
         least = {}
         for i, r in enumerate(root):
             if rows[i][0] is not None:
@@ -54,9 +69,86 @@ def test_large_clusters_are_compared_in_blocks(docs, monkeypatch):
     want = Counter(tuple(r) for r in near_dedup.near_duplicates(docs, 2).collect())
     monkeypatch.setattr(near_dedup, "MOST", 1)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "LOT", 2)
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(docs, 2).collect()) == want
 
 
+def test_buckets_of_thousands(spark, capsys):
+    """A bucket's large group of near copies and a chain of drifting ones, dealt over many slices, come out as by brute force."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    base, rows, chain = [rng.choice(words) for _ in range(40)], [], [rng.choice(words) for _ in range(40)]
+    for i in range(2000):
+        copy, chain = list(base), list(chain)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(40)] = rng.choice(words)
+        chain[rng.randrange(40)] = rng.choice(words)
+        rows += [(2 * i, " ".join(copy)), *([(2 * i + 1, " ".join(chain))] if i < 700 else [])]
+    sets, at, root = [shingles(t, 2) for _, t in rows], {}, list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = 0
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s for j in at.get(g, ()))
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            at.setdefault(g, []).append(i)
+    want = {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(given, 2).collect()}
+    same = sum(got[i] == c for i, c in want.items()) / len(want)
+    with capsys.disabled():
+        print(f"\nnear_dedup: {links} links, {len(set(want.values()))} components, recall {same:.4f}")
+    assert got == want
+
+
+def test_no_near_pair_of_a_bucket_is_lost(monkeypatch):
+    """What is left of a bucket of 300 after leaders and trees connects all that is near, whatever the limits."""
+    rng = np.random.default_rng(2)
+    bits = np.packbits(np.repeat(rng.random((60, 128)) < 0.5, 5, 0) ^ (rng.random((300, 128)) < 0.12), axis=1).view(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2) <= near_dedup.FAR_BITS
+    for sweeps in (4096, 20):
+        monkeypatch.setattr(near_dedup, "SWEEPS", sweeps)
+        for parts in (1, 7):
+            known, held = near_dedup.Joined(), []
+            for p in range(parts):
+                own = np.arange(p, 300, parts)
+                lead, radius = near_dedup.leaders(bits[own])
+                for i, j in enumerate(lead.tolist()):
+                    known.new(int(own[i]), int(own[j]))
+                held += [(int(own[i]), int(radius[i])) for i in range(len(own)) if lead[i] == i]
+            at, radius = (np.array(x) for x in zip(*held, strict=True))
+            for i, j in near_dedup.joined_tree(bits[at], radius):
+                known.new(int(at[i]), int(at[j]))
+            assert all(known.root(i) == known.root(j) for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def thue_morse(steps):
+    out = "a"
+    for _ in range(steps):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_agree_in_every_polynomial_hash_differ(spark):
+    a, b = thue_morse(11)
+    assert len(a) == 2048 and a != b
+    rest = " ".join(f"w{i}" for i in range(34))
+    given = spark.createDataFrame([(1, a + " " + rest), (2, b + " " + rest), (3, a), (4, b), (5, a.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.removal(given).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(given.where("doc_id > 2"), 2).collect()} == {3: 3, 4: 4, 5: 3}
+    item = spark.createDataFrame([(1, a + " w0 w1 w2 w3")], "item_id long, text string")
+    assert [r.doc_id for r in contained_items(given, item).collect()] == [1]
+
+
 def test_one_row_of_each_component_stays(spark):
     words = [f"w{i}" for i in range(60)]
     text = lambda tag: " ".join(f"{tag}{w}" for w in words)
@@ -209,18 +301,23 @@ def test_plans_place_every_piece():
         assert (used == counts).all()
 
 
-def brute_language(profiles, text):
+def brute_distances(profiles, text):
+    """The out-of-place distance to each language, and the largest there can be; none for a text without letters."""
     n = Counter()
     x = " " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
     if not x.strip():
-        return "und"
+        return {}, 0
     for k in (1, 2, 3):
         n.update(x[i : i + k] for i in range(len(x) - k + 1))
     del n[" "]
     key = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
     top = sorted(n, key=lambda g: (-n[g], key(g)))[:300]
-    far = {lang: sum(abs(i - p[key(g)]) if key(g) in p else 300 for i, g in enumerate(top)) for lang, p in profiles.items()}
-    return min(sorted(far), key=far.get)
+    return {lang: sum(abs(i - p[key(g)]) if key(g) in p else 300 for i, g in enumerate(top)) for lang, p in profiles.items()}, 300 * len(top)
+
+
+def brute_language(profiles, text):
+    far, _ = brute_distances(profiles, text)
+    return min(sorted(far), key=far.get) if far else "und"
 
 
 def test_languages_by_brute_force(spark, docs, sf):

@@ -5,12 +5,15 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from sampletide.llm import tool_calls, top_k, toxicity, warc
+from sampletide.llm import language_id, tool_calls, top_k, toxicity, warc
 from sampletide.llm.common import shared_dir
+from sampletide.llm.queries import ORACLES, QUERIES
 
 from . import test_documents as brute
 
@@ -149,6 +152,7 @@ def test_tool_calls_run_no_python(spark, sf):
 
 
 def test_stages(spark, docs, sf, texts):
+    """Each stage on what the one before kept, against brute force."""
     now = docs
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -158,10 +162,17 @@ def test_stages(spark, docs, sf, texts):
         out.write.parquet(path)
         now = spark.read.parquet(path)
         kept[name] = brute.rows_of(now)
-    assert {t for _, t in kept["language_id"]} == {t for _, t in brute.rows_of(docs) if any(c.isalpha() for c in t or "")}
-    sets = [brute.shingles(t, 5) for _, t in kept["near_dedup"] if t]
-    known = Counter(map(frozenset, sets))
-    assert max(known.values()) <= 2  # the repeated row of one id and text, and the null id
+    given = brute.rows_of(docs)
+    profiles = {lang: {int(g): i for i, g in enumerate(p)} for lang, p in language_id.learn(docs).items()}
+    known = lambda far, most: bool(far) and min(far.values()) < most
+    assert Counter(kept["language_id"]) == Counter((i, t) for i, t in given if known(*brute.brute_distances(profiles, t)))
+    assert len(kept["language_id"]) == sum(any(c.isalpha() for c in t or "") for _, t in given) - 1  # one text shares no n-gram
+    assert Counter(kept["near_dedup"]) == Counter(brute.first_of_each(kept["language_id"], 5))
+    without = [(i, " ".join(w for w, gone in zip(words, cover, strict=True) if not gone) if any(cover) else t) for (i, t), (words, cover) in zip(kept["near_dedup"], brute.gone_words(kept["near_dedup"], 35), strict=True)]
+    assert Counter(kept["substring_dedup"]) == Counter(without)
+    items = [brute.shingles(r.text, 5) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(brute.split(r.text)) >= 5]
+    holds = lambda t: any(100 * len(s & brute.shingles(t, 5)) >= 80 * len(s) for s in items)
+    assert Counter(kept["decontamination"]) == Counter((i, t) for i, t in kept["substring_dedup"] if not holds(t))
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {i for i, _ in kept["decontamination"]}
     brute.check_places(packed.toPandas())
@@ -173,16 +184,19 @@ def test_the_whole_pipeline(spark, sf):
     brute.check_places(out)
 
 
-def test_queries_agree_with_their_sql(spark, sf):
-    duckdb = pytest.importorskip("duckdb")
-    from sampletide.llm.queries import ORACLES, QUERIES
+def plain(value):
+    """A cell in a form that Spark's and DuckDB's frames share."""
+    if value is None or pd.isna(value):
+        return None
+    return str(int(value)) if isinstance(value, float) and value == int(value) else str(value)
 
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_agree_with_their_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name, sql in ORACLES.items():
-        got = QUERIES[name](spark, sf).toPandas()
-        want = con.execute(sql).df()
-        assert sorted(got.columns) == sorted(want.columns), name
-        rows = lambda d: Counter(tuple(None if x != x or x is None else str(int(x)) if isinstance(x, float) and x == int(x) else str(x) for x in r) for r in d[sorted(d.columns)].itertuples(index=False))
-        assert rows(got) == rows(want), name
+    got, want = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda d: Counter(tuple(map(plain, r)) for r in d[sorted(d.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
