@@ -1,89 +1,123 @@
 """Semi-structured samples as rows of nodes.
 
 A path is an array of parts: "." and the key for a field, "*" for the elements of an array, [] for the sample
-itself. One projection unrolls ``depth`` levels with higher-order functions and one explode makes the rows; nothing is
-shuffled. Samples that are deeper are walked on, level by level, within the same projection until no container is left.
+itself. Each Arrow batch of samples is walked once, to whatever depth they have; nothing is shuffled. Values of typed samples
+that JSON has no kind for (times, dates, bytes, intervals) count as text, written as JSON writes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Levels that are unrolled; deeper ones are walked by a loop within the row.
-DEPTH = 6
-_NODE = "array<struct<path:array<string>,v:variant>>"
-
-
-def _kind(name: Column) -> Column:
-    return (
-        F.when(name.startswith("OBJECT"), "obj").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null").when(name == "BIGINT", "int").when(name.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").otherwise("other")
-    )
-
-
-def walked(start: str, below: Callable[[str], str], most: str) -> str:
-    """SQL of the nodes ``start`` and all below them. ``below`` turns nodes into those one level down; there are at most ``most`` levels."""
-    step = f"case when size(s.last) = 0 then s else named_struct('seen', concat(s.seen, s.last), 'last', {below('s.last')}) end"
-    return f"aggregate(sequence(0, {most}), named_struct('seen', cast(array() as {_NODE}), 'last', {start}), (s, i) -> {step}, s -> concat(s.seen, s.last))"
-
-
-def brackets(text: str) -> str:
-    """SQL of the number of brackets that open in a JSON text, which its depth can't exceed."""
-    return rf"regexp_count({text}, '[\\[{{]')"
-
-
-def _below(nodes: str, n: str) -> str:
-    fields = f"transform(map_entries(cast({n}.v as map<string,variant>)), e -> struct(concat({n}.path, array('.' || e.key)) as path, e.value as v))"
-    items = f"transform(cast({n}.v as array<variant>), x -> struct(concat({n}.path, array('*')) as path, x as v))"
-    return f"flatten(transform({nodes}, {n} -> case when schema_of_variant({n}.v) like 'OBJECT%' then {fields} when schema_of_variant({n}.v) like 'ARRAY%' then {items} else cast(array() as {_NODE}) end))"
-
-
-def _with_nodes(df: DataFrame, keep: list[str], sample: str, depth: int) -> DataFrame:
-    """``keep`` and _nodes: all nodes of a VARIANT column as an array of (path, v).
-
-    Each level is a column that the next one reads, so no level is computed twice.
-    """
-    out = df.where(F.col(sample).isNotNull()).select(*keep, F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col(sample).alias("v"))).alias("_l0"))
-    for k in range(depth):
-        out = out.withColumn(f"_l{k + 1}", F.expr(_below(f"_l{k}", f"n{k}")))
-    last = f"_l{depth}"
-    deeper = walked(last, lambda nodes: _below(nodes, "n"), f"array_max(transform({last}, n -> {brackets('to_json(n.v)')}))")
-    rest = F.expr(f"case when exists({last}, n -> schema_of_variant(n.v) like 'OBJECT%' or schema_of_variant(n.v) like 'ARRAY%') then {deeper} else {last} end")
-    return out.select(*keep, F.concat(*[f"_l{k}" for k in range(depth)], rest).alias("_nodes"))
-
-
-def _rows(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with a column ``node`` as node rows. A node's type is found once, in a projection of its own."""
-    v, kind = F.col("_v"), F.col("kind")
-    size = F.when(kind == "array", F.size(v.cast("array<variant>"))).when(kind == "obj", F.size(v.cast("map<string,variant>")))
-    named = nodes.select(*keep, F.col("node.path").alias("path"), F.col("node.v").alias("_v"), F.schema_of_variant("node.v").alias("_name"))
-    classed = named.select(*keep, "path", "_v", _kind(F.col("_name")).alias("kind"))
-    return classed.select(
-        *keep, "path", "kind", F.when(kind.isin("int", "float"), F.try_variant_get(v, "$", "double")).alias("number"), F.when(kind == "string", F.try_variant_get(v, "$", "string")).alias("text"),
-        F.when(kind == "boolean", F.try_variant_get(v, "$", "boolean")).alias("flag"), size.alias("size"),
-    )
-
-
-def shred(df: DataFrame, keep: list[str], sample: str = "sample", depth: int = DEPTH) -> DataFrame:
-    """A row per node: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes."""
-    return _rows(_with_nodes(df, keep, sample, depth).select(*keep, F.explode("_nodes").alias("node")), keep)
-
-
-def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sample", depth: int = DEPTH) -> DataFrame:
+from pyspark.sql import types as T
+
+KINDS = ["obj", "array", "string", "boolean", "null", "int", "float"]
+_OBJ, _ARRAY, _STRING, _BOOLEAN, _NULL, _INT, _FLOAT = range(len(KINDS))
+#: Nodes after which a part of a batch goes out; a sample is never cut.
+PART = 100_000
+_SCHEMA = "path array<string>, kind string, number double, text string, flag boolean, size int"
+
+
+class _Nodes:
+    """The nodes of some samples, by columns. Each distinct path is kept once."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[str, ...]] = [()]
+        self.known: dict[tuple[int, str], int] = {}
+        self.owner, self.path, self.kind, self.number, self.text, self.flag, self.size, self.truncated = ([] for _ in range(8))
+
+    def below(self, path: int, part: str) -> int:
+        number = self.known.get((path, part))
+        if number is None:
+            number = self.known[path, part] = len(self.paths)
+            self.paths.append((*self.paths[path], part))
+        return number
+
+    def walk(self, value: object) -> list[tuple[int, object]]:
+        """The value and all below it with their paths, level by level."""
+        out, below = [(0, value)], self.below
+        for path, x in out:  # grows meanwhile
+            if type(x) is dict:
+                out += [(below(path, "." + k), v) for k, v in x.items()]
+            elif type(x) is list and x:
+                star = below(path, "*")
+                out += [(star, v) for v in x]
+        return out
+
+    def within(self, nodes: list[tuple[int, object]], budget: int) -> tuple[list[tuple[int, object]], bool]:
+        """The nodes in order of path until their cost exceeds ``budget``, and whether any are left out."""
+        spent, ordered = 0, sorted(nodes, key=lambda n: self.paths[n[0]])
+        for i, (path, x) in enumerate(ordered):
+            spent += 1 if not path or x is None else 2
+            if spent > budget:
+                return ordered[:i], True
+        return ordered, False
+
+    def add(self, owner: int, nodes: list[tuple[int, object]], truncated: bool) -> None:
+        for path, x in nodes:
+            kind, number, text, flag, size = _NULL, None, None, None, None
+            if isinstance(x, str):
+                kind, text = _STRING, x
+            elif isinstance(x, bool):
+                kind, flag = _BOOLEAN, x
+            elif isinstance(x, int):
+                kind, number = (_INT if -(1 << 63) <= x < 1 << 63 else _FLOAT), float(x)
+            elif isinstance(x, float):
+                kind, number = _FLOAT, x
+            elif x is not None:
+                kind, size = (_OBJ if type(x) is dict else _ARRAY), len(x)
+            self.path.append(path)
+            self.kind.append(kind)
+            self.number.append(number)
+            self.text.append(text)
+            self.flag.append(flag)
+            self.size.append(size)
+        self.owner += [owner] * len(nodes)
+        self.truncated += [truncated] * len(nodes)
+
+    def columns(self) -> list[pa.Array]:
+        paths = pa.array(self.paths, pa.list_(pa.string())).take(pa.array(self.path, pa.int32()))
+        kinds = pa.array(KINDS).take(pa.array(self.kind, pa.int8()))
+        return [paths, kinds, pa.array(self.number, pa.float64()), pa.array(self.text, pa.string()), pa.array(self.flag, pa.bool_()), pa.array(self.size, pa.int32())]
+
+
+def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None) -> DataFrame:
+    rows = df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"))
+    cut = [T.StructField("truncated", T.BooleanType())] if budget is not None else []
+    schema = T.StructType([*rows.drop("_json").schema.fields, *cut, *T.StructType.fromDDL(_SCHEMA).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, last = _Nodes(), batch.num_rows - 1
+            for i, text in enumerate(batch.column("_json").to_pylist()):
+                own, truncated = nodes.walk(json.loads(text)), False
+                if budget is not None:
+                    own, truncated = nodes.within(own, budget)
+                nodes.add(i, own, truncated)
+                if len(nodes.owner) >= PART or i == last:
+                    owner = pa.array(nodes.owner, pa.int32())
+                    more = [pa.array(nodes.truncated, pa.bool_())] if cut else []
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in keep), *more, *nodes.columns()], names=schema.names)
+                    nodes = _Nodes()
+
+    return rows.mapInArrow(run, schema)
+
+
+def shred(df: DataFrame, keep: list[str], sample: str = "sample") -> DataFrame:
+    """A row per node of the VARIANT column: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes."""
+    return _shredded(df, keep, sample, None)
+
+
+def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sample") -> DataFrame:
     """As ``shred``, for at most ``budget`` steps a sample: the root and a null cost 1, other nodes 2, in path order.
 
     The first node beyond the budget ends the sample; truncated tells, on every node row, that nodes are missing.
     """
-    nodes = F.array_sort("_nodes", lambda a, b: F.when(a.path < b.path, -1).when(a.path > b.path, 1).otherwise(0))
-    cost = lambda n: F.when((F.size(n.path) == 0) | (F.schema_of_variant(n.v) == "VOID"), 1).otherwise(2)
-    start = F.struct(F.lit(0).alias("spent"), F.expr(f"cast(array() as {_NODE})").alias("nodes"))
-    step = lambda s, n: F.when((s.spent >= 0) & (s.spent + cost(n) <= budget), F.struct((s.spent + cost(n)).alias("spent"), F.concat(s.nodes, F.array(n)).alias("nodes"))).otherwise(F.struct(F.lit(-1).alias("spent"), s.nodes.alias("nodes")))
-    kept = _with_nodes(df, keep, sample, depth).withColumn("_walk", F.aggregate(nodes, start, step))
-    rows = kept.select(*keep, (F.col("_walk.spent") < 0).alias("truncated"), F.explode("_walk.nodes").alias("node"))
-    return _rows(rows, [*keep, "truncated"])
+    return _shredded(df, keep, sample, budget)
 
 
 def path_text(path: Column | str) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sampletide.functions.shred import shred_within
 from sampletide.sources.records import record
 
 
@@ -20,6 +21,11 @@ class Digest:
     max_fields: int = 100
 
 
+def digest_nodes(samples: DataFrame, digest: Digest, keep: list[str] | None = None) -> DataFrame:
+    """The node rows that a digest is made of: of each sample as much as its budget of ``max_fields`` steps allows."""
+    return shred_within(samples, keep or grouping(digest), digest.max_fields)
+
+
 def with_window(df: DataFrame, period: str) -> DataFrame:
     """With window_start: the flush period that the sample's event time falls into."""
     return df.withColumn("window_start", F.window("ts", period).start)

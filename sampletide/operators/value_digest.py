@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sketch precision: 2 ** 14 registers, 0.8 percent standard error.
@@ -26,27 +26,32 @@ def value_digest(nodes: DataFrame, by: list[str], sketches: bool = True) -> Data
     aggregates = [
         count(F.lit(True)).alias("seen"), count(is_number).alias("numbers"), count(is_number & (F.col("number") == 0)).alias("number_default"), F.min("number").alias("number_min"),
         F.max("number").alias("number_max"), F.sum("number").alias("number_sum"), count(kind == "string").alias("strings"), count(F.col("text") == "").alias("string_default"),
-        F.min(length).alias("length_min"), F.max(length).alias("length_max"), F.sum(length).alias("length_sum"), count(kind == "boolean").alias("booleans"), count("flag").alias("true_count"),
+        F.min(length).alias("length_min"), F.max(length).alias("length_max"), F.sum(length).alias("length_sum"), count(kind == "boolean").alias("booleans"), count(F.col("flag")).alias("true_count"),
         count(kind == "array").alias("arrays"), count((kind == "array") & (F.col("size") == 0)).alias("array_default"), count(kind == "obj").alias("objs"), count((kind == "obj") & (F.col("size") == 0)).alias("obj_default"),
     ]
     if sketches:
         aggregates += [F.hll_sketch_agg(F.col("number").cast("string"), PRECISION).alias("number_sketch"), F.hll_sketch_agg("text", PRECISION).alias("string_sketch"), F.hll_sketch_agg(length.cast("string"), PRECISION).alias("length_sketch")]
     out = nodes.groupBy(*by, "path").agg(*aggregates)
-    # arrays without any element still have a row for their elements
-    empty = out.where("arrays > 0").select(*by, F.concat("path", F.array(F.lit("*"))).alias("path"))
-    parents = out.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("path").alias("_path"), F.col("objs").alias("_objs"))
-    both = out.join(empty, [*by, "path"], "full") if by else out.join(empty, "path", "full")
-    numbers = [c for c, t in out.dtypes if t == "bigint" and c not in (*by, "number_sum", "length_sum")]
-    both = both.fillna(0, numbers)
-    condition = F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).eqNullSafe(F.col("_path")) & (F.size("path") > 0)
-    for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # one more look at the aggregated rows, gathered by parent: a row of each node for its own fields, one for itself, and one for the elements of arrays, used if there is none
     field = F.element_at("path", -1).startswith(".")
-    joined = both.join(parents, condition, "left")
-    total = F.when((F.size("path") > 0) & field, F.col("_objs")).otherwise(F.col("seen"))
+    parent = F.when((F.size("path") > 0) & field, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+    star = F.concat("path", F.array(F.lit("*")))
+    roles = F.array(
+        F.struct(F.lit("self").alias("role"), parent.alias("at")), F.when(F.col("objs") > 0, F.struct(F.lit("holder").alias("role"), F.col("path").alias("at"))),
+        F.when(F.col("arrays") > 0, F.struct(F.lit("elements").alias("role"), star.alias("at"))),
+    )
+    rows = out.select("*", F.explode(F.array_compact(roles)).alias("_r"))
+    same = Window.partitionBy(*by, "_r.at")
+    held = F.max(F.when(F.col("_r.role") == "holder", F.col("objs"))).over(same)
+    known = F.max((F.col("_r.role") == "self") & (F.col("path") == F.col("_r.at"))).over(same)
+    rows = rows.select("*", held.alias("_held"), known.alias("_known"))
+    added = F.col("_r.role") == "elements"
+    rows = rows.where((F.col("_r.role") == "self") | (added & ~F.coalesce("_known", F.lit(False))))
+    kept = [F.when(added, F.lit(0 if t == "bigint" and c != "length_sum" else None).cast(t)).otherwise(F.col(c)).alias(c) for c, t in out.dtypes if c not in (*by, "path")]
+    rows = rows.select(*by, F.when(added, F.col("_r.at")).otherwise(F.col("path")).alias("path"), "_held", *kept)
+    total = F.when((F.size("path") > 0) & field, F.col("_held")).otherwise(F.col("seen"))
     present = F.col("numbers") + F.col("strings") + F.col("booleans") + F.col("arrays") + F.col("objs")
-    joined = joined.withColumn("total", total).withColumn("nulls", total - present)
-    return joined.drop("seen", "_path", "_objs", *[f"_{c}" for c in by])
+    return rows.withColumn("total", total).withColumn("nulls", total - present).drop("seen", "_held")
 
 
 def value_rollup(digests: DataFrame, by: list[str]) -> DataFrame:

@@ -144,11 +144,11 @@ def value_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT lang AS sampler, CAST(count(*) AS BIGINT) AS total, CAST(count(text) AS BIGINT) AS strings, CAST(count(*) FILTER (text = '') AS BIGINT) AS string_default,
-    CAST(min(strlen(text)) AS BIGINT) AS length_min, CAST(max(strlen(text)) AS BIGINT) AS length_max, CAST(sum(strlen(text)) AS BIGINT) AS length_sum FROM documents WHERE lang IS NOT NULL GROUP BY ALL"""
+    """SELECT coalesce(lang, 'unknown') AS sampler, CAST(count(*) AS BIGINT) AS total, CAST(count(text) AS BIGINT) AS strings, CAST(count(*) FILTER (text = '') AS BIGINT) AS string_default,
+    CAST(min(strlen(text)) AS BIGINT) AS length_min, CAST(max(strlen(text)) AS BIGINT) AS length_max, CAST(sum(strlen(text)) AS BIGINT) AS length_sum FROM documents GROUP BY ALL"""
 )
 def value_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_samples(table(spark, sf_dir, "documents").where("lang is not null"), ["text"]).withColumnRenamed("lang", "sampler")
+    rows = typed_samples(table(spark, sf_dir, "documents").withColumn("sampler", F.coalesce("lang", F.lit("unknown"))), ["text"])
     out = vd.value_digest(shred(rows, ["sampler"]), ["sampler"], False).where(path_text("path") == ".text")
     return out.select("sampler", "total", "strings", "string_default", F.col("length_min").cast("bigint").alias("length_min"), F.col("length_max").cast("bigint").alias("length_max"), "length_sum")
 
@@ -189,20 +189,25 @@ def cardinality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vd.cardinalities(vd.value_rollup(daily, ["sampler"])).select("sampler", path_text("path").alias("path"), "number_cardinality")
 
 
-_EVENT_VALUES = """CAST(count(*) AS BIGINT) AS total, CAST(count(value) AS BIGINT) AS numbers, CAST(count(*) - count(value) AS BIGINT) AS nulls, min(value) AS number_min, max(value) AS number_max, round(sum(value), 2) AS number_sum"""
+_EVENT_PATH_VALUES = f"""p AS (SELECT sampler, ts, path, CASE path WHEN '.value' THEN value WHEN '.event_id' THEN CAST(event_id AS DOUBLE) WHEN '.props.k' THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS value,
+    path IN ('', '.props') AS is_obj FROM e, {_EVENT_PATHS})"""
+_EVENT_PATH_STATS = """CAST(count(*) AS BIGINT) AS total, CAST(count(value) AS BIGINT) AS numbers, CAST(count(*) - count(value) - count(*) FILTER (is_obj) AS BIGINT) AS nulls,
+    CAST(count(*) FILTER (is_obj) AS BIGINT) AS objs, min(value) AS number_min, max(value) AS number_max, round(sum(value), 2) AS number_sum"""
+_STATS = ["total", "numbers", "nulls", "objs", "number_min", "number_max"]
 
 
-@query("WITH " + EVENT_ROWS + f" SELECT sampler, {_EVENT_VALUES} FROM e GROUP BY ALL")
+@query("WITH " + EVENT_ROWS + f", {_EVENT_PATH_VALUES} SELECT sampler, path, {_EVENT_PATH_STATS} FROM p GROUP BY ALL")
 def value_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = vd.value_digest(shred(_events(spark, sf_dir), ["sampler", "window_start"]), ["sampler", "window_start"], False)
-    out = vd.value_rollup(daily, ["sampler"]).where(path_text("path") == ".value")
-    return out.select("sampler", "total", "numbers", "nulls", "number_min", "number_max", F.round("number_sum", 2).alias("number_sum"))
+    out = vd.value_rollup(daily, ["sampler"])
+    return out.select("sampler", path_text("path").alias("path"), *_STATS, F.round("number_sum", 2).alias("number_sum"))
 
 
-@query("WITH " + EVENT_ROWS + f" SELECT sampler, date_trunc('day', ts) AS window_start, {_EVENT_VALUES} FROM e GROUP BY ALL")
+@query("WITH " + EVENT_ROWS + f", {_EVENT_PATH_VALUES} SELECT sampler, date_trunc('day', ts) AS window_start, path, {_EVENT_PATH_STATS} FROM p GROUP BY ALL")
 def value_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vd.value_digest(shred(_events(spark, sf_dir), ["sampler", "window_start"]), ["sampler", "window_start"], False).where(path_text("path") == ".value")
-    return out.select("sampler", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "numbers", "nulls", "number_min", "number_max", F.round("number_sum", 2).alias("number_sum"))
+    by = ["sampler", "window_start"]
+    out = vd.value_digest(shred(_events(spark, sf_dir), by), by, False)
+    return out.select("sampler", F.col("window_start").cast("timestamp_ntz").alias("window_start"), path_text("path").alias("path"), *_STATS, F.round("number_sum", 2).alias("number_sum"))
 
 
 @query()
@@ -242,12 +247,18 @@ def digest_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query()
+@query(
+    "WITH " + EVENT_ROWS + f""" SELECT date_trunc('day', ts) AS ts, resource, sampler, 'struct-digest' AS sample_type, 'all' AS streams, '{UID}' AS digest_uid,
+    '{{"obj":{{"count":"' || count(*) || '","fields":{{"event_id":{{"number":{{"integerNum":{{"count":"' || count(*) || '"}}}}}},"props":{{"obj":{{"count":"' || count(*) ||
+    '","fields":{{"k":{{"number":{{"integerNum":{{"count":"' || count(*) || '"}}}}}}}}}}}},"value":{{"number":{{"floatNum":{{"count":"' || count(value) || '"}}}}}}}}}}}}' AS body
+    FROM e GROUP BY date_trunc('day', ts), resource, sampler"""
+)
 def digest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = ["resource", "sampler", "window_start"]
-    bodies = st.struct_json(st.struct_digest(shred(_events(spark, sf_dir), by), by), by)
-    out = d.digest_records(bodies, d.Digest(UID, "all"))
-    return out.select("ts", "resource", "sampler", "sample_type", F.array_join("stream_uids", ",").alias("streams"), "digest_uid", "body")
+    digest = d.Digest(UID, "all")
+    by = d.grouping(digest)
+    bodies = st.struct_json(st.struct_digest(d.digest_nodes(_events(spark, sf_dir), digest), by), by)
+    out = d.digest_records(bodies, digest)
+    return out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "resource", "sampler", "sample_type", F.array_join("stream_uids", ",").alias("streams"), "digest_uid", "body")
 
 
 @query("WITH " + EVENT_ROWS + f", s AS (SELECT DISTINCT unnest(string_split({_STREAMS}, ',')) AS stream_uid FROM e) SELECT DISTINCT location, kind FROM s JOIN (VALUES {_VALUES}) t(digest_uid, stream_uid, kind, location) USING (stream_uid)")

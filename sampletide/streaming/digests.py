@@ -11,6 +11,6 @@ from sampletide.operators.struct_digest import struct_digest
 
 def windowed_struct_digest(samples: DataFrame, by: list[str], period: str, delay: str, json_numbers: bool = False) -> DataFrame:
     """Structure digests a window; rows later than ``delay`` behind the newest are left out, as a closed window is never reopened."""
-    nodes = shred(samples.withWatermark("ts", delay), [*by, "ts"])
+    nodes = shred(samples, [*by, "ts"]).withWatermark("ts", delay)
     nodes = nodes.withColumn("flush", F.window("ts", period))
     return struct_digest(nodes, [*by, "flush"], json_numbers).withColumn("window_start", F.col("flush.start")).drop("flush")
