@@ -28,7 +28,9 @@ class _Nodes:
     def __init__(self) -> None:
         self.paths: list[tuple[str, ...]] = [()]
         self.known: dict[tuple[int, str], int] = {}
-        self.owner, self.path, self.kind, self.number, self.text, self.flag, self.size, self.truncated = ([] for _ in range(8))
+        self.rows: list[tuple] = []
+        self.owner: list[int] = []
+        self.truncated: list[bool] = []
 
     def below(self, path: int, part: str) -> int:
         number = self.known.get((path, part))
@@ -59,30 +61,28 @@ class _Nodes:
 
     def add(self, owner: int, nodes: list[tuple[int, object]], truncated: bool) -> None:
         for path, x in nodes:
-            kind, number, text, flag, size = _NULL, None, None, None, None
-            if isinstance(x, str):
+            kind, number, text, flag, size, is_a = _NULL, None, None, None, None, type(x)
+            if is_a is str:
                 kind, text = _STRING, x
-            elif isinstance(x, bool):
-                kind, flag = _BOOLEAN, x
-            elif isinstance(x, int):
-                kind, number = (_INT if -(1 << 63) <= x < 1 << 63 else _FLOAT), float(x)
-            elif isinstance(x, float):
+            elif is_a is float:
                 kind, number = _FLOAT, x
-            elif x is not None:
-                kind, size = (_OBJ if type(x) is dict else _ARRAY), len(x)
-            self.path.append(path)
-            self.kind.append(kind)
-            self.number.append(number)
-            self.text.append(text)
-            self.flag.append(flag)
-            self.size.append(size)
+            elif is_a is int:
+                kind, number = (_INT if -(1 << 63) <= x < 1 << 63 else _FLOAT), float(x)
+            elif is_a is dict:
+                kind, size = _OBJ, len(x)
+            elif is_a is list:
+                kind, size = _ARRAY, len(x)
+            elif is_a is bool:
+                kind, flag = _BOOLEAN, x
+            self.rows.append((path, kind, number, text, flag, size))
         self.owner += [owner] * len(nodes)
         self.truncated += [truncated] * len(nodes)
 
     def columns(self) -> list[pa.Array]:
-        paths = pa.array(self.paths, pa.list_(pa.string())).take(pa.array(self.path, pa.int32()))
-        kinds = pa.array(KINDS).take(pa.array(self.kind, pa.int8()))
-        return [paths, kinds, pa.array(self.number, pa.float64()), pa.array(self.text, pa.string()), pa.array(self.flag, pa.bool_()), pa.array(self.size, pa.int32())]
+        path, kind, number, text, flag, size = zip(*self.rows, strict=True) if self.rows else ((),) * 6
+        paths = pa.array(self.paths, pa.list_(pa.string())).take(pa.array(path, pa.int32()))
+        kinds = pa.array(KINDS).take(pa.array(kind, pa.int8()))
+        return [paths, kinds, pa.array(number, pa.float64()), pa.array(text, pa.string()), pa.array(flag, pa.bool_()), pa.array(size, pa.int32())]
 
 
 def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None) -> DataFrame:
@@ -92,9 +92,9 @@ def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, last = _Nodes(), batch.num_rows - 1
+            nodes, last, parse = _Nodes(), batch.num_rows - 1, json.JSONDecoder().decode
             for i, text in enumerate(batch.column("_json").to_pylist()):
-                own, truncated = nodes.walk(json.loads(text)), False
+                own, truncated = nodes.walk(parse(text)), False
                 if budget is not None:
                     own, truncated = nodes.within(own, budget)
                 nodes.add(i, own, truncated)

@@ -28,20 +28,34 @@ def template_body(template: dict[str, Column]) -> Column:
     return F.coalesce(body, F.lit(""))
 
 
-def matches(records: DataFrame, event: Event) -> DataFrame:
-    """Raw records of the event's stream for which its rule is true; null is an error of this event only."""
-    rows = records.where(F.array_contains("stream_uids", event.stream_uid) & (F.col("sample_type") == "raw"))
-    return event.rule.column(rows).where("matched").drop("matched")
+def _hits(records: DataFrame, group: list[Event]) -> DataFrame:
+    """A row per raw record and event of ``group`` whose rule it matches, with the event's columns. The records are read once."""
+    rows, columns = records, records.columns
+    for i, e in enumerate(group):
+        rows = e.rule.column(rows, f"_hit{i}")
+    each = []
+    for i, e in enumerate(group):
+        body = template_body(e.template) if e.template else F.col("body")
+        one = F.struct(F.lit(e.uid).alias("event_uid"), F.lit(e.rule.expression).alias("event_rule"), F.lit(e.stream_uid).alias("_stream"), F.lit(e.limit).alias("_limit"), body.alias("_body"))
+        each.append(F.when(F.col(f"_hit{i}") & F.array_contains("stream_uids", e.stream_uid), one))
+    rows = rows.withColumn("_event", F.explode(F.array_compact(F.array(*each))))
+    return rows.select(*[c for c in columns if c not in ("event_uid", "event_rule")], "_event.*")
 
 
 def events(records: DataFrame, definitions: list[Event], order: list[str]) -> DataFrame:
-    """All events' records; a limited event passes a token bucket a sampler, after its rule matched."""
-    out = []
+    """All events' records; a limited event passes a token bucket a sampler, after its rule matched. A null match is an error of that event only.
+
+    Events whose rules remember nothing share one pass over the records, as do those of one stream whose rules do: what they
+    remember is of that stream alone.
+    """
+    raw = records.where(F.col("sample_type") == "raw")
+    groups: dict[str | None, list[Event]] = {}
     for e in definitions:
-        hit = token_bucket(matches(records, e), ["resource", "sampler"], e.limit, order)
-        body = template_body(e.template) if e.template else F.col("body")
-        out.append(record(hit, "event", stream_uids=F.array(F.lit(e.stream_uid)), stream_names=F.array().cast("array<string>"), encoding=F.lit("json"), body=body, event_uid=F.lit(e.uid), event_rule=F.lit(e.rule.expression)))
-    return merged(*out)
+        groups.setdefault(e.stream_uid if e.rule.helpers else None, []).append(e)
+    hits = merged(*[_hits(raw if stream is None else raw.where(F.array_contains("stream_uids", stream)), group) for stream, group in groups.items()])
+    if any(e.limit >= 0 for e in definitions):
+        hits = token_bucket(hits, ["event_uid", "resource", "sampler"], F.col("_limit"), order)
+    return record(hits, "event", stream_uids=F.array("_stream"), stream_names=F.array().cast("array<string>"), encoding=F.lit("json"), body=F.col("_body"))
 
 
 def config_diff(old: DataFrame, new: DataFrame) -> DataFrame:

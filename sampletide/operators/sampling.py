@@ -59,29 +59,30 @@ class Bucket:
         return True
 
 
-def token_bucket(df: DataFrame, by: list[str], limit: int, order: list[str]) -> DataFrame:
+def token_bucket(df: DataFrame, by: list[str], limit: int | Column, order: list[str]) -> DataFrame:
     """The rows that a token bucket a group lets through, in the order of ``order`` (ts first). -1: all; 0: none.
 
     What a bucket lets through depends on what it let through before, so a group is one sequence: it is sorted by Spark
-    and streamed through the bucket, never held. Groups share nothing.
+    and streamed through the bucket, never held. Groups share nothing. ``limit`` may be a column that is constant in a group.
     """
-    if limit < 0:
+    if isinstance(limit, int) and limit < 0:
         return df
-    if limit == 0:
+    if isinstance(limit, int) and limit == 0:
         return df.where("false")
-    rows = df.repartition(*by).sortWithinPartitions(*by, *order)
+    rows = df.withColumn("_limit", F.lit(limit) if isinstance(limit, int) else limit.cast("int"))
+    rows, columns = rows.repartition(*by).sortWithinPartitions(*by, *order), df.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bucket = None, Bucket(limit)
+        now, bucket = None, None
         for part in parts:
             keys = list(part[by].itertuples(index=False, name=None))
             seconds = (part[order[0]] - pd.Timestamp(0)).dt.total_seconds().tolist()
             keep = []
-            for key, at in zip(keys, seconds, strict=True):
+            for key, at, most in zip(keys, seconds, part["_limit"].tolist(), strict=True):
                 if key != now:
-                    now, bucket = key, Bucket(limit)
-                keep.append(bucket.take(at))
-            yield part[keep]
+                    now, bucket = key, Bucket(most)
+                keep.append(most < 0 or most > 0 and bucket.take(at))
+            yield part.loc[keep, columns]
 
     return rows.mapInPandas(run, df.schema)
 
@@ -133,7 +134,8 @@ def translate_streams(records: DataFrame, config: DataFrame) -> DataFrame:
 
     ``config``: resource, sampler, name, uid. A record looks its names up in one map a sampler.
     """
-    maps = config.groupBy("resource", "sampler").agg(F.map_from_entries(F.collect_set(F.struct("name", "uid"))).alias("_uids"))
+    names = config.where("name is not null").groupBy("resource", "sampler", "name").agg(F.min("uid").alias("uid"))  # of a repeated name the least uid
+    maps = names.groupBy("resource", "sampler").agg(F.map_from_entries(F.collect_list(F.struct("name", "uid"))).alias("_uids"))
     rows = records.join(maps, ["resource", "sampler"], "left")
     applies = (F.size("stream_names") > 0) & (F.size("stream_uids") == 0) & F.col("_uids").isNotNull()
     found = F.transform("stream_names", lambda n: F.element_at("_uids", n))

@@ -13,7 +13,7 @@ from sampletide.operators.digests import Digest, digest_records, with_window
 from sampletide.functions.shred import shred
 from sampletide.plans.config import dead_letter_changes
 from sampletide.queries.digests import UID
-from sampletide.queries.registry import EVENT_ROWS, event_rows, query
+from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
 from sampletide.sources.records import record
 from sampletide.sources.samples import typed_samples
 
@@ -48,10 +48,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_uid", "resource", "sampler", "sample_key", F.col("stream_uids")[0].alias("stream"), F.get_json_object("body", "$.amount").cast("double").alias("amount"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + FAST_ROWS + f""", o AS (SELECT *, {_UP} AS up FROM f),
+    hits AS (SELECT '{EVENT_UID}' AS event_uid, * FROM o WHERE event_type = 'purchase' AND value > 100 UNION ALL SELECT 'e-order', * FROM o WHERE NOT up), """
+    + bucket_sql("kept", "hits", 1, "event_uid, resource, sampler") + " SELECT event_uid, resource, sampler, sample_key, make_timestamp(us) AS ts FROM kept"
+)
 def event_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
-    return ev.events(rows, _definitions(1), _ORDER).select("event_uid", "resource", "sampler", "sample_key", "ts")
+    return ev.events(rows, _definitions(1), _ORDER).select("event_uid", "resource", "sampler", "sample_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, '{\"key\":' || to_json(sample_key) || ',\"kind\":' || to_json(event_type) || '}' AS body FROM e")
@@ -76,14 +80,14 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(spark, sf_dir).groupBy("sampler", F.col("props").alias("body")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query()
+@query("WITH RECURSIVE " + FAST_ROWS + ", " + bucket_sql("kept", "f", 1) + " SELECT 'sample_sent_to_dlq' AS event_uid, resource, sampler, make_timestamp(us) AS ts FROM kept")
 def dlq_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _raw(spark, sf_dir).where("sampler = 'error'").withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
+    """Every resource's every sampler taken as a dead-letter sampler."""
+    rows = _raw(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
     preset = dead_letter_changes(rows.select("resource", "sampler").distinct(), F.lit(1))
-    limit = F.get_json_object("payload", "$.limit").cast("int")
-    first = preset.select("uid", limit.alias("limit")).first()
-    out = ev.events(rows, [ev.Event(first["uid"], first["uid"], "u-all", r.Rule("true"), first["limit"])], _ORDER)
-    return out.select("event_uid", "resource", "sampler", "ts")
+    found = preset.select("uid", F.get_json_object("payload", "$.rule").alias("rule"), F.get_json_object("payload", "$.limit").cast("int").alias("limit")).distinct().collect()  # one event: samplers share it
+    out = ev.events(rows, [ev.Event(x["uid"], x["uid"], "u-all", r.Rule(x["rule"]), x["limit"]) for x in found], _ORDER)
+    return out.select("event_uid", "resource", "sampler", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS uid, CASE WHEN o_orderstatus = 'O' THEN 'add' WHEN o_orderstatus = 'P' THEN 'remove' ELSE 'rebuild' END AS action FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0")
@@ -131,7 +135,17 @@ def field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(m.field_path(F.array(F.lit(".x\\y"), F.concat(F.lit('.a"'), "sampler")), "number").alias("field_path"))
 
 
-@query()
+def _uuid_sql(space: str, name: str, out: str, source: str) -> str:
+    """A common table of ``source`` with ``out``, the 32 hexadecimal digits of the name-based UUID of ``name``."""
+    return f"""{out}_h AS (SELECT *, sha1(unhex({space}) || encode({name})) AS h FROM {source}),
+    {out}_t AS (SELECT * EXCLUDE (h), substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', ((instr('0123456789abcdef', substr(h, 17, 1)) - 1) & 3) + 1, 1) || substr(h, 18, 15) AS {out} FROM {out}_h)"""
+
+
+_ID = "id2"
+_PARTS = " || '_' || ".join(f"substr({_ID}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+@query(f"WITH m AS ({_METRICS}), {_uuid_sql(repr(UID.replace('-', '')), 'field_path', 'id1', 'm')}, {_uuid_sql('id1', 'name', _ID, 'id1_t')} SELECT sampler, field_path, name, '_' || {_PARTS} AS metric_id FROM id2_t")
 def metric_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.value_metrics(_values(spark, sf_dir), ["sampler"])
     return rows.select("sampler", "field_path", "name", m.metric_id(F.lit(UID), F.col("field_path"), F.col("name")).alias("metric_id"))

@@ -36,3 +36,16 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rows in SQL.
 EVENT_ROWS = "e AS (SELECT event_id, ts, 'app' || (user_id % 4) AS resource, event_type AS sampler, CAST(user_id AS VARCHAR) AS sample_key, user_id, event_type, value, props, strlen(props) AS sample_size FROM events)"
+
+
+def bucket_sql(name: str, source: str, limit: int, by: str = "resource, sampler") -> str:
+    """Common tables (to follow WITH RECURSIVE) of which ``name`` holds the rows of ``source`` (us: event time in microseconds) that a token bucket lets through."""
+    same = " AND ".join(f"b.{c} = t.{c}" for c in by.split(", "))
+    return f"""{name}_t AS (SELECT *, us / 1e6 AS s, row_number() OVER (PARTITION BY {by} ORDER BY us, event_id) AS k FROM {source}),
+    {name}_b AS (SELECT {by}, k, s, CAST({limit} AS DOUBLE) AS had FROM {name}_t WHERE k = 1
+        UNION ALL SELECT {", ".join("t." + c for c in by.split(", "))}, t.k, t.s, least({limit}, (CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END) + greatest(0, t.s - b.s) * {limit}) FROM {name}_b b JOIN {name}_t t ON {same} AND t.k = b.k + 1),
+    {name} AS (SELECT t.* EXCLUDE (s, k) FROM {name}_t t JOIN {name}_b b ON {same} AND t.k = b.k WHERE had >= 1)"""
+
+
+#: ``event_rows`` with us: event time that runs a thousand times as fast, so that limits bite.
+FAST_ROWS = EVENT_ROWS + ", f AS (SELECT *, CAST(trunc(epoch_us(ts) / 1e9 * 1e6) AS BIGINT) AS us FROM e)"

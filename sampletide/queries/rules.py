@@ -53,16 +53,15 @@ def sequence_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(spark, sf_dir).select("event_id", r.sequence(F.col("value"), "desc", ["resource", "sampler", "sample_key"], _ORDER).alias("ok"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_linenumber = lag(l_linenumber) OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) + 1, true) AS ok FROM lineitem")
+@query("WITH " + EVENT_ROWS + " SELECT event_id, coalesce(event_id = lag(event_id) OVER (PARTITION BY resource, sampler ORDER BY ts, event_id) + 1, true) AS ok FROM e")
 def complete_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", r.complete(F.col("l_linenumber"), 1, ["l_returnflag", "l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).alias("ok"))
+    return event_rows(spark, sf_dir).select("event_id", r.complete(F.col("event_id"), 1, ["resource", "sampler"], _ORDER).alias("ok"))
 
 
-@query("SELECT conv_id, turn, coalesce(turn = lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) + 1, true) AS ok FROM conversations WHERE role <> 'system'")
+@query("SELECT conv_id, turn, coalesce(turn = lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) + 1, true) AS ok FROM conversations")
 def complete_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    return rows.select("conv_id", "turn", r.complete(F.col("turn"), 1, ["conv_id"], ["turn", "text"]).alias("ok"))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", r.complete(F.col("turn"), 1, ["conv_id"], ["turn", "role", "text"]).alias("ok"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampletide.operators import sampling as s
-from sampletide.queries.registry import EVENT_ROWS, event_rows, query
+from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
 from sampletide.sources.records import record
 
 STREAMS = [
@@ -31,14 +31,14 @@ def fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.within_window(event_rows(spark, sf_dir), ["sampler"], 2, ["ts", "event_id"], "1 hour").select("event_id", "sampler")
 
 
-@query()
+@query("WITH RECURSIVE " + FAST_ROWS + ", " + bucket_sql("kept", "f", 1) + " SELECT event_id, resource, sampler, make_timestamp(us) AS ts FROM kept")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     # event time runs a thousand times as fast, so that the limit bites
     rows = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
-    return s.token_bucket(rows, ["resource", "sampler"], 1, ["ts", "event_id"]).select("event_id", "resource", "sampler", "ts")
+    return s.token_bucket(rows, ["resource", "sampler"], 1, ["ts", "event_id"]).select("event_id", "resource", "sampler", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query()
+@query("WITH RECURSIVE " + FAST_ROWS + ", w AS (SELECT * FROM f WHERE event_type = 'purchase' OR value > 100), " + bucket_sql("kept", "w", 1) + " SELECT event_id, resource, sampler FROM kept")
 def limiter_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.assign_streams(event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9)), STREAMS[:2])
     return s.token_bucket(rows.where(F.size("stream_uids") > 0), ["resource", "sampler"], 1, ["ts", "event_id"]).select("event_id", "resource", "sampler")
@@ -61,7 +61,10 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.raw_export(rows, STREAMS).select("resource", "sampler", "sample_key", "sample_type", F.array_join("stream_uids", ",").alias("streams"), "body")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + FAST_ROWS + ", " + bucket_sql("entered", "f", 2) + f", chosen AS (SELECT *, {_STREAMS} AS streams FROM entered WHERE {_LOW} <= 4294967295 // 2), held AS (SELECT * FROM chosen WHERE streams <> ''), "
+    + bucket_sql("kept", "held", 1) + " SELECT event_id, resource, sampler, streams FROM kept"
+)
 def sampler_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
     out = s.sampler_pipeline(rows, STREAMS, 2, 2, 1, ["resource", "sampler"], ["ts", "event_id"])

@@ -77,10 +77,10 @@ def flatten_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("resource", "sampler", "sample_type", "sample_key").agg(F.count("*").alias("n"), F.min("body").alias("least"))
 
 
-@query("WITH " + EVENT_ROWS + " SELECT resource, sampler, CAST(count(*) AS BIGINT) AS n_records FROM e GROUP BY ALL")
+@query("WITH " + EVENT_ROWS + " SELECT resource, sampler, CAST(count(*) AS BIGINT) AS n_records FROM e GROUP BY resource, sampler, date_trunc('day', ts)")
 def nest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.record(event_rows(spark, sf_dir), "raw", body=F.col("props"))
-    logs = samples.nest_logs(rows)
+    logs = samples.nest_logs(rows, "1 day")
     return logs.select(F.col("resource.attributes")[0]["value"].alias("resource"), F.inline("scope_logs")).select("resource", F.col("name").alias("sampler"), F.size("log_records").cast("bigint").alias("n_records"))
 
 

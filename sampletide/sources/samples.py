@@ -40,22 +40,26 @@ def read_topics(spark: SparkSession, servers: str, pattern: str, **options: str)
     return topic_messages(reader.options(**options).load())
 
 
-def nest_logs(records: DataFrame) -> DataFrame:
+def nest_logs(records: DataFrame, period: str = "1 minute", lots: int = 1) -> DataFrame:
     """Records as nested logs: resource_logs of resource and scope_logs of scope and log_records with attributes.
 
-    A row per (resource, sampler), so a resource's samplers need not meet in one task.
+    A row per resource, sampler, period of event time and lot, so that no row grows with the whole of a sampler's records; ``lots``
+    deals the records of one period to several rows. Records without a time share a period.
     """
     pairs = [("sample.type", F.col("sample_type")), ("sample.key", F.col("sample_key")), ("sample.encoding", F.col("encoding"))]
     attributes = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs])
     record = F.struct("ts", attributes.alias("attributes"), "stream_uids", "body")
-    scopes = records.groupBy("resource", "sampler").agg(F.sort_array(F.collect_list(record)).alias("log_records"))
+    lot = F.pmod(F.xxhash64("ts", "sample_key", "body"), F.lit(lots)).alias("_lot")
+    origin = F.lit("1970-01-01").cast("timestamp")  # F.window would leave out records without a time
+    ticks = F.floor((F.unix_micros("ts") - F.unix_micros(origin)) / (F.expr(f"unix_micros(timestamp_micros(0) + interval {period})"))).alias("_period")
+    scopes = records.groupBy("resource", "sampler", ticks, lot).agg(F.sort_array(F.collect_list(record)).alias("log_records"))
     named = F.array(F.struct(F.lit("service.name").alias("key"), F.col("resource").alias("value")))
     return scopes.select(F.struct(named.alias("attributes")).alias("resource"), F.array(F.struct(F.col("sampler").alias("name"), "log_records")).alias("scope_logs"))
 
 
 def flatten_logs(logs: DataFrame) -> DataFrame:
-    """Nested logs as records; resource from the attribute service.name, sampler from the scope's name. Missing keys are ""."""
-    attribute = lambda c, k: F.coalesce(F.element_at(F.map_from_entries(c), k), F.lit(""))
+    """Nested logs as records; resource from the attribute service.name, sampler from the scope's name. Missing keys are "", of repeated ones the first counts."""
+    attribute = lambda c, k: F.coalesce(F.get(F.filter(c, lambda x: x["key"] == k), F.lit(0))["value"], F.lit(""))
     scopes = logs.select(attribute(F.col("resource.attributes"), "service.name").alias("resource"), F.inline("scope_logs"))
     rows = scopes.select("resource", F.col("name").alias("sampler"), F.inline("log_records"))
     return rows.select("ts", "resource", "sampler", attribute(F.col("attributes"), "sample.type").alias("sample_type"), F.coalesce("stream_uids", F.array().cast("array<string>")).alias("stream_uids"), attribute(F.col("attributes"), "sample.key").alias("sample_key"), attribute(F.col("attributes"), "sample.encoding").alias("encoding"), "body")

@@ -14,7 +14,7 @@ from sampletide.operators import events as ev
 from sampletide.operators import metrics as m
 from sampletide.operators import struct_digest as st
 from sampletide.operators import value_digest as vd
-from sampletide.operators.digests import Digest, digest_records, grouping
+from sampletide.operators.digests import Digest, digest_nodes, digest_records, grouping
 from sampletide.streaming.digests import windowed_struct_digest
 from sampletide.streaming.stateful import limited, remembered
 
@@ -75,6 +75,18 @@ def test_typed_numbers_keep_their_class(spark):
     assert rows[".i"].ints == 1 and rows[".f"].floats == 1
 
 
+def test_times_and_bytes_of_typed_samples_are_text(spark):
+    df = spark.sql("select 'g' as g, to_variant_object(named_struct('t', timestamp'2024-01-02 03:04:05', 'd', date'2024-01-02', 'b', cast('xyz' as binary), 'n', cast(null as date))) as sample")
+    rows = {r.p: r for r in vd.value_digest(shred(df, ["g"]), ["g"], False).withColumn("p", path_text("path")).collect()}
+    assert [(rows[p].strings, rows[p].nulls) for p in (".t", ".d", ".b", ".n")] == [(1, 0), (1, 0), (1, 0), (0, 1)]
+
+
+def test_digests_take_their_field_budget(spark):
+    df = samples(spark, {f"k{i:03}": i for i in range(300)}).withColumn("resource", F.lit("r")).withColumn("sampler", F.lit("s")).withColumn("window_start", F.lit("2024-01-01").cast("timestamp"))
+    nodes = digest_nodes(df, Digest("d", "u"))
+    assert nodes.count() == 1 + 49 and nodes.where("truncated").count() == 50  # 100 steps: the root and 49 fields of 2
+
+
 def test_value_digest_examples(spark):
     got = values(spark, {"booleanField": True})
     assert (got[""].total, got[".booleanField"].total, got[".booleanField"].nulls, got[".booleanField"].true_count, got[".booleanField"].booleans) == (1, 1, 0, 1, 1)

@@ -142,3 +142,21 @@ def test_targets(spark, resource, sampler, want):
 def test_names(spark):
     df = spark.createDataFrame([("a.b/(c)-_1",), ("a b",), ("a\n",), ("",)], "name string").withColumn("resource", F.lit("r")).withColumn("sampler", F.lit("s")).withColumn("section", F.lit("events")).withColumn("op", F.lit("upsert")).withColumn("sample_type", F.lit("raw"))
     assert [len(x.errors) for x in c.validated_changes(df).collect()] == [0, 1, 1, 0]
+
+
+def test_repeated_keys_do_not_end_a_job(spark):
+    logs = spark.sql("""select named_struct('attributes', array(named_struct('key', 'service.name', 'value', 'a'), named_struct('key', 'service.name', 'value', 'b'))) as resource,
+        array(named_struct('name', 's', 'log_records', array(named_struct('ts', timestamp'2024-01-01', 'attributes', array(named_struct('key', 'sample.key', 'value', '1'), named_struct('key', 'sample.key', 'value', '2')),
+        'stream_uids', array('u'), 'body', '{}')))) as scope_logs""")
+    assert [(r.resource, r.sampler, r.sample_key, r.encoding) for r in samples.flatten_logs(logs).collect()] == [("a", "s", "1", "")]
+    config = spark.createDataFrame([("r", "s", "n", "2"), ("r", "s", "n", "1"), ("r", "s", None, "3")], "resource string, sampler string, name string, uid string")
+    given = spark.createDataFrame([("r", "s", ["n", "x"], [])], "resource string, sampler string, stream_names array<string>, stream_uids array<string>")
+    row = s.translate_streams(given, config).head()
+    assert (row.stream_uids, row.errors) == (["1"], ["x"])
+
+
+def test_nested_logs_are_bounded_by_their_period(spark):
+    rows = spark.range(100).selectExpr("timestamp_seconds(id * 30) as ts", "'r' as resource", "'s' as sampler", "'raw' as sample_type", "array('u') as stream_uids", "cast(id as string) as sample_key", "'json' as encoding", "'{}' as body")
+    logs = samples.nest_logs(rows.unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))))
+    sizes = [len(r.scope_logs[0].log_records) for r in logs.collect()]
+    assert sorted(sizes) == [1] + [2] * 50 and samples.flatten_logs(logs).count() == 101
