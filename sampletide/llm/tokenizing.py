@@ -3,6 +3,10 @@
 Both vocabularies used here split a text before they look anything up, and never across the edge between
 a non-space and the white space before or after it. So a text's ids are those of its words in order; a word is
 a maximal run without white space, with the one space before it where the vocabulary keeps that.
+
+Nor do they look up letters together with punctuation: a new word of Latin letters and punctuation behind them is encoded
+as these two parts, each by the library's model alone and once a task; a vocabulary without upper case gets its letters in
+lower case. All other new words pass through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+from array import array
 
 import numpy as np
 
@@ -20,6 +25,17 @@ _OTHER = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002
 #: A private character that parts words whose vocabulary drops white space.
 _MARK = "\ue000"
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Letters up to U+017F that composition leaves as they are and whose lower case is one letter, then ASCII punctuation.
+_PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in both vocabularies: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def _cut(text: str) -> list[str]:
@@ -44,10 +60,10 @@ class _Numbers(dict):
 class Encoder:
     """Encodes lists of texts. ``keeps_space``: white space has ids too (byte-level); else it is dropped.
 
-    ``most_words`` bounds the words remembered; beyond it the memory starts anew, which alters no ids.
+    ``most_words`` and ``most_parts`` bound what is remembered; beyond them the memory starts anew, which alters no ids.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most_words: int = 700_000) -> None:
+    def __init__(self, path: str, keeps_space: bool, most_words: int = 700_000, most_parts: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,7 +71,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space, self.most_words = keeps_space, most_words
+        self.keeps_space, self.most_words, self.most_parts = keeps_space, most_words, most_parts
+        self.model, self.parts = self.tokenizer.model, {}
         self.between = "\n" if keeps_space else f" {_MARK} "
         self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.forget()
@@ -74,12 +91,10 @@ class Encoder:
     def learn(self) -> None:
         """Encode the words that have a number but no ids yet."""
         words, self.numbers.new = self.numbers.new, []
-        if self.keeps_space:
-            plain = [w[1:] if w[:1] == "\0" else " " + w for w in words]
-        else:
-            plain = words
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
         for begin in range(0, len(words), 4096):
-            part = plain[begin : begin + 4096]
+            part = words[begin : begin + 4096]
             flat, sizes = self._ids(part)
             ends = self.n_ids + np.cumsum(sizes)
             while ends[-1] > len(self.ids):
@@ -91,8 +106,37 @@ class Encoder:
             self.ends[self.n_words + 1 : self.n_words + 1 + len(part)] = ends
             self.n_ids, self.n_words = int(ends[-1]), self.n_words + len(part)
 
+    def _part(self, part: str) -> bytes:
+        """The ids of one part, letters or punctuation, with the space before it or without."""
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        text = text.replace(" ", chr(_BYTE_LETTERS[32]))
+        self.parts[part] = ids = array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
+        known, rest, found = self.parts.get, [], []
+        for word in words:
+            if self.keeps_space:
+                before, word = ("", word[1:]) if word[:1] == "\0" else (" ", word)
+            whole = _PARTS.fullmatch(word)
+            if not whole:
+                rest.append(len(found))
+                found.append(before + word if self.keeps_space else word)
+                continue
+            letters, marks = whole.groups()
+            letters = before + letters if self.keeps_space else letters.lower()
+            ids = known(letters) or self._part(letters)
+            found.append(ids + (known(marks) or self._part(marks)) if marks else ids)
+        if rest:
+            flat, sizes = self._whole([found[i] for i in rest])
+            ends = np.cumsum(sizes).tolist()
+            for i, begin, end in zip(rest, [0, *ends], ends, strict=False):
+                found[i] = flat[begin:end].tobytes()
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids``, by the whole tokenizer."""
         # one text of words with a mark between them, whose ids stand apart from theirs, costs less than many texts
         clear = not any(map(str.isspace, words)) if self.keeps_space else _MARK not in "".join(words)
         if clear:

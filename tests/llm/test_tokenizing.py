@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from sampletide.llm import tokenizing
 
-PARTS = [" ", "  ", "\n", "\t", "\r", "a", "B", "é", "É", "ß", "1", "23", "'s", "'re", "!", "...", "\xa0", "　", "́", "中", "😀", "İ", "\x1c", "\x85", "<|endoftext|>", "ſ", "\x00", "​", "Σ", "x", " y", "\ue000", "\ue001"]
+PARTS = ["Word", "ÈÉ", "Zŀ", "Ärgerſ", "end.", "x%%%", "Ĳ", "µ", "º", "don", " ", "  ", "\n", "\t", "\r", "a", "B", "é", "É", "ß", "1", "23", "'s", "'re", "!", "...", "\xa0", "　", "́", "中", "😀", "İ", "\x1c", "\x85", "<|endoftext|>", "ſ", "\x00", "​", "Σ", "x", " y", "\ue000", "\ue001"]
 
 
 @pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
