@@ -2,14 +2,13 @@
 
 Every document becomes token ids and an end id; only those longer than a sequence are cut. From the histogram of
 piece lengths (at most ``capacity`` rows) the driver enumerates patterns of a few lengths that fill a
-sequence, fits their repeat counts by non-negative least squares, rounds them down, and packs what is left best-fit
+sequence, fits their repeat counts by non-negative least squares, rounds them, and packs what is left best-fit
 decreasing. The plan has ranges of ranks among pieces of one length; ranks are found without gathering a length
 in one task. Null and empty texts are the end id alone; repeated rows are pieces of their own; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +22,14 @@ from sampletide.llm.common import batch_of, slices, written
 from sampletide.llm.tokenizing import encoder
 
 CAPACITY = 4096
-#: Patterns may leave so many tokens empty; pieces of a length are ranked in so many lots.
-SLACK, LOTS = 4, 64
+#: Patterns may leave so many tokens empty; lengths in a pattern, the last of them chosen to fill it; patterns that each length leads; about
+#: how many pieces of one length are ranked together.
+SLACK, MOST, FILL, DRAWS, LOT = 0, 12, 2, 6, 4096
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece: ``docs``' doc_id, piece, start, length, ids_crc32, and lot (dealt in turn to split hot lengths)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("lot", pa.int32())])
+    """A row per piece: ``docs``' doc_id, piece, start, length, ids_crc32, and turn (its number in the task, to split hot lengths)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, turn = encoder(tokenizer, keeps_space), 0
@@ -39,33 +39,39 @@ def pieces_of(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id
                 ids = np.append(ids, end_id).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    for name, x in zip(schema.names, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), turn % LOTS), strict=True):
+                    for name, x in zip(schema.names, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), turn), strict=True):
                         out[name].append(x)
                     turn += 1
             yield batch_of(schema, out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, lot int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def patterns(counts: np.ndarray, capacity: int, slack: int) -> np.ndarray:
-    """Rows of up to four lengths (0: none), ascending, that fill a sequence to within ``slack``; counts: by length."""
+    """Rows of up to ``MOST`` lengths (0: none), ascending, that fill a sequence to within ``slack``; counts: by length.
+
+    Every length present leads ``DRAWS`` rows. Lengths drawn by their counts follow while they fit, so that the rows use
+    lengths about as often as there are pieces of them, and the longest that fit fill what is left.
+    """
     present = np.flatnonzero(counts)
     if not len(present):
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, MOST), np.int64)
+    rng = np.random.default_rng(1)
     below = np.zeros(capacity + 1, np.int64)  # the longest length present up to each
     below[present] = present
     below = np.maximum.accumulate(below)
     share = np.cumsum(counts[present]) / counts.sum()
-    typical = lambda k: np.unique(present[np.searchsorted(share, (np.arange(k) + 0.5) / k)])
-    found = []
-    for middle in [(), *((b,) for b in typical(40)), *itertools.combinations_with_replacement(typical(9), 2)]:
-        rest = capacity - present - sum(middle)
-        for less in range(3):  # the longest that fits, and others
-            last = below[np.maximum(rest - less, 0)]
-            row = np.stack([present, *(np.full_like(present, b) for b in middle), last, *[np.zeros_like(present)] * (2 - len(middle))], 1)
-            total = row.sum(1)
-            found.append(row[(rest >= 0) & (total <= capacity) & (total >= capacity - slack)])
-    return np.unique(np.sort(np.concatenate(found), 1), axis=0)
+    rows = np.zeros((len(present) * DRAWS, MOST), np.int64)
+    rows[:, 0] = np.repeat(present, DRAWS)
+    rest = capacity - rows[:, 0]
+    for k in range(1, MOST - FILL):
+        drawn = present[np.minimum(np.searchsorted(share, rng.random(len(rows))), len(present) - 1)]
+        rows[:, k] = np.where(drawn <= rest, drawn, 0)
+        rest -= rows[:, k]
+    for k in range(MOST - FILL, MOST):
+        rows[:, k] = below[rest]
+        rest -= rows[:, k]
+    return np.unique(np.sort(rows[rest <= slack], 1), axis=0)
 
 
 def fitted(rows: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.ndarray:
@@ -108,29 +114,31 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[in
     return [x for groups in room.values() for x in groups]
 
 
+def placed(rows: np.ndarray, times: np.ndarray, left: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns as sequences, ``times`` each or as often as pieces are left; ``left`` is reduced.
+
+    Whole parts first, the most frequent pattern first, then one more for the largest remainders.
+    """
+    out: dict[int, int] = {}
+    each = [dict(zip(*(x.tolist() for x in np.unique(row[row > 0], return_counts=True)), strict=True)) for row in rows]
+    whole = np.floor(times + 1e-6).astype(np.int64)
+    for order, repeat in ((np.argsort(-whole, kind="stable"), whole), (np.argsort(whole - times, kind="stable"), (times > whole).astype(np.int64))):
+        for i in order.tolist():
+            if repeat[i] and (n := min([int(repeat[i]), *(int(left[k]) // m for k, m in each[i].items())])):
+                out[i] = out.get(i, 0) + n
+                for k, m in each[i].items():
+                    left[k] -= n * m
+    return [(n, list(each[i].items())) for i, n in out.items()]
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, list[tuple[int, int]]]]:
     """How to pack pieces of lengths 1 to ``capacity``: (how many sequences, [(length, pieces of it in each)])."""
-    left, out = counts.astype(np.int64).copy(), []
-    out += [(int(left[capacity]), [(capacity, 1)])] if left[capacity] else []
+    left = counts.astype(np.int64).copy()
+    out = [(int(left[capacity]), [(capacity, 1)])] if left[capacity] else []
     left[capacity] = 0
-    for _ in range(3):
-        rows = patterns(left, capacity, slack)
-        if not len(rows):
-            break
-        repeat, began = np.floor(fitted(rows, left) + 1e-6).astype(np.int64), int(left.sum())
-        for i in np.argsort(-repeat, kind="stable"):
-            if not repeat[i]:
-                break
-            each: dict[int, int] = {}
-            for length in rows[i].tolist():
-                if length:
-                    each[length] = each.get(length, 0) + 1
-            if n := min([int(repeat[i]), *(int(left[k]) // m for k, m in each.items())]):
-                out.append((n, list(each.items())))
-                for k, m in each.items():
-                    left[k] -= n * m
-        if began - left.sum() < 0.05 * began:
-            break
+    rows = patterns(left, capacity, slack)
+    if len(rows):
+        out += placed(rows, fitted(rows, left), left)
     return out + best_fit(left, capacity)
 
 
@@ -149,18 +157,20 @@ def ranges(packed: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a stored table with length and lot) with sequence_id and offset in place of lot."""
+    """``pieces`` (a stored table with length and turn) with sequence_id and offset in place of turn."""
     got = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow()  # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
     counts[got.column("length").to_numpy()] = got.column("n").to_numpy()
     rows = ranges(plan(counts, capacity))
     first = (rows[:, 0] << 44) + rows[:, 1]
 
-    lots = pieces.groupBy("length", "lot").agg(F.count("*").alias("n"))  # capacity times LOTS rows at most
+    per_length = F.lit(np.maximum(1, -(-counts // LOT)).tolist())
+    pieces = pieces.withColumn("lot", F.pmod("turn", F.element_at(per_length, F.col("length").cast("int") + 1))).drop("turn")
+    lots = pieces.groupBy("length", "lot").agg(F.count("*").alias("n"))
     lots = lots.select("length", "lot", (F.sum("n").over(Window.partitionBy("length").orderBy("lot")) - F.col("n")).alias("before"))
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "lot").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(lots), ["length", "lot"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "lot")
+    ranked = ranked.join(lots, ["length", "lot"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "lot")
     schema = T.StructType([f for f in ranked.schema if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Document operators against brute force, on small fixtures with the odd cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -301,6 +302,29 @@ def test_plans_place_every_piece():
         assert (used == counts).all()
 
 
+def test_patterns_fill_sequences_and_most_pieces():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.minimum(rng.geometric(1 / 900, 30000), 4095), minlength=4097)
+    rows = packing.patterns(counts, 4096, packing.SLACK)
+    assert (rows.sum(1) <= 4096).all() and (rows.sum(1) >= 4096 - packing.SLACK).all() and (counts[rows[rows > 0]] > 0).all()
+    left = counts.copy()
+    packing.placed(rows, packing.fitted(rows, counts), left)
+    assert (left >= 0).all() and left.sum() < 0.15 * counts.sum()
+    assert sum(n for n, _ in packing.plan(counts)) <= 1.001 * -(-int((counts * np.arange(4097)).sum()) // 4096)
+
+
+def test_fitted_repeats_are_the_least_squares_optimum():
+    """On a capacity of 12 with every pattern, the gradient is 0 where a pattern is used and not negative elsewhere."""
+    every = [x for n in range(1, 7) for x in itertools.combinations_with_replacement(range(1, 12), n) if sum(x) == 12]
+    rows = np.array([[*x, *[0] * (6 - len(x))] for x in every])
+    use = np.stack([np.bincount(row[row > 0], minlength=13) for row in rows], 1).astype(float)
+    for counts in (np.random.default_rng(1).integers(0, 50, 13), np.array([0, 9, 0, 0, 0, 0, 0, 40, 0, 0, 0, 0, 0])):
+        counts[[0, 12]] = 0
+        x = packing.fitted(rows, counts, rounds=5000)
+        gradient = use.T @ (use @ x - counts)
+        assert (x >= 0).all() and gradient.min() > -0.05 and abs(gradient * x).max() < 0.05 * max(1, x.max())
+
+
 def brute_distances(profiles, text):
     """The out-of-place distance to each language, and the largest there can be; none for a text without letters."""
     n = Counter()
