@@ -128,19 +128,21 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE users AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
         results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
         edges AS (SELECT u.conv_id, u.turn, p.turn AS needs FROM users u LEFT JOIN users p
-            ON u.conv_id = p.conv_id AND u.turn >= 2 AND p.turn = (u.turn // 4) * 2 + u.turn % 2),
+            ON u.conv_id = p.conv_id AND p.turn = CASE WHEN u.conv_id % 11 = 0 AND u.turn < 2 THEN u.turn + 2 ELSE u.turn - 2 END),
         levels AS (SELECT conv_id, turn, 0 AS level FROM edges WHERE needs IS NULL
             UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM levels l JOIN edges e ON e.conv_id = l.conv_id AND e.needs = l.turn),
         calls AS (SELECT u.*, level, 'call-' || u.conv_id || '-' || u.turn AS call_id, contains(text, chr(10)) AS lines,
-            len(string_split(text, ' ')) AS words FROM users u JOIN levels l ON u.conv_id = l.conv_id AND u.turn = l.turn),
-        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position FROM calls)
+            CASE WHEN contains(text, chr(10)) THEN 'rewrite' WHEN ends_with(text, '?') THEN 'translate' ELSE 'ask' END AS tool,
+            len(string_split(text, ' ')) AS words FROM users u LEFT JOIN levels l ON u.conv_id = l.conv_id AND u.turn = l.turn),
+        checked AS (SELECT *, CASE WHEN tool = 'translate' THEN 'unknown tool' WHEN words > 40 THEN 'words is not integer' WHEN text = '' THEN 'words is missing' ELSE '' END AS errors,
+            '{' || CASE WHEN lines AND words <= 40 THEN '"keep":' || (turn % 2 = 0) || ',' ELSE '' END || '"text":' || to_json(text)
+            || CASE WHEN words > 40 THEN ',"words":"' || words || '"' WHEN text = '' THEN '' ELSE ',"words":' || words END || '}' AS arguments FROM calls),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, call_id) - 1 AS position FROM checked)
         SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, 'call-' || r.conv_id || '-' || r.turn) AS call_id,
-            c.turn AS turn, r.turn + 1 AS result_turn, CASE WHEN lines THEN 'rewrite' WHEN NOT lines THEN 'ask' END AS tool,
-            level, position, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.n IS NULL THEN 'pending' ELSE 'ok' END AS status,
-            '' AS errors, coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
-            '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{' || CASE WHEN lines THEN '"keep":' || (c.turn % 2 = 0) || ',' ELSE '' END
-                || '"text":' || to_json(c.text) || ',"words":' || words || '}' END
-            || ',"id":"call-' || coalesce(c.conv_id, r.conv_id) || '-' || coalesce(c.turn, r.turn) || '","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null')
-            || ',"tool":' || CASE WHEN lines THEN '"rewrite"' WHEN NOT lines THEN '"ask"' ELSE 'null' END || '}' AS message
+            c.turn AS turn, r.turn + 1 AS result_turn, tool, level, position,
+            CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN level IS NULL THEN 'cyclic' WHEN errors <> '' THEN 'invalid' WHEN r.n IS NULL THEN 'pending' ELSE 'ok' END AS status,
+            coalesce(errors, '') AS errors, coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
+            '{"arguments":' || coalesce(arguments, 'null') || ',"id":"call-' || coalesce(c.conv_id, r.conv_id) || '-' || coalesce(c.turn, r.turn)
+            || '","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"tool":' || coalesce('"' || tool || '"', 'null') || '}' AS message
         FROM placed c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn""",
 }

@@ -16,50 +16,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sampletide.llm.common import removed, written
+from sampletide.llm.common import partitions, removed, written
 
 KEY = ["conv_id", "call_id"]
-#: Turns whose calls of one level are ranked together.
-BLOCK = 512
+
+
+def chains(single: DataFrame) -> DataFrame:
+    """Calls that need exactly one other (KEY, to): the nearest call on the way that doesn't, and how far it is.
+
+    By pointer doubling: a chain of n calls takes log2(n) rounds, each a written table. Calls whose way never ends have a null to.
+    """
+    now, at = written(single.withColumn("far", F.lit(1)).withColumn("open", F.lit(True)), "call-chains")
+    rounds = int(now.count()).bit_length() + 1  # after as many doublings only a circle still leads on
+    for _ in range(rounds):
+        ahead = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("open").alias("_open"))
+        on = F.col("_to").isNotNull()
+        both = now.join(ahead, ["conv_id", "to"], "left")
+        both = both.select(*KEY, F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), (on & F.coalesce("_open", F.lit(False))).alias("open"))
+        now, later = written(both, "call-chains")
+        removed(single.sparkSession, at)
+        at = later
+        if now.where("open").isEmpty():
+            break
+    return now.select(*KEY, F.when(~F.col("open"), F.col("to")).alias("to"), "far")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level (0: depends on nothing) of every call that can be ordered: as many rounds as levels."""
+    """conv_id, call_id and level (the longest way to a call that needs nothing) of every call that can be ordered.
+
+    Chains are contracted first, so the rounds that follow grow only with how deep calls of several needs are nested.
+    """
     known = calls.select(*KEY)
     edges = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs")).where("needs is not null")
     edges = edges.join(known.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
-    edges, at = written(edges, "call-edges")
-    solved, _ = written(known.join(edges.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    done, fresh = solved, solved
-    while not edges.isEmpty():
-        # an edge that ends at a call of the last level is settled; a call whose edges all are gets the next level
+    edges, _ = written(edges, "call-edges")
+    counts = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("needs").alias("to"))
+    chain, _ = written(chains(counts.where("n = 1").select(*KEY, "to")), "call-chains")
+    # calls of several needs, each need moved to the end of its chain
+    several = edges.join(counts.where("n > 1").select(*KEY), KEY, "left_semi")
+    ends = chain.select("conv_id", F.col("call_id").alias("needs"), F.col("to").alias("_to"), "far")
+    moved = several.join(ends, ["conv_id", "needs"], "left")
+    several, at = written(moved.select(*KEY, F.when(F.col("far").isNull(), F.col("needs")).otherwise(F.col("_to")).alias("needs"), (F.coalesce("far", F.lit(0)) + 1).alias("far")), "call-edges")
+    solved, _ = written(known.join(counts.select(*KEY), KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    done, fresh, left = solved, solved, several.withColumn("settled", F.lit(None).cast("int"))
+    while not left.isEmpty():
+        # an edge that ends at a call of the last round is settled; a call whose edges all are gets its level
         marks = fresh.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("found"))
-        edges, last = edges.join(marks, ["conv_id", "needs"], "left"), at
-        if "settled" in edges.columns:
-            edges = edges.withColumn("settled", F.greatest("settled", "found")).drop("found")
-        else:
-            edges = edges.withColumnRenamed("found", "settled")
-        by_call = edges.groupBy(*KEY).agg(F.max("settled").alias("level"), F.count_if(F.col("settled").isNull()).alias("open"))
-        fresh, _ = written(by_call.where("open = 0").select(*KEY, (F.col("level") + 1).alias("level")), "call-levels")
+        left, last = left.join(marks, ["conv_id", "needs"], "left"), at
+        left = left.withColumn("settled", F.coalesce("settled", F.col("found") + F.col("far"))).drop("found")
+        by_call = left.groupBy(*KEY).agg(F.max("settled").alias("level"), F.count_if(F.col("settled").isNull()).alias("open"))
+        fresh, _ = written(by_call.where("open = 0").select(*KEY, "level"), "call-levels")
         if fresh.isEmpty():  # what is left is cyclic or depends on it
             break
-        edges, at = written(edges.join(fresh.select(*KEY), KEY, "left_anti"), "call-edges")
+        left, at = written(left.join(fresh.select(*KEY), KEY, "left_anti"), "call-edges")
         removed(calls.sparkSession, last)
         done = done.unionByName(fresh)
-    return done
+    end = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_level"))
+    return done.unionByName(chain.join(end, ["conv_id", "to"]).select(*KEY, (F.col("_level") + F.col("far")).alias("level")))
 
 
 def positions(calls: DataFrame) -> DataFrame:
-    """``calls`` with position: the rank by (level, turn, call_id) in the conversation, from counts of blocks of turns."""
-    calls = calls.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    cell = ["conv_id", "level", "block"]
-    counts = calls.groupBy(*cell).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("block"))
-    counts = counts.withColumn("before", F.sum("n").over(order) - F.col("n"))
-    counts = counts.select(F.col("conv_id").alias("c"), F.col("level").alias("l"), F.col("block").alias("b"), "before")
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("level").eqNullSafe(F.col("l")) & F.col("block").eqNullSafe(F.col("b"))
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("turn", "call_id"))
-    return calls.withColumn("inside", inside).join(counts, same).withColumn("position", F.col("before") + F.col("inside") - 1).drop("block", "inside", "before", "c", "l", "b")
+    """``calls`` with position: the rank by (level, turn, call_id) in the conversation, unordered calls last.
+
+    Calls are dealt by ranges of that order, so a conversation of any size is ranked in parts, whose sizes then are added up.
+    """
+    order = [F.col("level").isNull(), "level", "turn", "call_id"]
+    dealt = calls.repartitionByRange(partitions(calls.sparkSession), "conv_id", *order).withColumn("_part", F.spark_partition_id())
+    dealt, _ = written(dealt, "call-ranges")
+    counts = dealt.groupBy("conv_id", "_part").agg(F.count("*").alias("n"))
+    counts = counts.select("conv_id", "_part", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("_part")) - F.col("n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(*order))
+    ranked = dealt.withColumn("_inside", inside).join(counts, ["conv_id", "_part"])
+    return ranked.withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_part", "_before", "_inside")
 
 
 def schema_errors(arguments: Column, tool: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -67,13 +95,14 @@ def schema_errors(arguments: Column, tool: Column, schemas: dict[str, dict[str,
     value = F.try_parse_json(arguments)
     whole = F.schema_of_variant(value)
     is_object = whole.startswith("OBJECT")
-    fields = F.when(is_object, F.map_keys(F.expr("cast(try_parse_json(_arguments) as map<string, variant>)")))
+    members = F.when(is_object, value.cast("map<string,variant>"))
+    fields = F.map_keys(members)
     kinds = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
     case = F.array(F.lit("unknown tool"))
     for name, spec in sorted(schemas.items()):
         checks = []
         for field, (kind, required) in sorted(spec.items()):
-            got = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+            got = F.schema_of_variant(F.try_element_at(members, F.lit(field)))
             right = F.lit(False)
             for x in kinds[kind]:
                 right = right | got.startswith(x)
@@ -116,17 +145,19 @@ SCHEMAS = {
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read from conversation turns.
 
-    A user's turn is a call: "rewrite" if it has a line break, else "ask"; a later turn builds on the one at half its
-    distance from the start. An assistant's turn is the result of the turn before it.
+    A user's turn is a call: "rewrite" if it has a line break, "translate", which is no known tool, if it is a question, else "ask";
+    it needs the call two turns before. Turns of more than 40 words give their number as text, and empty ones none, against the schema;
+    in every eleventh conversation the first two calls need each other. An assistant's turn is the result of the turn before it.
     """
     turn = F.col("turn")
-    lines = F.col("text").contains("\n")
+    lines, question = F.col("text").contains("\n"), F.col("text").endswith("?")
     n_words = F.size(F.split("text", " "))
+    words = F.when(n_words > 40, F.to_json(F.struct(n_words.cast("string").alias("words"), "text"))).when(F.length("text") == 0, F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct(n_words.alias("words"), "text")))
     call_id = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    arguments = F.when(lines, F.to_json(F.struct(n_words.alias("words"), "text", (turn % 2 == 0).alias("keep")))).otherwise(F.to_json(F.struct(n_words.alias("words"), "text")))
-    before = (F.floor(turn / 4) * 2 + turn % 2).cast("long")
+    arguments = F.when(lines & (n_words <= 40), F.to_json(F.struct(n_words.alias("words"), "text", (turn % 2 == 0).alias("keep")))).otherwise(words)
+    needs = F.when((F.col("conv_id") % 11 == 0) & (turn < 2), F.array(call_id(turn - 2), call_id(turn + 2))).otherwise(F.array(call_id(turn - 2)))
     users = conversations.where("role = 'user'")
-    calls = users.select("conv_id", call_id(turn).alias("call_id"), "turn", F.when(lines, "rewrite").otherwise("ask").alias("tool"), arguments.alias("arguments"), F.when(turn >= 2, F.array(call_id(before))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    calls = users.select("conv_id", call_id(turn).alias("call_id"), "turn", F.when(lines, "rewrite").when(question, "translate").otherwise("ask").alias("tool"), arguments.alias("arguments"), needs.alias("depends_on"))
     results = conversations.where("role = 'assistant'").select("conv_id", call_id(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 

@@ -146,6 +146,22 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.where("false"), r.where("false"), schemas).count() == 0
 
 
+def test_chains_of_calls_take_few_rounds(spark, monkeypatch):
+    """A chain of 1000 calls, a circle with a tail, and calls that need several, one through the chain."""
+    rows = [(1, f"c{i}", i, "f", '{"a.b": 1}', [f"c{i - 1}"] if i else []) for i in range(1000)]
+    rows += [(2, f"r{i}", i, "f", "{}", [f"r{(i + 1) % 5}"]) for i in range(5)] + [(2, "tail", 9, "f", "{}", ["r0"]), (2, "self", 10, "f", "{}", ["self"])]
+    rows += [(1, "join", 2000, "f", '{"a.b": "x"}', ["c999", "c3"]), (1, "after", 2001, "f", "{}", ["join"]), (1, "last", 2002, "f", "{}", ["after", "c0"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, tool string, arguments string, depends_on array<string>")
+    tables, written = [], tool_calls.written
+    monkeypatch.setattr(tool_calls, "written", lambda df, name: (tables.append(name), written(df, name))[1])
+    out = {(r.conv_id, r.call_id): r for r in tool_calls.link(calls, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), {"f": {"a.b": ("integer", False)}}).collect()}
+    assert len(tables) < 30
+    assert all(out[1, f"c{i}"].level == out[1, f"c{i}"].position == i for i in range(1000))
+    assert [out[1, x].level for x in ("join", "after", "last")] == [1000, 1001, 1002]
+    assert all(out[2, x].status == "cyclic" for x in ("r0", "r4", "tail", "self"))
+    assert out[1, "c5"].errors == [] and out[1, "join"].errors == ["a.b is not integer"]
+
+
 def test_tool_calls_run_no_python(spark, sf):
     plan = tool_calls.linked(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
