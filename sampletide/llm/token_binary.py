@@ -1,6 +1,6 @@
 """Token ids as binary files, coded by a static range asymmetric numeral system.
 
-Documents are laid out in ascending ``doc_id`` order (nulls first, repeated ids by their text) in segments of whole
+Documents are laid out in ascending ``doc_id`` order (nulls first, repeated ids as the table has them) in segments of whole
 documents. A segment has one frequency table, counted over all its ids, that its blocks share; blocks decode
 independently, each of interleaved lanes with its start states as checkpoint and a CRC-32. A manifest row
 names each finished segment, so files of lost attempts are never read. Texts are shuffled once, before they become ids.
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sampletide.llm.common import batch_of, partitions, shared_dir, slices, written
@@ -135,20 +135,32 @@ def segment_documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield int(doc_ids[i]) if known[i] else None, ids[end - int(sizes[i]) : end]
 
 
+def placement(docs: DataFrame) -> tuple[Column, int]:
+    """The bucket of each row of ``docs``, a table's scan, and how many there are: ranges of doc_id of about equal size, nulls first.
+
+    An id, or null, with more rows than a bucket has several; its rows go to them by where they stand in the table.
+    """
+    n, parts = partitions(docs.sparkSession), max(1, docs.rdd.getNumPartitions())
+    cuts = F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)
+    cuts, rows, nulls = docs.select(cuts, F.count("*"), F.count_if(F.col("doc_id").isNull())).head()
+    cuts = list(cuts or []) if n > 1 else []
+    first = -(-nulls * n // rows) if nulls else 0  # the buckets of null ids
+    nth = lambda many: F.least(F.floor(F.spark_partition_id() * many / parts), F.greatest(many - 1, F.lit(0)))
+    below = F.size(F.filter(F.lit(cuts), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
+    same = F.size(F.filter(F.lit(cuts), lambda x: x == F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), nth(F.lit(first))).otherwise(first + below + nth(same))
+    return bucket.cast("int"), n + first
+
+
 def write_ids(docs: DataFrame, tokenizer: str, directory: str, keeps_space: bool = True, end_id: int = 0) -> DataFrame:
     """Encode all rows into segment files under ``directory``; the manifest.
 
     Manifest: path, bucket and seq (their order is doc_id order), start (ids in segments before), n_ids, n_docs.
     The files' number follows the input; a task holds one segment and a slice of texts at a time.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = partitions(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    bucket, n = placement(docs)
     schema = pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())])
-    bucket = F.coalesce(F.size(F.filter(F.lit(cuts), lambda x: x < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, keeps_space)
@@ -177,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer: str, directory: str, keeps_space: bool
                 held += len(parts[-1])
         yield from flush()
 
-    placed = docs.withColumn("bucket", bucket.cast("int")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
+    placed = docs.withColumn("bucket", bucket).withColumn("row", F.monotonically_increasing_id()).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "row")
     manifest, _ = written(placed.mapInArrow(run, "path string, bucket int, seq int, n_ids long, n_docs long"), "manifest")
     before = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("n"))  # one row a bucket
     before = before.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
