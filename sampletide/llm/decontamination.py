@@ -1,30 +1,37 @@
 """Benchmark decontamination: short test items found inside documents of any length.
 
 Items and documents are sets of distinct ``k``-word shingles (A-Z as a-z). Items are partitioned by size, the classes
-doubling; for a class of up to u shingles every document is cut into overlapping windows of 2u shingles, one each u, so an
-item lies whole in some window at most four times its size, and a MinHash value of the two agrees with a
+doubling; for a class of up to u shingles every document is cut into overlapping windows of 2u shingles, one each u, so a
+passage of u shingles lies whole in some window at most four times its size, and a MinHash value of the two agrees with a
 probability of at least 0.19 at containment 0.8. Any of ``COORDS`` values in common makes a candidate (a miss has
-probability 0.81 ** 48 at worst), and candidates are decided by exact shingle containment in the whole document.
+probability 0.81 ** 48 at worst), and candidates are decided by exact shingle containment in the whole document. An item
+whose shingles lie scattered so far apart that no window has its share is not a passage and may be no candidate.
 
-Items of fewer than ``k`` words have no shingle and are in no document. Null texts are empty, null ids stay null, every
-benchmark row is an item and every document row is searched; empty tables give no pairs; other columns pass or are ignored.
+Items become sets in Spark tasks and are written in parts of bounded size, which tasks read from the shared folder; the
+driver sees only how many parts there are, and each is one pass over the documents. Items of fewer than ``k`` words have
+no shingle and are in no document. Null texts are empty, null ids stay null, every benchmark row is an item and every
+document row is searched; empty tables give no pairs; other columns pass or are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampletide.llm.common import batch_of, slices
+from sampletide.llm.common import batch_of, removed, shared_dir, slices, written
 from sampletide.llm.wordhash import Words, mixed, runs, shingle_sets, words_of
 
 COORDS = 48
-#: Items that one pass over the documents searches for; a larger benchmark takes more passes.
-ITEMS = 10_000
+#: Shingles of the items that one pass over the documents searches for (with their MinHash values about 16 MB a million); a larger benchmark
+#: takes more passes.
+PART = 1_000_000
 _SEEDS = mixed(np.arange(7001, 7001 + COORDS, dtype=np.uint64))
 
 
@@ -96,19 +103,32 @@ class Items:
         return out
 
 
-def items_of(benchmark: DataFrame, k: int) -> Iterator[tuple[list, Items]]:
-    """Ids and items, at most about ``ITEMS`` at a time."""
-    given = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    passes = -(-given.count() // ITEMS)
-    for i in range(passes):
-        rows = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).toArrow()
-        if rows.num_rows:
-            yield rows.column("item_id").to_pylist(), Items(_item_sets(rows.column("text"), k))
+def item_parts(benchmark: DataFrame, k: int) -> list[str]:
+    """Where the items (item_id, set) are written, in parts of about ``PART`` shingles. Parts are dealt by hash, so repeated rows share one."""
+    schema = pa.schema([("item_id", pa.int64()), ("items", pa.binary()), ("n", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = words_of(batch.column("text"), lower=True)
+            sets = [x if b - a >= k else x[:0] for x, a, b in zip(shingle_sets(words, k), words.first.tolist(), words.first[1:].tolist(), strict=False)]
+            yield batch_of(schema, {"item_id": batch.column("item_id"), "items": [x.tobytes() for x in sets], "n": [len(x) for x in sets]})
 
-def _item_sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
-    words = words_of(pa.concat_arrays(texts.chunks), lower=True)
-    return [x if b - a >= k else x[:0] for x, a, b in zip(shingle_sets(words, k), words.first.tolist(), words.first[1:].tolist(), strict=False)]
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, items binary, n long").where("n > 0")
+    rows, at = written(rows, "item-sets")
+    parts = -(-(rows.agg(F.sum("n")).head()[0] or 0) // PART)
+    paths = [shared_dir(rows.sparkSession, "items") for _ in range(parts)]
+    for i, path in enumerate(paths):
+        rows.where(F.pmod(F.xxhash64("item_id", "items"), F.lit(parts)) == i).drop("n").coalesce(1).write.parquet(path)
+    removed(rows.sparkSession, at)
+    return paths
+
+
+@functools.lru_cache(1)
+def items_at(path: str) -> tuple[list[int | None], Items]:
+    """Ids and items of one part, kept by the Python worker for its later tasks."""
+    files, root = pyarrow.fs.FileSystem.from_uri(path)
+    table = pyarrow.parquet.read_table(root, filesystem=files)
+    return table.column("item_id").to_pylist(), Items([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()])
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -116,9 +136,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_matched", pa.int64()), ("containment", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_matched long, containment double")
-    for ids, items in items_of(benchmark, k):
+    for path in item_parts(benchmark, k):
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
+            ids, items = items_at(path)
             for batch in slices(batches, "text"):
                 got = items.matches(words_of(batch.column("text"), lower=True), k, percent)
                 if got:
@@ -133,9 +154,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
 def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     text = docs.schema["text"].name
-    for _, items in items_of(benchmark, k):
+    for path in item_parts(benchmark, k):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
+            _, items = items_at(path)
             for batch in slices(batches, text):
                 bad = {d for d, _, _ in items.matches(words_of(batch.column(text), lower=True), k, percent)}
                 yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))
