@@ -10,9 +10,10 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sampletide.llm import language_id, near_dedup, packing, substring_dedup, token_binary
+from sampletide.llm import decontamination, language_id, near_dedup, packing, substring_dedup, token_binary
 from sampletide.llm.decontamination import contained_items, without_items
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,7 +248,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     tokenizer.encode_special_tokens = True
     got = [tuple(r) for r in token_binary.token_files(spark, docs, path).collect()]
     want, start = [], 0
-    for doc_id, text in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc_id, text in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -255,6 +256,39 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert token_binary.token_files(spark, empty, path).count() == 0
 
 
+def test_hot_ids_have_several_buckets(spark):
+    rows = [(7 if i % 3 else None if i % 2 else i, f"text {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    bucket, n = token_binary.placement(docs)
+    got = docs.select("doc_id", bucket.alias("b")).collect()
+    assert n == 5 and {r.b for r in got if r.doc_id is None} == {0} and len({r.b for r in got if r.doc_id == 7}) > 1
+    place = lambda i: (i is not None, i or 0)
+    assert all(place(x.doc_id) <= place(y.doc_id) for x in got for y in got if x.b < y.b)
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    bucket, n = token_binary.placement(nulls)
+    assert n == 8 and nulls.select(bucket.alias("b")).distinct().count() == 4
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_binary.token_files(spark, docs, path).toPandas().sort_values("start")
+    assert len(out) == 900 and (out.start == [0, *out.n_tokens.cumsum()[:-1]]).all() and out.doc_id.isna().sum() == 150
+    assert out.doc_id.dropna().is_monotonic_increasing
+
+
+def test_items_in_several_parts_and_scattered(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(6)]
+    items = [(i, " ".join(texts[i % 6].split()[100 * i : 100 * i + 20 + i])) for i in range(24)] + [(99, " ".join(rng.choice(words) for _ in range(30)))]
+    near = texts[5].split()
+    scattered = " ".join(x for at in range(0, 2400, 400) for x in near[at : at + 5])  # each five words hold a shingle, four of five shingles are new
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*items, (100, scattered)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "PART", 200)
+    assert len(decontamination.item_parts(benchmark, 5)) > 2
+    want = {(d, i) for d, t in enumerate(texts) for i, x in [*items, (100, scattered)] if 100 * len(shingles(x, 5) & shingles(t, 5)) >= 80 * len(shingles(x, 5))}
+    assert {(r.doc_id, r.item_id) for r in contained_items(docs, benchmark).collect()} == want and len(want) >= 24
+    assert {r.doc_id for r in without_items(docs, benchmark).collect()} == set(range(6)) - {d for d, _ in want}
+
+
 def test_damage_is_found():
     data = bytearray(token_binary.segment_bytes([1, None], [np.arange(3000, dtype="<u4") % 700, np.zeros(1, "<u4")]))
     assert [(i, len(x)) for i, x in token_binary.segment_documents(bytes(data))] == [(1, 3000), (None, 1)]

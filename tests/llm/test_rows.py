@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sampletide.llm import language_id, tool_calls, top_k, toxicity, warc
@@ -45,6 +47,47 @@ def test_toxicity_held_out(spark, tmp_path):
     assert toxicity.toxicity(docs.where("false"), given).count() == 0
 
 
+CASES = {
+    "marks": (["what!!!", "no?!?"], ["what!!", "a ! ! !"]),
+    "shouting": (["STOP DOING THAT now", "x LOUD, LOUDER - LOUDEST!"], ["STOP DOING it THAT", "NASA and UNESCO"]),
+    "aimed": (["You are a total IDIOT", "she is such a big loser", "he re scum", "you are losers"], ["you are kind", "the idiot", "you are an old and very dull idiot"]),
+    "masked": (["what the f**k", "sh@#t"], ["a*b", "5**6", "f** k"]),
+    "hateful": (["I hate you", "Get rid of them!", "DESTROY all"], ["I hate it", "get rid of it"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(toxicity.PATTERNS))
+def test_patterns_vote(spark, name):
+    yes, no = CASES[name]
+    given = spark.createDataFrame([(t,) for t in [*yes, *no, "", None]], "text string").withColumn("words", toxicity.words(F.col("text")))
+    at = list(toxicity.PATTERNS).index(name)
+    votes = {r.text: r.votes[at] for r in toxicity.voted(given, []).collect()}
+    assert all(votes[t] for t in yes) and not any(votes[t] for t in [*no, "", None])
+
+
+def test_votes_by_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary, found = ["alpha", "beta", "gamma", "delta", "hate", "you", "idiot", "are", "FINE", "é"], ["beta", "delta", "é"]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "!", "!!!", "**x"]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "x" * 100_000 + " beta", "beta " * 20_000]
+    given = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("words", toxicity.words(F.col("text")))
+    python = {k: regex.compile(p) for k, p in toxicity.PATTERNS.items()}
+    for row in toxicity.voted(given, found).collect():
+        text = row.text or ""
+        own = set(filter(None, regex.split(r"[^\p{L}]+", text.lower())))
+        said = [int(w in own) for w in found]
+        assert row.votes == [*said, *(int(bool(p.search(text))) for p in python.values()), int(sum(said) >= 2), int(sum(said) >= 4)]
+
+
+def test_toxicity_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, "bad zurk" if i % 4 == 0 else f"fine w{i % 9}", 5, 0.5, "x", True, 1) for i in range(400)]
+    rows += rows[:10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, posterior double, votes string, held_out boolean, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "t") for i in range(400)] + [(0, 0, "t")], "doc_id long, toxic int, text string")
+    out = toxicity.toxicity(docs, labels).toPandas()
+    assert len(out) == 410 and ((out.doc_id % 4 == 0) == (out.predicted == 1)).all()
+    assert out.groupby("doc_id").score.nunique().max() == 1
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(20000) < 0.2
