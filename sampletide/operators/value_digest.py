@@ -6,6 +6,7 @@ many elements there were, at the root how many samples; a class's nulls are the
 
 from __future__ import annotations
 
+import base64
 import json
 
 import pandas as pd
@@ -20,6 +21,11 @@ _SKETCHES = ["number_sketch", "string_sketch", "length_sketch"]
 
 def value_digest(nodes: DataFrame, by: list[str], sketches: bool = True) -> DataFrame:
     """A row per path: total and nulls, and counts, defaults and statistics of each class that occurs."""
+    return value_digest_of(value_sums(nodes, by, sketches), by)
+
+
+def value_sums(nodes: DataFrame, by: list[str], sketches: bool = True) -> DataFrame:
+    """What a value digest adds up: a row per path, seen telling how many nodes there are. One aggregation, so it works on streams."""
     kind, length = F.col("kind"), F.octet_length("text")
     is_number = kind.isin("int", "float")
     count = F.count_if
@@ -31,7 +37,11 @@ def value_digest(nodes: DataFrame, by: list[str], sketches: bool = True) -> Data
     ]
     if sketches:
         aggregates += [F.hll_sketch_agg(F.col("number").cast("string"), PRECISION).alias("number_sketch"), F.hll_sketch_agg("text", PRECISION).alias("string_sketch"), F.hll_sketch_agg(length.cast("string"), PRECISION).alias("length_sketch")]
-    out = nodes.groupBy(*by, "path").agg(*aggregates)
+    return nodes.groupBy(*by, "path").agg(*aggregates)
+
+
+def value_digest_of(out: DataFrame, by: list[str]) -> DataFrame:
+    """Value digests of ``value_sums``: with totals, which fields have from their parents, and nulls."""
     # one more look at the aggregated rows, gathered by parent: a row of each node for its own fields, one for itself, and one for the elements of arrays, used if there is none
     field = F.element_at("path", -1).startswith(".")
     parent = F.when((F.size("path") > 0) & field, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
@@ -69,15 +79,21 @@ def cardinalities(digests: DataFrame) -> DataFrame:
     return digests
 
 
+def _sketched(row: dict, name: str) -> dict:
+    """The sketch of a class as text, if the digest has one."""
+    sketch = row.get(f"{name}_sketch")
+    return {} if sketch is None else {"cardinality": base64.b64encode(sketch).decode()}
+
+
 def _entry(rows: dict, path: tuple) -> dict:
     row = rows[path]
     whole = lambda n: str(int(n))
     out = {"total": whole(row["total"]), "null": whole(row["nulls"])}
     base = lambda n, default: {"total": whole(row["total"]), "default": whole(row[default]), "null": whole(row["total"] - row[n])}
     if row["numbers"]:
-        out["number"] = base("numbers", "number_default") | {"min": row["number_min"], "avg": {"sum": row["number_sum"], "count": whole(row["numbers"])}, "max": row["number_max"]}
+        out["number"] = base("numbers", "number_default") | _sketched(row, "number") | {"min": row["number_min"], "avg": {"sum": row["number_sum"], "count": whole(row["numbers"])}, "max": row["number_max"]}
     if row["strings"]:
-        out["string"] = base("strings", "string_default") | {"length": {"min": int(row["length_min"]), "avg": {"sum": int(row["length_sum"]), "count": whole(row["strings"])}, "max": int(row["length_max"])}}
+        out["string"] = base("strings", "string_default") | _sketched(row, "string") | {"length": _sketched(row, "length") | {"min": int(row["length_min"]), "avg": {"sum": int(row["length_sum"]), "count": whole(row["strings"])}, "max": int(row["length_max"])}}
     if row["booleans"]:
         out["boolean"] = base("booleans", "booleans") | {"falseCount": whole(row["booleans"] - row["true_count"]), "trueCount": whole(row["true_count"])}
         out["boolean"]["default"] = out["boolean"]["falseCount"]
@@ -90,8 +106,7 @@ def _entry(rows: dict, path: tuple) -> dict:
 
 
 def value_json(digests: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON body a digest: the root object. A digest has a row a path, which its schema bounds, not its samples."""
-    digests = digests.drop(*_SKETCHES)
+    """One JSON body a digest: the root object, sketches in base64. A digest has a row a path, which its field budget and schema bound."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.select(*by).schema) + ", body string"
 
     def render(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

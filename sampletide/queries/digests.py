@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampletide.functions.shred import path_text, shred, shred_within
@@ -171,10 +171,23 @@ def value_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir).where("objs > 0").select("sampler", "path", "total", "objs", "obj_default")
 
 
-@query()
+def _near(estimate: str, exact: str) -> Column:
+    """Whether an estimate is within six standard errors of the sketch, or 2."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(2), F.lit(0.048) * F.col(exact))
+
+
+@query(
+    f"""WITH {_O}, x AS (SELECT sampler, '.price' AS path, o_totalprice AS number, NULL AS text FROM o UNION ALL SELECT sampler, '.status', NULL, o_orderstatus FROM o
+    UNION ALL SELECT sampler, '.lines*.quantity', l_quantity, NULL FROM l UNION ALL SELECT sampler, '.lines*.flag', NULL, l_returnflag FROM l)
+    SELECT sampler, path, CAST(count(DISTINCT number) AS BIGINT) AS numbers, CAST(count(DISTINCT text) AS BIGINT) AS strings, CAST(count(DISTINCT strlen(text)) AS BIGINT) AS lengths, true AS near FROM x GROUP BY ALL"""
+)
 def approx_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vd.cardinalities(_values(spark, sf_dir, True))
-    return out.select("sampler", "path", "number_cardinality", "string_cardinality", "length_cardinality")
+    """Exact distinct counts, and whether the sketches' estimates are near them."""
+    nodes = shred(_orders(spark, sf_dir), ["sampler"]).where("kind in ('int', 'float', 'string')")
+    exact = nodes.groupBy("sampler", path_text("path").alias("path")).agg(F.count_distinct("number").alias("numbers"), F.count_distinct("text").alias("strings"), F.count_distinct(F.octet_length("text")).alias("lengths"))
+    both = vd.cardinalities(_values(spark, sf_dir, True)).drop("numbers", "strings").join(exact, ["sampler", "path"])
+    near = _near("number_cardinality", "numbers") & _near("string_cardinality", "strings") & _near("length_cardinality", "lengths")
+    return both.select("sampler", "path", "numbers", "strings", "lengths", near.alias("near"))
 
 
 @query(f"WITH {_O} SELECT sampler, '.price' AS path, CAST(count(DISTINCT o_totalprice) AS BIGINT) AS exact FROM o GROUP BY ALL UNION ALL SELECT sampler, '.lines*.quantity', CAST(count(DISTINCT l_quantity) AS BIGINT) FROM l GROUP BY ALL")
@@ -183,10 +196,14 @@ def exact_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("sampler", path_text("path").alias("path")).agg(F.count_distinct("number").alias("exact"))
 
 
-@query()
+@query("WITH " + EVENT_ROWS + """, x AS (SELECT sampler, '.event_id' AS path, CAST(event_id AS DOUBLE) AS number FROM e UNION ALL SELECT sampler, '.value', value FROM e UNION ALL SELECT sampler, '.props.k', CAST(json_extract(props, '$.k') AS DOUBLE) FROM e)
+    SELECT sampler, path, CAST(count(DISTINCT number) AS BIGINT) AS numbers, true AS near FROM x GROUP BY ALL""")
 def cardinality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = vd.value_digest(shred(_events(spark, sf_dir), ["sampler", "window_start"]), ["sampler", "window_start"])
-    return vd.cardinalities(vd.value_rollup(daily, ["sampler"])).select("sampler", path_text("path").alias("path"), "number_cardinality")
+    """Sketches of days merged: exact distinct counts, and whether the estimates are near them."""
+    nodes = shred(_events(spark, sf_dir), ["sampler", "window_start"])
+    exact = nodes.where("number is not null").groupBy("sampler", path_text("path").alias("path")).agg(F.count_distinct("number").alias("numbers"))
+    merged = vd.cardinalities(vd.value_rollup(vd.value_digest(nodes, ["sampler", "window_start"]), ["sampler"])).withColumn("path", path_text("path")).drop("numbers")
+    return merged.join(exact, ["sampler", "path"]).select("sampler", "path", "numbers", _near("number_cardinality", "numbers").alias("near"))
 
 
 _EVENT_PATH_VALUES = f"""p AS (SELECT sampler, ts, path, CASE path WHEN '.value' THEN value WHEN '.event_id' THEN CAST(event_id AS DOUBLE) WHEN '.props.k' THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS value,

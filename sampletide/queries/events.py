@@ -168,11 +168,23 @@ def metric_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("errors").agg(F.count("*").alias("n"))
 
 
-def _bodies(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    bodies = vd.value_json(vd.value_digest(shred(rows, ["resource", "sampler", "window_start"]), ["resource", "sampler", "window_start"], False), ["resource", "sampler", "window_start"])
+def _bodies(spark: SparkSession, sf_dir: str, rows: DataFrame, sketches: bool = False) -> DataFrame:
+    by = ["resource", "sampler", "window_start"]
+    bodies = vd.value_json(vd.value_digest(shred(rows, by), by, sketches), by)
     return digest_records(bodies, Digest(UID, "all", "value-digest"))
 
 
+@query("WITH " + EVENT_ROWS + """ SELECT sampler, '["$":obj]["event_type":string]' AS field_path, unnest(['cardinality', 'length_cardinality']) AS name, CAST(1 AS DOUBLE) AS value FROM e GROUP BY sampler
+    UNION ALL SELECT sampler, '["$":obj]["k":number]', 'cardinality', CAST(count(DISTINCT event_id % 5) AS DOUBLE) FROM e GROUP BY sampler""")
+def body_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates from sketches that went through stored bodies; of so few values they are exact."""
+    rows = typed_samples(event_rows(spark, sf_dir).withColumn("k", F.col("event_id") % 5), ["k", "event_type"])
+    rows = rows.withColumn("resource", F.lit("all")).withColumn("window_start", F.lit("2024-01-01").cast("timestamp"))
+    digests = vd.cardinalities(m.digests_from_body(_bodies(spark, sf_dir, rows, True), ["sampler"]))
+    out = m.value_metrics(digests, ["sampler"]).where(F.col("name").endswith("cardinality"))
+    return out.select("sampler", "field_path", "name", F.round("value").alias("value"))
+
+
 @query(_METRICS)
 def metrics_from_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = typed_samples(event_rows(spark, sf_dir), ["value", "event_type"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sampletide.functions.shred import shred
 from sampletide.operators.struct_digest import struct_digest
+from sampletide.operators.value_digest import value_sums
 
 
 def windowed_struct_digest(samples: DataFrame, by: list[str], period: str, delay: str, json_numbers: bool = False) -> DataFrame:
@@ -14,3 +15,12 @@ def windowed_struct_digest(samples: DataFrame, by: list[str], period: str, delay
     nodes = shred(samples, [*by, "ts"]).withWatermark("ts", delay)
     nodes = nodes.withColumn("flush", F.window("ts", period))
     return struct_digest(nodes, [*by, "flush"], json_numbers).withColumn("window_start", F.col("flush.start")).drop("flush")
+
+
+def windowed_value_digest(samples: DataFrame, by: list[str], period: str, delay: str) -> DataFrame:
+    """The sums of value digests a window, sketches included; ``value_digest_of`` makes digests of them where they have been written.
+
+    Totals of fields need their parents' rows, a second aggregation, which a stream doesn't do in the same query.
+    """
+    nodes = shred(samples, [*by, "ts"]).withWatermark("ts", delay).withColumn("flush", F.window("ts", period))
+    return value_sums(nodes, [*by, "flush"]).withColumn("window_start", F.col("flush.start")).drop("flush")

@@ -15,7 +15,7 @@ from sampletide.operators import metrics as m
 from sampletide.operators import struct_digest as st
 from sampletide.operators import value_digest as vd
 from sampletide.operators.digests import Digest, digest_nodes, digest_records, grouping
-from sampletide.streaming.digests import windowed_struct_digest
+from sampletide.streaming.digests import windowed_struct_digest, windowed_value_digest
 from sampletide.streaming.stateful import limited, remembered
 
 
@@ -212,3 +212,24 @@ def test_streamed_digests_close_with_the_watermark(spark, sf, tmp_path):
     got = drain(spark, windowed_struct_digest(of(live), ["g"], "1 day", "30 days"), "digests", tmp_path, "complete")
     want = rows.groupBy(F.window("ts", "1 day").start.alias("w")).count().collect()
     assert {(r.window_start, r.floats) for r in got if r.path} == {(r.w, r["count"]) for r in want}
+
+
+def test_streamed_value_digests_agree_with_batches(spark, sf, tmp_path):
+    rows, live = stream(spark, sf, tmp_path)
+    of = lambda df: df.withColumn("g", F.lit("g")).withColumn("sample", F.to_variant_object(F.struct("value", F.struct("user_id").alias("who"))))
+    drain(spark, windowed_value_digest(of(live), ["g"], "1 day", "30 days"), "values", tmp_path, "complete")
+    by = ["g", "window_start"]
+    got = vd.cardinalities(vd.value_digest_of(spark.table("values"), by))
+    want = vd.cardinalities(vd.value_digest(shred(of(rows).withColumn("window_start", F.window("ts", "1 day").start), by), by))
+    columns = ["window_start", "path", "total", "nulls", "numbers", "number_min", "number_max", "objs", "number_cardinality"]
+    rows_of = lambda df: Counter((tuple(r.path), *[r[c] for c in columns if c != "path"]) for r in df.select(columns).collect())
+    assert rows_of(got) == rows_of(want)
+
+
+def test_sketches_go_through_bodies(spark):
+    df = samples(spark, *[{"n": i % 40, "s": "x" * (i % 7), "o": {"d": i}} for i in range(500)])
+    digest = vd.value_digest(shred(df, ["g"]), ["g"])
+    bodies = vd.value_json(digest, ["g"]).withColumn("sample_type", F.lit("value-digest"))
+    columns = ["path", "number_cardinality", "string_cardinality", "length_cardinality"]
+    got, want = ({(tuple(r.path), *r[1:]) for r in vd.cardinalities(x).select(columns).collect()} for x in (m.digests_from_body(bodies, []), digest))
+    assert got == want and (("." + "n",), 40, 0, 0) in got
