@@ -4,7 +4,10 @@ Vectors are gathered around pivots into blocks of bounded size, queries and cand
 indexed by a cover tree: a node's children are centres that lie apart, its points go to the nearest, and it keeps the
 radius that covers them. Query trees meet candidate trees in pairs of nodes; a pair is left out when centre product and
 covering radii bound every score below the worst k-th score of the query node. A first pass searches each query
-block's own cell; its k-th scores let the second leave out whole block pairs by the same bound. Scores are exact integers.
+block's own cell; its k-th scores let the second leave out pairs of cells, and of blocks, by the same bound from centres and
+radii alone. Only then do queries' vectors travel, to the blocks they still have to meet; a task builds a candidate block's
+tree once for all of them. Scores are exact integers, by floating point where norms bound them below 2 ** 52, else by whole
+numbers of any size; a score beyond 64 bits is an error.
 
 Vectors that are null or hold null or non-finite components, and null ids, take no part; of repeated ids the least
 vector counts; vectors of another length are other searches. With fewer candidates than k all are returned.
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampletide.llm.common import batch_of, partitions, slices, written
@@ -30,8 +33,9 @@ CANDIDATES, QUERIES, LEAF, CHILDREN, PIVOTS = 8192, 2048, 64, 24, 512
 class CoverTree:
     """Nodes as arrays: centre (a point's index), covering radius, first and last point in ``order``, children."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
+    def __init__(self, whole: np.ndarray) -> None:
+        self.whole, self.x = whole, whole.astype(np.float64)
+        x = self.x
         self.norm = np.sqrt((x * x).sum(1))
         self.nodes: list[tuple[int, float, int, int, list[int]]] = []
         self.order = np.arange(len(x))
@@ -64,6 +68,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, found: CoverTree, ids: np.
     """For each query up to k (score, -id) among ``found``, no worse than ``worst``; a query never meets its own id."""
     tops: list[list[tuple[int, int]]] = [[] for _ in query_ids]
     kth = worst.copy()
+    small = queries.norm.max(initial=0) * found.norm.max(initial=0) < 1 << 52
 
     def bound(a: int, b: int) -> float:
         (p, r, *_), (q, s, *_) = queries.nodes[a], found.nodes[b]
@@ -88,8 +93,11 @@ def search(queries: CoverTree, query_ids: np.ndarray, found: CoverTree, ids: np.
                         heapq.heappush(heap, (-top, i, j))
             continue
         theirs = found.order[b0:b1]
-        score = np.rint(queries.x[mine] @ found.x[theirs].T).astype(np.int64)
-        for i, j in zip(*np.nonzero(score >= kth[mine, None]), strict=True):
+        if small:
+            score = np.rint(queries.x[mine] @ found.x[theirs].T).astype(np.int64)
+        else:
+            score = queries.whole[mine].astype(object) @ found.whole[theirs].T.astype(object)
+        for i, j in zip(*np.nonzero((score >= kth[mine, None]).astype(bool)), strict=True):
             q, at = int(mine[i]), int(theirs[j])
             if query_ids[q] == ids[at]:
                 continue
@@ -104,7 +112,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, found: CoverTree, ids: np.
 
 
 def _matrix(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(data, np.int64).reshape(-1, dim)
 
 
 def blocks(vectors: DataFrame, most: int) -> DataFrame:
@@ -165,23 +173,23 @@ _FOUND = "block long, query_id long, vec_id long, score long"
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """Pairs of blocks (q_ids, q_data, kth, ids, data, dim, q_block) searched: up to k rows a query and pair."""
+    """Pairs of blocks (q_block, q_ids, q_data, kth, block, ids, data, dim) searched: up to k rows a query and pair."""
     schema = pa.schema([("block", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, tree = None, None
         for batch in slices(batches, "data", 1):
             row = {c: batch.column(c)[0].as_py() for c in batch.schema.names}
-            if row["q_block"] != kept:
-                kept, tree = row["q_block"], CoverTree(_matrix(row["q_data"], row["dim"]))
+            if row["block"] != kept:  # pairs come by candidate block
+                kept, tree = row["block"], CoverTree(_matrix(row["data"], row["dim"]))
             queries, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
             worst = np.frombuffer(row["kth"], np.float64) if row["kth"] is not None else np.full(len(queries), -np.inf)
-            tops = search(tree, queries, CoverTree(_matrix(row["data"], row["dim"])), ids, worst, k)
+            tops = search(CoverTree(_matrix(row["q_data"], row["dim"])), queries, tree, ids, worst, k)
             got = [(row["q_block"], int(q), -i, s) for q, top in zip(queries, tops, strict=True) for s, i in top]
             if got:
                 yield batch_of(schema, dict(zip(schema.names, map(list, zip(*got, strict=True)), strict=True)))
 
-    return pairs.select("q_block", "q_ids", "q_data", "kth", "ids", "data", "dim").mapInArrow(run, _FOUND)
+    return pairs.select("q_block", "q_ids", "q_data", "kth", "block", "ids", "data", "dim").mapInArrow(run, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -189,6 +197,36 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _bound(a: str, b: str, r: str, s: str) -> Column:
+    """The largest inner product of points within r of a and s of b, with a margin for rounding."""
+    top = _dot(a, b) + F.col(r) * F.sqrt(_dot(b, b)) + F.col(s) * F.sqrt(_dot(a, a)) + F.col(r) * F.col(s)
+    return top + 0.001 + 1e-9 * F.abs(top)
+
+
+def _cells(blocks: DataFrame, cell: str, block: str, centre: str, radius: str, names: tuple[str, str], *more: Column) -> DataFrame:
+    """A row per cell of blocks: a centre, and the radius around it that covers all of the cell's points."""
+    middle = blocks.groupBy("dim", cell).agg(F.min_by(centre, block).alias(names[0]))
+    far = F.sqrt(F.aggregate(F.zip_with(centre, names[0], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    rows = blocks.join(middle, ["dim", cell])
+    return rows.groupBy("dim", cell).agg(F.any_value(names[0]).alias(names[0]), F.max(far + F.col(radius)).alias(names[1]), *more)
+
+
+def _meetings(known: DataFrame, found: DataFrame) -> DataFrame:
+    """q_block and block of the pairs of different cells that may hold a score as good as the worst k-th of the queries.
+
+    Centres and radii decide, first of whole cells, of which there are at most PIVOTS a length, then of their blocks.
+    """
+    asks = _cells(known, "q_cell", "q_block", "q_centre", "q_radius", ("q_middle", "q_reach"), F.min("least").alias("least"))
+    there = _cells(found, "cell", "block", "centre", "radius", ("middle", "reach"))
+    cells = asks.join(there, "dim").where((F.col("q_cell") != F.col("cell")) & (_bound("q_middle", "middle", "q_reach", "reach") >= F.col("least"))).select("dim", "q_cell", "cell")
+    blocks = cells.join(found.select("dim", "cell", "block", "centre", "radius"), ["dim", "cell"]).join(known.select("dim", "q_cell", "q_block", "q_centre", "q_radius", "least"), ["dim", "q_cell"])
+    return blocks.where(_bound("q_centre", "centre", "q_radius", "radius") >= F.col("least")).select("q_block", "block")
+
+
 def top_products(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the k best for each row whose vec_id is divisible by ``every``."""
     n = partitions(table.sparkSession)
@@ -196,7 +234,7 @@ def top_products(table: DataFrame, k: int = K, every: int = EVERY, scale: int =
     found, _ = written(blocks(vectors, CANDIDATES), "blocks")
     asked, _ = written(blocks(vectors.where(F.col("vec_id") % every == 0), QUERIES), "queries")
     asked = asked.select("dim", F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), F.col("norm").alias("q_norm"))
-    own = asked.join(found, (asked.dim == found.dim) & (asked.q_cell == found.cell)).drop(asked.dim).withColumn("kth", F.lit(None).cast("binary"))
+    own = asked.join(found, (asked.dim == found.dim) & (asked.q_cell == found.cell)).drop(asked.dim).withColumn("kth", F.lit(None).cast("binary")).repartition(n, "block").sortWithinPartitions("block")
     first, _ = written(_best(_searched(own, k), k), "first")
 
     # each query's k-th score so far, in its block's order
@@ -216,11 +254,10 @@ def top_products(table: DataFrame, k: int = K, every: int = EVERY, scale: int =
     known = asked.join(worst, asked.q_block == worst.block, "left").drop("block")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema if f.name != "worst")
     known = known.mapInArrow(aligned, f"{fields}, kth binary, least double")
-    # queries go to every lot of candidate blocks; a pair stays if its blocks' radii allow a score as good as the worst k-th
-    lots = known.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("dim", "q_dim")
-    there = found.drop("lot").withColumn("lot", F.pmod("block", F.lit(n)).cast("int"))
-    product = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    top = product + F.col("q_radius") * F.col("norm") + F.col("radius") * F.col("q_norm") + F.col("q_radius") * F.col("radius")
-    pairs = lots.join(there, (lots.q_dim == there.dim) & (lots.lot == there.lot) & (lots.q_cell != there.cell)).where(top + 0.001 >= F.col("least"))
+    known, _ = written(known, "known")
+    meet = _meetings(known, found)
+    # the queries of each pair go to the candidate block, whose rows then are next to each other
+    asking = meet.join(known.select("q_block", "q_ids", "q_data", "kth"), "q_block").repartition(n, "block")
+    pairs = asking.join(found.select("block", "ids", "data", "dim"), "block")
     both = first.drop("rank").unionByName(_searched(pairs, k))
     return _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -132,9 +132,17 @@ def test_top_products(spark, monkeypatch):
     assert top_k.top_products(table.where("false")).count() == 0
 
 
+def test_large_components_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-(1 << 24), 1 << 24)) * (1 if i % 2 else 1 / 64) for _ in range(3)]) for i in range(120)]
+    table = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, embedding array<float>, cell int, score string")
+    assert {tuple(r) for r in top_k.top_products(table, 20, 20).collect()} == exact_top(rows, 20, 20)
+
+
 def test_cover_tree_covers():
-    x = np.random.default_rng(1).normal(size=(900, 5)).round(2)
+    x = (100 * np.random.default_rng(1).normal(size=(900, 5))).astype(np.int64)
     tree = top_k.CoverTree(x)
+    assert tree.x.dtype == float
     seen = []
     for centre, radius, begin, end, below in tree.nodes:
         own = tree.order[begin:end]
