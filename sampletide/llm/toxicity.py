@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters: lexicon voters found in the training labels (one a word or word start), and fixed patterns of abusive
+Voters: lexicon voters found in the training labels (one a whole word), and fixed patterns of abusive
 style. A generative label model estimates each voter's accuracy and propensity by EM, and from what the
 votes still share given the label their correlations, which weaken voters that repeat each other. A linear
 classifier (logistic regression, L1) then learns the posterior labels from words and votes, and scores all rows.
