@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,29 +18,46 @@ from sampletide.operators.sampling import Bucket
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+#: The column of values on their way to the state, and how they are kept: text and whole numbers travel as text, so that neither loses a digit; all others as doubles.
+HELD = "value_as_held"
+_KINDS = {"string": ("string", str), "tinyint": ("long", int), "smallint": ("long", int), "int": ("long", int), "bigint": ("long", int)}
+
+
 class _Remember(StatefulProcessor):
-    """Compares each value with the last one of its key."""
+    """Compares each value with the last one of its key. With ``most`` a group holds at most so many keys; rows of others have no answer."""
 
-    def __init__(self, mode: str, step: float, ttl_ms: int, order: list[str], value: str) -> None:
-        self.mode, self.step, self.ttl_ms, self.order, self.value = mode, step, ttl_ms, order, value
+    def __init__(self, mode: str, step: float, ttl_ms: int, order: list[str], kind: str, key: str | None, most: int) -> None:
+        self.mode, self.step, self.ttl_ms, self.order, self.key, self.most = mode, step, ttl_ms, order, key, most
+        self.stored, self.parse = _KINDS.get(kind, ("double", float))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double", self.ttl_ms or None)
+        self.last = handle.getMapState("last", "key string", f"value {self.stored}", self.ttl_ms or None)
+        self.count = handle.getValueState("keys", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for value in part[self.value].tolist():
-            if value is None or value != value:
+        names = part[self.key].tolist() if self.key else [""] * len(part)
+        held: dict[str, object] = {}
+        known = self.count.get()[0] if self.count.exists() else 0
+        before, out, admitted = known, [], []
+        for name, value in zip(names, part[HELD].tolist(), strict=True):
+            if name not in held:
+                if self.last.containsKey((str(name),)):
+                    held[name] = self.last.getValue((str(name),))[0]
+                elif not self.most or known < self.most:
+                    held[name], known = None, known + 1
+            admitted.append(name in held)
+            if name not in held or value is None or value != value:
                 out.append(None)
                 continue
-            right = last is None or (value == last + self.step if self.mode == "complete" else value >= last if self.mode == "asc" else value <= last)
-            out.append(bool(right))
-            last = float(value)
-        if last is not None:
-            self.last.update((last,))
-        yield part.assign(in_order=pd.array(out, dtype="boolean"))
+            value, last = self.parse(value), held[name]
+            out.append(bool(last is None or (value == last + self.step if self.mode == "complete" else value >= last if self.mode == "asc" else value <= last)))
+            held[name] = value
+        for name, value in held.items():
+            self.last.updateValue((str(name),), (value,))
+        if known > before:
+            self.count.update((known,))
+        yield part.drop(columns=HELD).assign(in_order=pd.array(out, dtype="boolean"), **({"admitted": admitted} if self.most else {}))
 
     def close(self) -> None:
         pass
@@ -68,12 +86,20 @@ class _Limit(StatefulProcessor):
         pass
 
 
-def remembered(stream: DataFrame, by: list[str], order: list[str], value: str, mode: str, step: float = 1.0, ttl_ms: int = 0) -> DataFrame:
-    """With in_order: what ``sequence`` (mode asc, desc) or ``complete`` says of each row; ``ttl_ms`` forgets idle keys."""
+def remembered(stream: DataFrame, by: list[str], order: list[str], value: str, mode: str, step: float = 1, ttl_ms: int = 0, key: str | None = None, most_keys: int = 0) -> DataFrame:
+    """With in_order: what ``sequence`` (mode asc, desc) or ``complete`` says of each row; ``ttl_ms`` forgets idle keys.
+
+    ``by`` names the key's columns. Only where ``most_keys`` bounds the keys of a group is the group one sequence, with ``key`` inside it;
+    then admitted is false for rows of keys first seen after so many others.
+    """
     if mode not in ("asc", "desc", "complete"):
         raise ValueError("mode is asc, desc or complete")
-    schema = T.StructType([*stream.schema.fields, T.StructField("in_order", T.BooleanType())])
-    return stream.groupBy(*by).transformWithStateInPandas(_Remember(mode, step, ttl_ms, order, value), schema, "append", "none")
+    if bool(most_keys) != bool(key):
+        raise ValueError("a bound on keys needs the key's column, and the other way round")
+    kind = stream.schema[value].dataType.simpleString()
+    schema = T.StructType([*stream.schema.fields, T.StructField("in_order", T.BooleanType()), *([T.StructField("admitted", T.BooleanType())] if most_keys else [])])
+    rows = stream.withColumn(HELD, F.col(value).cast("string" if kind in _KINDS else "double"))
+    return rows.groupBy(*by).transformWithStateInPandas(_Remember(mode, step, ttl_ms, order, kind, key, most_keys), schema, "append", "none")
 
 
 def limited(stream: DataFrame, by: list[str], limit: int, order: list[str]) -> DataFrame:

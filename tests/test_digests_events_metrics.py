@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sampletide.functions.rules import Rule, sequence
+from sampletide.functions.rules import Rule, admitted_keys, sequence
 from sampletide.functions.shred import path_text, shred, shred_within
 from sampletide.operators import events as ev
 from sampletide.operators import metrics as m
@@ -206,6 +206,20 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert counts == {k: min(2, x) for k, x in n.items()}
 
 
+def test_streamed_rules_are_exact_for_text_and_whole_numbers_and_bound_their_keys(spark, sf, tmp_path):
+    rows, _ = stream(spark, sf, tmp_path)
+    live = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    order, big = ["ts", "event_id"], (F.col("event_id") % 7 + (1 << 60)).alias("v")
+    for i, value in enumerate((big, F.md5(F.col("event_id").cast("string")).alias("v"))):
+        want = {r.event_id: r.ok for r in rows.select("event_id", sequence(F.when(F.col("event_id") % 5 > 0, value), "asc", ["user_id"], order).alias("ok")).collect()}
+        given = live.withColumn("v", F.when(F.col("event_id") % 5 > 0, value))
+        assert {r.event_id: r.in_order for r in drain(spark, remembered(given, ["user_id"], order, "v", "asc"), f"exact{i}", tmp_path)} == want
+    batch = admitted_keys(rows.withColumn("g", F.lit("g")), ["g"], "user_id", order, 5)
+    want = {r.event_id: (r.admitted, r.ok if r.admitted else None) for r in batch.select("event_id", "admitted", sequence(F.col("value"), "asc", ["user_id"], order).alias("ok")).collect()}
+    got = drain(spark, remembered(live.withColumn("g", F.lit("g")), ["g"], order, "value", "asc", key="user_id", most_keys=5), "bounded", tmp_path)
+    assert {r.event_id: (r.admitted, r.in_order) for r in got} == want and len({r.user_id for r in got if r.admitted}) == 5
+
+
 def test_streamed_digests_close_with_the_watermark(spark, sf, tmp_path):
     rows, live = stream(spark, sf, tmp_path)
     of = lambda df: df.withColumn("g", F.lit("g")).withColumn("sample", F.to_variant_object(F.struct("value")))
