@@ -400,6 +400,17 @@ def test_languages_held_out(spark, sf, empty):
     assert language_id.languages(empty).count() == 0
 
 
+def test_languages_with_clashing_columns_and_long_texts(spark):
+    base = {"en": "the quick brown fox and the lazy dog ", "de": "der schnelle braune Fuchs und der faule Hund "}
+    rows = [(i, base[lang] * (20_000 if i == 0 else 3), lang, True, "xx", 2.0, "r", "t") for i in range(40) for lang in [("en", "de")[i % 2]]]
+    rows += [rows[1], (None, base["de"], None, None, None, None, None, None), (90, None, "en", None, None, None, None, None), (91, "12 34 !", "en", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean, lang_pred string, score double, _row string, _text string")
+    out = language_id.languages(docs).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    assert all(r.lang_pred == ("en", "de")[r.doc_id % 2] for r in out if r.doc_id is not None and r.doc_id < 40)
+    assert {r.lang_pred for r in out if r.doc_id in (90, 91)} == {"und"} and [r.lang_pred for r in out if r.doc_id is None] == ["de"]
+
+
 def test_long_texts_in_steps_give_the_same_ngrams(monkeypatch):
     text = "Ein längerer Text, der in mehreren Schritten gezählt wird. " * 20
     want = language_id.grams(text)

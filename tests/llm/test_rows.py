@@ -169,6 +169,24 @@ def test_archives(spark):
     assert warc.archived(spark, pages.where("false")).count() == 0
 
 
+def test_archives_of_long_payloads_and_clashing_columns(spark):
+    long = "é" * 3_000_000
+    rows = [(1, "http://a", long, "x", 1, "lot"), (2, "http://b", long, "y", 2, "lot"), (3, "http://c", long + "!", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_to int, lot string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(spark, pages).collect()}
+    assert got == {1: (6_000_000, "revisit", 2), 2: (6_000_000, "response", None), 3: (6_000_001, "response", None)}
+
+
+def test_tool_calls_with_long_texts_and_clashing_columns(spark):
+    long = "word " * 200_000
+    calls = spark.createDataFrame([(1, "a", 0, "f", json.dumps({"x": long}), [], 5, "s")], "conv_id long, call_id string, turn long, tool string, arguments string, depends_on array<string>, level int, status string")
+    results = spark.createDataFrame([(1, "a", 1, long, 9, "p")], "conv_id long, call_id string, turn long, content string, n_results int, tool string")
+    row = tool_calls.link(calls, results, {"f": {"x": ("string", True)}}).head()
+    assert row.status == "ok" and row.level == 0 and json.loads(row.message) == {"arguments": {"x": long}, "id": "a", "result": long, "tool": "f"}
+    given = spark.createDataFrame([(None, None, None, None), (1, None, "user", "x"), (1, 0, "user", None), (2, 0, None, "y")], "conv_id long, turn long, role string, text string")
+    assert tool_calls.linked(given).count() == 1
+
+
 def test_archives_roll_over(spark):
     pages = spark.range(50).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat(cast(id as string), 900) as html")
     manifest = warc.write_archives(warc.resolved(pages), shared_dir(spark, "roll"), file_bytes=1000)
