@@ -1,6 +1,7 @@
 """Rules: boolean Spark SQL expressions over a sample, with helpers that remember earlier samples.
 
-A rule that gives null is a rule error, never a match. Stateful helpers are window columns over an explicit order.
+A rule that gives null is a rule error, never a match. Stateful helpers are window columns over an explicit order, for keys of
+moderate size, or ordered calls, whose groups may be of any size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sampletide.functions.segments import ROWS, Cuts, Scan, cuts_of
+
 #: Helpers that remember; stream rules may not use them, event rules may.
 STATEFUL = ("sequence", "complete")
 
@@ -54,33 +57,74 @@ def complete(value: Column, step: float, by: list[str], order: list[str], reache
     return F.when(value.isNotNull(), F.coalesce(value == last + F.lit(step), F.lit(True)))
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """A stateful call over groups of any size: what ``sequence`` (kind asc or desc) or ``complete`` says, by a scan that spreads over tasks."""
+
+    kind: str
+    value: Column
+    by: list[str]
+    order: list[str]
+    step: float = 1
+    reached: Column | None = None
+    rows: int = ROWS
+
+    def on(self, scan: Scan, name: str) -> Scan:
+        """``scan`` with the answer as column ``name``; it must be by the call's columns."""
+        if self.kind not in ("asc", "desc", "complete"):
+            raise ValueError("the kind is asc, desc or complete")
+        value = self.value if self.reached is None else F.when(self.reached, self.value)
+        scan = scan.with_last("_last", value)
+        last = F.col("_last")
+        answer = {"asc": value >= last, "desc": value <= last, "complete": value == last + F.lit(self.step)}[self.kind]
+        rows = scan.rows.withColumn(name, F.when(value.isNotNull(), F.coalesce(answer, F.lit(True)))).drop("_last")
+        return Scan(rows, scan.by, scan.order, scan.cut)
+
+
+#: Lots that the keys of a group are dealt to when its first ones are looked for.
+LOTS = 64
+
+
 def admitted_keys(df: DataFrame, by: list[str], key: str, order: list[str], most: int) -> DataFrame:
-    """With admitted: false for keys first seen after ``most`` others of the group (0: no bound)."""
+    """With admitted: false for keys first seen after ``most`` others of the group (0: no bound). A null key is a key, a null in ``by`` a group.
+
+    The first ``most`` of each lot of a group's keys are taken before those of all lots, so no task gets more than ``LOTS * most`` of a group.
+    """
     if most == 0:
         return df.withColumn("admitted", F.lit(True))
-    first = df.groupBy(*by, key).agg(F.min(F.struct(*order)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_first"))
-    first = first.withColumn("admitted", rank <= most).drop("_first")
-    return df.join(first, [*by, key])
+    first = df.groupBy(*by, key).agg(F.min(F.struct(*order)).alias("_first")).withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(LOTS)))
+    for group in ([*by, "_lot"], by):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_first", key))
+        first = first.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    names = [*by, key]
+    chosen = first.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(names)], F.lit(True).alias("admitted"))
+    rows = df.join(chosen, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(names)], "left")
+    return rows.drop(*[f"_on{i}" for i in range(len(names))]).withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
-def key_epochs(df: DataFrame, by: list[str], order: list[str], ttl: str) -> DataFrame:
-    """With epoch: it grows when a key was idle longer than ``ttl``, so state grouped by it starts anew."""
-    w = over(by, order)
-    idle = F.col(order[0]) - F.lag(order[0]).over(w) > F.expr(f"interval {ttl}")
-    return df.withColumn("epoch", F.sum(F.coalesce(idle, F.lit(False)).cast("int")).over(w))
+def key_epochs(df: DataFrame, by: list[str], order: list[str], ttl: str, rows: int = ROWS) -> DataFrame:
+    """With epoch: it grows when a key was idle longer than ``ttl``, so state grouped by it starts anew. A key's rows are spread as by ``Scan``."""
+    scan = Scan.of(df, by, order, rows).with_last("_before", F.col(order[0]))
+    idle = F.col(order[0]) - F.col("_before") > F.expr(f"interval {ttl}")
+    return scan.with_sum("epoch", F.coalesce(idle, F.lit(False)).cast("int")).done().drop("_before")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A SQL expression over sample columns and the named helpers, which are columns made beforehand."""
+    """A SQL expression over sample columns and the named helpers, which are columns or ordered calls made beforehand, each of what the earlier ones gave."""
 
     expression: str
-    helpers: dict[str, Column] = field(default_factory=dict)
+    helpers: dict[str, Column | Ordered] = field(default_factory=dict)
 
     def column(self, df: DataFrame, name: str = "matched") -> DataFrame:
+        known: dict[tuple, Cuts] = {}  # calls of one grouping and order share their cuts
         for helper, value in self.helpers.items():
-            df = df.withColumn(helper, value)
+            if isinstance(value, Ordered):
+                place = (*value.by, None, *value.order, value.rows)
+                known[place] = known.get(place) or cuts_of(df, value.by, value.order, value.rows)
+                df = value.on(Scan.of(df, value.by, value.order, cuts=known[place]), helper).done()
+            else:
+                df = df.withColumn(helper, value)
         return df.withColumn(name, check_rule(df, self.expression)).drop(*self.helpers)
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sampletide.functions.rules import check_rule
+from sampletide.functions.segments import ROWS, Cuts, cuts_of, joined
 from sampletide.sources.records import record
 
 
@@ -43,48 +48,241 @@ def within_window(df: DataFrame, by: list[str], limit: int, order: list[str], wi
     return ranked.where(F.col("_rank") <= limit).drop("_window", "_rank")
 
 
+#: Tokens are counted in millionths, and times in microseconds, so that nothing is rounded.
+TOKEN = 1_000_000
+#: The time of rows without one: before all others.
+_LONG_AGO = -(1 << 62)
+
+
 class Bucket:
     """A bucket that starts full and fills by ``limit`` tokens a second up to ``limit``; a sample takes one."""
 
-    def __init__(self, limit: float) -> None:
-        self.limit, self.tokens, self.last = limit, float(limit), None
-
-    def take(self, seconds: float) -> bool:
-        if self.last is not None:
-            self.tokens = min(self.limit, self.tokens + max(0.0, seconds - self.last) * self.limit)
-        self.last = seconds if self.last is None else max(self.last, seconds)
-        if self.tokens < 1:
+    def __init__(self, limit: int, tokens: int | None = None) -> None:
+        self.limit, self.most, self.last = limit, limit * TOKEN, None
+        self.tokens = self.most if tokens is None else tokens
+
+    def take(self, at: int) -> bool:
+        """Whether a sample at a time in microseconds gets a token."""
+        if self.last is None:
+            self.last = at
+        elif at > self.last:
+            self.tokens = min(self.most, self.tokens + (at - self.last) * self.limit)
+            self.last = at
+        if self.tokens < TOKEN:
             return False
-        self.tokens -= 1
+        self.tokens -= TOKEN
         return True
 
 
-def token_bucket(df: DataFrame, by: list[str], limit: int | Column, order: list[str]) -> DataFrame:
+def _changes(batch: pa.RecordBatch, names: list[str], before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether each row differs from the one before it in any of ``names``; nulls are equal. ``before``: the row before the first."""
+    out = np.zeros(batch.num_rows, bool)
+    for name in names:
+        column = batch.column(name)
+        whole = pa.concat_arrays([before.column(name) if before else column[:1], column])
+        out |= np.diff(whole.dictionary_encode("encode").indices.to_numpy()) != 0
+    if before is None and len(out):
+        out[0] = True
+    return out
+
+
+def _in_blocks(rows: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    return rows.repartition(*names).sortWithinPartitions(*names, *order)
+
+
+class _Block:
+    """What a block of samples does to its limiter's bucket, whatever ``x`` tokens its first sample finds. Exact, in millionths.
+
+    The samples taken up to one are the least, over it and all before, of the tokens come by then plus the samples since. So with
+    x = k tokens and a part f, min(n, k + takes + (f >= part)) samples are taken, if no ``x`` lets the bucket overflow (``free``).
+    The bucket is full, and what came before forgotten (``full``), when so much comes at once that even one token less than an
+    empty start has left would fill it: no start falls behind the empty one by a token.
+    At one token a second the bucket overflows all the time, but then all that matters is when the second after the last taken sample is
+    over: ``ends`` holds, for starts up to each time, that time after the block. Starts that take the same sample have one future.
+    """
+
+    #: Distinct futures that are carried for a block; beyond, it runs when its start is known.
+    MOST = 256
+
+    def __init__(self, at: int, limit: int, given: int | None) -> None:
+        self.limit, self.first, self.last, self.n, self.most = limit, at, at, 0, limit * TOKEN
+        self.takes, self.part, self.total, self.free = 0, TOKEN, 0, True
+        self.empty, self.full = Bucket(limit, 0), Bucket(limit, given) if given is not None else None
+        # for one token a second: the times at which chains of starts take again, in order, and whose starts they are
+        self.chains: deque[tuple[int, list[int]]] = deque()
+        self.uppers: list[int] = []
+
+    def add(self, at: int) -> None:
+        gap, self.last = max(0, at - self.last) if self.n else 0, max(at, self.last)
+        self.n += 1
+        if self.full is not None:
+            self.full.take(at)
+        elif gap >= TOKEN or self.limit > 1 and self.n > 1 and self.empty.tokens - TOKEN + gap * self.limit >= self.most:
+            self.full = Bucket(self.limit)
+            self.full.take(at)
+        elif self.limit == 1:
+            self._chained()
+        else:
+            self._counted()
+            self.empty.take(at)
+
+    def _counted(self) -> None:
+        self.total = (self.last - self.first) * self.limit
+        whole, rest = divmod(self.total, TOKEN)
+        if self.n > 1:
+            high, low = min(self.n - 1, self.limit + self.takes), min(self.n - 1, self.limit - 1 + self.takes)
+            self.free &= self.total <= high * TOKEN and self.part - TOKEN + self.total <= low * TOKEN
+            if self.takes + 1 < whole:
+                self.takes += 1
+                return
+            self.part = max(self.part, TOKEN - rest) if self.takes + 1 == whole else TOKEN - rest
+        self.takes = whole
+
+    def _chained(self) -> None:
+        at, own = self.last, []
+        while self.chains and self.chains[0][0] <= at:
+            own += self.chains.popleft()[1]
+        if not self.uppers or self.uppers[-1] < min(at, self.first + TOKEN):
+            own.append(len(self.uppers))
+            self.uppers.append(at)
+        if own:
+            self.chains.append((at + TOKEN, own))
+
+    def row(self) -> list:
+        """first, last, most, n, fixed (tokens left, if they are known), free, total, takes, part, uppers, ends."""
+        ends = [0] * len(self.uppers)
+        for end, starts in self.chains:
+            for i in starts:
+                ends[i] = end
+        kept = [i for i, end in enumerate(ends) if i + 1 == len(ends) or end != ends[i + 1]]
+        some = self.full is None and self.limit == 1 and len(kept) <= self.MOST
+        fixed = None if self.full is None else self.full.tokens
+        free = self.full is None and self.limit > 1 and self.free
+        return [self.first, self.last, self.limit, self.n, fixed, free, self.total, self.takes, self.part, [self.uppers[i] for i in kept] if some else None, [ends[i] for i in kept] if some else None]
+
+
+_BLOCK = "first long, last long, most int, n long, fixed long, free boolean, total long, takes long, part long, uppers array<long>, ends array<long>"
+
+
+def _left(block: dict, at: int) -> int | None:
+    """The tokens that a sample at a time after a block finds, or None if that isn't known without running the block."""
+    full, idle, x = block["most"] * TOKEN, at - block["last"], block["start"]
+    if idle >= TOKEN:
+        return full
+    left = block["fixed"]
+    if left is None and x is not None:
+        if block["free"]:
+            whole, part = divmod(x, TOKEN)
+            left = x + block["total"] - TOKEN * min(block["n"], whole + block["takes"] + (part >= block["part"]))
+        elif block["uppers"] is not None:
+            ready = block["first"] + TOKEN - x
+            i = bisect_left(block["uppers"], ready)
+            return min(full, TOKEN + at - (block["ends"][i] if i < len(block["ends"]) else ready))
+    return None if left is None else min(full, left + max(0, idle) * block["most"])
+
+
+def _blocks(rows: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    """A row a block: what ``_Block`` says of it, from the start _given if there is one."""
+    schema = T.StructType([*(rows.schema[c] for c in names), *T.StructType.fromDDL(_BLOCK).fields])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, key, block = None, None, None
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(key.column(c) for c in names), *(pa.array([v], t) for v, t in zip(block.row(), kinds, strict=True))], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _changes(batch, names, before).tolist()
+            before = batch.slice(batch.num_rows - 1).select(names)
+            limits, given = batch.column("_limit").to_pylist(), batch.column("_given").to_pylist()
+            for i, at in enumerate(batch.column("_at").to_pylist()):
+                if new[i]:
+                    if block:
+                        yield ended()
+                    key, block = batch.slice(i, 1), _Block(at, limits[i], given[i])
+                block.add(at)
+        if block:
+            yield ended()
+
+    return _in_blocks(rows, names, order).select(*names, "_at", "_limit", "_given").mapInArrow(run, schema)
+
+
+def _block_starts(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The tokens (_start) that the first row of each block of the large groups finds.
+
+    Every block tells what it does to any start; the starts then follow one from the other, a few numbers a block, of
+    which there are ``MOST`` a limiter at most. A block that can't tell (the bucket overflows for some starts and not for others, as when
+    samples come just as fast as tokens) runs when its start is known.
+    """
+    names, spark = [*by, "_segment"], rows.sparkSession
+    rows = rows.where((F.col("_segment") >= 0) & (F.col("_limit") > 0)).select(*names, *[c for c in order if c not in names], "_at", "_limit")
+    kinds = [rows.schema[c] for c in names]
+    table = _blocks(rows.withColumn("_given", F.lit(None).cast("long")), names, order).toArrow()
+    groups: dict[str, list[dict]] = {}
+    for i, block in enumerate(table.to_pylist()):
+        groups.setdefault(repr([block[c] for c in by]), []).append(block | {"row": i, "start": None})
+
+    def of(column: str, blocks: list[dict]) -> DataFrame:
+        found = table.take(pa.array([b["row"] for b in blocks], pa.int64())).select(names)
+        return spark.createDataFrame(found.append_column(column, pa.array([b["start"] for b in blocks], pa.int64())), T.StructType([*kinds, T.StructField(column, T.LongType())]))
+
+    for blocks in groups.values():
+        blocks.sort(key=lambda b: b["_segment"])
+        blocks[0]["start"] = blocks[0]["most"] * TOKEN
+    while True:
+        stuck = []
+        for blocks in groups.values():
+            for a, b in zip(blocks, blocks[1:], strict=False):
+                b["start"] = _left(a, b["first"]) if b["start"] is None else b["start"]
+                if b["start"] is None and a["start"] is not None:
+                    stuck.append(a)
+        if not stuck:
+            return of("_start", [b for blocks in groups.values() for b in blocks])
+        some = joined(rows, of("_given", stuck), names).where("_given is not null")
+        done = {repr([r[c] for c in names]): r["fixed"] for r in _blocks(some, names, order).toArrow().to_pylist()}
+        for b in stuck:
+            b["fixed"] = done[repr([b[c] for c in names])]
+
+
+def token_bucket(df: DataFrame, by: list[str], limit: int | Column, order: list[str], rows: int = ROWS, cuts: Cuts | None = None) -> DataFrame:
     """The rows that a token bucket a group lets through, in the order of ``order`` (ts first). -1: all; 0: none.
 
-    What a bucket lets through depends on what it let through before, so a group is one sequence: it is sorted by Spark
-    and streamed through the bucket, never held. Groups share nothing. ``limit`` may be a column that is constant in a group.
+    A group is a sequence, sorted by Spark and streamed through its bucket, never held. A group of more than ``rows`` rows is cut
+    into blocks that run side by side, each from the tokens that ``_block_starts`` has found for it. Groups share nothing, a null is a
+    key like others, and rows without a time come first, all at one. ``limit`` may be a column that is constant in a
+    group. ``cuts`` may be those of a table that ``df`` is a part of, by some of ``by``.
     """
     if isinstance(limit, int) and limit < 0:
         return df
     if isinstance(limit, int) and limit == 0:
         return df.where("false")
-    rows = df.withColumn("_limit", F.lit(limit) if isinstance(limit, int) else limit.cast("int"))
-    rows, columns = rows.repartition(*by).sortWithinPartitions(*by, *order), df.columns
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bucket = None, None
-        for part in parts:
-            keys = list(part[by].itertuples(index=False, name=None))
-            seconds = (part[order[0]] - pd.Timestamp(0)).dt.total_seconds().tolist()
-            keep = []
-            for key, at, most in zip(keys, seconds, part["_limit"].tolist(), strict=True):
-                if key != now:
-                    now, bucket = key, Bucket(most)
-                keep.append(most < 0 or most > 0 and bucket.take(at))
-            yield part.loc[keep, columns]
-
-    return rows.mapInPandas(run, df.schema)
+    at = F.coalesce(F.unix_micros(F.col(order[0]).cast("timestamp")), F.lit(_LONG_AGO))
+    given = df.withColumn("_limit", F.lit(limit) if isinstance(limit, int) else limit.cast("int")).withColumn("_at", at)
+    cuts = cuts or cuts_of(given, by, order, rows)
+    given, names, columns = cuts.rows(given), [*by, "_segment"], df.columns
+    if cuts.table is None:
+        given = given.withColumn("_start", F.lit(None).cast("long"))
+    else:
+        given = joined(given, _block_starts(given, by, order), names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, bucket = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _changes(batch, names, before).tolist()
+            before = batch.slice(batch.num_rows - 1).select(names)
+            limits, starts, keep = batch.column("_limit").to_pylist(), batch.column("_start").to_pylist(), []
+            for i, at in enumerate(batch.column("_at").to_pylist()):
+                if new[i]:
+                    bucket = Bucket(max(0, limits[i]), starts[i])
+                keep.append(limits[i] < 0 or bucket.take(at))
+            yield batch.select(columns).filter(pa.array(keep))
+
+    return _in_blocks(given, names, order).mapInArrow(run, df.schema)
 
 
 def assign_streams(df: DataFrame, streams: list[Stream]) -> DataFrame:
@@ -105,11 +303,12 @@ def raw_export(assigned: DataFrame, streams: list[Stream]) -> DataFrame:
     return record(chosen, "raw", encoding=F.lit("json"))
 
 
-def sampler_pipeline(df: DataFrame, streams: list[Stream], limit_in: int, rate: int, limit_out: int, by: list[str], order: list[str]) -> DataFrame:
-    """Limiter in, key sampling, streams, limiter out (only what some stream holds takes tokens)."""
-    rows = token_bucket(df, by, limit_in, order)
-    rows = assign_streams(rows.where(keep_by_key(F.col("sample_key"), rate)), streams)
-    return token_bucket(rows.where(F.size("stream_uids") > 0), by, limit_out, order)
+def sampler_pipeline(df: DataFrame, streams: list[Stream], limit_in: int, rate: int, limit_out: int, by: list[str], order: list[str], rows: int = ROWS) -> DataFrame:
+    """Limiter in, key sampling, streams, limiter out (only what some stream holds takes tokens). Both limiters cut large groups alike."""
+    cuts = cuts_of(df, by, order, rows)
+    entered = token_bucket(df, by, limit_in, order, cuts=cuts)
+    assigned = assign_streams(entered.where(keep_by_key(F.col("sample_key"), rate)), streams)
+    return token_bucket(assigned.where(F.size("stream_uids") > 0), by, limit_out, order, cuts=cuts)
 
 
 def sampling_stats(df: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from sampletide.functions.shred import shred
 from sampletide.plans.config import dead_letter_changes
 from sampletide.queries.digests import UID
 from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
+from sampletide.queries.rules import SEGMENT
 from sampletide.sources.records import record
 from sampletide.sources.samples import typed_samples
 
@@ -71,7 +72,7 @@ def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, sampler FROM (SELECT *, coalesce(event_id = lag(event_id) OVER (PARTITION BY sampler ORDER BY ts, event_id) + 1, true) AS ok FROM e) WHERE NOT ok")
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.Rule("not ok", {"ok": r.complete(F.col("event_id"), 1, ["sampler"], _ORDER)}).column(event_rows(spark, sf_dir))
+    rows = r.Rule("not ok", {"ok": r.Ordered("complete", F.col("event_id"), ["sampler"], _ORDER, rows=SEGMENT)}).column(event_rows(spark, sf_dir))
     return rows.where("matched").select("event_id", "sampler")
 
 

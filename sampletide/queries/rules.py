@@ -10,6 +10,8 @@ from sampletide.queries.registry import EVENT_ROWS, event_rows, query, table
 from sampletide.sources.samples import json_samples, typed_samples
 
 _ORDER = ["ts", "event_id"]
+#: Rows of a segment in these queries: so few that the samplers of small tables are cut too.
+SEGMENT = 400
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ _LAST = "lag(value IGNORE NULLS) OVER (PARTITION BY {} ORDER BY ts, event_id)"
 
 @query("WITH " + EVENT_ROWS + f" SELECT event_id, CASE WHEN value IS NOT NULL THEN coalesce(value >= {_LAST.format('resource, sampler')}, true) END AS ok FROM e")
 def sequence_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_rows(spark, sf_dir).select("event_id", r.sequence(F.col("value"), "asc", ["resource", "sampler"], _ORDER).alias("ok"))
+    return r.Rule("held", {"held": r.Ordered("asc", F.col("value"), ["resource", "sampler"], _ORDER, rows=SEGMENT)}).column(event_rows(spark, sf_dir), "ok").select("event_id", "ok")
 
 
 @query("WITH " + EVENT_ROWS + f" SELECT event_id, CASE WHEN value IS NOT NULL THEN coalesce(value <= {_LAST.format('resource, sampler, sample_key')}, true) END AS ok FROM e")
@@ -55,7 +57,7 @@ def sequence_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, coalesce(event_id = lag(event_id) OVER (PARTITION BY resource, sampler ORDER BY ts, event_id) + 1, true) AS ok FROM e")
 def complete_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_rows(spark, sf_dir).select("event_id", r.complete(F.col("event_id"), 1, ["resource", "sampler"], _ORDER).alias("ok"))
+    return r.Rule("held", {"held": r.Ordered("complete", F.col("event_id"), ["resource", "sampler"], _ORDER, rows=SEGMENT)}).column(event_rows(spark, sf_dir), "ok").select("event_id", "ok")
 
 
 @query("SELECT conv_id, turn, coalesce(turn = lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) + 1, true) AS ok FROM conversations")
@@ -79,7 +81,7 @@ def keyed_max_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["resource", "sampler", "sample_key"]
-    rows = r.key_epochs(event_rows(spark, sf_dir), by, _ORDER, "2 days")
+    rows = r.key_epochs(event_rows(spark, sf_dir), by, _ORDER, "2 days", SEGMENT)
     return rows.select("event_id", "epoch", r.sequence(F.col("value"), "asc", [*by, "epoch"], _ORDER).alias("ok"))
 
 
@@ -90,9 +92,9 @@ def keyed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multi_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["resource", "sampler"]
-    up = r.sequence(F.col("value"), "asc", by, _ORDER)
-    rows = event_rows(spark, sf_dir).withColumn("up", up)
-    return r.Rule("up and down", {"down": r.sequence(F.col("value"), "desc", by, _ORDER, reached=F.col("up"))}).column(rows, "ok").select("event_id", "ok")
+    up = r.Ordered("asc", F.col("value"), by, _ORDER, rows=SEGMENT)
+    down = r.Ordered("desc", F.col("value"), by, _ORDER, reached=F.col("up"), rows=SEGMENT)
+    return r.Rule("up and down", {"up": up, "down": down}).column(event_rows(spark, sf_dir), "ok").select("event_id", "ok")
 
 
 _K = "CAST(json_extract(props, '$.k') AS DOUBLE)"

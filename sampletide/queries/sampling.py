@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sampletide.operators import sampling as s
 from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
+from sampletide.queries.rules import SEGMENT
 from sampletide.sources.records import record
 
 STREAMS = [
@@ -35,13 +36,13 @@ def fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     # event time runs a thousand times as fast, so that the limit bites
     rows = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
-    return s.token_bucket(rows, ["resource", "sampler"], 1, ["ts", "event_id"]).select("event_id", "resource", "sampler", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return s.token_bucket(rows, ["resource", "sampler"], 1, ["ts", "event_id"], SEGMENT).select("event_id", "resource", "sampler", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("WITH RECURSIVE " + FAST_ROWS + ", w AS (SELECT * FROM f WHERE event_type = 'purchase' OR value > 100), " + bucket_sql("kept", "w", 1) + " SELECT event_id, resource, sampler FROM kept")
 def limiter_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.assign_streams(event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9)), STREAMS[:2])
-    return s.token_bucket(rows.where(F.size("stream_uids") > 0), ["resource", "sampler"], 1, ["ts", "event_id"]).select("event_id", "resource", "sampler")
+    return s.token_bucket(rows.where(F.size("stream_uids") > 0), ["resource", "sampler"], 1, ["ts", "event_id"], SEGMENT).select("event_id", "resource", "sampler")
 
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, sample_size > 8 AS too_large FROM e")
@@ -67,7 +68,7 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sampler_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
-    out = s.sampler_pipeline(rows, STREAMS, 2, 2, 1, ["resource", "sampler"], ["ts", "event_id"])
+    out = s.sampler_pipeline(rows, STREAMS, 2, 2, 1, ["resource", "sampler"], ["ts", "event_id"], SEGMENT)
     return out.select("event_id", "resource", "sampler", F.array_join("stream_uids", ",").alias("streams"))
 
 

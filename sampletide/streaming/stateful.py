@@ -70,15 +70,15 @@ class _Limit(StatefulProcessor):
         self.limit, self.order = limit, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double")
+        self.state = handle.getValueState("bucket", "tokens long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         bucket = Bucket(self.limit)
         if self.state.exists():
             bucket.tokens, bucket.last = self.state.get()
-        seconds = part[self.order[0]].map(pd.Timestamp.timestamp).tolist()
-        kept = part[[bucket.take(x) for x in seconds]]
+        times = part[self.order[0]].astype("datetime64[us]").astype("int64").tolist()
+        kept = part[[bucket.take(x) for x in times]]
         self.state.update((bucket.tokens, bucket.last))
         yield kept
 
