@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sampletide.functions.segments import ROWS, Scan
+
 KINDS = ["obj", "array", "string", "boolean", "null", "int", "float"]
 _OBJ, _ARRAY, _STRING, _BOOLEAN, _NULL, _INT, _FLOAT = range(len(KINDS))
 #: Nodes after which a part of a batch goes out; a sample is never cut.
 PART = 100_000
+#: Sorts after all parts of paths.
+_AFTER = chr(0x10FFFF)
 _SCHEMA = "path array<string>, kind string, number double, text string, flag boolean, size int"
 
 
@@ -50,14 +54,21 @@ class _Nodes:
                 out += [(star, v) for v in x]
         return out
 
-    def within(self, nodes: list[tuple[int, object]], budget: int) -> tuple[list[tuple[int, object]], bool]:
-        """The nodes in order of path until their cost exceeds ``budget``, and whether any are left out."""
-        spent, ordered = 0, sorted(nodes, key=lambda n: self.paths[n[0]])
-        for i, (path, x) in enumerate(ordered):
-            spent += 1 if not path or x is None else 2
+    def within(self, nodes: list[tuple[int, object]], budget: int, absent: list[dict] | None = None) -> tuple[list[tuple[int, object]], bool]:
+        """The nodes in order of path until their cost exceeds ``budget``, and whether anything is left out.
+
+        ``absent``: paths of objects, and how many steps the fields that they lack cost when all below them is done.
+        """
+        steps = [(self.paths[n[0]], 1 if not n[0] or n[1] is None else 2, n) for n in nodes]
+        steps += [((*x["path"], _AFTER), x["steps"], None) for x in absent or ()]
+        spent, taken = 0, []
+        for _, cost, node in sorted(steps, key=lambda s: s[0]):
+            spent += cost
             if spent > budget:
-                return ordered[:i], True
-        return ordered, False
+                return taken, True
+            if node is not None:
+                taken.append(node)
+        return taken, False
 
     def add(self, owner: int, nodes: list[tuple[int, object]], truncated: bool) -> None:
         for path, x in nodes:
@@ -85,18 +96,19 @@ class _Nodes:
         return [paths, kinds, pa.array(number, pa.float64()), pa.array(text, pa.string()), pa.array(flag, pa.bool_()), pa.array(size, pa.int32())]
 
 
-def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None) -> DataFrame:
-    rows = df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"))
+def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None, absent: str | None = None) -> DataFrame:
+    rows = df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"), *([F.col(absent).alias("_absent")] if absent else []))
     cut = [T.StructField("truncated", T.BooleanType())] if budget is not None else []
-    schema = T.StructType([*rows.drop("_json").schema.fields, *cut, *T.StructType.fromDDL(_SCHEMA).fields])
+    schema = T.StructType([*rows.drop("_json", "_absent").schema.fields, *cut, *T.StructType.fromDDL(_SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, last, parse = _Nodes(), batch.num_rows - 1, json.JSONDecoder().decode
+            lacking = batch.column("_absent").to_pylist() if absent else None
             for i, text in enumerate(batch.column("_json").to_pylist()):
                 own, truncated = nodes.walk(parse(text)), False
                 if budget is not None:
-                    own, truncated = nodes.within(own, budget)
+                    own, truncated = nodes.within(own, budget, lacking[i] if lacking else None)
                 nodes.add(i, own, truncated)
                 if len(nodes.owner) >= PART or i == last:
                     owner = pa.array(nodes.owner, pa.int32())
@@ -120,5 +132,42 @@ def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sam
     return _shredded(df, keep, sample, budget)
 
 
+def absent_steps(nodes: DataFrame, by: list[str], order: list[str], rows: int = ROWS) -> DataFrame:
+    """For each sample (``by``, ``order``) with some: absent, the objects' paths and how many known fields each lacks, all its occurrences together.
+
+    A field is known to a digest (``by``) after the first sample, in ``order``, that has it. How many are known before a sample is a
+    running sum over first samples, which spreads over tasks where one object's samples are many.
+    """
+    field = F.element_at("path", -1).startswith(".")
+    seen = nodes.groupBy(*by, *order, "path").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "obj").alias("objs"))
+    fields = seen.where((F.size("path") > 0) & field)
+    parent = F.slice("path", F.lit(1), F.size("path") - 1)
+    first = fields.groupBy(*by, "path").agg(F.min(F.struct(*order, "n")).alias("f"))
+    none = F.lit(0).cast("long")
+    parts = [
+        seen.where("objs > 0").select(*by, *order, F.col("path").alias("at"), "objs", none.alias("old"), none.alias("new")),
+        fields.select(*by, *order, parent.alias("at"), none.alias("objs"), F.col("n").alias("old"), none.alias("new")),
+        first.select(*by, *[F.col(f"f.{c}").alias(c) for c in order], parent.alias("at"), none.alias("objs"), (-F.col("f.n")).alias("old"), F.lit(1).cast("long").alias("new")),
+    ]
+    held = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by, *order, "at").agg(*[F.sum(c).alias(c) for c in ("objs", "old", "new")])
+    known = Scan.of(held, [*by, "at"], order, rows).with_sum("known", F.col("new")).done()
+    steps = F.col("objs") * (F.col("known") - F.col("new")) - F.col("old")
+    lacking = known.withColumn("steps", steps).where("steps > 0")
+    return lacking.groupBy(*by, *order).agg(F.collect_list(F.struct(F.col("at").alias("path"), "steps")).alias("absent"))
+
+
+def shred_known(df: DataFrame, by: list[str], order: list[str], budget: int, keep: list[str] | None = None, sample: str = "sample", rows: int = ROWS) -> DataFrame:
+    """As ``shred_within`` for the value digests ``by``, where a known field that an object lacks costs a step as well.
+
+    Known are the fields that earlier samples have within their own budgets. Such steps are taken after all below the object.
+    ``order`` tells the samples of a digest apart; those it doesn't are taken for one and share their steps. Nulls are equal.
+    """
+    absent = absent_steps(_shredded(df, [*by, *order], sample, budget), by, order, rows)
+    names = [*by, *order]
+    other = absent.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(names)], F.col("absent").alias("_lacking"))
+    both = df.join(other, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(names)], "left")
+    return _shredded(both, keep or by, sample, budget, "_lacking")
+
+
 def path_text(path: Column | str) -> Column:
     return F.array_join(path, "")

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampletide.functions.shred import shred_within
+from sampletide.functions.shred import shred_known, shred_within
+from sampletide.operators.struct_digest import struct_digest, struct_json
+from sampletide.operators.value_digest import value_digest, value_json
 from sampletide.sources.records import record
 
 
@@ -21,9 +23,24 @@ class Digest:
     max_fields: int = 100
 
 
-def digest_nodes(samples: DataFrame, digest: Digest, keep: list[str] | None = None) -> DataFrame:
-    """The node rows that a digest is made of: of each sample as much as its budget of ``max_fields`` steps allows."""
-    return shred_within(samples, keep or grouping(digest), digest.max_fields)
+def digest_nodes(samples: DataFrame, digest: Digest, keep: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The node rows that a digest is made of: of each sample as much as its budget of ``max_fields`` steps allows.
+
+    With an ``order`` of the samples, known fields that a sample lacks cost value digests a step each.
+    """
+    by = keep or grouping(digest)
+    if order and digest.kind == "value-digest":
+        return shred_known(samples, by, order, digest.max_fields)
+    return shred_within(samples, by, digest.max_fields)
+
+
+def digest_bodies(samples: DataFrame, digest: Digest, order: list[str] | None = None, json_numbers: bool = False) -> DataFrame:
+    """The bodies of a digest over samples with window_start, its budget applied."""
+    by = grouping(digest)
+    nodes = digest_nodes(samples, digest, by, order)
+    if digest.kind == "value-digest":
+        return value_json(value_digest(nodes, by), by)
+    return struct_json(struct_digest(nodes, by, json_numbers), by)
 
 
 def with_window(df: DataFrame, period: str) -> DataFrame:

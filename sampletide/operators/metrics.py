@@ -105,5 +105,5 @@ def digests_from_body(records: DataFrame, keep: list[str]) -> DataFrame:
         count("number").alias("numbers"), zero(get("number.default")).alias("number_default"), get("number.min", "double").alias("number_min"), get("number.max", "double").alias("number_max"), get("number.avg.sum", "double").alias("number_sum"),
         count("string").alias("strings"), zero(get("string.default")).alias("string_default"), get("string.length.min").alias("length_min"), get("string.length.max").alias("length_max"), get("string.length.avg.sum").alias("length_sum"),
         count("boolean").alias("booleans"), zero(get("boolean.trueCount")).alias("true_count"), count("array").alias("arrays"), zero(get("array.default")).alias("array_default"), count("obj").alias("objs"), zero(get("obj.default")).alias("obj_default"),
-        *[F.unbase64(get(f"{where}.cardinality", "string")).alias(f"{name}_sketch") for name, where in (("number", "number"), ("string", "string"), ("length", "string.length"))],
+        *[F.unbase64(get(f"{where}.hyperLogLog.data", "string")).alias(f"{name}_sketch") for name, where in (("number", "number"), ("string", "string"), ("length", "string.length"))],
     )

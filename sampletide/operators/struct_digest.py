@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,9 +38,27 @@ def mixed_types(digests: DataFrame) -> DataFrame:
     return digests.withColumn("n_classes", classes).where("n_classes > 1")
 
 
-def _entry(rows: dict, path: tuple) -> dict:
-    """The nested form of the digest at ``path``; 64-bit counts are text."""
-    row, out = rows[path], {}
+def children(rows: dict[tuple, dict]) -> dict[tuple, list[tuple]]:
+    """The paths of the fields right below each path, by name."""
+    below: dict[tuple, list[tuple]] = {}
+    for path in sorted(rows):
+        if path and path[-1] != "*":
+            below.setdefault(path[:-1], []).append(path)
+    return below
+
+
+def folded(rows: dict[tuple, dict], entry: Callable[[dict, dict, dict | None], dict]) -> dict:
+    """The nested form of a digest, made from its deepest paths up: ``entry`` gets a row, its fields' entries by name and its elements' entry. Each path is looked at once."""
+    below, done = children(rows), {}
+    for path in sorted(rows, key=len, reverse=True):
+        fields = {p[-1][1:]: done.pop(p) for p in below.get(path, ())}
+        done[path] = entry(rows[path], fields, done.pop((*path, "*"), None))
+    return done[()]
+
+
+def _entry(row: dict, fields: dict, elements: dict | None) -> dict:
+    """64-bit counts are text."""
+    out = {}
     number = {k: {"count": str(row[c])} for k, c in (("floatNum", "floats"), ("integerNum", "ints")) if row[c]}
     if number:
         out["number"] = number
@@ -48,22 +67,24 @@ def _entry(rows: dict, path: tuple) -> dict:
             out[k] = {"count": str(row[c])}
     if row["arrays"]:
         out["array"] = {"count": str(row["arrays"]), "minLength": str(int(row["min_length"])), "maxLength": str(int(row["max_length"])), "sumLength": str(int(row["sum_length"]))}
-        if (*path, "*") in rows:
-            out["array"]["fields"] = _entry(rows, (*path, "*"))
+        if elements is not None:
+            out["array"]["fields"] = elements
     if row["obj"]:
-        out["obj"] = {"count": str(row["obj"])}
-        fields = {p[-1][1:]: _entry(rows, p) for p in rows if len(p) == len(path) + 1 and p[:-1] == path and p[-1] != "*"}
-        if fields:
-            out["obj"]["fields"] = dict(sorted(fields.items()))
+        out["obj"] = {"count": str(row["obj"])} | ({"fields": fields} if fields else {})
     return out
 
 
-def struct_json(digests: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON body a digest. A digest has a row a path, which its schema bounds, not its samples."""
+def rendered(digests: DataFrame, by: list[str], body: Callable[[dict[tuple, dict]], dict]) -> DataFrame:
+    """A JSON ``body`` a digest, of its rows by path: as many as its field budget and its samples' schema allow."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.select(*by).schema) + ", body string"
 
     def render(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = {tuple(r["path"]): r for r in part.to_dict("records")}
-        return pd.DataFrame([[*key, json.dumps(_entry(rows, ()), separators=(",", ":"), ensure_ascii=False)]], columns=[*by, "body"])
+        found = body({tuple(r["path"]): r for r in part.drop(columns=by).to_dict("records")})
+        return pd.DataFrame([[*key, json.dumps(found, separators=(",", ":"), ensure_ascii=False)]], columns=[*by, "body"])
 
     return digests.groupBy(*by).applyInPandas(render, schema)
+
+
+def struct_json(digests: DataFrame, by: list[str]) -> DataFrame:
+    """One JSON body a digest."""
+    return rendered(digests, by, lambda rows: folded(rows, _entry))

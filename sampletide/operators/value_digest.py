@@ -7,12 +7,12 @@ many elements there were, at the root how many samples; a class's nulls are the
 from __future__ import annotations
 
 import base64
-import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampletide.operators.struct_digest import folded, rendered
+
 #: Sketch precision: 2 ** 14 registers, 0.8 percent standard error.
 PRECISION = 14
 _SUMS = ["total", "nulls", "numbers", "number_default", "number_sum", "strings", "string_default", "length_sum", "booleans", "true_count", "arrays", "array_default", "objs", "obj_default"]
@@ -80,38 +80,33 @@ def cardinalities(digests: DataFrame) -> DataFrame:
 
 
 def _sketched(row: dict, name: str) -> dict:
-    """The sketch of a class as text, if the digest has one."""
+    """The sketch of a class with its estimate, if the digest has one."""
     sketch = row.get(f"{name}_sketch")
-    return {} if sketch is None else {"cardinality": base64.b64encode(sketch).decode()}
+    return {} if sketch is None else {"hyperLogLog": {"data": base64.b64encode(sketch).decode(), "cardinality": str(int(row[f"{name}_estimate"]))}}
 
 
-def _entry(rows: dict, path: tuple) -> dict:
-    row = rows[path]
+def _entry(row: dict, fields: dict, elements: dict | None) -> dict:
     whole = lambda n: str(int(n))
     out = {"total": whole(row["total"]), "null": whole(row["nulls"])}
     base = lambda n, default: {"total": whole(row["total"]), "default": whole(row[default]), "null": whole(row["total"] - row[n])}
     if row["numbers"]:
         out["number"] = base("numbers", "number_default") | _sketched(row, "number") | {"min": row["number_min"], "avg": {"sum": row["number_sum"], "count": whole(row["numbers"])}, "max": row["number_max"]}
     if row["strings"]:
-        out["string"] = base("strings", "string_default") | _sketched(row, "string") | {"length": _sketched(row, "length") | {"min": int(row["length_min"]), "avg": {"sum": int(row["length_sum"]), "count": whole(row["strings"])}, "max": int(row["length_max"])}}
+        length = {"min": int(row["length_min"]), "avg": {"sum": int(row["length_sum"]), "count": whole(row["strings"])}, "max": int(row["length_max"])}
+        out["string"] = base("strings", "string_default") | _sketched(row, "string") | {"length": _sketched(row, "length") | length}
     if row["booleans"]:
         out["boolean"] = base("booleans", "booleans") | {"falseCount": whole(row["booleans"] - row["true_count"]), "trueCount": whole(row["true_count"])}
         out["boolean"]["default"] = out["boolean"]["falseCount"]
     if row["arrays"]:
-        out["array"] = base("arrays", "array_default") | {"values": _entry(rows, (*path, "*"))}
+        out["array"] = base("arrays", "array_default") | {"values": elements}
     if row["objs"]:
-        fields = {p[-1][1:]: _entry(rows, p) for p in rows if len(p) == len(path) + 1 and p[:-1] == path and p[-1] != "*"}
-        out["obj"] = base("objs", "obj_default") | {"fields": dict(sorted(fields.items()))}
+        out["obj"] = base("objs", "obj_default") | {"fields": fields}
     return out
 
 
 def value_json(digests: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON body a digest: the root object, sketches in base64. A digest has a row a path, which its field budget and schema bound."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.select(*by).schema) + ", body string"
-
-    def render(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = {tuple(r["path"]): r for r in part.to_dict("records")}
-        body = _entry(rows, ()).get("obj", {})
-        return pd.DataFrame([[*key, json.dumps(body, separators=(",", ":"), ensure_ascii=False)]], columns=[*by, "body"])
-
-    return digests.groupBy(*by).applyInPandas(render, schema)
+    """One JSON body a digest: the root object; sketches as base64, with their estimates beside them."""
+    for c in _SKETCHES:
+        if c in digests.columns:
+            digests = digests.withColumn(c.replace("sketch", "estimate"), F.hll_sketch_estimate(c))
+    return rendered(digests, by, lambda rows: folded(rows, _entry).get("obj", {}))

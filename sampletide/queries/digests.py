@@ -23,12 +23,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.with_window(typed_samples(rows, ["event_id", "value", "props"]), "1 day")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("price", "status", "done", "lines")) -> DataFrame:
     """Orders with their lines nested as an array of objects."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))).alias("lines"))  # an order's lines
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     rows = rows.select(F.col("o_orderpriority").alias("sampler"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), (F.col("o_orderstatus") == "F").alias("done"), F.coalesce("lines", F.array().cast("array<struct<quantity:double,flag:string>>")).alias("lines"))
-    return typed_samples(rows, ["price", "status", "done", "lines"])
+    return typed_samples(rows, list(fields))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,28 @@ def field_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("sampler", path_text("path").alias("path"), "truncated").agg(F.count("*").alias("n"))
 
 
+_BUDGET = 14
+
+
+@query(
+    "WITH " + EVENT_ROWS + f""", s AS (SELECT *, date_trunc('day', ts) AS day, event_id * 7919 % 5 AS x, event_id * 104729 % 9 AS k FROM e),
+    fx AS (SELECT sampler, day, x, min((ts, event_id)) AS f FROM s GROUP BY ALL), fk AS (SELECT sampler, day, k, min((ts, event_id)) AS f FROM s GROUP BY ALL),
+    c AS (SELECT s.*, (SELECT count(*) FROM fx WHERE fx.sampler = s.sampler AND fx.day = s.day AND fx.x <> s.x AND fx.f < (s.ts, s.event_id)) AS inner_steps,
+        (SELECT count(*) FROM fk WHERE fk.sampler = s.sampler AND fk.day = s.day AND fk.k <> s.k AND fk.f < (s.ts, s.event_id)) AS outer_steps FROM s),
+    t AS (SELECT *, 9 + inner_steps + 2 <= {_BUDGET} AS z, 9 + inner_steps + 2 + outer_steps > {_BUDGET} AS truncated FROM c),
+    p AS (SELECT sampler, day, unnest(list_concat(['', '.id', '.k' || k, '.o', '.o.x' || x], CASE WHEN z THEN ['.z'] ELSE [] END)) AS path, truncated FROM t)
+    SELECT sampler, day, path, truncated, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL"""
+)
+def value_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with changing fields under a budget that known fields use up; what is left of them."""
+    id_ = F.col("event_id")
+    text = F.format_string('{"id":%d,"k%d":1,"o":{"x%d":true},"z":"end"}', id_, id_ * 104729 % 9, id_ * 7919 % 5)
+    rows = d.with_window(event_rows(spark, sf_dir), "1 day").withColumn("sample", F.parse_json(text))
+    nodes = d.shred_known(rows, ["sampler", "window_start"], ["ts", "event_id"], _BUDGET)
+    day = F.col("window_start").cast("timestamp_ntz").alias("day")
+    return nodes.groupBy("sampler", day, path_text("path").alias("path"), "truncated").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT event_type AS sampler, '{"obj":{"count":"' || count(*) || '","fields":{"event_id":{"number":{"integerNum":{"count":"' || count(*) || '"}}},"props":{"obj":{"count":"' || count(*) ||
     '","fields":{"k":{"number":{"integerNum":{"count":"' || count(*) || '"}}}}}},"value":{"number":{"floatNum":{"count":"' || count(value) || '"}}}}}}' AS body FROM events GROUP BY ALL"""
@@ -227,9 +249,50 @@ def value_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sampler", F.col("window_start").cast("timestamp_ntz").alias("window_start"), path_text("path").alias("path"), *_STATS, F.round("number_sum", 2).alias("number_sum"))
 
 
-@query()
+def _json_sql(**members: str) -> str:
+    """SQL of a JSON object of members given as SQL texts; those of null are left out."""
+    each = ", ".join(f"'\"{k}\":' || {v}" for k, v in members.items())
+    return f"('{{' || array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), ',') || '}}')"
+
+
+def _count(x: str) -> str:
+    return f"('\"' || CAST({x} AS BIGINT) || '\"')"
+
+
+def _string_sql(total: str, n: str, default: str, least: str, most: str, length: str) -> str:
+    avg = _json_sql(sum=f"CAST({length} AS VARCHAR)", count=_count(n))
+    return _json_sql(total=_count(total), default=_count(default), null=_count(f"{total} - {n}"), length=_json_sql(min=f"CAST({least} AS VARCHAR)", avg=avg, max=f"CAST({most} AS VARCHAR)"))
+
+
+def _entry_sql(total: str, n: str, **kind: str) -> str:
+    return _json_sql(total=_count(total), null=_count(f"{total} - {n}"), **kind)
+
+
+_NUMBER_JSON = _json_sql(total=_count("lines"), default=_count("zeros"), null=_count("lines - quantities"), min="lo", avg=_json_sql(sum="total", count=_count("quantities")), max="hi")
+_LINE_JSON = _json_sql(
+    total=_count("lines"), default="'\"0\"'", null="'\"0\"'",
+    fields=_json_sql(flag=_entry_sql("lines", "flags", string=_string_sql("lines", "flags", "0", "1", "1", "flags")), quantity=_entry_sql("lines", "quantities", number=_NUMBER_JSON)),
+)
+_BOOLEAN_JSON = _json_sql(total=_count("n"), default=_count("n - done"), null=_count("0"), falseCount=_count("n - done"), trueCount=_count("done"))
+_ORDER_JSON = _json_sql(
+    total=_count("n"), default="'\"0\"'", null="'\"0\"'",
+    fields=_json_sql(
+        done=_entry_sql("n", "n", boolean=_BOOLEAN_JSON),
+        lines=_entry_sql("n", "n", array=_json_sql(total=_count("n"), default=_count("bare"), null=_count("0"), values=_entry_sql("lines", "lines", obj=_LINE_JSON))),
+        status=_entry_sql("n", "n", string=_string_sql("n", "n", "0", "1", "1", "n")),
+    ),
+)
+
+
+@query(
+    f"""WITH {_O}, a AS (SELECT sampler, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done FROM o GROUP BY ALL), b AS (SELECT sampler, count(*) FILTER (n = 0) AS bare FROM n GROUP BY ALL),
+    c AS (SELECT sampler, count(*) AS lines, count(l_quantity) AS quantities, count(l_returnflag) AS flags, count(*) FILTER (l_quantity = 0) AS zeros, CAST(min(l_quantity) AS DOUBLE)::VARCHAR AS lo,
+        CAST(max(l_quantity) AS DOUBLE)::VARCHAR AS hi, CAST(sum(l_quantity) AS DOUBLE)::VARCHAR AS total FROM l GROUP BY ALL)
+    SELECT sampler, {_ORDER_JSON} AS body FROM a JOIN b USING (sampler) JOIN c USING (sampler)"""
+)
 def value_digest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vd.value_json(vd.value_digest(shred(_orders(spark, sf_dir), ["sampler"]), ["sampler"], False), ["sampler"])
+    nodes = shred(_orders(spark, sf_dir, ("status", "done", "lines")), ["sampler"])
+    return vd.value_json(vd.value_digest(nodes, ["sampler"], False), ["sampler"])
 
 
 @query("WITH " + EVENT_ROWS + " SELECT sampler, date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL")
@@ -272,8 +335,7 @@ def digest_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def digest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = d.Digest(UID, "all")
-    by = d.grouping(digest)
-    bodies = st.struct_json(st.struct_digest(d.digest_nodes(_events(spark, sf_dir), digest), by), by)
+    bodies = d.digest_bodies(_events(spark, sf_dir), digest)
     out = d.digest_records(bodies, digest)
     return out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "resource", "sampler", "sample_type", F.array_join("stream_uids", ",").alias("streams"), "digest_uid", "body")
 
