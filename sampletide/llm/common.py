@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -16,8 +17,32 @@ HEAVY = 64
 SLICE_BYTES = 1 << 20
 
 
-#: Intermediate tables of this driver that are still there.
-_tables: list[str] = []
+class Tables:
+    """The intermediate tables that are made while it is entered, by one run: nobody else's are ever deleted through it."""
+
+    _now: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self._before: list = []
+
+    @classmethod
+    def current(cls) -> Tables | None:
+        return cls._now.get()
+
+    def __enter__(self) -> Tables:
+        self._before.append(self._now.set(self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._now.reset(self._before.pop())
+
+    def keep_only(self, spark: SparkSession, docs: DataFrame) -> None:
+        """Delete the run's tables but those that ``docs`` reads: for a run whose earlier results are all written."""
+        used = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()] if self.made else []
+        gone = [p for p in self.made if not any(f.startswith(p.split(":", 1)[-1].lstrip("/")) for f in used)]
+        removed(spark, *gone)
+        self.made = [p for p in self.made if p not in gone]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -33,7 +58,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
+    if tables := Tables.current():
+        tables.made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -43,14 +69,8 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _tables:
-            _tables.remove(path)
-
-
-def only(spark: SparkSession, docs: DataFrame) -> None:
-    """Delete every intermediate table but those that ``docs`` reads: for a caller that has written all earlier results."""
-    used = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()] if _tables else []
-    removed(spark, *[p for p in list(_tables) if not any(f.startswith(p.split(":", 1)[-1].lstrip("/")) for f in used)])
+        if (tables := Tables.current()) and path in tables.made:
+            tables.made.remove(path)
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -4,12 +4,16 @@ Items and documents are sets of distinct ``k``-word shingles (A-Z as a-z). Items
 doubling; for a class of up to u shingles every document is cut into overlapping windows of 2u shingles, one each u, so a
 passage of u shingles lies whole in some window at most four times its size, and a MinHash value of the two agrees with a
 probability of at least 0.19 at containment 0.8. Any of ``COORDS`` values in common makes a candidate (a miss has
-probability 0.81 ** 48 at worst), and candidates are decided by exact shingle containment in the whole document. An item
-whose shingles lie scattered so far apart that no window has its share is not a passage and may be no candidate.
+probability 0.81 ** 48 at worst), and candidates are decided by exact shingle containment in the whole document. An item whose
+shingles lie scattered is found by the window that holds the least of them under some of the hashes: a test scatters items in
+up to sixteen pieces over long documents and measures the recall.
+
+An item of one to ``k - 1`` words is one shingle of its whole sequence, and in each document that has it as consecutive words:
+such items are looked up among all runs of their length. ``without_items`` doesn't remove documents for them.
 
 Items become sets in Spark tasks and are written in parts of bounded size, which tasks read from the shared folder; the
-driver sees only how many parts there are, and each is one pass over the documents. Items of fewer than ``k`` words have
-no shingle and are in no document. Null texts are empty, null ids stay null, every benchmark row is an item and every
+driver sees only how many parts there are, and each is one pass over the documents. Items with equal sets are one
+until they are found. Null and empty items are in no document; null texts are empty, null ids stay null, every benchmark row is an item and every
 document row is searched; empty tables give no pairs; other columns pass or are ignored.
 """
 
@@ -38,9 +42,17 @@ _SEEDS = mixed(np.arange(7001, 7001 + COORDS, dtype=np.uint64))
 class Items:
     """Some items' shingle sets, partitioned by size, with their MinHash values ready to be looked up."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], words: list[int]) -> None:
+        """``words``: of an item with fewer words than a shingle has, how many; else 0."""
         self.sets = sets
-        sizes = np.array([len(x) for x in sets], np.int64)
+        short = np.array(words, np.int64)
+        sizes = np.where(short > 0, 0, np.array([len(x) for x in sets], np.int64))
+        self.short = []
+        for n in np.unique(short[short > 0]).tolist():
+            own = np.flatnonzero(short == n)
+            values = np.array([sets[i][0] for i in own], np.uint64)
+            order = np.argsort(values, kind="stable")
+            self.short.append((n, values[order], own[order]))
         self.classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
         for power in range(int(sizes.max(initial=0)).bit_length() + 1):
             low, u = (1 << power) // 2, 1 << power
@@ -100,61 +112,78 @@ class Items:
             shared = int(np.isin(self.sets[i], grams[first[d] : first[d + 1]]).sum())
             if 100 * shared >= percent * len(self.sets[i]):
                 out.append((d, i, shared))
-        return out
+        return [*out, *sorted((d, i, 1) for d, i in self.short_matches(words))]
+
+    def short_matches(self, words: Words) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        for n, values, owner in self.short:
+            every = runs(words.hash, n)
+            if not len(every):
+                continue
+            hit = np.flatnonzero((words.doc[: len(every)] == words.doc[n - 1 :]) & np.isin(every, values))
+            pairs = np.unique(np.stack([words.doc[hit].astype(np.uint64), every[hit]]), axis=1)
+            for d, value in zip(pairs[0].tolist(), pairs[1], strict=True):
+                found.update((d, int(i)) for i in owner[np.searchsorted(values, value, "left") : np.searchsorted(values, value, "right")])
+        return found
 
 
-def item_parts(benchmark: DataFrame, k: int) -> list[str]:
-    """Where the items (item_id, set) are written, in parts of about ``PART`` shingles. Parts are dealt by hash, so repeated rows share one."""
-    schema = pa.schema([("item_id", pa.int64()), ("items", pa.binary()), ("n", pa.int64())])
+def item_parts(benchmark: DataFrame, k: int, shortest: int = 1) -> tuple[list[str], DataFrame]:
+    """Where the distinct items of ``shortest`` words or more are written (item, set, words if less than k), in parts of about ``PART`` shingles; and which ids (item_id, item) have each."""
+    schema = pa.schema([("item_id", pa.int64()), ("items", pa.binary()), ("n", pa.int64()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"), lower=True)
-            sets = [x if b - a >= k else x[:0] for x, a, b in zip(shingle_sets(words, k), words.first.tolist(), words.first[1:].tolist(), strict=False)]
-            yield batch_of(schema, {"item_id": batch.column("item_id"), "items": [x.tobytes() for x in sets], "n": [len(x) for x in sets]})
-
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, items binary, n long").where("n > 0")
-    rows, at = written(rows, "item-sets")
-    parts = -(-(rows.agg(F.sum("n")).head()[0] or 0) // PART)
+            n, sets = np.diff(words.first), shingle_sets(words, k)
+            sets = [x if m >= shortest else x[:0] for x, m in zip(sets, n.tolist(), strict=True)]
+            yield batch_of(schema, {"item_id": batch.column("item_id"), "items": [x.tobytes() for x in sets], "n": [len(x) for x in sets], "words": np.where(n < k, n, 0)})
+
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, items binary, n long, words long").where("n > 0")
+    key = F.concat(F.hex(F.xxhash64("items", "words")), F.hex(F.xxhash64("words", "items")))
+    rows, at = written(rows.withColumn("item", key), "item-sets")
+    ids, _ = written(rows.select("item", "item_id"), "item-ids")
+    distinct = rows.groupBy("item").agg(F.any_value("items").alias("items"), F.any_value("n").alias("n"), F.any_value("words").alias("words"))
+    parts = -(-(distinct.agg(F.sum("n")).head()[0] or 0) // PART)
     paths = [shared_dir(rows.sparkSession, "items") for _ in range(parts)]
     for i, path in enumerate(paths):
-        rows.where(F.pmod(F.xxhash64("item_id", "items"), F.lit(parts)) == i).drop("n").coalesce(1).write.parquet(path)
+        distinct.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i).drop("n").coalesce(1).write.parquet(path)
     removed(rows.sparkSession, at)
-    return paths
+    return paths, ids
 
 
 @functools.lru_cache(1)
-def items_at(path: str) -> tuple[list[int | None], Items]:
-    """Ids and items of one part, kept by the Python worker for its later tasks."""
+def items_at(path: str) -> tuple[list[str], Items]:
+    """Names and items of one part, kept by the Python worker for its later tasks."""
     files, root = pyarrow.fs.FileSystem.from_uri(path)
     table = pyarrow.parquet.read_table(root, filesystem=files)
-    return table.column("item_id").to_pylist(), Items([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()])
+    return table.column("item").to_pylist(), Items([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], table.column("words").to_pylist())
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_shingles, n_matched and containment of each item found in a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_matched", pa.int64()), ("containment", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("n_shingles", pa.int64()), ("n_matched", pa.int64()), ("containment", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_matched long, containment double")
-    for path in item_parts(benchmark, k):
+    kinds = "doc_id long, item string, n_shingles long, n_matched long, containment double"
+    out, (parts, ids) = docs.sparkSession.createDataFrame([], kinds), item_parts(benchmark, k)
+    for path in parts:
 
         def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
-            ids, items = items_at(path)
+            names, items = items_at(path)
             for batch in slices(batches, "text"):
                 got = items.matches(words_of(batch.column("text"), lower=True), k, percent)
                 if got:
                     doc_ids = batch.column("doc_id").to_pylist()
                     n = [len(items.sets[i]) for _, i, _ in got]
-                    yield batch_of(schema, {"doc_id": [doc_ids[d] for d, _, _ in got], "item_id": [ids[i] for _, i, _ in got], "n_shingles": n, "n_matched": [m for _, _, m in got], "containment": [m / x for (_, _, m), x in zip(got, n, strict=True)]})
+                    yield batch_of(schema, {"doc_id": [doc_ids[d] for d, _, _ in got], "item": [names[i] for _, i, _ in got], "n_shingles": n, "n_matched": [m for _, _, m in got], "containment": [m / x for (_, _, m), x in zip(got, n, strict=True)]})
 
-        out = out.unionByName(rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_matched long, containment double"))
-    return out
+        out = out.unionByName(rows.mapInArrow(run, kinds))
+    return out.join(ids, "item").select("doc_id", "item_id", "n_shingles", "n_matched", "containment")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns, that hold no item of ``k`` words or more."""
     text = docs.schema["text"].name
-    for path in item_parts(benchmark, k):
+    for path in item_parts(benchmark, k, shortest=k)[0]:
 
         def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
             _, items = items_at(path)

@@ -135,9 +135,11 @@ ORACLES: dict[str, str] = {
         SELECT p.page_id AS page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id""",
     "op1_decontamination": "WITH" + _SHINGLES.format(k=5) + """,
         b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-        i AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5),
+        i AS (SELECT item_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM b WHERE len(w) > 0),
         items AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM i),
-        grams AS (SELECT doc_id, unnest(s) AS x FROM s)
+        short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 4),
+        grams AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN s ELSE [] END) AS x FROM s JOIN w USING (doc_id) UNION
+            SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS x FROM w, short)
         SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(*) AS n_matched, count(*) / n AS containment
         FROM grams JOIN items USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
     "op3_top_k": """

@@ -292,7 +292,8 @@ def kept_text(words: Words, a: int, b: int, gone: np.ndarray) -> bytes:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated passages gone from text: documents that lose words are what they keep, joined by one space; others stay as they are."""
     others = [c for c in docs.columns if c != "text"]
-    given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    filler = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field, of a name that no column has
+    given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias(filler), *others).alias("row"))
     rows, _ = written(marked(given, ("row",), window), "marked")
     alone, _ = written(unequal(rows, window), "alone")
     touched = rows.where("starts is not null").join(alone, "row_id", "left").select("row", "text", "starts", "alone")

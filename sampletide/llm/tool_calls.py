@@ -24,21 +24,23 @@ KEY = ["conv_id", "call_id"]
 def chains(single: DataFrame) -> DataFrame:
     """Calls that need exactly one other (KEY, to): the nearest call on the way that doesn't, and how far it is.
 
-    By pointer doubling: a chain of n calls takes log2(n) rounds, each a written table. Calls whose way never ends have a null to.
+    By pointer doubling: a chain of n calls takes log2(n) rounds, each a written table of the calls that were open before it, and looked up
+    together with those that have ended. A round in which none ends leaves only calls whose way never does: they have a null to.
     """
-    now, at = written(single.withColumn("far", F.lit(1)).withColumn("open", F.lit(True)), "call-chains")
-    rounds = int(now.count()).bit_length() + 1  # after as many doublings only a circle still leads on
-    for _ in range(rounds):
-        ahead = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("open").alias("_open"))
-        on = F.col("_to").isNotNull()
+    now, _ = written(single.withColumn("far", F.lit(1).cast("long")), "call-chains")
+    ended = now.where("false")
+    while True:
+        ahead = now.withColumn("_open", F.lit(True)).unionByName(ended.withColumn("_open", F.lit(False)))
+        ahead = ahead.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), "_open")
         both = now.join(ahead, ["conv_id", "to"], "left")
-        both = both.select(*KEY, F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), (on & F.coalesce("_open", F.lit(False))).alias("open"))
-        now, later = written(both, "call-chains")
-        removed(single.sparkSession, at)
-        at = later
-        if now.where("open").isEmpty():
-            break
-    return now.select(*KEY, F.when(~F.col("open"), F.col("to")).alias("to"), "far")
+        both = both.select(*KEY, F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.coalesce("_open", F.lit(False)).alias("open"))
+        both, _ = written(both, "call-chains")
+        now, done = both.where("open").drop("open"), both.where("not open").drop("open")
+        if done.isEmpty():
+            return ended.unionByName(now.withColumn("to", F.lit(None).cast(single.schema["to"].dataType)))
+        ended = ended.unionByName(done)
+        if now.isEmpty():
+            return ended
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -163,5 +165,6 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked(conversations: DataFrame) -> DataFrame:
+    """The user turns as calls and the assistant turns as results. Turns of other roles (system) are neither and have no row."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return link(*calls_of(rows), SCHEMAS).withColumn("errors", F.concat_ws("; ", "errors"))

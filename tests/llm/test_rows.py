@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sampletide.llm import language_id, tool_calls, top_k, toxicity, warc
+from sampletide.llm import common, language_id, near_dedup, substring_dedup, tool_calls, top_k, toxicity, warc
 from sampletide.llm.common import shared_dir
 from sampletide.llm.queries import ORACLES, QUERIES
 
@@ -231,6 +231,21 @@ def test_chains_of_calls_take_few_rounds(spark, monkeypatch):
     assert out[1, "c5"].errors == [] and out[1, "join"].errors == ["a.b is not integer"]
 
 
+def test_circles_take_no_more_rounds(spark, monkeypatch):
+    """Chains of 4 and a circle of 3: as many rounds as the chains alone, and one that finds none ending."""
+    rows = [(c, f"c{i}", f"c{i + 1}") for c in range(50) for i in range(4)]
+    tables, written = [], tool_calls.written
+    monkeypatch.setattr(tool_calls, "written", lambda df, name: (tables.append(name), written(df, name))[1])
+    made = lambda x: spark.createDataFrame(x, "conv_id long, call_id string, to string")
+    alone = {tuple(r) for r in tool_calls.chains(made(rows)).collect()}
+    n, tables[:] = len(tables), []
+    circle = [(99, f"r{i}", f"r{(i + 1) % 3}") for i in range(3)]
+    both = {tuple(r) for r in tool_calls.chains(made(rows + circle)).collect()}
+    assert {x for x in both if x[0] < 99} == alone == {(c, f"c{i}", "c4", 4 - i) for c in range(50) for i in range(4)}
+    assert {x[:3] for x in both - alone} == {(99, f"r{i}", None) for i in range(3)} and len(tables) <= n + 1
+    assert tool_calls.chains(made([])).count() == 0
+
+
 def test_tool_calls_run_no_python(spark, sf):
     plan = tool_calls.linked(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -249,9 +264,14 @@ def test_stages(spark, docs, sf, texts):
         kept[name] = brute.rows_of(now)
     given = brute.rows_of(docs)
     profiles = {lang: {int(g): i for i, g in enumerate(p)} for lang, p in language_id.learn(docs).items()}
-    known = lambda far, most: bool(far) and min(far.values()) < most
-    assert Counter(kept["language_id"]) == Counter((i, t) for i, t in given if known(*brute.brute_distances(profiles, t)))
-    assert len(kept["language_id"]) == sum(any(c.isalpha() for c in t or "") for _, t in given) - 1  # one text shares no n-gram
+    least = brute.brute_least([(r.text, r.lang) for r in docs.collect()], profiles)
+
+    def known(text):
+        far, most = brute.brute_distances(profiles, text)
+        lang = min(sorted(far), key=far.get) if far else None
+        return lang is not None and far[lang] < most and 1 - far[lang] / most >= least.get((lang, min(10, max(1, len(text)).bit_length() - 1)), 0)
+
+    assert Counter(kept["language_id"]) == Counter((i, t) for i, t in given if known(t))
     assert Counter(kept["near_dedup"]) == Counter(brute.first_of_each(kept["language_id"], 5))
     without = [(i, " ".join(w for w, gone in zip(words, cover, strict=True) if not gone) if any(cover) else t) for (i, t), (words, cover) in zip(kept["near_dedup"], brute.gone_words(kept["near_dedup"], 35), strict=True)]
     assert Counter(kept["substring_dedup"]) == Counter(without)
@@ -263,6 +283,27 @@ def test_stages(spark, docs, sf, texts):
     brute.check_places(packed.toPandas())
 
 
+def test_runs_leave_each_others_tables(spark, docs, sf, tmp_path):
+    """Lazy results of operators and of two interleaved runs are read after all were made."""
+    near, gone = near_dedup.near_duplicates(docs, 2), substring_dedup.removal(docs)
+    whole = corpus_pipeline.run(spark, sf)
+    first, held = corpus_pipeline.STAGES[1][1](spark, docs, "by hand"), common.Tables()
+    with held:
+        second = corpus_pipeline.STAGES[2][1](spark, docs, sf)
+    assert held.made and second.count() == docs.count() and first.count() > 0
+    assert near.count() == docs.count() and gone.count() == docs.count() and whole.count() > 100
+    wide = docs.withColumn("_", F.lit(1)).withColumn("__", F.lit("x"))
+    assert set(substring_dedup.without_repeats(wide).columns) == set(wide.columns) and substring_dedup.without_repeats(wide).count() == docs.count()
+
+
+def test_the_pipeline_of_no_documents(spark, docs, empty, sf, tmp_path):
+    now = empty
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, f"{sf}/")
+        assert now.count() == 0 and now.columns == docs.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, f"{sf}/").count() == 0
+
+
 def test_the_whole_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert out.doc_id.nunique() > 100
