@@ -59,7 +59,10 @@ def complete(value: Column, step: float, by: list[str], order: list[str], reache
 
 @dataclass(frozen=True)
 class Ordered:
-    """A stateful call over groups of any size: what ``sequence`` (kind asc or desc) or ``complete`` says, by a scan that spreads over tasks."""
+    """A stateful call over groups of any size: what ``sequence`` (kind asc or desc) or ``complete`` says, by a scan that spreads over tasks.
+
+    It is asked, and remembers, only where ``reached`` is true and the earlier calls named in ``after`` have said so.
+    """
 
     kind: str
     value: Column
@@ -68,12 +71,15 @@ class Ordered:
     step: float = 1
     reached: Column | None = None
     rows: int = ROWS
+    after: tuple[str, ...] = ()
 
     def on(self, scan: Scan, name: str) -> Scan:
         """``scan`` with the answer as column ``name``; it must be by the call's columns."""
         if self.kind not in ("asc", "desc", "complete"):
             raise ValueError("the kind is asc, desc or complete")
-        value = self.value if self.reached is None else F.when(self.reached, self.value)
+        value = self.value
+        for condition in ([] if self.reached is None else [self.reached]) + [F.col(c) for c in self.after]:
+            value = F.when(condition, value)
         scan = scan.with_last("_last", value)
         last = F.col("_last")
         answer = {"asc": value >= last, "desc": value <= last, "complete": value == last + F.lit(self.step)}[self.kind]

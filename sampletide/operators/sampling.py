@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -336,9 +336,27 @@ def translate_streams(records: DataFrame, config: DataFrame) -> DataFrame:
     names = config.where("name is not null").groupBy("resource", "sampler", "name").agg(F.min("uid").alias("uid"))  # of a repeated name the least uid
     maps = names.groupBy("resource", "sampler").agg(F.map_from_entries(F.collect_list(F.struct("name", "uid"))).alias("_uids"))
     rows = records.join(maps, ["resource", "sampler"], "left")
-    applies = (F.size("stream_names") > 0) & (F.size("stream_uids") == 0) & F.col("_uids").isNotNull()
-    found = F.transform("stream_names", lambda n: F.element_at("_uids", n))
-    unknown = F.filter("stream_names", lambda n: F.element_at(F.col("_uids"), n).isNull())
+    return _translated(rows, F.col("_uids").isNotNull(), lambda n: F.element_at("_uids", n)).drop("_uids")
+
+
+def translate_streams_in_force(records: DataFrame, streams: DataFrame) -> DataFrame:
+    """The same by the configuration that was in force at a record's ts (``streams``: resource, sampler, name, uid, since, until). A sampler is known from its first definition on."""
+    at = F.struct("since", "until", "uid")
+    names = streams.where("name is not null").groupBy("resource", "sampler", "name").agg(F.collect_list(at).alias("at"), F.min("since").alias("first"))
+    maps = names.groupBy("resource", "sampler").agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("_uids"), F.min("first").alias("_first"))
+    rows = records.join(maps, ["resource", "sampler"], "left")
+
+    def uid(name: Column) -> Column:
+        held = F.filter(F.element_at("_uids", name), lambda x: (x["since"] <= F.col("ts")) & (x["until"].isNull() | (F.col("ts") < x["until"])))
+        return F.array_min(F.transform(held, lambda x: x["uid"]))
+
+    return _translated(rows, F.coalesce(F.col("_first") <= F.col("ts"), F.lit(False)), uid).drop("_uids", "_first")
+
+
+def _translated(rows: DataFrame, known: Column, uid: Callable[[Column], Column]) -> DataFrame:
+    applies = (F.size("stream_names") > 0) & (F.size("stream_uids") == 0) & known
+    found = F.transform("stream_names", uid)
+    unknown = F.filter("stream_names", lambda n: uid(n).isNull())
     none = F.array().cast("array<string>")
     changed = {"stream_uids": F.when(applies, F.array_compact(found)).otherwise(F.col("stream_uids")), "stream_names": F.when(applies, none).otherwise(F.col("stream_names"))}
-    return rows.withColumns({**changed, "errors": F.when(applies, unknown).otherwise(none)}).drop("_uids")
+    return rows.withColumns({**changed, "errors": F.when(applies, unknown).otherwise(none)})

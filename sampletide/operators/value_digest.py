@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampletide.operators.struct_digest import folded, rendered
@@ -40,30 +40,50 @@ def value_sums(nodes: DataFrame, by: list[str], sketches: bool = True) -> DataFr
     return nodes.groupBy(*by, "path").agg(*aggregates)
 
 
-def value_digest_of(out: DataFrame, by: list[str]) -> DataFrame:
-    """Value digests of ``value_sums``: with totals, which fields have from their parents, and nulls."""
-    # one more look at the aggregated rows, gathered by parent: a row of each node for its own fields, one for itself, and one for the elements of arrays, used if there is none
-    field = F.element_at("path", -1).startswith(".")
-    parent = F.when((F.size("path") > 0) & field, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+def _roles(out: DataFrame) -> DataFrame:
+    """Aggregated rows by the path at which they meet (_at): a row of each node for its own fields' parent, one for itself as a holder of fields, and one for the elements of arrays, used if there is none."""
+    parent = F.when((F.size("path") > 0) & _is_field(), F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
     star = F.concat("path", F.array(F.lit("*")))
     roles = F.array(
         F.struct(F.lit("self").alias("role"), parent.alias("at")), F.when(F.col("objs") > 0, F.struct(F.lit("holder").alias("role"), F.col("path").alias("at"))),
         F.when(F.col("arrays") > 0, F.struct(F.lit("elements").alias("role"), star.alias("at"))),
     )
-    rows = out.select("*", F.explode(F.array_compact(roles)).alias("_r"))
-    same = Window.partitionBy(*by, "_r.at")
-    held = F.max(F.when(F.col("_r.role") == "holder", F.col("objs"))).over(same)
-    known = F.max((F.col("_r.role") == "self") & (F.col("path") == F.col("_r.at"))).over(same)
-    rows = rows.select("*", held.alias("_held"), known.alias("_known"))
-    added = F.col("_r.role") == "elements"
-    rows = rows.where((F.col("_r.role") == "self") | (added & ~F.coalesce("_known", F.lit(False))))
-    kept = [F.when(added, F.lit(0 if t == "bigint" and c != "length_sum" else None).cast(t)).otherwise(F.col(c)).alias(c) for c, t in out.dtypes if c not in (*by, "path")]
-    rows = rows.select(*by, F.when(added, F.col("_r.at")).otherwise(F.col("path")).alias("path"), "_held", *kept)
-    total = F.when((F.size("path") > 0) & field, F.col("_held")).otherwise(F.col("seen"))
+    return out.select("*", F.explode(F.array_compact(roles)).alias("_r")).withColumns({"_role": F.col("_r.role"), "_at": F.col("_r.at")}).drop("_r")
+
+
+def _is_field() -> Column:
+    return F.element_at("path", -1).startswith(".")
+
+
+def _met() -> tuple[Column, Column]:
+    """Of the rows of one _at: how many objects it holds, and whether its elements have a row."""
+    return F.max(F.when(F.col("_role") == "holder", F.col("objs"))), F.max((F.col("_role") == "self") & (F.col("path") == F.col("_at")))
+
+
+def _finished(rows: DataFrame, by: list[str], kinds: list[tuple[str, str]]) -> DataFrame:
+    added = F.col("_role") == "elements"
+    rows = rows.where((F.col("_role") == "self") | (added & ~F.coalesce("_known", F.lit(False))))
+    kept = [F.when(added, F.lit(0 if t == "bigint" and c != "length_sum" else None).cast(t)).otherwise(F.col(c)).alias(c) for c, t in kinds if c not in (*by, "path")]
+    rows = rows.select(*by, F.when(added, F.col("_at")).otherwise(F.col("path")).alias("path"), "_held", *kept)
+    total = F.when((F.size("path") > 0) & _is_field(), F.col("_held")).otherwise(F.col("seen"))
     present = F.col("numbers") + F.col("strings") + F.col("booleans") + F.col("arrays") + F.col("objs")
     return rows.withColumn("total", total).withColumn("nulls", total - present).drop("seen", "_held")
 
 
+def value_digest_of(out: DataFrame, by: list[str]) -> DataFrame:
+    """Value digests of ``value_sums``: with totals, which fields have from their parents, and nulls."""
+    held, known = (c.over(Window.partitionBy(*by, "_at")) for c in _met())
+    return _finished(_roles(out).select("*", held.alias("_held"), known.alias("_known")), by, out.dtypes)
+
+
+def streamed_value_digest_of(out: DataFrame, by: list[str]) -> DataFrame:
+    """The same by a second aggregation, which a stream can chain to the first: the fields of one parent, which budgets and schemas bound, meet in a row."""
+    own = F.struct(F.col("_role").alias("_role"), *[c for c in out.columns if c not in by])
+    held, known = _met()
+    rows = _roles(out).groupBy(*by, "_at").agg(held.alias("_held"), known.alias("_known"), F.collect_list(F.when(F.col("_role") != "holder", own)).alias("_own"))
+    return _finished(rows.select(*by, "_at", "_held", "_known", F.inline("_own")), by, out.dtypes)
+
+
 def value_rollup(digests: DataFrame, by: list[str]) -> DataFrame:
     """Digests of many windows or instances as one; sketches, if there are any, are merged."""
     sums = [F.sum(c).alias(c) for c in _SUMS]

@@ -6,7 +6,7 @@ A change row: version, resource, sampler, section (streams, digests, events, lim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampletide.sources.records import record
@@ -46,6 +46,21 @@ def config_records(changes: DataFrame, ts: Column) -> DataFrame:
     return record(changes, "config", ts=ts, encoding=F.lit("json"), body=body)
 
 
+def streams_in_force(changes: DataFrame) -> DataFrame:
+    """resource, sampler, uid, name, since and until (null: still) of every stream definition of a log of changes with ts.
+
+    A definition holds from its change to the next of its uid or the next reset of its sampler's streams. Changes apply in the order of
+    their versions, a reset before others of its version. A sampler's log, not its records, is what a task holds.
+    """
+    rows = changes.where("section = 'streams'").withColumn("_reset", F.col("op") == "reset")
+    order = [F.col("version"), (~F.col("_reset")).cast("int")]
+    later = Window.partitionBy("resource", "sampler").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    own = Window.partitionBy("resource", "sampler", "_reset", "uid").orderBy(*order)
+    rows = rows.withColumn("until", F.least(F.lead("ts").over(own), F.min(F.when(F.col("_reset"), F.col("ts"))).over(later)))
+    rows = rows.where("op = 'upsert' and (until is null or until > ts)")
+    return rows.select("resource", "sampler", "uid", F.get_json_object("payload", "$.name").alias("name"), F.col("ts").alias("since"), "until")
+
+
 def wildcard(column: Column, pattern: str) -> Column:
     """Equality in which * stands for any text."""
     if "*" not in pattern:
@@ -54,16 +69,24 @@ def wildcard(column: Column, pattern: str) -> Column:
 
 
 def match_targets(config: DataFrame, resource: str, sampler: str, stream: str | None = None) -> DataFrame:
-    """Samplers (resource, sampler) that match, and hold a stream of that name if one is given."""
+    """Samplers (resource, sampler) that match, and hold a stream that does if one is asked for. "*" or nothing is any stream, also none."""
     rows = config.where(wildcard(F.col("resource"), resource) & wildcard(F.col("sampler"), sampler))
-    if stream is not None:
-        rows = rows.where((F.col("section") == "streams") & (F.get_json_object("payload", "$.name") == stream))
+    if stream not in (None, "", "*"):
+        rows = rows.where((F.col("section") == "streams") & wildcard(F.get_json_object("payload", "$.name"), stream))
     return rows.select("resource", "sampler").distinct()
 
 
+def required_targets(config: DataFrame, resource: str, sampler: str, stream: str | None = None) -> DataFrame:
+    """The matching samplers, of which there must be one."""
+    found = match_targets(config, resource, sampler, stream)
+    if found.isEmpty():
+        raise LookupError("no sampler matches" if "*" in resource + sampler else "there is no such sampler")
+    return found
+
+
 def bulk_change(config: DataFrame, resource: str, sampler: str, section: str, op: str, uid: str, payload: str | None, version: Column, capable: DataFrame | None = None) -> DataFrame:
-    """One change for every matching sampler; ``capable`` (resource, sampler) leaves out those that can't take it."""
-    rows = match_targets(config, resource, sampler)
+    """One change for every matching sampler, of which there must be one; ``capable`` (resource, sampler) leaves out those that can't take it."""
+    rows = required_targets(config, resource, sampler)
     if capable is not None:
         rows = rows.join(capable, ["resource", "sampler"], "left_semi")
     return rows.select(version.alias("version"), "resource", "sampler", F.lit(section).alias("section"), F.lit(op).alias("op"), F.lit(uid).alias("uid"), F.lit(payload).cast("string").alias("payload"))

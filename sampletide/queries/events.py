@@ -56,7 +56,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
-    return ev.events(rows, _definitions(1), _ORDER).select("event_uid", "resource", "sampler", "sample_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return ev.events(rows, _definitions(1), _ORDER, SEGMENT).select("event_uid", "resource", "sampler", "sample_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, '{\"key\":' || to_json(sample_key) || ',\"kind\":' || to_json(event_type) || '}' AS body FROM e")
@@ -87,7 +87,7 @@ def dlq_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9))
     preset = dead_letter_changes(rows.select("resource", "sampler").distinct(), F.lit(1))
     found = preset.select("uid", F.get_json_object("payload", "$.rule").alias("rule"), F.get_json_object("payload", "$.limit").cast("int").alias("limit")).distinct().collect()  # one event: samplers share it
-    out = ev.events(rows, [ev.Event(x["uid"], x["uid"], "u-all", r.Rule(x["rule"]), x["limit"]) for x in found], _ORDER)
+    out = ev.events(rows, [ev.Event(x["uid"], x["uid"], "u-all", r.Rule(x["rule"]), x["limit"]) for x in found], _ORDER, SEGMENT)
     return out.select("event_uid", "resource", "sampler", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 

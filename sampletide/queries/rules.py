@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,26 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("matched").select("event_id")
 
 
+_CHECKED = ["value > 50", "value + 1", "event_type = 'click' or value is null", "upper(event_type)"]
+
+
+@query(
+    """SELECT rule, schema, coalesce(n, 0) AS n, n IS NOT NULL AS accepted FROM (VALUES ('value > 50', 'own', (SELECT count(*) FROM events WHERE value > 50)), ('event_type = ''click'' or value is null', 'own', (SELECT count(*) FROM events WHERE event_type = 'click' OR value IS NULL)),
+    ('value + 1', 'own', NULL), ('upper(event_type)', 'own', NULL), ('value > 50', 'other', NULL)) t(rule, schema, n)"""
+)
+def rule_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules can be made for events and for samples of another schema, and how many rows those that can match."""
+    rows, found = event_rows(spark, sf_dir), []
+    for rule, schema in [*((rule, "own") for rule in _CHECKED), (_CHECKED[0], "other")]:
+        try:
+            column = r.check_rule(rows, rule, rows.schema if schema == "own" else table(spark, sf_dir, "orders").schema)
+        except ValueError:
+            column = None
+        n = F.lit(0).cast("bigint") if column is None else F.count_if(column)
+        found.append(rows.agg(n.alias("n")).select(F.lit(rule).alias("rule"), F.lit(schema).alias("schema"), "n", F.lit(column is not None).alias("accepted")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("SELECT event_id, event_id = 1 OR 1 = 1 AS always, event_id = 1 AND 1 <> 1 AS never FROM events")
 def static_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
@@ -93,7 +115,7 @@ def keyed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["resource", "sampler"]
     up = r.Ordered("asc", F.col("value"), by, _ORDER, rows=SEGMENT)
-    down = r.Ordered("desc", F.col("value"), by, _ORDER, reached=F.col("up"), rows=SEGMENT)
+    down = r.Ordered("desc", F.col("value"), by, _ORDER, rows=SEGMENT, after=("up",))
     return r.Rule("up and down", {"up": up, "down": down}).column(event_rows(spark, sf_dir), "ok").select("event_id", "ok")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampletide.operators import sampling as s
+from sampletide.plans import config
 from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
 from sampletide.queries.rules import SEGMENT
 from sampletide.sources.records import record
@@ -111,3 +112,31 @@ def translate_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("digest_uid").cast("bigint").alias("event_id"), F.array_join("stream_uids", ",").alias("uids"), F.array_join("stream_names", ",").alias("names"), F.array_join("errors", ",").alias("errors"))
 
 
+#: A log of stream definitions: every twentieth event is a change of its sampler's configuration, in the order of time.
+_LOG = """SELECT epoch_us(ts) * 1000 + event_id % 1000 AS version, ts, resource, sampler, 'streams' AS section,
+    CASE WHEN event_id % 140 = 0 THEN 'reset' WHEN event_id % 60 = 0 THEN 'delete' ELSE 'upsert' END AS op, 'u' || (user_id % 3) AS uid, 's' || (event_id // 20 % 4) AS name FROM e WHERE event_id % 20 = 0"""
+
+
+@query(
+    "WITH " + EVENT_ROWS + f""", c AS ({_LOG}), i AS (SELECT *, lead(ts) OVER (PARTITION BY resource, sampler, op = 'reset', uid ORDER BY version) AS own,
+        min(CASE WHEN op = 'reset' THEN ts END) OVER (PARTITION BY resource, sampler ORDER BY version ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS reset FROM c),
+    f AS (SELECT resource, sampler, uid, name, ts AS since, least(own, reset) AS until FROM i WHERE op = 'upsert' AND (least(own, reset) IS NULL OR least(own, reset) > ts)),
+    k AS (SELECT resource, sampler, min(since) AS first FROM f GROUP BY ALL), r AS (SELECT *, 's' || (user_id % 4) AS name FROM e WHERE event_id % 20 <> 0),
+    u AS (SELECT event_id, min(uid) AS uid FROM r JOIN f ON r.resource = f.resource AND r.sampler = f.sampler AND r.name = f.name AND since <= ts AND (until IS NULL OR ts < until) GROUP BY ALL)
+    SELECT event_id, coalesce(uid, '') AS uids, CASE WHEN first <= ts THEN '' ELSE name || ',other' END AS names,
+        CASE WHEN first IS NULL OR first > ts THEN '' WHEN uid IS NULL THEN name || ',other' ELSE 'other' END AS errors FROM r LEFT JOIN u USING (event_id) LEFT JOIN k USING (resource, sampler)"""
+)
+def streams_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream names translated by the configuration that was in force at each record's time."""
+    rows, id_ = event_rows(spark, sf_dir), F.col("event_id")
+    op = F.when(id_ % 140 == 0, "reset").when(id_ % 60 == 0, "delete").otherwise("upsert")
+    payload = F.to_json(F.struct(F.concat(F.lit("s"), (F.floor(id_ / 20) % 4).cast("string")).alias("name")))
+    changes = rows.where(id_ % 20 == 0).select(
+        (F.unix_micros("ts") * 1000 + id_ % 1000).alias("version"), "ts", "resource", "sampler", F.lit("streams").alias("section"), op.alias("op"),
+        F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("uid"), payload.alias("payload"),
+    )
+    named = F.array(F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")), F.lit("other"))
+    given = record(rows.where(id_ % 20 != 0), "raw", stream_names=named, digest_uid=id_.cast("string"))
+    out = s.translate_streams_in_force(given, config.streams_in_force(changes))
+    text = lambda c: F.array_join(c, ",").alias(c.replace("stream_", ""))
+    return out.select(F.col("digest_uid").cast("bigint").alias("event_id"), text("stream_uids"), text("stream_names"), text("errors"))

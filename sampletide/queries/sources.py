@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +121,15 @@ def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "events").select(F.lit("event").alias("origin"), F.col("event_id").alias("id"))
     b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("origin"))
     return records.merged(a, b)
+
+
+@query("WITH " + EVENT_ROWS + f" SELECT event_id % 3 AS batch, {_KIND} AS sample_type, resource, sampler, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM e GROUP BY ALL")
+def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written in three batches to a table laid out by labels, one of them twice, as after a failure, and read back."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/records-{uuid.uuid4().hex}"
+    rows = _records(spark, sf_dir)
+    for batch in (0, 1, 2, 1):
+        records.write_batch(rows.where(F.col("digest_uid").cast("bigint") % 3 == batch), batch, path)
+    back = records.read_records(spark, path)
+    return back.groupBy("batch", "sample_type", "resource", "sampler").agg(F.count("*").alias("n"), F.sum(F.col("digest_uid").cast("bigint")).alias("ids"))

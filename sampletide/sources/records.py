@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ["raw", "struct-digest", "value-digest", "event", "config", "unknown"]
@@ -49,6 +49,24 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("sample_type", "resource", "sampler").parquet(path)
 
 
+#: The labels that tables of records are laid out by.
+LABELS = ["sample_type", "resource", "sampler"]
+
+
+def write_batch(records: DataFrame, batch_id: int, path: str) -> None:
+    """A stream's batch as a folder of its own, named by its id and laid out by the labels; a batch that comes again replaces what it left.
+
+    For ``foreachBatch(lambda df, n: write_batch(df, n, path))``: with a checkpoint, every record is in the table exactly once.
+    """
+    records.write.mode("overwrite").partitionBy(*LABELS).parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of such a table, with batch. Labels are read as text, empty ones as empty."""
+    rows = spark.read.schema(f"{RECORD}, batch long").parquet(path)
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in LABELS})
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 

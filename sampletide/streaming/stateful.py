@@ -7,66 +7,83 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from sampletide.functions.rules import Ordered
 from sampletide.operators.sampling import Bucket
 
+#: For a session that runs these. Columns whose names begin with an underscore lose their names on the way to pandas and aren't accepted.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-#: The column of values on their way to the state, and how they are kept: text and whole numbers travel as text, so that neither loses a digit; all others as doubles.
+#: The columns of values on their way to the state, and how they are kept: text and whole numbers travel as text, so that neither loses a digit; all others as doubles.
 HELD = "value_as_held"
-_KINDS = {"string": ("string", str), "tinyint": ("long", int), "smallint": ("long", int), "int": ("long", int), "bigint": ("long", int)}
+_KINDS = {"string": ("text", str), "tinyint": ("whole", int), "smallint": ("whole", int), "int": ("whole", int), "bigint": ("whole", int)}
+_PLACES = ("number", "whole", "text")
 
 
 class _Remember(StatefulProcessor):
-    """Compares each value with the last one of its key. With ``most`` a group holds at most so many keys; rows of others have no answer."""
+    """The calls of all rules of a group, each of which compares its values with its last one of the key, in one state.
 
-    def __init__(self, mode: str, step: float, ttl_ms: int, order: list[str], kind: str, key: str | None, most: int) -> None:
-        self.mode, self.step, self.ttl_ms, self.order, self.key, self.most = mode, step, ttl_ms, order, key, most
-        self.stored, self.parse = _KINDS.get(kind, ("double", float))
+    ``calls``: (kind, step, type of the value, numbers of the calls that must have said yes). With ``most`` a group holds at most so many keys;
+    rows of others have no answers. A key that is idle for ``ttl_ms`` is forgotten.
+    """
+
+    def __init__(self, calls: list[tuple], names: list[str], ttl_ms: int, order: list[str], key: str | None, most: int) -> None:
+        self.calls, self.names, self.ttl_ms, self.order, self.key, self.most = calls, names, ttl_ms, order, key, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "key string", f"value {self.stored}", self.ttl_ms or None)
-        self.count = handle.getValueState("keys", "n long")
+        self.last = handle.getMapState("last", "call int, key string", "number double, whole long, text string", self.ttl_ms or None)
+        self.seen = handle.getMapState("seen", "key string", "known boolean", self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # a key's rows of one batch have to be ordered: the source's limits bound them (maxFilesPerTrigger, maxOffsetsPerTrigger)
         part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        names = part[self.key].tolist() if self.key else [""] * len(part)
-        held: dict[str, object] = {}
-        known = self.count.get()[0] if self.count.exists() else 0
-        before, out, admitted = known, [], []
-        for name, value in zip(names, part[HELD].tolist(), strict=True):
-            if name not in held:
-                if self.last.containsKey((str(name),)):
-                    held[name] = self.last.getValue((str(name),))[0]
-                elif not self.most or known < self.most:
-                    held[name], known = None, known + 1
-            admitted.append(name in held)
-            if name not in held or value is None or value != value:
-                out.append(None)
-                continue
-            value, last = self.parse(value), held[name]
-            out.append(bool(last is None or (value == last + self.step if self.mode == "complete" else value >= last if self.mode == "asc" else value <= last)))
-            held[name] = value
-        for name, value in held.items():
-            self.last.updateValue((str(name),), (value,))
-        if known > before:
-            self.count.update((known,))
-        yield part.drop(columns=HELD).assign(in_order=pd.array(out, dtype="boolean"), **({"admitted": admitted} if self.most else {}))
+        keys = [str(x) for x in part[self.key].tolist()] if self.key else [""] * len(part)
+        columns = [part[f"{HELD}{i}"].tolist() for i in range(len(self.calls))]
+        known = sum(1 for _ in self.seen.keys()) if self.most else 0
+        admitted: dict[str, bool] = {}
+        held: dict[tuple[int, str], object] = {}
+        answers: list[list[bool | None]] = [[] for _ in self.calls]
+        for at, name in enumerate(keys):
+            if name not in admitted:
+                old = not self.most or self.seen.containsKey((name,))
+                admitted[name] = old or known < self.most
+                known += not old and admitted[name]
+            for i, (kind, step, held_as, after) in enumerate(self.calls):
+                value = columns[i][at] if admitted[name] else None
+                if value is None or value != value or not all(answers[j][at] for j in after):
+                    answers[i].append(None)
+                    continue
+                place, parse = _KINDS.get(held_as, ("number", float))
+                value = parse(value)
+                if (i, name) not in held:
+                    held[i, name] = self.last.getValue((i, name))[_PLACES.index(place)] if self.last.containsKey((i, name)) else None
+                last = held[i, name]
+                answers[i].append(bool(last is None or (value == last + step if kind == "complete" else value >= last if kind == "asc" else value <= last)))
+                held[i, name] = value
+        for (i, name), value in held.items():
+            place = _KINDS.get(self.calls[i][2], ("number", float))[0]
+            self.last.updateValue((i, name), tuple(value if p == place else None for p in _PLACES))
+        for name in (x for x, yes in admitted.items() if yes and self.most):
+            self.seen.updateValue((name,), (True,))
+        out = part.drop(columns=[f"{HELD}{i}" for i in range(len(self.calls))])
+        more = {c: pd.array(x, dtype="boolean") for c, x in zip(self.names, answers, strict=True)}
+        yield out.assign(**more, **({"admitted": [admitted[x] for x in keys]} if self.most else {}))
 
     def close(self) -> None:
         pass
 
 
 class _Limit(StatefulProcessor):
-    """A token bucket a key."""
+    """A token bucket a key, of ``limit`` or of what the key's rows have in the column of that name: -1 lets all through, 0 none."""
 
-    def __init__(self, limit: int, order: list[str]) -> None:
+    def __init__(self, limit: int | str, order: list[str]) -> None:
         self.limit, self.order = limit, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,38 +91,110 @@ class _Limit(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        bucket = Bucket(self.limit)
-        if self.state.exists():
-            bucket.tokens, bucket.last = self.state.get()
-        times = part[self.order[0]].astype("datetime64[us]").astype("int64").tolist()
-        kept = part[[bucket.take(x) for x in times]]
-        self.state.update((bucket.tokens, bucket.last))
-        yield kept
+        if not len(part):
+            return
+        limit = int(part[self.limit].iloc[0]) if isinstance(self.limit, str) else self.limit
+        if limit > 0:
+            bucket = Bucket(limit)
+            if self.state.exists():
+                bucket.tokens, bucket.last = self.state.get()
+            times = part[self.order[0]].astype("datetime64[us]").astype("int64").tolist()
+            part = part[np.array([bucket.take(x) for x in times], bool)]
+            self.state.update((bucket.tokens, bucket.last))
+        if limit:
+            yield part
 
     def close(self) -> None:
         pass
 
 
-def remembered(stream: DataFrame, by: list[str], order: list[str], value: str, mode: str, step: float = 1, ttl_ms: int = 0, key: str | None = None, most_keys: int = 0) -> DataFrame:
-    """With in_order: what ``sequence`` (mode asc, desc) or ``complete`` says of each row; ``ttl_ms`` forgets idle keys.
+def _named(stream: DataFrame) -> None:
+    if wrong := [c for c in stream.columns if c.startswith("_")]:
+        raise ValueError(f"these columns would lose their names: {wrong}")
 
-    ``by`` names the key's columns. Only where ``most_keys`` bounds the keys of a group is the group one sequence, with ``key`` inside it;
-    then admitted is false for rows of keys first seen after so many others.
+
+def with_calls(stream: DataFrame, by: list[str], order: list[str], calls: dict[str, Ordered], ttl_ms: int = 0, key: str | None = None, most_keys: int = 0) -> DataFrame:
+    """With a boolean column for each call: what it says of each row, by the rows before it of its ``by``, which may be in earlier batches.
+
+    ``by`` names the key's columns; what calls themselves say about grouping and order isn't looked at. Only where ``most_keys`` bounds the keys of a
+    group is the group one sequence, with ``key`` inside it; then admitted is false for rows of keys first seen after so many others.
     """
-    if mode not in ("asc", "desc", "complete"):
-        raise ValueError("mode is asc, desc or complete")
+    _named(stream)
     if bool(most_keys) != bool(key):
         raise ValueError("a bound on keys needs the key's column, and the other way round")
-    kind = stream.schema[value].dataType.simpleString()
-    schema = T.StructType([*stream.schema.fields, T.StructField("in_order", T.BooleanType()), *([T.StructField("admitted", T.BooleanType())] if most_keys else [])])
-    rows = stream.withColumn(HELD, F.col(value).cast("string" if kind in _KINDS else "double"))
-    return rows.groupBy(*by).transformWithStateInPandas(_Remember(mode, step, ttl_ms, order, kind, key, most_keys), schema, "append", "none")
+    names, rows, plan = list(calls), stream, []
+    for i, (name, call) in enumerate(calls.items()):
+        if call.kind not in ("asc", "desc", "complete"):
+            raise ValueError("the kind is asc, desc or complete")
+        value = call.value if call.reached is None else F.when(call.reached, call.value)
+        kind = stream.select(value.alias("x")).schema["x"].dataType.simpleString()
+        rows = rows.withColumn(f"{HELD}{i}", value.cast("string" if kind in _KINDS else "double"))
+        plan.append((call.kind, call.step, kind, tuple(names.index(x) for x in call.after if x in names[:i])))
+        if len(plan[-1][3]) != len(call.after):
+            raise ValueError(f"{name} comes after calls that aren't before it: {call.after}")
+    more = [T.StructField(name, T.BooleanType()) for name in [*names, *(["admitted"] if most_keys else [])]]
+    schema = T.StructType([*stream.schema.fields, *more])
+    return rows.groupBy(*by).transformWithStateInPandas(_Remember(plan, names, ttl_ms, order, key, most_keys), schema, "append", "none")
+
+
+def remembered(stream: DataFrame, by: list[str], order: list[str], value: str, mode: str, step: float = 1, ttl_ms: int = 0, key: str | None = None, most_keys: int = 0) -> DataFrame:
+    """With in_order: what ``sequence`` (mode asc, desc) or ``complete`` says of each row; see ``with_calls``."""
+    return with_calls(stream, by, order, {"in_order": Ordered(mode, F.col(value), by, order, step)}, ttl_ms, key, most_keys)
 
 
-def limited(stream: DataFrame, by: list[str], limit: int, order: list[str]) -> DataFrame:
-    """What a token bucket a key lets through."""
-    if limit < 0:
+def limited(stream: DataFrame, by: list[str], limit: int | str, order: list[str]) -> DataFrame:
+    """What a token bucket a key lets through. ``limit`` may name a column that is constant in a key."""
+    if isinstance(limit, int) and limit < 0:
         return stream
-    if limit == 0:
+    if isinstance(limit, int) and limit == 0:
         return stream.where("false")
+    _named(stream)
     return stream.groupBy(*by).transformWithStateInPandas(_Limit(limit, order), stream.schema, "append", "none")
+
+
+class _Live(StatefulProcessor):
+    """The latest point of a series, until none has come for ``ttl_ms`` of event time."""
+
+    def __init__(self, series: list[str], ttl_ms: int) -> None:
+        self.series, self.ttl_ms = series, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ms long, us long, value double")
+
+    def _row(self, key, us: int, value: float | None, live: bool) -> pd.DataFrame:
+        return pd.DataFrame({**dict(zip(self.series, ([x] for x in key), strict=True)), "ts": pd.to_datetime([us], unit="us"), "value": [value], "live": [live]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        best = None
+        for part in rows:  # a maximum: parts are never held together
+            times = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+            best = max([*([best] if best else []), *zip(times, part["value"].tolist(), strict=True)])
+        if self.latest.exists():
+            ms, us, value = self.latest.get()
+            if best[0] < us or best == (us, value):
+                return
+            self.handle.deleteTimer(ms)
+        due = -(-best[0] // 1000) + self.ttl_ms
+        self.latest.update((due, *best))
+        self.handle.registerTimer(due)
+        yield self._row(key, *best, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.latest.exists() and self.latest.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            _, us, value = self.latest.get()
+            self.latest.clear()
+            yield self._row(key, us, value, False)
+
+    def close(self) -> None:
+        pass
+
+
+def live_series(points: DataFrame, series: list[str], ttl_ms: int = 300_000) -> DataFrame:
+    """Changes of the live series of a stream with a watermark on ts: ``series``, ts, value, live.
+
+    A row with live for each new latest point, and one without when event time is ``ttl_ms`` beyond the last. A series that comes back is live again.
+    """
+    rows = points.select(*series, "ts", F.col("value").cast("double").alias("value"))
+    schema = T.StructType([*(rows.schema[c] for c in [*series, "ts", "value"]), T.StructField("live", T.BooleanType())])
+    return rows.groupBy(*series).transformWithStateInPandas(_Live(series, ttl_ms), schema, "append", "EventTime")
