@@ -1,7 +1,7 @@
 """Semi-structured samples as rows of nodes.
 
 A path is an array of parts: "." and the key for a field, "*" for the elements of an array, [] for the sample
-itself. Each Arrow batch of samples is walked once, to whatever depth they have; nothing is shuffled. Values of typed samples
+itself. Each Arrow batch of samples is taken apart path by path, in whole columns, to whatever depth they have; nothing is shuffled. Values of typed samples
 that JSON has no kind for (times, dates, bytes, intervals) count as text, written as JSON writes them.
 """
 
@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,22 +22,20 @@ from sampletide.functions.segments import ROWS, Scan
 
 KINDS = ["obj", "array", "string", "boolean", "null", "int", "float"]
 _OBJ, _ARRAY, _STRING, _BOOLEAN, _NULL, _INT, _FLOAT = range(len(KINDS))
-#: Nodes after which a part of a batch goes out; a sample is never cut.
-PART = 100_000
+#: Bytes of JSON that are parsed at once; a longer sample alone.
+PART = 1 << 20
 #: Sorts after all parts of paths.
 _AFTER = chr(0x10FFFF)
 _SCHEMA = "path array<string>, kind string, number double, text string, flag boolean, size int"
 
 
-class _Nodes:
-    """The nodes of some samples, by columns. Each distinct path is kept once."""
+class _Columns:
+    """The nodes of many samples, path by path: a part for all values of one path and class, each made by a few calls over whole lists."""
 
     def __init__(self) -> None:
         self.paths: list[tuple[str, ...]] = [()]
         self.known: dict[tuple[int, str], int] = {}
-        self.rows: list[tuple] = []
-        self.owner: list[int] = []
-        self.truncated: list[bool] = []
+        self.parts: list[tuple[int, int, list | np.ndarray | pa.Array, np.ndarray]] = []
 
     def below(self, path: int, part: str) -> int:
         number = self.known.get((path, part))
@@ -43,84 +44,222 @@ class _Nodes:
             self.paths.append((*self.paths[path], part))
         return number
 
-    def walk(self, value: object) -> list[tuple[int, object]]:
-        """The value and all below it with their paths, level by level."""
-        out, below = [(0, value)], self.below
-        for path, x in out:  # grows meanwhile
-            if type(x) is dict:
-                out += [(below(path, "." + k), v) for k, v in x.items()]
-            elif type(x) is list and x:
-                star = below(path, "*")
-                out += [(star, v) for v in x]
+    def add(self, path: int, values: list, owner: np.ndarray) -> None:
+        """All values of one path, with the sample that each is of, and what lies below them."""
+        waiting = [(path, values, owner)]
+        while waiting:
+            path, values, owner = waiting.pop()
+            types = set(map(type, values))
+            if len(types) > 1:
+                for t in types:
+                    at = [i for i, v in enumerate(values) if type(v) is t]
+                    waiting.append((path, [values[i] for i in at], owner[at]))
+                continue
+            for t in types:
+                self.parts.append((path, _OF[t], values, owner))
+                if t is list:
+                    below = list(chain.from_iterable(values))
+                    if below:
+                        waiting.append((self.below(path, "*"), below, np.repeat(owner, list(map(len, values)))))
+                elif t is dict:
+                    first = values[0].keys()
+                    if all(v.keys() == first for v in values):
+                        waiting += [(self.below(path, "." + k), [v[k] for v in values], owner) for k in first]
+                    else:
+                        fields: dict[str, tuple[list, list]] = {}
+                        for i, v in enumerate(values):
+                            for k, x in v.items():
+                                own = fields.get(k) or fields.setdefault(k, ([], []))
+                                own[0].append(x)
+                                own[1].append(i)
+                        waiting += [(self.below(path, "." + k), own, owner[at]) for k, (own, at) in fields.items()]
+
+    def add_arrow(self, path: int, values: pa.Array, kind: T.DataType, owner: np.ndarray) -> None:
+        """The same of a typed column, whose values never become Python objects but for the JSON text that a VARIANT has become."""
+        if values.null_count:
+            valid = values.is_valid().to_numpy(zero_copy_only=False)
+            self.parts.append((path, _NULL, valid[~valid], owner[~valid]))
+            values, owner = values.filter(pa.array(valid)), owner[valid]
+        if not len(values):
+            return
+        if isinstance(kind, T.VariantType):
+            self.add(path, json.loads(f"[{','.join(values.to_pylist())}]"), owner)
+        elif isinstance(kind, T.StructType):
+            self.parts.append((path, _OBJ, np.full(len(values), len(kind.fields)), owner))
+            for column, field in zip(values.flatten(), kind.fields, strict=True):
+                self.add_arrow(self.below(path, "." + field.name), column, field.dataType, owner)
+        elif isinstance(kind, T.ArrayType):
+            sizes = pa.compute.list_value_length(values).to_numpy()
+            self.parts.append((path, _ARRAY, sizes, owner))
+            if sizes.any():
+                self.add_arrow(self.below(path, "*"), values.flatten(), kind.elementType, np.repeat(owner, sizes))
+        elif isinstance(kind, T.DoubleType):
+            numbers = values.to_numpy()
+            finite = np.isfinite(numbers)
+            self.parts.append((path, _FLOAT, numbers[finite], owner[finite]))
+            if not finite.all():
+                words = np.where(np.isnan(numbers), "NaN", np.where(numbers > 0, "Infinity", "-Infinity"))[~finite]
+                self.parts.append((path, _STRING, words.tolist(), owner[~finite]))
+        elif isinstance(kind, T.StringType):
+            self.parts.append((path, _STRING, values, owner))
+        else:
+            self.parts.append((path, _BOOLEAN if isinstance(kind, T.BooleanType) else _INT, values.to_numpy(zero_copy_only=False), owner))
+
+    def steps(self, samples: int) -> np.ndarray:
+        """What each sample's nodes cost."""
+        out = np.zeros(samples, np.int64)
+        for path, kind, _, owner in self.parts:
+            out += np.bincount(owner, minlength=samples) * (1 if not path or kind == _NULL else 2)
         return out
 
-    def within(self, nodes: list[tuple[int, object]], budget: int, absent: list[dict] | None = None) -> tuple[list[tuple[int, object]], bool]:
-        """The nodes in order of path until their cost exceeds ``budget``, and whether anything is left out.
-
-        ``absent``: paths of objects, and how many steps the fields that they lack cost when all below them is done.
-        """
-        steps = [(self.paths[n[0]], 1 if not n[0] or n[1] is None else 2, n) for n in nodes]
-        steps += [((*x["path"], _AFTER), x["steps"], None) for x in absent or ()]
-        spent, taken = 0, []
-        for _, cost, node in sorted(steps, key=lambda s: s[0]):
-            spent += cost
-            if spent > budget:
-                return taken, True
-            if node is not None:
-                taken.append(node)
-        return taken, False
-
-    def add(self, owner: int, nodes: list[tuple[int, object]], truncated: bool) -> None:
-        for path, x in nodes:
-            kind, number, text, flag, size, is_a = _NULL, None, None, None, None, type(x)
-            if is_a is str:
-                kind, text = _STRING, x
-            elif is_a is float:
-                kind, number = _FLOAT, x
-            elif is_a is int:
-                kind, number = (_INT if -(1 << 63) <= x < 1 << 63 else _FLOAT), float(x)
-            elif is_a is dict:
-                kind, size = _OBJ, len(x)
-            elif is_a is list:
-                kind, size = _ARRAY, len(x)
-            elif is_a is bool:
-                kind, flag = _BOOLEAN, x
-            self.rows.append((path, kind, number, text, flag, size))
-        self.owner += [owner] * len(nodes)
-        self.truncated += [truncated] * len(nodes)
-
-    def columns(self) -> list[pa.Array]:
-        path, kind, number, text, flag, size = zip(*self.rows, strict=True) if self.rows else ((),) * 6
-        paths = pa.array(self.paths, pa.list_(pa.string())).take(pa.array(path, pa.int32()))
-        kinds = pa.array(KINDS).take(pa.array(kind, pa.int8()))
-        return [paths, kinds, pa.array(number, pa.float64()), pa.array(text, pa.string()), pa.array(flag, pa.bool_()), pa.array(size, pa.int32())]
+    def columns(self) -> tuple[np.ndarray, list[pa.Array]]:
+        """The sample of each node, and path, kind, number, text, flag and size."""
+        counts = [len(values) for _, _, values, _ in self.parts]
+        total = sum(counts)
+        path = np.repeat(np.array([p for p, *_ in self.parts], np.int32), counts)
+        kind = np.repeat(np.array([k for _, k, *_ in self.parts], np.int8), counts)
+        owner = np.concatenate([o for *_, o in self.parts]) if self.parts else np.zeros(0, np.int64)
+        number, flag, size, text, at = np.zeros(total), np.zeros(total, bool), np.zeros(total, np.int32), [], 0
+        for (_, k, values, _), n in zip(self.parts, counts, strict=True):
+            if k in (_INT, _FLOAT):
+                number[at : at + n] = np.array(values, np.float64)
+                if k == _INT and isinstance(values, list) and (max(values) >= 1 << 63 or min(values) < -(1 << 63)):
+                    kind[at : at + n][[not -(1 << 63) <= x < 1 << 63 for x in values]] = _FLOAT
+            elif k == _BOOLEAN:
+                flag[at : at + n] = values
+            elif k in (_OBJ, _ARRAY):
+                size[at : at + n] = list(map(len, values)) if isinstance(values, list) else values
+            text.append(pa.nulls(n, pa.string()) if k != _STRING else pa.array(values, pa.string()) if isinstance(values, list) else values.cast(pa.string()))
+            at += n
+        paths = pa.array(self.paths, pa.list_(pa.string())).take(pa.array(path))
+        texts = pa.concat_arrays(text) if text else pa.array([], pa.string())
+        numbers = pa.array(number, mask=~np.isin(kind, (_INT, _FLOAT)))
+        return owner, [paths, pa.array(KINDS).take(pa.array(kind)), numbers, texts, pa.array(flag, mask=kind != _BOOLEAN), pa.array(size, mask=~np.isin(kind, (_OBJ, _ARRAY)))]
+
+
+_OF = {str: _STRING, float: _FLOAT, int: _INT, dict: _OBJ, list: _ARRAY, bool: _BOOLEAN, type(None): _NULL}
+
+
+def _walked(value: object) -> Iterator[tuple[tuple[str, ...], object]]:
+    """The value and all below it with their paths, level by level."""
+    out = [((), value)]
+    for path, x in out:  # grows meanwhile
+        if type(x) is dict:
+            out += [((*path, "." + k), v) for k, v in x.items()]
+        elif type(x) is list:
+            out += [((*path, "*"), v) for v in x]
+    return iter(out)
+
+
+def _within(value: object, budget: int, absent: list[dict] | None) -> list[tuple[tuple[str, ...], object]]:
+    """The nodes in order of path until their cost exceeds ``budget``.
+
+    ``absent``: paths of objects, and how many steps the fields that they lack cost when all below them is done.
+    """
+    steps = [(path, 1 if not path or x is None else 2, (path, x)) for path, x in _walked(value)]
+    steps += [((*x["path"], _AFTER), x["steps"], None) for x in absent or ()]
+    spent, taken = 0, []
+    for _, cost, node in sorted(steps, key=lambda s: s[0]):
+        spent += cost
+        if spent > budget:
+            break
+        if node is not None:
+            taken.append(node)
+    return taken
+
+
+_PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.StringType, T.BooleanType)
+
+
+def _in_columns(kind: T.DataType, inside: bool = False) -> bool:
+    """Whether typed samples can stay columns: JSON has a kind for all their values, and no VARIANT is an element of an array."""
+    if isinstance(kind, T.StructType):
+        return bool(kind.fields) and all(_in_columns(f.dataType, inside) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _in_columns(kind.elementType, True)
+    return isinstance(kind, _PLAIN) or isinstance(kind, T.VariantType) and not inside
+
+
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """The value with the VARIANTs in its fields as JSON text."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_as_text(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def _shredded_columns(df: DataFrame, keep: list[str], sample: str) -> DataFrame:
+    kind = df.schema[sample].dataType
+    rows = df.where(F.col(sample).isNotNull()).select(*keep, _as_text(F.col(sample), kind).alias("_sample"))
+    schema = T.StructType([*rows.drop("_sample").schema.fields, *T.StructType.fromDDL(_SCHEMA).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nodes = _Columns()
+                nodes.add_arrow(0, batch.column("_sample"), kind, np.arange(batch.num_rows))
+                owner, columns = nodes.columns()
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None, absent: str | None = None) -> DataFrame:
+    if isinstance(df.schema[sample].dataType, T.StructType):
+        if budget is None and _in_columns(df.schema[sample].dataType):
+            return _shredded_columns(df, keep, sample)
+        df = df.withColumn(sample, F.to_variant_object(sample))
     rows = df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"), *([F.col(absent).alias("_absent")] if absent else []))
     cut = [T.StructField("truncated", T.BooleanType())] if budget is not None else []
     schema = T.StructType([*rows.drop("_json", "_absent").schema.fields, *cut, *T.StructType.fromDDL(_SCHEMA).fields])
 
+    def nodes_of(texts: list[str], lacking: list | None) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        samples = json.loads(f"[{','.join(texts)}]")
+        nodes, own = _Columns(), np.arange(len(samples))
+        nodes.add(0, samples, own)
+        over = np.zeros(len(samples), bool)
+        if budget is not None:
+            cost = nodes.steps(len(samples)) + np.array([sum(x["steps"] for x in a or ()) for a in lacking] if lacking else 0)
+            over = cost > budget
+        if over.any():  # the few samples beyond their budget are cut one by one
+            nodes = _Columns()
+            nodes.add(0, [x for x, cut_off in zip(samples, over.tolist(), strict=True) if not cut_off], own[~over])
+            for i in np.flatnonzero(over).tolist():
+                for path, x in _within(samples[i], budget, lacking[i] if lacking else None):
+                    number = 0
+                    for part in path:
+                        number = nodes.below(number, part)
+                    nodes.parts.append((number, _OF[type(x)], [x], np.array([i])))
+        owner, columns = nodes.columns()
+        return owner, over, columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, last, parse = _Nodes(), batch.num_rows - 1, json.JSONDecoder().decode
-            lacking = batch.column("_absent").to_pylist() if absent else None
-            for i, text in enumerate(batch.column("_json").to_pylist()):
-                own, truncated = nodes.walk(parse(text)), False
-                if budget is not None:
-                    own, truncated = nodes.within(own, budget, lacking[i] if lacking else None)
-                nodes.add(i, own, truncated)
-                if len(nodes.owner) >= PART or i == last:
-                    owner = pa.array(nodes.owner, pa.int32())
-                    more = [pa.array(nodes.truncated, pa.bool_())] if cut else []
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in keep), *more, *nodes.columns()], names=schema.names)
-                    nodes = _Nodes()
+        for whole in batches:
+            for batch in _parts(whole):
+                owner, over, columns = nodes_of(batch.column("_json").to_pylist(), batch.column("_absent").to_pylist() if absent else None)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *([pa.array(over[owner])] if cut else []), *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PART`` bytes of JSON, one sample at least."""
+    sizes = np.cumsum(pa.compute.binary_length(batch.column("_json")).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(sizes, PART + (sizes[begin - 1] if begin else 0), "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def shred(df: DataFrame, keep: list[str], sample: str = "sample") -> DataFrame:
-    """A row per node of the VARIANT column: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes."""
+    """A row per node of the samples, a VARIANT or a struct: ``keep``, path, kind, number, text, flag, size. Null samples have no nodes.
+
+    Structs are taken apart as columns, without becoming text, if their types allow; the nodes are the same.
+    """
     return _shredded(df, keep, sample, None)
 
 

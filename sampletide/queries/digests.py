@@ -12,7 +12,7 @@ from sampletide.operators import value_digest as vd
 from sampletide.operators.sampling import assign_streams
 from sampletide.queries.registry import EVENT_ROWS, event_rows, query, table
 from sampletide.queries.sampling import _STREAMS, STREAMS
-from sampletide.sources.samples import typed_samples
+from sampletide.sources.samples import struct_samples
 
 UID = "6f1c2d3e-4b5a-4978-8695-a4b3c2d1e0f9"
 
@@ -20,7 +20,7 @@ UID = "6f1c2d3e-4b5a-4978-8695-a4b3c2d1e0f9"
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples: id, value and the parsed props, with sampler and day."""
     rows = event_rows(spark, sf_dir).withColumn("props", F.try_parse_json("props"))
-    return d.with_window(typed_samples(rows, ["event_id", "value", "props"]), "1 day")
+    return d.with_window(struct_samples(rows, ["event_id", "value", "props"]), "1 day")
 
 
 def _orders(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("price", "status", "done", "lines")) -> DataFrame:
@@ -28,11 +28,11 @@ def _orders(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("price"
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))).alias("lines"))  # an order's lines
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     rows = rows.select(F.col("o_orderpriority").alias("sampler"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), (F.col("o_orderstatus") == "F").alias("done"), F.coalesce("lines", F.array().cast("array<struct<quantity:double,flag:string>>")).alias("lines"))
-    return typed_samples(rows, list(fields))
+    return struct_samples(rows, list(fields))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_samples(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).cast("string").alias("sampler"), "embedding"), ["embedding"])
+    return struct_samples(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).cast("string").alias("sampler"), "embedding"), ["embedding"])
 
 
 _O = """o AS (SELECT o_orderkey, o_orderpriority AS sampler, o_totalprice, o_orderstatus FROM orders), l AS (SELECT o.sampler, l.* FROM o JOIN lineitem l ON l_orderkey = o_orderkey),
@@ -63,7 +63,7 @@ def struct_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def struct_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     typed = st.struct_digest(shred(rows, ["sampler"]), ["sampler"])
-    text = rows.select("sampler", F.try_variant_get("sample", "$.props", "variant").alias("sample"))
+    text = rows.select("sampler", F.col("sample.props").alias("sample"))
     parsed = st.struct_digest(shred(text, ["sampler"]), ["sampler"], json_numbers=True).where(path_text("path") == ".k")
     at = lambda p, c: F.max(F.when(path_text("path") == p, F.col(c)))
     # whole doubles are stored as such, so they stay floats
@@ -170,7 +170,7 @@ def value_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(min(strlen(text)) AS BIGINT) AS length_min, CAST(max(strlen(text)) AS BIGINT) AS length_max, CAST(sum(strlen(text)) AS BIGINT) AS length_sum FROM documents GROUP BY ALL"""
 )
 def value_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_samples(table(spark, sf_dir, "documents").withColumn("sampler", F.coalesce("lang", F.lit("unknown"))), ["text"])
+    rows = struct_samples(table(spark, sf_dir, "documents").withColumn("sampler", F.coalesce("lang", F.lit("unknown"))), ["text"])
     out = vd.value_digest(shred(rows, ["sampler"]), ["sampler"], False).where(path_text("path") == ".text")
     return out.select("sampler", "total", "strings", "string_default", F.col("length_min").cast("bigint").alias("length_min"), F.col("length_max").cast("bigint").alias("length_max"), "length_sum")
 
@@ -178,7 +178,7 @@ def value_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS sampler, CAST(count(*) AS BIGINT) AS total, CAST(count(quality) AS BIGINT) AS booleans, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS true_count FROM labels GROUP BY ALL")
 def value_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("sampler"), (F.col("quality") == 1).alias("good"))
-    out = vd.value_digest(shred(typed_samples(rows, ["good"]), ["sampler"]), ["sampler"], False).where(path_text("path") == ".good")
+    out = vd.value_digest(shred(struct_samples(rows, ["good"]), ["sampler"]), ["sampler"], False).where(path_text("path") == ".good")
     return out.select("sampler", "total", "booleans", "true_count")
 
 

@@ -16,7 +16,7 @@ from sampletide.queries.digests import UID
 from sampletide.queries.registry import EVENT_ROWS, FAST_ROWS, bucket_sql, event_rows, query
 from sampletide.queries.rules import SEGMENT
 from sampletide.sources.records import record
-from sampletide.sources.samples import typed_samples
+from sampletide.sources.samples import struct_samples
 
 _ORDER = ["ts", "event_id"]
 _BY = ["resource", "sampler", "sample_key"]
@@ -109,7 +109,7 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_samples(event_rows(spark, sf_dir), ["value", "event_type"])
+    rows = struct_samples(event_rows(spark, sf_dir), ["value", "event_type"])
     return vd.value_digest(shred(rows, ["sampler"]), ["sampler"], False)
 
 
@@ -179,7 +179,7 @@ def _bodies(spark: SparkSession, sf_dir: str, rows: DataFrame, sketches: bool =
     UNION ALL SELECT sampler, '["$":obj]["k":number]', 'cardinality', CAST(count(DISTINCT event_id % 5) AS DOUBLE) FROM e GROUP BY sampler""")
 def body_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates from sketches that went through stored bodies; of so few values they are exact."""
-    rows = typed_samples(event_rows(spark, sf_dir).withColumn("k", F.col("event_id") % 5), ["k", "event_type"])
+    rows = struct_samples(event_rows(spark, sf_dir).withColumn("k", F.col("event_id") % 5), ["k", "event_type"])
     rows = rows.withColumn("resource", F.lit("all")).withColumn("window_start", F.lit("2024-01-01").cast("timestamp"))
     digests = vd.cardinalities(m.digests_from_body(_bodies(spark, sf_dir, rows, True), ["sampler"]))
     out = m.value_metrics(digests, ["sampler"]).where(F.col("name").endswith("cardinality"))
@@ -188,7 +188,7 @@ def body_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_METRICS)
 def metrics_from_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_samples(event_rows(spark, sf_dir), ["value", "event_type"])
+    rows = struct_samples(event_rows(spark, sf_dir), ["value", "event_type"])
     rows = rows.withColumn("resource", F.lit("all")).withColumn("window_start", F.lit("2024-01-01").cast("timestamp"))
     digests = m.digests_from_body(_bodies(spark, sf_dir, rows), ["sampler"])
     return m.value_metrics(digests, ["sampler"]).withColumn("value", F.round("value", 6))
@@ -199,7 +199,7 @@ def metrics_from_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'event' AS sample_type, CAST(count(*) AS BIGINT) AS n FROM e WHERE event_type = 'purchase' AND value > 100 UNION ALL SELECT 'value-digest', CAST(count(*) * 11 AS BIGINT) FROM g"""
 )
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_window(typed_samples(event_rows(spark, sf_dir), ["value"]), "1 day")
+    rows = with_window(struct_samples(event_rows(spark, sf_dir), ["value"]), "1 day")
     digests = m.digests_from_body(_bodies(spark, sf_dir, rows), ["ts", "resource", "sampler", "sample_type", "digest_uid"])
     points = m.value_metrics(digests, ["sample_type"]).select("sample_type")
     hits = m.event_metrics(ev.events(_raw(spark, sf_dir), _definitions()[:1], _ORDER)).select("sample_type")

@@ -21,6 +21,11 @@ def typed_samples(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumn("sample", F.to_variant_object(F.struct(*(columns or df.columns))))
 
 
+def struct_samples(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The same as a struct, which keeps its types and is shredded column by column; for digests, which take either."""
+    return df.withColumn("sample", F.struct(*(columns or df.columns)))
+
+
 def sample_to_json(df: DataFrame) -> DataFrame:
     return df.withColumn("body", F.to_json("sample"))
 

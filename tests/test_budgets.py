@@ -3,11 +3,12 @@
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sampletide.functions.shred import path_text, shred_known
+from sampletide.functions.shred import path_text, shred, shred_known
 from sampletide.operators import digests as d
 from sampletide.operators import sampling as s
 from sampletide.operators import struct_digest as st
@@ -15,6 +16,19 @@ from sampletide.operators import value_digest as vd
 from sampletide.plans import config as c
 
 
+def test_structs_have_the_nodes_of_variants(spark):
+    df = spark.sql(
+        """select id, named_struct('i', cast(id as int), 'big', id * 1000000007, 'd', case id % 5 when 0 then null when 1 then double('NaN') when 2 then double('-Infinity') else id / 2 end, 't', if(id % 3 = 0, null, concat('é', id)),
+        'yes', if(id % 4 = 0, null, id % 2 = 0), 'deep', if(id % 7 = 0, null, named_struct('a', array(1, null, cast(id as int)), 'e', cast(array() as array<string>), 'o', array(named_struct('x', id, 'y', 'z'), null))),
+        'v', parse_json(case id % 4 when 0 then '{"k": [1, 2.5, "x", null, {"z": true}]}' when 1 then 'null' when 2 then '[]' else '3' end), 'w', try_parse_json(if(id % 2 = 0, '{"q": 1e400}', 'no json'))) as sample from range(60)"""
+    ).unionByName(spark.sql("select 99L as id, cast(null as struct<i:int,big:bigint,d:double,t:string,yes:boolean,deep:struct<a:array<int>,e:array<string>,o:array<struct<x:bigint,y:string>>>,v:variant,w:variant>) as sample"))
+    rows_of = lambda x: Counter((r.id, tuple(r.path), r.kind, str(r.number), r.text, r.flag, r["size"]) for r in x.collect())
+    got, want = rows_of(shred(df, ["id"])), rows_of(shred(df.withColumn("sample", F.to_variant_object("sample")), ["id"]))
+    assert got == want and sum(got.values()) > 1000 and not any(k[0] == 99 for k in got)
+    odd = spark.sql("select 1 as id, named_struct('t', timestamp'2024-01-02 03:04:05', 'n', cast(1.5 as decimal(9, 2)), 'f', cast(0.1 as float), 'm', map('k', 1)) as sample")
+    assert rows_of(shred(odd, ["id"])) == rows_of(shred(odd.withColumn("sample", F.to_variant_object("sample")), ["id"]))
+
+
 def nodes_of(value, path=()):
     yield path, value
     if isinstance(value, dict):
