@@ -6,7 +6,8 @@ a maximal run without white space, with the one space before it where the vocabu
 
 Nor do they look up letters together with punctuation: a new word of Latin letters and punctuation behind them is encoded
 as these two parts, each by the library's model alone and once a task; a vocabulary without upper case gets its letters in
-lower case. All other new words pass through the whole tokenizer.
+lower case. All other new words pass through the whole tokenizer. The ids are those of the library's ``encode`` without added special
+tokens; where a text itself holds the text of a special token, that is the token's id.
 """
 
 from __future__ import annotations
@@ -69,8 +70,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # texts that hold a special token's text are encoded whole, with its id; nothing else is to be taken for one
+        self.plain, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.odd = [*_ODD, *(t.content for t in self.plain.get_added_tokens_decoder().values())]
         self.keeps_space, self.most_words, self.most_parts = keeps_space, most_words, most_parts
         self.model, self.parts = self.tokenizer.model, {}
         self.between = "\n" if keeps_space else f" {_MARK} "
@@ -158,7 +161,7 @@ class Encoder:
         if self.n_words > self.most_words:
             self.forget()
         cut, look, known = _cut if self.keeps_space else str.split, self.numbers.__getitem__, self.n_words
-        odd = {i: text for i, text in enumerate(texts) if text and any(x in text for x in _ODD)}
+        odd = {i: text for i, text in enumerate(texts) if text and any(x in text for x in self.odd)}
         words = [cut(text) if text and i not in odd else [] for i, text in enumerate(texts)]
         n = np.fromiter(map(len, words), np.int64, len(words))
         numbers = np.fromiter(map(look, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
@@ -172,7 +175,7 @@ class Encoder:
         cuts = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i, text in odd.items():
-            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            out[i] = np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int32)
         return out
 
 

@@ -26,23 +26,41 @@ from pyspark.sql import functions as F
 
 from sampletide.llm.common import batch_of, partitions, shared_dir, slices, written
 
-LEAST, FILE_BYTES, LOTS = 1000, 64 << 20, 8
+LEAST, FILE_BYTES = 1000, 64 << 20
+#: A key is hot if it has more than one in so many of all counted rows, and more rows than this.
+HOT = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 
+def joined_to(rows: DataFrame, key: str, few: DataFrame, count: str) -> DataFrame:
+    """``rows`` with the columns of ``few``, whose ``key`` is unique and which says how many rows have it; null where it has none.
+
+    Keys with more than a ``HOT``-th of all counted rows, of which there are fewer than ``HOT``, are broadcast, and their rows stay where they are; all others
+    meet by a shuffle in which no key is hot.
+    """
+    few, _ = written(few, "few")
+    total = few.agg(F.sum(count)).head()[0] or 0
+    names = [c for c in few.columns if c not in (key, count)]
+    hot = few.where(F.col(count) > max(HOT, total // HOT)).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
+    cold = few.where(F.col(count) <= max(HOT, total // HOT)).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # what has been met, or has no key, gets one that nothing has, so that it spreads
+    apart = F.concat(F.lit("-"), F.xxhash64("page_id", F.rand(3)).cast("string"))
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(apart))
+    rows = rows.join(cold, F.col("_key") == F.col("_cold"), "left")
+    return rows.withColumns({c: F.coalesce(f"_hot_{c}", f"_cold_{c}") for c in names}).drop("_key", "_hot", "_cold", *[f"_{k}_{c}" for k in ("hot", "cold") for c in names])
+
+
 def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest (lower-case hex SHA-1) and refers_to (null for responses).
 
-    Only digests that occur more than once stand on the small side of the join, once a lot, so a digest with a third
-    of all rows is spread over the lots.
+    Only digests that occur more than once stand on the small side of the join.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     heads = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     originals = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    originals = originals.select("digest", "original", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
-    lot = F.pmod(F.xxhash64("page_id"), F.lit(LOTS)).cast("int")
-    rows = rows.withColumn("lot", lot).join(originals, ["digest", "lot"], "left")
+    rows = joined_to(rows, "digest", originals, "n")
     return rows.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("refers_to"))
 
 
@@ -139,13 +157,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def followed(found: DataFrame) -> DataFrame:
-    """Every record with its full payload's size and the page_id it refers to."""
-    responses = found.where("record_type = 'response'")
-    lots = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))
-    originals = responses.groupBy(F.col("record_id").alias("target")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes")).withColumn("lot", lots)
-    revisits = found.where("record_type = 'revisit'").drop("payload_bytes").withColumn("lot", F.pmod(F.xxhash64("page_id"), F.lit(LOTS)).cast("int"))
+    """Every record with its full payload's size and the page_id it refers to. Only responses that revisits name are looked up."""
+    responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").drop("payload_bytes")
+    named = revisits.groupBy("target").agg(F.count("*").alias("n"))
+    sizes = responses.select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), "payload_bytes").join(named, "target")
+    originals = sizes.groupBy("target").agg(F.max("refers_to").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("n").alias("n"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.join(originals, ["target", "lot"], "left").select(columns))
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(joined_to(revisits, "target", originals, "n").select(columns))
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:

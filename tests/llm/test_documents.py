@@ -246,7 +246,6 @@ def test_contained_items(spark, docs, texts, empty):
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = [tuple(r) for r in token_binary.token_files(spark, docs, path).collect()]
     want, start = [], 0
     for doc_id, text in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -321,7 +320,6 @@ def test_damage_is_found():
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out = packing.packed_documents(docs, path).toPandas()
     want = Counter()
     for doc_id, text in rows_of(docs):

@@ -187,6 +187,24 @@ def test_tool_calls_with_long_texts_and_clashing_columns(spark):
     assert tool_calls.linked(given).count() == 1
 
 
+def test_hot_payloads_are_broadcast(spark, monkeypatch):
+    """A third of the pages hold one payload, repeated rows and null ids among them; hot and other digests agree with what sorting finds."""
+    rng = random.Random(12)
+    hot, kinds = "h" * 1500, [chr(97 + i) * 1200 for i in range(9)]
+    rows = [(i if i % 17 else None, None, hot if i % 3 == 0 else rng.choice(kinds) if i % 3 == 1 else f"<p>{i}</p>" * 200) for i in range(300)]
+    rows += rows[-20:]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    last = {}
+    for i, _, h in rows:
+        if i is not None:
+            last[h] = max(last.get(h, -1), i)
+    want = Counter((i, len(h), "revisit" if i is not None and i < last[h] else "response", last[h] if i is not None and i < last[h] else None) for i, _, h in rows)
+    for many in (1000, 4):
+        monkeypatch.setattr(warc, "HOT", many)
+        got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(spark, pages).collect())
+        assert got == want
+
+
 def test_archives_roll_over(spark):
     pages = spark.range(50).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat(cast(id as string), 900) as html")
     manifest = warc.write_archives(warc.resolved(pages), shared_dir(spark, "roll"), file_bytes=1000)

@@ -14,7 +14,6 @@ def test_ids_are_the_librarys(name, keeps_space):
     path, rng = public_tokenizers.path(name), random.Random(4)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["plain words, one line\nand another one", "", None]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     own = tokenizing.Encoder(path, keeps_space, most_words=500)  # forgets often
     for begin in range(0, len(texts), 100):
         part = texts[begin : begin + 100]
