@@ -53,6 +53,16 @@ def fan_out(df: DataFrame, digests: DataFrame) -> DataFrame:
     return df.withColumn("stream_uid", F.explode("stream_uids")).join(digests, "stream_uid")
 
 
+def fan_out_in_force(df: DataFrame, digests: DataFrame) -> DataFrame:
+    """The same by the digests that were bound to the sampler's streams at the sample's ts. ``digests``: resource, sampler, digest_uid, stream_uid, since, until (null: still)."""
+    rows = df.withColumn("stream_uid", F.explode("stream_uids"))
+    on = ["resource", "sampler", "stream_uid"]
+    other = digests.select(*[F.col(c).alias(f"_{c}") for c in on], "digest_uid", "since", "until")
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    held = (F.col("since") <= F.col("ts")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    return rows.join(other, [*same, held]).drop(*[f"_{c}" for c in on], "since", "until")
+
+
 def grouping(digest: Digest) -> list[str]:
     """What digests are kept by: each instance at the sampler, all instances together at the collector."""
     if digest.location not in ("sampler", "collector"):

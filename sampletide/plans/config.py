@@ -46,19 +46,24 @@ def config_records(changes: DataFrame, ts: Column) -> DataFrame:
     return record(changes, "config", ts=ts, encoding=F.lit("json"), body=body)
 
 
-def streams_in_force(changes: DataFrame) -> DataFrame:
-    """resource, sampler, uid, name, since and until (null: still) of every stream definition of a log of changes with ts.
+def in_force(changes: DataFrame, section: str) -> DataFrame:
+    """resource, sampler, uid, payload, since and until (null: still) of every definition of a section in a log of changes with ts.
 
-    A definition holds from its change to the next of its uid or the next reset of its sampler's streams. Changes apply in the order of
+    A definition holds from its change to the next of its uid or the next reset of its sampler's section. Changes apply in the order of
     their versions, a reset before others of its version. A sampler's log, not its records, is what a task holds.
     """
-    rows = changes.where("section = 'streams'").withColumn("_reset", F.col("op") == "reset")
+    rows = changes.where(F.col("section") == section).withColumn("_reset", F.col("op") == "reset")
     order = [F.col("version"), (~F.col("_reset")).cast("int")]
     later = Window.partitionBy("resource", "sampler").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     own = Window.partitionBy("resource", "sampler", "_reset", "uid").orderBy(*order)
     rows = rows.withColumn("until", F.least(F.lead("ts").over(own), F.min(F.when(F.col("_reset"), F.col("ts"))).over(later)))
-    rows = rows.where("op = 'upsert' and (until is null or until > ts)")
-    return rows.select("resource", "sampler", "uid", F.get_json_object("payload", "$.name").alias("name"), F.col("ts").alias("since"), "until")
+    rows = rows.where("op in ('upsert', 'set') and (until is null or until > ts)")
+    return rows.select("resource", "sampler", "uid", "payload", F.col("ts").alias("since"), "until")
+
+
+def streams_in_force(changes: DataFrame) -> DataFrame:
+    """The stream definitions in force, with their names."""
+    return in_force(changes, "streams").withColumn("name", F.get_json_object("payload", "$.name")).drop("payload")
 
 
 def wildcard(column: Column, pattern: str) -> Column:

@@ -10,6 +10,7 @@ from sampletide.operators import digests as d
 from sampletide.operators import struct_digest as st
 from sampletide.operators import value_digest as vd
 from sampletide.operators.sampling import assign_streams
+from sampletide.plans.config import in_force
 from sampletide.queries.registry import EVENT_ROWS, event_rows, query, table
 from sampletide.queries.sampling import _STREAMS, STREAMS
 from sampletide.sources.samples import struct_samples
@@ -343,3 +344,24 @@ def digest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + EVENT_ROWS + f", s AS (SELECT DISTINCT unnest(string_split({_STREAMS}, ',')) AS stream_uid FROM e) SELECT DISTINCT location, kind FROM s JOIN (VALUES {_VALUES}) t(digest_uid, stream_uid, kind, location) USING (stream_uid)")
 def digest_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.required_types(d.fan_out(assign_streams(event_rows(spark, sf_dir), STREAMS), _config(spark)))
+
+
+@query(
+    "WITH " + EVENT_ROWS + """, c AS (SELECT epoch_us(ts) * 1000 + event_id % 1000 AS version, ts, resource, sampler, 'd' || (user_id % 2) AS uid, CASE WHEN event_id % 75 = 0 THEN 'delete' ELSE 'upsert' END AS op,
+        CASE WHEN event_id % 2 = 0 THEN 'u-all' ELSE 'u-large' END AS stream_uid FROM e WHERE event_id % 25 = 0),
+    f AS (SELECT *, lead(ts) OVER (PARTITION BY resource, sampler, uid ORDER BY version) AS until FROM c),
+    s AS (SELECT ts, resource, sampler, unnest(CASE WHEN value > 100 THEN ['u-large', 'u-all'] ELSE ['u-all'] END) AS stream_uid FROM e WHERE event_id % 25 <> 0)
+    SELECT s.resource AS resource, s.sampler AS sampler, uid AS digest_uid, s.stream_uid AS stream_uid, CAST(count(*) AS BIGINT) AS n FROM s JOIN f ON s.resource = f.resource AND s.sampler = f.sampler AND s.stream_uid = f.stream_uid
+        AND f.op = 'upsert' AND f.ts <= s.ts AND (until IS NULL OR s.ts < until) GROUP BY ALL"""
+)
+def digests_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples a digest gets while it is bound to their streams, by a log in which digests move between streams and go."""
+    rows, id_ = event_rows(spark, sf_dir), F.col("event_id")
+    payload = F.to_json(F.struct(F.when(id_ % 2 == 0, "u-all").otherwise("u-large").alias("stream")))
+    changes = rows.where(id_ % 25 == 0).select(
+        (F.unix_micros("ts") * 1000 + id_ % 1000).alias("version"), "ts", "resource", "sampler", F.lit("digests").alias("section"), F.when(id_ % 75 == 0, "delete").otherwise("upsert").alias("op"),
+        F.concat(F.lit("d"), (F.col("user_id") % 2).cast("string")).alias("uid"), payload.alias("payload"),
+    )
+    bound = in_force(changes, "digests").select("resource", "sampler", F.col("uid").alias("digest_uid"), F.get_json_object("payload", "$.stream").alias("stream_uid"), "since", "until")
+    samples = rows.where(id_ % 25 != 0).withColumn("stream_uids", F.array_compact(F.array(F.when(F.col("value") > 100, "u-large"), F.lit("u-all"))))
+    return d.fan_out_in_force(samples, bound).groupBy("resource", "sampler", "digest_uid", "stream_uid").agg(F.count("*").alias("n"))

@@ -46,6 +46,17 @@ def limiter_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.token_bucket(rows.where(F.size("stream_uids") > 0), ["resource", "sampler"], 1, ["ts", "event_id"], SEGMENT).select("event_id", "resource", "sampler")
 
 
+@query(
+    "WITH RECURSIVE " + FAST_ROWS + ", i AS (SELECT *, user_id % 3 AS instance FROM f), " + bucket_sql("entered", "i", 2, "resource, sampler, instance")
+    + " SELECT resource, sampler, instance, event_id FROM entered"
+)
+def instance_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every instance of a sampler has a limiter of its own."""
+    rows = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e9)).withColumn("instance", F.col("user_id") % 3)
+    by = ["resource", "sampler", "instance"]
+    return s.token_bucket(rows, by, 2, ["ts", "event_id"], SEGMENT).select(*by, "event_id")
+
+
 @query("WITH " + EVENT_ROWS + " SELECT event_id, sample_size > 8 AS too_large FROM e")
 def max_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.assign_streams(event_rows(spark, sf_dir), STREAMS[2:])
