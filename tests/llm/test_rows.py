@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -102,6 +103,67 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((post[at.ravel()] >= 0.5) == y).mean() > 0.95
 
 
+def test_lexicon_by_brute_force(spark):
+    rng = random.Random(21)
+    common, rude = [f"w{chr(97 + i)}" for i in range(20)], ["zurk", "vexl", "qomp", "rare"]
+    rows = []
+    for i in range(400):
+        toxic = int(i % 5 == 0)
+        text = [rng.choice(common) for _ in range(rng.randint(0, 15))] + [w for w in rude[:3] if rng.random() < (0.7 if toxic else 0.03)] + (["rare"] if i in (0, 5, 10) else [])
+        rows.append((toxic, list(dict.fromkeys(text)) + text[:2]))
+    p = sum(t for t, _ in rows) / len(rows)
+    scores = {}
+    for word in {w for _, ws in rows for w in ws}:
+        own = [t for t, ws in rows if word in ws]
+        n, a = len(own), sum(own)
+        if n >= 5 and a > n * p:
+            g = a * math.log((a + 0.5) / (n * p + 0.5)) + (n - a) * math.log((n - a + 0.5) / (n - n * p + 0.5))
+            if g > 12:
+                scores[word] = g
+    want = sorted(scores, key=lambda w: (-scores[w], w))
+    sample = spark.createDataFrame(rows, "toxic int, words array<string>")
+    assert toxicity.lexicon(sample, sum(t for t, _ in rows), len(rows)) == want and set(want) == set(rude[:3])
+    assert toxicity.lexicon(sample, sum(t for t, _ in rows), len(rows), 2) == want[:2]
+
+
+def test_label_model_by_loops():
+    """EM over single rows and voters, as the docstring says it, against the one over distinct patterns."""
+    rng = np.random.default_rng(3)
+    y = rng.random(250) < 0.3
+    first = np.where(y, rng.random(250) < 0.7, rng.random(250) < 0.05)
+    noise = rng.random(250) < 0.3
+    votes = np.stack([first, np.where(y, rng.random(250) < 0.6, rng.random(250) < 0.1), noise, noise ^ (rng.random(250) < 0.03)], 1).astype(int).tolist()
+    prior, m, n = 0.3, 4, len(votes)
+    rate = [(sum(v[j] for v in votes) + 1) / (n + 2) for j in range(m)]
+    clip = lambda x, a, b: min(max(x, a), b)
+    hot = [clip(r / prior * 0.5, 0.02, 0.9) for r in rate]
+    cold = [min(clip(r * 0.3, 1e-4, 0.5), h * 0.5) for r, h in zip(rate, hot, strict=True)]
+    shared = [[0.0] * m for _ in range(m)]
+    for step in range(25):
+        post = []
+        for v in votes:
+            evidence = math.log(prior / (1 - prior))
+            for j in range(m):
+                alike = 1 + sum(shared[k][j] for k in range(m) if v[k] == v[j])
+                evidence += (math.log(hot[j] / cold[j]) if v[j] else math.log((1 - hot[j]) / (1 - cold[j]))) / alike
+            post.append(1 / (1 + math.exp(-clip(evidence, -30, 30))))
+        total = sum(post)
+        hot = [clip((sum(p * v[j] for p, v in zip(post, votes, strict=True)) + 0.5) / (total + 1), 1e-4, 1 - 1e-4) for j in range(m)]
+        cold = [clip((sum((1 - p) * v[j] for p, v in zip(post, votes, strict=True)) + 0.05) / (n - total + 1), 1e-6, 1 - 1e-4) for j in range(m)]
+        if step >= 10:
+            for j in range(m):
+                for k in range(m):
+                    best = 0.0
+                    for weights, mean in ((post, hot), ([1 - p for p in post], cold)):
+                        cov = lambda a, b, weights=weights, mean=mean: sum(w * (v[a] - mean[a]) * (v[b] - mean[b]) for w, v in zip(weights, votes, strict=True)) / sum(weights)
+                        best = max(best, cov(j, k) / math.sqrt(max(cov(j, j), 1e-9) * max(cov(k, k), 1e-9)))
+                    shared[j][k] = best if j != k and best > 0.3 else 0.0
+    patterns, at, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    got, rates, corr = toxicity.label_model(patterns, counts, prior, rounds=25)
+    assert np.allclose(got[at.ravel()], post, atol=1e-6) and np.allclose(rates, [hot, cold], atol=1e-6) and np.allclose(corr, shared, atol=1e-6)
+    assert corr[2, 3] > 0.5
+
+
 def exact_top(rows, k, every):
     vectors = {}
     for i, v in rows:
