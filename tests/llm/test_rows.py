@@ -128,12 +128,12 @@ def test_lexicon_by_brute_force(spark):
 
 def test_label_model_by_loops():
     """EM over single rows and voters, as the docstring says it, against the one over distinct patterns."""
-    rng = np.random.default_rng(3)
-    y = rng.random(250) < 0.3
-    first = np.where(y, rng.random(250) < 0.7, rng.random(250) < 0.05)
-    noise = rng.random(250) < 0.3
-    votes = np.stack([first, np.where(y, rng.random(250) < 0.6, rng.random(250) < 0.1), noise, noise ^ (rng.random(250) < 0.03)], 1).astype(int).tolist()
-    prior, m, n = 0.3, 4, len(votes)
+    rng = np.random.default_rng(0)
+    y = rng.random(400) < 0.2
+    vote = lambda hot, cold: np.where(y, rng.random(400) < hot, rng.random(400) < cold)
+    other = vote(0.7, 0.03)
+    votes = np.stack([vote(0.8, 0.02), vote(0.6, 0.05), other, other, rng.random(400) < 0.1], 1).astype(int).tolist()
+    prior, m, n = 0.2, 5, len(votes)
     rate = [(sum(v[j] for v in votes) + 1) / (n + 2) for j in range(m)]
     clip = lambda x, a, b: min(max(x, a), b)
     hot = [clip(r / prior * 0.5, 0.02, 0.9) for r in rate]
