@@ -22,8 +22,8 @@ from sampletide.functions.segments import ROWS, Scan
 
 KINDS = ["obj", "array", "string", "boolean", "null", "int", "float"]
 _OBJ, _ARRAY, _STRING, _BOOLEAN, _NULL, _INT, _FLOAT = range(len(KINDS))
-#: Bytes of JSON that are parsed at once; a longer sample alone.
-PART = 1 << 20
+#: Bytes of JSON that are parsed at once; a longer sample alone. Bytes a core under which an input is small.
+PART, SMALL = 1 << 20, 1 << 25
 #: Sorts after all parts of paths.
 _AFTER = chr(0x10FFFF)
 _SCHEMA = "path array<string>, kind string, number double, text string, flag boolean, size int"
@@ -168,6 +168,15 @@ def _within(value: object, budget: int, absent: list[dict] | None) -> list[tuple
     return taken
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Small inputs, which come in few splits, dealt to all cores before Python takes them apart. Large ones have splits enough and aren't shuffled."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
+
+
 _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.StringType, T.BooleanType)
 
 
@@ -191,7 +200,7 @@ def _as_text(value: Column, kind: T.DataType) -> Column:
 
 def _shredded_columns(df: DataFrame, keep: list[str], sample: str) -> DataFrame:
     kind = df.schema[sample].dataType
-    rows = df.where(F.col(sample).isNotNull()).select(*keep, _as_text(F.col(sample), kind).alias("_sample"))
+    rows = _spread(df.where(F.col(sample).isNotNull()).select(*keep, _as_text(F.col(sample), kind).alias("_sample")))
     schema = T.StructType([*rows.drop("_sample").schema.fields, *T.StructType.fromDDL(_SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +220,7 @@ def _shredded(df: DataFrame, keep: list[str], sample: str, budget: int | None, a
         if budget is None and _in_columns(df.schema[sample].dataType):
             return _shredded_columns(df, keep, sample)
         df = df.withColumn(sample, F.to_variant_object(sample))
-    rows = df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"), *([F.col(absent).alias("_absent")] if absent else []))
+    rows = _spread(df.where(F.col(sample).isNotNull()).select(*keep, F.to_json(sample).alias("_json"), *([F.col(absent).alias("_absent")] if absent else [])))
     cut = [T.StructField("truncated", T.BooleanType())] if budget is not None else []
     schema = T.StructType([*rows.drop("_json", "_absent").schema.fields, *cut, *T.StructType.fromDDL(_SCHEMA).fields])
 

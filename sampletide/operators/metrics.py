@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 _NODE = "array<struct<path:array<string>,v:variant>>"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-#: Class, then (name, expression, sum or gauge). "any" stands for every class.
+#: The names of the metrics of each class of values, with the expression and the kind (sum or gauge) of each. "any" stands for every class.
 METRICS = {
     "any": [("total", "total", "sum"), ("null", "nulls", "sum")],
     "number": [("total", "total", "sum"), ("default", "number_default", "sum"), ("null", "total - numbers", "sum"), ("min", "number_min", "gauge"), ("avg", "number_sum / numbers", "gauge"), ("max", "number_max", "gauge"), ("cardinality", "number_cardinality", "gauge")],

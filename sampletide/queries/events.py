@@ -29,7 +29,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _definitions(limit: int = -1) -> list[ev.Event]:
-    falling = {"ordered": r.sequence(F.col("value"), "asc", _BY, _ORDER)}
+    falling = {"ordered": r.Ordered("asc", F.col("value"), _BY, _ORDER)}
     return [
         ev.Event(EVENT_UID, "costly", "u-large", r.Rule("event_type = 'purchase'"), limit, {"amount": F.col("value"), "key": F.col("sample_key")}),
         ev.Event("e-order", "unordered", "u-all", r.Rule("not ordered", falling), limit),
@@ -66,7 +66,7 @@ def event_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + EVENT_ROWS + f" SELECT event_id, sample_key FROM (SELECT *, {_UP} AS up FROM e) WHERE NOT up")
 def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.Rule("not ok", {"ok": r.sequence(F.col("value"), "asc", _BY, _ORDER)}).column(event_rows(spark, sf_dir))
+    rows = r.Rule("not ok", {"ok": r.Ordered("asc", F.col("value"), _BY, _ORDER)}).column(event_rows(spark, sf_dir))
     return rows.where("matched").select("event_id", "sample_key")
 
 

@@ -74,7 +74,8 @@ def sequence_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + EVENT_ROWS + f" SELECT event_id, CASE WHEN value IS NOT NULL THEN coalesce(value <= {_LAST.format('resource, sampler, sample_key')}, true) END AS ok FROM e")
 def sequence_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_rows(spark, sf_dir).select("event_id", r.sequence(F.col("value"), "desc", ["resource", "sampler", "sample_key"], _ORDER).alias("ok"))
+    call = r.Ordered("desc", F.col("value"), ["resource", "sampler", "sample_key"], _ORDER)
+    return r.Rule("held", {"held": call}).column(event_rows(spark, sf_dir), "ok").select("event_id", "ok")
 
 
 @query("WITH " + EVENT_ROWS + " SELECT event_id, coalesce(event_id = lag(event_id) OVER (PARTITION BY resource, sampler ORDER BY ts, event_id) + 1, true) AS ok FROM e")
@@ -85,7 +86,8 @@ def complete_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, coalesce(turn = lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) + 1, true) AS ok FROM conversations")
 def complete_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", r.complete(F.col("turn"), 1, ["conv_id"], ["turn", "role", "text"]).alias("ok"))
+    call = r.Ordered("complete", F.col("turn"), ["conv_id"], ["turn", "role", "text"])
+    return r.Rule("held", {"held": call}).column(rows, "ok").select("conv_id", "turn", "ok")
 
 
 @query(

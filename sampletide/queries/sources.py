@@ -57,7 +57,7 @@ def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yes.withColumn("allowed", F.lit(True)).unionByName(no.withColumn("allowed", F.lit(False)))
 
 
-@query(f"SELECT topic FROM ({_TOPICS}) WHERE NOT regexp_matches(topic, '^_schemas$|^__consumer_offsets$|^__transaction_state$|^_confluent.*|-KSTREAM-|-changelog$|^__amazon_msk.*')")
+@query(f"SELECT topic FROM ({_TOPICS}) WHERE NOT regexp_matches(topic, '{'|'.join(topics.INTERNAL_TOPICS)}')")
 def internal_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.without_internal(_topics(spark, sf_dir))
 
