@@ -31,32 +31,44 @@ class _Remember(StatefulProcessor):
     """The calls of all rules of a group, each of which compares its values with its last one of the key, in one state.
 
     ``calls``: (kind, step, type of the value, numbers of the calls that must have said yes). With ``most`` a group holds at most so many keys;
-    rows of others have no answers. A key that is idle for ``ttl_ms`` is forgotten.
+    rows of others have no answers. A key that is idle for more than ``ttl_ms`` of event time is forgotten, and gives its place free.
     """
 
     def __init__(self, calls: list[tuple], names: list[str], ttl_ms: int, order: list[str], key: str | None, most: int) -> None:
         self.calls, self.names, self.ttl_ms, self.order, self.key, self.most = calls, names, ttl_ms, order, key, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "call int, key string", "number double, whole long, text string", self.ttl_ms or None)
-        self.seen = handle.getMapState("seen", "key string", "known boolean", self.ttl_ms or None)
+        self.last = handle.getMapState("last", "call int, key string", "number double, whole long, text string")
+        self.seen = handle.getMapState("seen", "key string", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         # a key's rows of one batch have to be ordered: the source's limits bound them (maxFilesPerTrigger, maxOffsetsPerTrigger)
         part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         keys = [str(x) for x in part[self.key].tolist()] if self.key else [""] * len(part)
         columns = [part[f"{HELD}{i}"].tolist() for i in range(len(self.calls))]
-        known = sum(1 for _ in self.seen.keys()) if self.most else 0
-        admitted: dict[str, bool] = {}
+        times = part[self.order[0]].astype("datetime64[us]").astype("int64").tolist() if self.ttl_ms else [0] * len(part)
+        known = {k[0]: v[0] for k, v in self.seen.iterator()} if self.most else {}  # most keys, and those that have been idle
+        alive: dict[str, bool] = {}
         held: dict[tuple[int, str], object] = {}
         answers: list[list[bool | None]] = [[] for _ in self.calls]
-        for at, name in enumerate(keys):
-            if name not in admitted:
-                old = not self.most or self.seen.containsKey((name,))
-                admitted[name] = old or known < self.most
-                known += not old and admitted[name]
+        admitted = []
+        for at, (name, us) in enumerate(zip(keys, times, strict=True)):
+            before = known.get(name)
+            if before is None and not self.most and self.ttl_ms and self.seen.containsKey((name,)):
+                before = self.seen.getValue((name,))[0]
+            if before is not None and self.ttl_ms and us - before > 1000 * self.ttl_ms:
+                held.update({(i, name): None for i in range(len(self.calls))})
+                known.pop(name, None)
+                before = None
+            if self.most and before is None:
+                others = sum(1 for x in known.values() if not self.ttl_ms or us - x <= 1000 * self.ttl_ms)
+                alive[name] = others < self.most
+            own = alive.get(name, True)
+            admitted.append(own)
+            if own and (self.most or self.ttl_ms):
+                known[name] = us
             for i, (kind, step, held_as, after) in enumerate(self.calls):
-                value = columns[i][at] if admitted[name] else None
+                value = columns[i][at] if own else None
                 if value is None or value != value or not all(answers[j][at] for j in after):
                     answers[i].append(None)
                     continue
@@ -69,12 +81,16 @@ class _Remember(StatefulProcessor):
                 held[i, name] = value
         for (i, name), value in held.items():
             place = _KINDS.get(self.calls[i][2], ("number", float))[0]
-            self.last.updateValue((i, name), tuple(value if p == place else None for p in _PLACES))
-        for name in (x for x, yes in admitted.items() if yes and self.most):
-            self.seen.updateValue((name,), (True,))
+            if value is not None:
+                self.last.updateValue((i, name), tuple(value if p == place else None for p in _PLACES))
+            elif self.last.containsKey((i, name)):
+                self.last.removeKey((i, name))
+        for name in set(keys):
+            if name in known:
+                self.seen.updateValue((name,), (known[name],))
         out = part.drop(columns=[f"{HELD}{i}" for i in range(len(self.calls))])
         more = {c: pd.array(x, dtype="boolean") for c, x in zip(self.names, answers, strict=True)}
-        yield out.assign(**more, **({"admitted": [admitted[x] for x in keys]} if self.most else {}))
+        yield out.assign(**more, **({"admitted": admitted} if self.most else {}))
 
     def close(self) -> None:
         pass

@@ -7,14 +7,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sampletide.functions.rules import Ordered, Rule
+from sampletide.functions.rules import Ordered, Rule, key_epochs, sequence
 from sampletide.functions.shred import shred_within
 from sampletide.operators import events as ev
 from sampletide.operators import value_digest as vd
 from sampletide.sources import records
 from sampletide.streaming.digests import windowed_value_digest
 from sampletide.streaming.events import streamed_events
-from sampletide.streaming.stateful import live_series
+from sampletide.streaming.stateful import live_series, remembered
 
 from .test_digests_events_metrics import drain
 
@@ -60,6 +60,24 @@ def test_state_of_streamed_rules_outlives_batches(spark, raw, tmp_path):
     assert abs(sum(Counter((r.event_uid, r.ts, r.sample_key) for r in got).values()) - sum(want.values())) < 0.5 * sum(want.values())
 
 
+def test_idle_keys_are_forgotten_by_event_time(spark, raw, tmp_path):
+    """As epochs do in batches, in one batch and over several; with a bound on keys an idle one gives its place free."""
+    order, by = ["ts", "event_id"], ["resource", "sampler", "sample_key"]
+    epochs = key_epochs(raw, by, order, "20 seconds")
+    want = {r.event_id: r.ok for r in epochs.select("event_id", sequence(F.col("value"), "asc", [*by, "epoch"], order).alias("ok")).collect()}
+    assert epochs.where("epoch > 0").count() > 20
+    raw.repartition(3).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in")
+    got = drain(spark, remembered(live, by, order, "value", "asc", ttl_ms=20_000), "idle", tmp_path)
+    assert {r.event_id: r.in_order for r in got} == want
+    rows = [(0, "a", 1.0), (1, "b", 5.0), (2, "c", 1.0), (3, "a", 0.5), (50, "c", 1.0), (51, "b", 1.0), (52, "a", 9.0), (53, "c", 0.5)]
+    given = spark.createDataFrame([("g", t, k, v) for t, k, v in rows], "g string, at long, k string, v double").withColumn("ts", F.timestamp_seconds("at"))
+    given.write.parquet(f"{tmp_path}/keys")
+    live = spark.readStream.schema(given.schema).parquet(f"{tmp_path}/keys")
+    got = {r["at"]: (r.admitted, r.in_order) for r in drain(spark, remembered(live, ["g"], ["ts"], "v", "asc", ttl_ms=20_000, key="k", most_keys=2), "places", tmp_path)}
+    assert got == {0: (True, True), 1: (True, True), 2: (False, None), 3: (True, False), 50: (True, True), 51: (True, True), 52: (False, None), 53: (True, False)}
+
+
 def test_whole_value_digests_of_streams(spark, tmp_path):
     """Rows equal those of batches, totals and nulls included; a late row is left out; a sample takes its budget."""
     rng = random.Random(2)
