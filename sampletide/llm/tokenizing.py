@@ -71,9 +71,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         # texts that hold a special token's text are encoded whole, with its id; nothing else is to be taken for one
-        self.plain, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.odd = [*_ODD, *(t.content for t in self.plain.get_added_tokens_decoder().values())]
+        self.odd = [*_ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.keeps_space, self.most_words, self.most_parts = keeps_space, most_words, most_parts
         self.model, self.parts = self.tokenizer.model, {}
         self.between = "\n" if keeps_space else f" {_MARK} "
@@ -174,8 +174,10 @@ class Encoder:
         ids = self.ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
         cuts = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.tokenizer.encode_special_tokens = False
         for i, text in odd.items():
-            out[i] = np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int32)
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        self.tokenizer.encode_special_tokens = True
         return out
 
 
