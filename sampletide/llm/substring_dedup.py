@@ -7,8 +7,10 @@ A window is ``window`` consecutive words of one document; it is repeated if its
    whose anchor recurs with other words around it stay open; all others are settled as not repeated.
 2. Windows. The windows of open spans, and those of one span of each confirmed kind as witnesses, are shuffled
    by hash; those that meet no equal are not repeated.
-3. Cover. The shuffles have located every occurrence. An Aho-Corasick automaton of the flagged passages of a 1 MB slice, over
-   ids of word hashes, tells which of the slice's words they cover; it looks for no passage of other slices.
+3. Automata. Both shuffles only confirm which passages recur, each kept once: a confirmed kind of span by its witness, the runs
+   of repeated windows of open spans by themselves. Passages are dealt to shards by their anchor, which all their windows hold, and every text sends
+   the spans of recurring anchors to those shards. Aho-Corasick automata over ids of word hashes locate each occurrence there, which
+   is what the texts lose.
 
 Equal rows of one map slice are merged before each shuffle, so a passage in a third of all documents sends a row a
 slice. Hashes hold 64 bits, for windows 96. Null texts have no words; repeated rows repeat each other's windows.
@@ -33,6 +35,8 @@ from sampletide.llm.wordhash import Words, runs, spans, words_of
 WINDOW, GRAM = 35, 8
 #: Bits of a place that hold four times the word and the status; those above check that it is a place of this text, as row_ids are hashes.
 PLACE = 43
+#: Bytes of passages and ranges that one automaton and its stream take.
+SHARD_BYTES = 1 << 19
 #: What the shuffle by anchor says of a span: its anchor recurs; it is confirmed; it is confirmed and stands for its kind.
 OPEN, SURE, WITNESS = 1, 2, 3
 
@@ -217,41 +221,129 @@ def unequal(rows: DataFrame, window: int) -> DataFrame:
     return sent.repartition(n, "hash").sortWithinPartitions("hash", "check").mapInArrow(meet, "row_id long, place long").groupBy("row_id").agg(F.collect_list("place").alias("alone"))
 
 
-def automaton_cover(words: Words, repeated: np.ndarray, window: int) -> np.ndarray:
-    """For each word whether a confirmed passage covers it, by an automaton of the slice's passages.
+def shard_rows(rows: DataFrame, alone: DataFrame, window: int) -> DataFrame:
+    """What goes to the shards, from ``marked`` rows and the starts of open windows that occur nowhere else.
 
-    ``repeated``: for each word whether a repeated window starts there.
+    Passages are runs of repeated windows within a span, of witnesses and open spans; spans that are only sure supply none. Ranges are all
+    spans whose anchor recurs, with the row_ids and begins of those of the slice that are equal. Each holds the words of all its windows.
     """
-    cover = np.zeros(len(words.hash) + 1, np.int64)
-    ids = np.unique(words.hash, return_inverse=True)[1].tolist()
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-    phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for begin, end in edge.reshape(-1, 2).tolist():
-        for a in [begin, *[x for x in words.first[np.searchsorted(words.first, begin, "right") : np.searchsorted(words.first, end)].tolist()]]:
-            b = min(end, *words.first[words.first > a][:1].tolist()) + window - 1
-            phrases.add_word(tuple(ids[a:b]), b - a)
-    if not len(phrases):
-        return np.zeros(len(words.hash), bool)
-    phrases.make_automaton()
-    docs = np.unique(words.doc[repeated])
-    for a, b in zip(words.first[docs].tolist(), words.first[docs + 1].tolist(), strict=True):
-        for end, size in phrases.iter(tuple(ids[a:b])):
-            cover[a + end - size + 1] += 1
-            cover[a + end + 1] -= 1
-    return np.cumsum(cover[:-1]) > 0
-
-
-def covers(batch: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
-    """The words of a slice of rows (text, starts, alone), and which of them go."""
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("anchor", pa.int64()), ("is_range", pa.bool_()), ("text", pa.binary()), ("row_ids", lists), ("begins", lists)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = words_of(batch.column("text"))
+            status, supplies = np.zeros(len(words.hash), np.int64), np.zeros(len(words.hash), bool)
+            check = checks(words)
+            for d, (data, lone) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("alone").to_pylist(), strict=True)):
+                a, own = words.first[d], _unpacked(data)
+                supplier = (own == OPEN) | (own == WITNESS)
+                lone = np.array(lone or [], np.int64)
+                supplier[lone[lone >> (PLACE - 2) == check[d]] & ((1 << (PLACE - 2)) - 1)] = False
+                status[a : a + len(own)], supplies[a : a + len(own)] = own, supplier
+            start = np.flatnonzero(status)
+            if not len(start):
+                continue
+            at, grams = anchors(words, window)[1], runs(words.hash, GRAM)
+            for is_range, start in ((False, np.flatnonzero(supplies)), (True, start)):
+                if not len(start):
+                    continue
+                own = at[start]
+                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
+                begin, end = start[first], start[np.append(first[1:], len(start)) - 1] + window
+                key, span = grams[own[first]].view(np.int64), spans(words.hash, begin, end)
+                order = np.lexsort((span, key))
+                begin, end, key, span = begin[order], end[order], key[order], span[order]
+                one = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (span[1:] != span[:-1])]))
+                doc = words.doc[begin]
+                ids, places = batch.column("row_id").to_numpy()[doc], (begin - words.first[doc]) | (check[doc] << PLACE)
+                cuts = pa.array(np.append(one, len(begin)) if is_range else np.zeros(len(one) + 1, np.int64), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(np.full(len(one), is_range)), pa.array(_pieces(words, begin[one], end[one]), pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.ListArray.from_arrays(cuts, pa.array(places))], schema=schema)
+
+    given = rows.where("starts is not null").join(alone, "row_id", "left").select("row_id", "text", "starts", "alone")
+    return given.mapInArrow(run, "anchor long, is_range boolean, text binary, row_ids array<long>, begins array<long>")
+
+
+def _pieces(words: Words, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words of each stretch as the text has them, those with wide gaps joined by one space."""
+    out, data = [], words.data
+    size = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+    for a, b, s, e, most in zip(begin.tolist(), end.tolist(), words.start[begin].tolist(), words.end[end - 1].tolist(), (2 * (size[end] - size[begin])).tolist(), strict=True):
+        out.append(data[s:e].tobytes() if e - s <= most else words.text(a, b))
+    return out
+
+
+def automaton_hits(words: Words, is_range: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the passages (texts that are no range) cover words of the ranges: for each maximal stretch its range, first word in it, and size."""
+    ids = np.unique(words.hash, return_inverse=True)[1]
+    passages = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    flat, first = ids.tolist(), words.first
+    for d in np.flatnonzero(~is_range).tolist():
+        passages.add_word(tuple(flat[first[d] : first[d + 1]]), int(first[d + 1] - first[d]))
+    passages.make_automaton()
+    ranges = np.flatnonzero(is_range)
+    inside = is_range[words.doc]
+    size = first[ranges + 1] - first[ranges]
+    begin = np.concatenate([[0], np.cumsum(size + 1)])  # a word that no passage has ends each range
+    stream = np.full(begin[-1], len(flat), np.int64)
+    stream[np.arange(inside.sum()) + np.repeat(np.arange(len(ranges)), size)] = ids[inside]
+    found = np.array([x for hit in passages.iter(tuple(stream.tolist())) for x in hit], np.int64).reshape(-1, 2)
+    cover = np.zeros(len(stream) + 1, np.int64)
+    np.add.at(cover, found[:, 0] - found[:, 1] + 1, 1)
+    np.add.at(cover, found[:, 0] + 1, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]))).reshape(-1, 2)
+    own = np.searchsorted(begin, edge[:, 0], "right") - 1
+    return ranges[own], edge[:, 0] - begin[own], edge[:, 1] - edge[:, 0]
+
+
+def occurrences(shards: DataFrame) -> DataFrame:
+    """row_id and hits (begin, size) of all stretches that passages cover, from ``shard_rows``.
+
+    Rows are sorted by anchor, passages before ranges. Each slice of them is a shard: one automaton of its passages, through
+    which the ranges of the same anchors are streamed. An anchor's passages go on to the next slice while it has ranges.
+    """
+    found = pa.schema([("row_id", pa.int64()), ("begin", pa.int64()), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in slices(batches, "text", SHARD_BYTES):
+            if held is not None and held.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            anchor, is_range = batch.column("anchor").to_numpy(), batch.column("is_range").to_numpy(zero_copy_only=False)
+            held = batch.filter(pa.array(~is_range & (anchor == anchor[-1])))
+            used = np.where(is_range, np.isin(anchor, anchor[~is_range]), np.isin(anchor, anchor[is_range]))
+            if not used.any():
+                continue
+            batch, is_range = batch.filter(pa.array(used)), is_range[used]
+            own, begin, size = automaton_hits(words_of(batch.column("text")), is_range)
+            ids, begins = batch.column("row_ids").take(pa.array(own)), batch.column("begins").take(pa.array(own))
+            many = pa.compute.list_value_length(ids).to_numpy()
+            yield batch_of(found, {"row_id": ids.flatten(), "begin": begins.flatten().to_numpy() + np.repeat(begin, many), "size": np.repeat(size, many)})
+
+    n = partitions(shards.sparkSession)
+    hits = shards.repartition(n, "anchor").sortWithinPartitions("anchor", "is_range").mapInArrow(run, "row_id long, begin long, size int")
+    return hits.groupBy("row_id").agg(F.collect_set(F.struct("begin", "size")).alias("hits"))
+
+
+def covers(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
+    """The words of a slice of rows (text, hits), and which of them go."""
     words = words_of(batch.column("text"))
-    repeated, check = np.zeros(len(words.hash), bool), checks(words)
-    for d, (data, alone) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("alone").to_pylist(), strict=True)):
-        if data is not None:
-            own = _unpacked(data) > 0
-            alone = np.array(alone or [], np.int64)
-            own[alone[alone >> (PLACE - 2) == check[d]] & ((1 << (PLACE - 2)) - 1)] = False
-            repeated[words.first[d] : words.first[d] + len(own)] = own
-    return words, automaton_cover(words, repeated, window)
+    cover, check = np.zeros(len(words.hash) + 1, np.int64), checks(words)
+    hits = batch.column("hits")
+    doc = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(hits), 0).to_numpy())
+    begin, size = (hits.flatten().field(i).to_numpy() for i in range(2))
+    same = begin >> PLACE == check[doc]
+    begin, size = words.first[doc[same]] + (begin[same] & ((1 << PLACE) - 1)), size[same]
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + size, -1)
+    return words, np.cumsum(cover[:-1]) > 0
+
+
+def _located(rows: DataFrame, window: int, *keep: str) -> DataFrame:
+    """The ``marked`` rows with repeated or open windows: ``keep``, text and hits."""
+    alone, _ = written(unequal(rows, window), "alone")
+    hits = occurrences(shard_rows(rows, alone, window))
+    return rows.where("starts is not null").join(hits, "row_id", "left").select(*keep, "text", "hits")
 
 
 def _row_id() -> Column:
@@ -265,14 +357,14 @@ def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, _ = written(marked(_rows(docs, ("doc_id",)), ("doc_id",), window), "marked")
-    alone, _ = written(unequal(rows, window), "alone")
-    given = rows.where("starts is not null").join(alone, "row_id", "left").select("doc_id", "text", "starts", "alone")
-    given = given.unionByName(rows.where("starts is null").select("doc_id", "text", "starts", F.lit(None).cast("array<long>").alias("alone")))
+    given = _located(rows, window, "doc_id")
+    none = F.lit(None).cast(given.schema["hits"].dataType).alias("hits")
+    given = given.unionByName(rows.where("starts is null").select("doc_id", "text", none))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words, gone = covers(batch, window)
+            words, gone = covers(batch)
             n, lost, sha = [], [], []
             for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False):
                 n.append(b - a)
@@ -295,13 +387,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     filler = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field, of a name that no column has
     given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias(filler), *others).alias("row"))
     rows, _ = written(marked(given, ("row",), window), "marked")
-    alone, _ = written(unequal(rows, window), "alone")
-    touched = rows.where("starts is not null").join(alone, "row_id", "left").select("row", "text", "starts", "alone")
+    touched = _located(rows, window, "row")
     schema = T.StructType([touched.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words, gone = covers(batch, window)
+            words, gone = covers(batch)
             texts = batch.column("text").to_pylist()
             for d, (a, b) in enumerate(zip(words.first.tolist(), words.first[1:].tolist(), strict=False)):
                 if gone[a:b].any():
