@@ -25,18 +25,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampletide.llm.common import batch_of, partitions, slices, written
-from sampletide.llm.wordhash import Words, runs, spans, words_of
+from sampletide.llm.common import HEAVY, batch_of, partitions, slices, written
+from sampletide.llm.wordhash import Words, mixed, runs, spans, words_of
 
 WINDOW, GRAM = 35, 8
 #: Bits of a place that hold four times the word and the status; those above check that it is a place of this text, as row_ids are hashes.
 PLACE = 43
 #: Bytes of passages and ranges that one automaton and its stream take.
 SHARD_BYTES = 1 << 19
+#: An anchor with more ranges than this is split.
+HOT = 10_000
 #: What the shuffle by anchor says of a span: its anchor recurs; it is confirmed; it is confirmed and stands for its kind.
 OPEN, SURE, WITNESS = 1, 2, 3
 
@@ -221,17 +224,42 @@ def unequal(rows: DataFrame, window: int) -> DataFrame:
     return sent.repartition(n, "hash").sortWithinPartitions("hash", "check").mapInArrow(meet, "row_id long, place long").groupBy("row_id").agg(F.collect_list("place").alias("alone"))
 
 
-def shard_rows(rows: DataFrame, alone: DataFrame, window: int) -> DataFrame:
+def hot_anchors(rows: DataFrame, window: int, hot: int) -> np.ndarray:
+    """The anchors with more than ``hot`` ranges, of which a thousand at most, as any other has less than a thousandth of all."""
+    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = words_of(batch.column("text"))
+            status = np.zeros(len(words.hash), np.int64)
+            for d, data in enumerate(batch.column("starts").to_pylist()):
+                own = _unpacked(data)
+                status[words.first[d] : words.first[d] + len(own)] = own
+            own = np.unique(anchors(words, window)[1][np.flatnonzero(status)])
+            anchor, n = np.unique(runs(words.hash, GRAM)[own].view(np.int64), return_counts=True)
+            yield batch_of(schema, {"anchor": anchor, "n": n})
+
+    counts = rows.where("starts is not null").select("text", "starts").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.array([r.anchor for r in counts.where(F.col("n") > hot).orderBy(F.desc("n"), "anchor").limit(1000).collect()], np.int64)
+
+
+def shard_rows(rows: DataFrame, alone: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """What goes to the shards, from ``marked`` rows and the starts of open windows that occur nowhere else.
 
     Passages are runs of repeated windows within a span, of witnesses and open spans; spans that are only sure supply none. Ranges are all
     spans whose anchor recurs, with the row_ids and begins of those of the slice that are equal. Each holds the words of all its windows.
+
+    The shard key is the anchor. Spans of a hot one are halved: windows that begin far before the anchor hold the ``GRAM`` words before
+    it, the others those after it, and these become part of the key. Their ranges are dealt to lots, each of which gets their passages.
     """
+    if window < 3 * GRAM:
+        hot = hot[:0]
     lists = pa.list_(pa.int64())
     schema = pa.schema([("anchor", pa.int64()), ("is_range", pa.bool_()), ("text", pa.binary()), ("row_ids", lists), ("begins", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, "text")):
             words = words_of(batch.column("text"))
             status, supplies = np.zeros(len(words.hash), np.int64), np.zeros(len(words.hash), bool)
             check = checks(words)
@@ -241,24 +269,37 @@ def shard_rows(rows: DataFrame, alone: DataFrame, window: int) -> DataFrame:
                 lone = np.array(lone or [], np.int64)
                 supplier[lone[lone >> (PLACE - 2) == check[d]] & ((1 << (PLACE - 2)) - 1)] = False
                 status[a : a + len(own)], supplies[a : a + len(own)] = own, supplier
-            start = np.flatnonzero(status)
-            if not len(start):
-                continue
             at, grams = anchors(words, window)[1], runs(words.hash, GRAM)
-            for is_range, start in ((False, np.flatnonzero(supplies)), (True, start)):
+            for is_range, start in ((False, np.flatnonzero(supplies)), (True, np.flatnonzero(status))):
                 if not len(start):
                     continue
                 own = at[start]
-                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
+                heated, before = np.isin(grams[own].view(np.int64), hot), 2 * (own - start) > window - GRAM
+                new = (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1) | (heated[1:] & (before[1:] != before[:-1]))
+                first = np.flatnonzero(np.concatenate([[True], new]))
                 begin, end = start[first], start[np.append(first[1:], len(start)) - 1] + window
-                key, span = grams[own[first]].view(np.int64), spans(words.hash, begin, end)
+                own, heated, before = own[first], heated[first], before[first]
+                key, span = grams[own], spans(words.hash, begin, end)
+                key[heated] ^= mixed(grams[(own + np.where(before, -GRAM, GRAM))[heated]])
                 order = np.lexsort((span, key))
-                begin, end, key, span = begin[order], end[order], key[order], span[order]
+                begin, end, key, span, heated = begin[order], end[order], key[order], span[order], heated[order]
                 one = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (span[1:] != span[:-1])]))
                 doc = words.doc[begin]
                 ids, places = batch.column("row_id").to_numpy()[doc], (begin - words.first[doc]) | (check[doc] << PLACE)
-                cuts = pa.array(np.append(one, len(begin)) if is_range else np.zeros(len(one) + 1, np.int64), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(np.full(len(one), is_range)), pa.array(_pieces(words, begin[one], end[one]), pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.ListArray.from_arrays(cuts, pa.array(places))], schema=schema)
+                cuts = np.append(one, len(begin)) if is_range else None
+                lot = (ids[one] + task * 31 + number) % HEAVY
+                if not is_range:  # hot ones go to every lot
+                    copies = np.where(heated[one], HEAVY, 1)
+                    lot = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                    one = np.repeat(one, copies)
+                    cuts = np.zeros(len(one) + 1, np.int64)
+                key = np.where(heated[one], mixed(key[one] + mixed(lot.astype(np.uint64))), key[one]).view(np.int64)
+                cuts = pa.array(cuts, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(np.full(len(one), is_range)), pa.array(_pieces(words, begin[one], end[one]), pa.binary())]
+                    + [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (ids, places)],
+                    schema=schema,
+                )
 
     given = rows.where("starts is not null").join(alone, "row_id", "left").select("row_id", "text", "starts", "alone")
     return given.mapInArrow(run, "anchor long, is_range boolean, text binary, row_ids array<long>, begins array<long>")
@@ -339,10 +380,10 @@ def covers(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
     return words, np.cumsum(cover[:-1]) > 0
 
 
-def _located(rows: DataFrame, window: int, *keep: str) -> DataFrame:
+def _located(rows: DataFrame, window: int, hot: int, *keep: str) -> DataFrame:
     """The ``marked`` rows with repeated or open windows: ``keep``, text and hits."""
     alone, _ = written(unequal(rows, window), "alone")
-    hits = occurrences(shard_rows(rows, alone, window))
+    hits = occurrences(shard_rows(rows, alone, window, hot_anchors(rows, window, hot)))
     return rows.where("starts is not null").join(hits, "row_id", "left").select(*keep, "text", "hits")
 
 
@@ -354,10 +395,10 @@ def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(_row_id().alias("row_id"), F.col("text").cast("string").alias("text"), *keep)
 
 
-def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removal(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, _ = written(marked(_rows(docs, ("doc_id",)), ("doc_id",), window), "marked")
-    given = _located(rows, window, "doc_id")
+    given = _located(rows, window, hot, "doc_id")
     none = F.lit(None).cast(given.schema["hits"].dataType).alias("hits")
     given = given.unionByName(rows.where("starts is null").select("doc_id", "text", none))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -381,13 +422,13 @@ def kept_text(words: Words, a: int, b: int, gone: np.ndarray) -> bytes:
     return b" ".join([data[s:e].tobytes() for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """``docs`` with the repeated passages gone from text: documents that lose words are what they keep, joined by one space; others stay as they are."""
     others = [c for c in docs.columns if c != "text"]
     filler = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field, of a name that no column has
     given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias(filler), *others).alias("row"))
     rows, _ = written(marked(given, ("row",), window), "marked")
-    touched = _located(rows, window, "row")
+    touched = _located(rows, window, hot, "row")
     schema = T.StructType([touched.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,10 +10,11 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sampletide.llm import decontamination, language_id, near_dedup, packing, substring_dedup, token_binary
+from sampletide.llm import common, decontamination, language_id, near_dedup, packing, substring_dedup, token_binary, wordhash
 from sampletide.llm.decontamination import contained_items, without_items
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,6 +213,45 @@ def test_substring_removal_keeps_the_other_columns(docs):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == texts
 
 
+def test_an_automaton_of_one_text_finds_its_passage_in_others(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+    passage = fresh(60)
+    rows = [(i, fresh(50) + "\n" + passage + "\t" + fresh(50)) for i in range(40)]
+    rows += [(40, fresh(9) + " " + " ".join(passage.split()[10:50]) + " " + fresh(9)), (41, " ".join(passage.split()[:34]) + " " + fresh(9))]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = {i: sum(cover) for (i, _), (_, cover) in zip(rows, gone_words(rows, 35), strict=True)}
+    marked, _ = common.written(substring_dedup.marked(substring_dedup._rows(given, ("doc_id",)), ("doc_id",), 35), "marked")
+    alone, _ = common.written(substring_dedup.unequal(marked, 35), "alone")
+    sent = substring_dedup.shard_rows(marked, alone, 35, np.array([], np.int64))
+    passages = sent.where("not is_range")
+    assert 0 < passages.count() < 20, "each passage is kept about once, whatever number of texts holds it"
+    assert substring_dedup.occurrences(sent).count() == 41
+    assert substring_dedup.occurrences(sent.where("is_range")).count() == 0
+    for hot in (10_000, 3):
+        assert {r.doc_id: r.n_removed for r in substring_dedup.removal(given, hot=hot).collect()} == want
+
+
+def test_hot_anchors_are_split(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+    words = fresh(400).split()
+    grams = wordhash.runs(wordhash.words_of(pa.array([" ".join(words)])).hash, 8)
+    least = int(grams.argmin())  # the anchor of every window that holds it
+    hot_gram, around = " ".join(words[least : least + 8]), [(fresh(30), fresh(30)) for _ in range(60)]
+    rows = [(i, f"{fresh(20)} {a} {hot_gram} {b} {fresh(20)}") for i, (a, b) in enumerate(around * 2)] + [(200 + i, f"{fresh(30)} {hot_gram} {fresh(30)}") for i in range(200)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    marked, _ = common.written(substring_dedup.marked(substring_dedup._rows(given, ("doc_id",)), ("doc_id",), 35), "marked")
+    alone, _ = common.written(substring_dedup.unequal(marked, 35), "alone")
+    hot = substring_dedup.hot_anchors(marked, 35, 100)
+    assert hot.tolist() == [int(grams[least : least + 1].view(np.int64)[0])]
+    most = lambda hot: substring_dedup.shard_rows(marked, alone, 35, hot).where("is_range").groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert most(hot[:0]) > 250 and most(hot) < 30
+    want = {i: sum(cover) for (i, _), (_, cover) in zip(rows, gone_words(rows, 35), strict=True)}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.removal(given, hot=100).collect()} == want
+    assert want[0] == want[60] == 68 and want[200] == 0
+
+
 def test_equal_rows_do_not_gather_their_spans(spark):
     words = [f"w{i}" for i in range(200)]
     part = " ".join(["other", *words[50:95], "end", *(f"x{i}" for i in range(40))])
