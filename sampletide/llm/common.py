@@ -53,11 +53,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: it cuts lineage and outlives executors. Also its path."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if tables := Tables.current():
         tables.made.append(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -382,7 +382,7 @@ def covers(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
 
 def _located(rows: DataFrame, window: int, hot: int, *keep: str) -> DataFrame:
     """The ``marked`` rows with repeated or open windows: ``keep``, text and hits."""
-    alone, _ = written(unequal(rows, window), "alone")
+    alone, _ = written(unequal(rows, window), "alone", "zstd")
     hits = occurrences(shard_rows(rows, alone, window, hot_anchors(rows, window, hot)))
     return rows.where("starts is not null").join(hits, "row_id", "left").select(*keep, "text", "hits")
 
@@ -397,7 +397,7 @@ def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def removal(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    rows, _ = written(marked(_rows(docs, ("doc_id",)), ("doc_id",), window), "marked")
+    rows, _ = written(marked(_rows(docs, ("doc_id",)), ("doc_id",), window), "marked", "zstd")
     given = _located(rows, window, hot, "doc_id")
     none = F.lit(None).cast(given.schema["hits"].dataType).alias("hits")
     given = given.unionByName(rows.where("starts is null").select("doc_id", "text", none))
@@ -427,7 +427,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
     others = [c for c in docs.columns if c != "text"]
     filler = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field, of a name that no column has
     given = docs.select(_row_id().alias("row_id"), F.col("text").cast("string"), F.struct(F.lit(0).alias(filler), *others).alias("row"))
-    rows, _ = written(marked(given, ("row",), window), "marked")
+    rows, _ = written(marked(given, ("row",), window), "marked", "zstd")
     touched = _located(rows, window, hot, "row")
     schema = T.StructType([touched.schema["row"], T.StructField("text", T.StringType())])
 
