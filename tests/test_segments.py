@@ -100,3 +100,16 @@ def test_the_first_keys_of_very_many(spark):
     kept = r.admitted_keys(df, ["g"], "k", ["id"], 1500)
     assert kept.where("admitted").select("k").distinct().count() == 1500
     assert {x.k for x in kept.where("admitted").collect()} == {i * 7 % 100_003 for i in range(1500)}
+
+
+@pytest.mark.parametrize("limit", [2, 3, 100])
+def test_blocks_of_any_rate_tell_what_they_do(spark, limit, monkeypatch):
+    """Samples about as fast as tokens, with pauses that fill the bucket for some starts only: all blocks are read once, none waits for another."""
+    rng, at, rows, calls, blocks = random.Random(limit), 0, [], [], s._blocks
+    for i in range(1500):
+        at += rng.choice([0, 700 // limit, 1000 // limit, 1000 // limit + 1, 1900 // limit])
+        rows.append(("hot", at, i))
+    df = spark.createDataFrame(rows, "sampler string, at long, id long").withColumn("ts", F.timestamp_micros(F.col("at") * 1000))
+    monkeypatch.setattr(s, "_blocks", lambda *given: calls.append(1) or blocks(*given))
+    got = s.token_bucket(df, ["sampler"], limit, ["ts", "id"], rows=40)
+    assert len(calls) == 1 and {x.id for x in got.collect()} == one_bucket_each(rows, limit)
