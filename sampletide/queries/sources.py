@@ -83,7 +83,9 @@ def flatten_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.record(event_rows(spark, sf_dir), "raw", body=F.col("props"))
     logs = samples.nest_logs(rows, "1 day")
-    return logs.select(F.col("resource.attributes")[0]["value"].alias("resource"), F.inline("scope_logs")).select("resource", F.col("name").alias("sampler"), F.size("log_records").cast("bigint").alias("n_records"))
+    scopes = logs.select("period", F.col("resource.attributes")[0]["value"].alias("resource"), F.inline("scope_logs"))
+    out = scopes.groupBy("resource", F.col("name").alias("sampler"), "period").agg(F.sum(F.size("log_records")).alias("n_records"))  # a large period has several lots
+    return out.drop("period")
 
 
 _KIND = "list_extract(['raw', 'struct-digest', 'value-digest', 'event'], CAST(event_id % 4 + 1 AS INTEGER))"

@@ -46,22 +46,24 @@ def read_topics(spark: SparkSession, servers: str, pattern: str, **options: str)
 
 
 def nest_logs(records: DataFrame, period: str = "1 minute", most: int = 10_000) -> DataFrame:
-    """Records as nested logs: resource_logs of resource and scope_logs of scope and log_records with attributes.
+    """Records as nested logs: period and lot, resource of attributes, and scope_logs of scope and log_records with attributes.
 
-    A row per resource, sampler, period of event time and lot, so that no row grows with the whole of a sampler's records; a period with more
-    than ``most`` records has as many lots as hold about so many each. Records without a time share a period.
+    A row per resource, sampler, period (its start) of event time and lot, so that no row grows with the whole of a sampler's records; if a period has more
+    than ``most`` records, there are as many lots as hold about so many each. Records without a time share a period, which is null.
     """
     pairs = [("sample.type", F.col("sample_type")), ("sample.key", F.col("sample_key")), ("sample.encoding", F.col("encoding"))]
     attributes = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs])
     record = F.struct("ts", attributes.alias("attributes"), "stream_uids", "body")
     origin = F.lit("1970-01-01").cast("timestamp")  # F.window would leave out records without a time
-    ticks = F.floor((F.unix_micros("ts") - F.unix_micros(origin)) / (F.expr(f"unix_micros(timestamp_micros(0) + interval {period})"))).alias("_period")
+    length = F.expr(f"unix_micros(timestamp_micros(0) + interval {period})")
+    ticks = F.floor((F.unix_micros("ts") - F.unix_micros(origin)) / length).alias("_period")
     largest = records.groupBy("resource", "sampler", ticks).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 1
     # records equal in all their columns differ by where they stand
     lot = F.pmod(F.xxhash64("ts", "sample_key", "body", F.monotonically_increasing_id()), F.lit(-(-largest // most))).alias("_lot")
     scopes = records.groupBy("resource", "sampler", ticks, lot).agg(F.sort_array(F.collect_list(record)).alias("log_records"))
     named = F.array(F.struct(F.lit("service.name").alias("key"), F.col("resource").alias("value")))
-    return scopes.select(F.struct(named.alias("attributes")).alias("resource"), F.array(F.struct(F.col("sampler").alias("name"), "log_records")).alias("scope_logs"))
+    start = F.timestamp_micros(F.unix_micros(origin) + F.col("_period") * length)
+    return scopes.select(start.alias("period"), F.col("_lot").alias("lot"), F.struct(named.alias("attributes")).alias("resource"), F.array(F.struct(F.col("sampler").alias("name"), "log_records")).alias("scope_logs"))
 
 
 def flatten_logs(logs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sampletide.functions import rules as r
 from sampletide.operators import sampling as s
 from sampletide.plans import config as c
+from sampletide.queries import QUERIES
 from sampletide.sources import records, samples, topics
 
 
@@ -160,3 +161,12 @@ def test_nested_logs_are_bounded_by_their_period(spark):
     logs = samples.nest_logs(rows.unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))))
     sizes = [len(r.scope_logs[0].log_records) for r in logs.collect()]
     assert sorted(sizes) == [1] + [2] * 50 and samples.flatten_logs(logs).count() == 101
+
+
+def test_nested_logs_of_large_periods(spark, tmp_path):
+    """A day with more records than a lot holds is still one row of the query."""
+    rows = spark.range(20_500).selectExpr("id as event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id * 5) as ts", "4L as user_id", "'view' as event_type", "1.0d as value", "'{}' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    logs = samples.nest_logs(records.record(rows.selectExpr("'r' as resource", "'s' as sampler", "ts", "'{}' as body", "'' as sample_key"), "raw"), "1 day")
+    assert {(str(r.period), r.lot) for r in logs.collect()} == {(f"2024-01-0{d} 00:00:00", lot) for d in (1, 2) for lot in (0, 1)}
+    assert sorted(r.n_records for r in QUERIES["nest_logs"](spark, str(tmp_path)).collect()) == [20_500 - 17_280, 17_280]
