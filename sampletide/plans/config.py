@@ -54,7 +54,8 @@ def in_force(changes: DataFrame, section: str) -> DataFrame:
     """
     rows = changes.where(F.col("section") == section).withColumn("_reset", F.col("op") == "reset")
     order = [F.col("version"), (~F.col("_reset")).cast("int")]
-    later = Window.partitionBy("resource", "sampler").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # backwards, as a frame that only grows takes one step a row
+    later = Window.partitionBy("resource", "sampler").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("resource", "sampler", "_reset", "uid").orderBy(*order)
     rows = rows.withColumn("until", F.least(F.lead("ts").over(own), F.min(F.when(F.col("_reset"), F.col("ts"))).over(later)))
     rows = rows.where("op in ('upsert', 'set') and (until is null or until > ts)")

@@ -150,3 +150,28 @@ def test_streams_are_those_in_force_at_the_time(spark):
     out = {r["at"]: (r.stream_uids, r.errors) for r in s.translate_streams_in_force(given, c.streams_in_force(changes)).collect()}
     assert out[5] == ([], []) and out[10] == out[15] == (["a"], ["two"]) and out[20] == out[25] == (["a"], ["one"])
     assert out[30] == out[35] == (["b", "a"], []) and out[40] == out[45] == (["a"], ["one"]) and out[50] == out[55] == out[60] == (["c"], ["one"])
+
+
+def test_streams_in_force_of_long_logs(spark):
+    """Overlapping definitions, repeated names and ties of time, by brute force; and a log as long as the records takes no more time than a sort."""
+    rng = random.Random(3)
+    log = [(rng.choice("rq"), rng.choice("st"), rng.choice(["a", "b", "c", None]), rng.choice(["1", "2", "3", None]), a, rng.choice([None, a, a + 1, a + rng.randint(0, 40)])) for a in (rng.randint(0, 99) for _ in range(120))]
+    streams = spark.createDataFrame(log, "resource string, sampler string, name string, uid string, a long, b long").withColumns({"since": F.timestamp_seconds("a"), "until": F.timestamp_seconds("b")})
+    asked = [(i, rng.choice(["r", "q", None]), rng.choice("stx"), rng.choice([None, *range(100)]), [rng.choice(["a", "b", "c", "d", None]) for _ in range(rng.randint(0, 4))], rng.choice([[], [], ["u"]])) for i in range(900)]
+    given = spark.createDataFrame(asked, "i long, resource string, sampler string, at long, stream_names array<string>, stream_uids array<string>").withColumn("ts", F.timestamp_seconds("at")).repartition(3)
+    for rows in (20, 10_000):
+        out = s.translate_streams_in_force(given, streams, rows)
+        got = {x.i: (x.stream_uids, x.stream_names, x.errors) for x in out.collect()}
+        assert out.columns == [*given.columns, "errors"] and len(got) == 900
+        for i, r, p, at, names, uids in asked:
+            own = [x for x in log if x[:2] == (r, p) and x[2] is not None]
+            want = (uids, names, [])
+            if names and not uids and at is not None and any(x[4] <= at for x in own):
+                found = [min((x[3] for x in own if x[2] == n and x[3] and x[4] <= at and (x[5] is None or at < x[5])), default=None) for n in names]
+                want = ([x for x in found if x], [], [n for n, x in zip(names, found, strict=True) if not x])
+            assert got[i] == want
+    many = spark.range(60_000).select(F.lit("r").alias("resource"), F.lit("s").alias("sampler"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).cast("string").alias("uid"), "id")
+    changes = many.withColumns({"version": F.col("id"), "section": F.lit("streams"), "op": F.lit("upsert"), "payload": F.lit('{"name":"n"}')})
+    began = time.time()
+    out = s.translate_streams_in_force(many.select("resource", "sampler", "ts", F.array(F.lit("n")).alias("stream_names"), F.array().cast("array<string>").alias("stream_uids")), c.streams_in_force(changes))
+    assert out.where(F.size("stream_uids") == 1).count() == 60_000 and time.time() - began < 60
