@@ -50,9 +50,10 @@ def stage(function: Stage) -> Stage:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     columns, profiles = docs.columns, learn(docs.select("text", "lang"))
-    least = [(lang, length, score) for (lang, length), score in least_scores(docs, profiles).items()]  # languages times length classes
+    found, _ = written(identify(docs.select("text", F.struct(*columns).alias("_row")), profiles, keep=("_row",)), "language-scores")  # scored once, read twice
+    least = least_scores(found.select("_row.text", "_row.lang", "lang_pred", "score"))
+    least = [(lang, length, score) for (lang, length), score in least.items()]  # languages times length classes
     least = spark.createDataFrame(least, "_lang string, _length int, _least double")
-    found = identify(docs.select("text", F.struct(*columns).alias("_row")), profiles, keep=("_row",))
     same = (F.col("lang_pred") == F.col("_lang")) & (length_class(F.col("_row.text").cast("string")) == F.col("_length"))
     rows = found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).join(F.broadcast(least), same, "left")
     kept = rows.where(F.col("score") >= F.coalesce("_least", F.lit(0.0)))

@@ -23,8 +23,8 @@ from sampletide.llm.common import batch_of, slices
 SIZE, ORDERS = 300, 3
 #: A profile holds SIZE rows; more labels than this can't be languages and are refused, not cut.
 MOST_LANGUAGES = 10_000
-#: Labelled rows that least scores are fitted on, the share of the usual score that a text needs, and the class of the longest texts.
-FIT_ROWS, SHARE, LONGEST = 20_000, 0.5, 10
+#: The share of the usual score that a text needs, and the class of the longest texts.
+SHARE, LONGEST = 0.5, 10
 _CHUNK = 1 << 20
 _letters = np.zeros(0, bool)
 
@@ -149,19 +149,15 @@ def length_class(text: Column) -> Column:
     return F.least(F.lit(LONGEST), F.floor(F.log2(F.greatest(F.length(text), F.lit(1))))).cast("int")
 
 
-def least_scores(labelled: DataFrame, profiles: dict[str, np.ndarray], fit_rows: int = FIT_ROWS) -> dict[tuple[str, int], float]:
-    """The score that a text of each language and length class needs: ``SHARE`` of the median of labelled rows (doc_id, text, lang) that are recognised.
+def least_scores(scored: DataFrame) -> dict[tuple[str, int], float]:
+    """The score that a text of each language and length class needs: ``SHARE`` of the median of all labelled rows (text, lang, lang_pred, score) that are recognised.
 
-    Fitted on about ``fit_rows`` of them, chosen by hash. A class without such rows takes the nearest one's, the longer first; a language
-    without any has no bound.
+    A class without such rows takes the nearest one's, the longer first; a language without any has no bound. A score is a whole distance over
+    a profile's size, so what a median counts are few distinct numbers however many rows there are.
     """
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    n = max(1, rows.count())
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_rows / n)))
-    found = identify(rows.withColumn("_class", length_class(F.col("text"))), profiles, keep=("lang", "_class"))
-    usual = found.where("lang = lang_pred").groupBy("lang", "_class").agg(F.percentile_approx("score", 0.5).alias("usual"))
+    usual = scored.where("lang = lang_pred and text is not null").groupBy("lang", length_class(F.col("text").cast("string")).alias("_class"))
     known: dict[str, dict[int, float]] = {}
-    for r in usual.collect():  # languages times classes
+    for r in usual.agg(F.expr("percentile_disc(0.5) within group (order by score)").alias("usual")).collect():  # languages times classes
         known.setdefault(r.lang, {})[r._class] = SHARE * r.usual
     return {(lang, c): at[min(at, key=lambda x: (abs(x - c), -x))] for lang, at in known.items() for c in range(LONGEST + 1)}
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sampletide.llm import language_id
 from sampletide.llm import periodic_runs as pr
 from sampletide.llm import url_filter as uf
 from sampletide.llm.fill_in_middle import Excess, filled_in_middle, indexes, restored
@@ -191,3 +192,11 @@ def test_cascades_are_exact_over_several_levels_and_shards(spark, monkeypatch):
     assert len(cascade.levels) > 3 and cascade.levels[0].shards > 10
     part = keys.toPandas()
     assert (cascade.reader().listed(part["a"].to_numpy(), part["b"].to_numpy()) == (part["id"] % 3 == 0).to_numpy()).all()
+
+
+def test_least_scores_are_half_the_median_of_all_rows(spark):
+    """Far more rows than any fit would take, the median of which one row decides."""
+    rows = spark.range(100_001).select(F.lit("some text").alias("text"), F.when(F.col("id") % 5 == 0, "de").otherwise("en").alias("lang"), F.lit("en").alias("lang_pred"), F.col("id").alias("score"))
+    of_en = [i for i in range(100_001) if i % 5]
+    got = language_id.least_scores(rows.withColumn("score", F.col("score") / 100_001))
+    assert set(got) == {("en", c) for c in range(language_id.LONGEST + 1)} and set(got.values()) == {of_en[(len(of_en) - 1) // 2] / 100_001 / 2}
