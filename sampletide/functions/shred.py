@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampletide.functions.segments import ROWS, Scan
+from sampletide.functions.segments import ROWS, Scan, cuts_of
 
 KINDS = ["obj", "array", "string", "boolean", "null", "int", "float"]
 _OBJ, _ARRAY, _STRING, _BOOLEAN, _NULL, _INT, _FLOAT = range(len(KINDS))
@@ -280,25 +280,34 @@ def shred_within(df: DataFrame, keep: list[str], budget: int, sample: str = "sam
     return _shredded(df, keep, sample, budget)
 
 
-def absent_steps(nodes: DataFrame, by: list[str], order: list[str], rows: int = ROWS) -> DataFrame:
+def _in_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose columns of these names are a row of ``keys``, nulls equal."""
+    other = keys.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(keys.columns)])
+    return df.join(other, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(keys.columns)], "left_semi")
+
+
+def absent_steps(df: DataFrame, by: list[str], order: list[str], budget: int, sample: str = "sample", rows: int = ROWS) -> DataFrame:
     """For each sample (``by``, ``order``) with some: absent, the objects' paths and how many known fields each lacks, all its occurrences together.
 
     A field is known to a digest (``by``) after the first sample, in ``order``, that has it. How many are known before a sample is a
-    running sum over first samples, which spreads over tasks where one object's samples are many.
+    running sum over first samples, which spreads over tasks where one object's samples are many. What is shuffled are an object's counts in a
+    sample, not its nodes; nodes of first samples, of which there are as many as fields at most, are counted on their own.
     """
-    field = F.element_at("path", -1).startswith(".")
-    seen = nodes.groupBy(*by, *order, "path").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "obj").alias("objs"))
-    fields = seen.where((F.size("path") > 0) & field)
-    parent = F.slice("path", F.lit(1), F.size("path") - 1)
-    first = fields.groupBy(*by, "path").agg(F.min(F.struct(*order, "n")).alias("f"))
-    none = F.lit(0).cast("long")
-    parts = [
-        seen.where("objs > 0").select(*by, *order, F.col("path").alias("at"), "objs", none.alias("old"), none.alias("new")),
-        fields.select(*by, *order, parent.alias("at"), none.alias("objs"), F.col("n").alias("old"), none.alias("new")),
-        first.select(*by, *[F.col(f"f.{c}").alias(c) for c in order], parent.alias("at"), none.alias("objs"), (-F.col("f.n")).alias("old"), F.lit(1).cast("long").alias("new")),
-    ]
-    held = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by, *order, "at").agg(*[F.sum(c).alias(c) for c in ("objs", "old", "new")])
-    known = Scan.of(held, [*by, "at"], order, rows).with_sum("known", F.col("new")).done()
+    names = [*by, *order]
+    nodes = _shredded(df, names, sample, budget)
+    is_field, parent = (F.size("path") > 0) & F.element_at("path", -1).startswith("."), F.slice("path", F.lit(1), F.size("path") - 1)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    roles = F.array(
+        F.when(F.col("kind") == "obj", F.struct(F.col("path").alias("at"), one.alias("objs"), none.alias("old"), none.alias("new"))),
+        F.when(is_field, F.struct(parent.alias("at"), none.alias("objs"), one.alias("old"), none.alias("new"))),
+    )
+    first = nodes.where(is_field).groupBy(*by, "path").agg(F.min(F.struct(*order)).alias("f")).select(*by, "path", "f.*")
+    own = _in_keys(_shredded(_in_keys(df, first.select(*names)), names, sample, budget).where(is_field), first)
+    own = own.groupBy(*names, "path").agg(F.count("*").alias("n"))
+    parts = nodes.select(*names, F.inline(F.array_compact(roles))).unionByName(own.select(*names, parent.alias("at"), none.alias("objs"), (-F.col("n")).alias("old"), one.alias("new")))
+    held = parts.groupBy(*names, "at").agg(*[F.sum(c).alias(c) for c in ("objs", "old", "new")])
+    cuts = cuts_of(df.where(F.col(sample).isNotNull()), by, order, rows)  # of samples, which needn't be taken apart for it
+    known = Scan.of(held, [*by, "at"], order, cuts=cuts).with_sum("known", F.col("new")).done()
     steps = F.col("objs") * (F.col("known") - F.col("new")) - F.col("old")
     lacking = known.withColumn("steps", steps).where("steps > 0")
     return lacking.groupBy(*by, *order).agg(F.collect_list(F.struct(F.col("at").alias("path"), "steps")).alias("absent"))
@@ -310,7 +319,7 @@ def shred_known(df: DataFrame, by: list[str], order: list[str], budget: int, kee
     Known are the fields that earlier samples have within their own budgets. Such steps are taken after all below the object.
     ``order`` tells the samples of a digest apart; those it doesn't are taken for one and share their steps. Nulls are equal.
     """
-    absent = absent_steps(_shredded(df, [*by, *order], sample, budget), by, order, rows)
+    absent = absent_steps(df, by, order, budget, sample, rows)
     names = [*by, *order]
     other = absent.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(names)], F.col("absent").alias("_lacking"))
     both = df.join(other, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(names)], "left")

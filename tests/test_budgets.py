@@ -8,6 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sampletide.functions import segments
+from sampletide.functions import shred as shredding
 from sampletide.functions.shred import path_text, shred, shred_known
 from sampletide.operators import digests as d
 from sampletide.operators import sampling as s
@@ -175,3 +177,20 @@ def test_streams_in_force_of_long_logs(spark):
     began = time.time()
     out = s.translate_streams_in_force(many.select("resource", "sampler", "ts", F.array(F.lit("n")).alias("stream_names"), F.array().cast("array<string>").alias("stream_uids")), c.streams_in_force(changes))
     assert out.where(F.size("stream_uids") == 1).count() == 60_000 and time.time() - began < 60
+
+
+def test_samples_are_counted_without_taking_them_apart(spark, monkeypatch):
+    """Cuts come from the samples; samples of one order, elements of arrays and null groups share steps as before."""
+    plans, cuts_of = [], segments.cuts_of
+
+    def seen(df, *given):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cuts_of(df, *given)
+
+    monkeypatch.setattr(segments, "cuts_of", seen)
+    monkeypatch.setattr(shredding, "cuts_of", seen, raising=False)
+    rows = [(None, 1, '{"a":[{"x":1,"y":3}]}'), (None, 1, '{"a":[{"x":1}],"b":1}'), (None, 2, '{"a":[{"z":1}]}')]
+    df = spark.createDataFrame(rows, "g string, i int, body string").withColumn("sample", F.parse_json("body")).repartition(3)
+    got = sorted((r.i, r.truncated, "".join(r.path)) for r in shred_known(df, ["g"], ["i"], 9, ["g", "i"]).collect() if r.i == 2)
+    assert got == [(2, True, p) for p in ("", ".a", ".a*", ".a*.z")]  # 7 steps for nodes, 2 for x and y, which makes 9; b, where the first samples reach it, is one more
+    assert plans and not any("MapInArrow" in p for p in plans)
